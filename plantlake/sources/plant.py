@@ -50,7 +50,13 @@ def read_alarms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """The metadata inventory; its schema is given because inference would turn the link map into a struct."""
+    """The metadata inventory as a JSON array, or as our own sorted records, one per line.
+
+    Its schema is given because inference would turn the link map into a struct.
+    """
+    whole = spark.read.text(path).where(F.col("value").rlike(r"^\s*\[")).isEmpty()
+    if whole:
+        return spark.read.schema(INVENTORY).option("mode", "FAILFAST").json(path)
     return read_json_records(spark, path, INVENTORY)
 
 

@@ -95,7 +95,7 @@ def read_sensor_files(spark: SparkSession, path: str, datetime_column: str = "ti
     names = [f"c{i}" for i in range(width + 1)]
     row = F.from_csv("value", ", ".join(f"{n} string" for n in names))
     cells = lines.select("file", F.array(*[row[n] for n in names]).alias("cells"))
-    is_header = F.array_contains("cells", datetime_column)
+    is_header = F.coalesce(F.array_contains("cells", datetime_column), F.lit(False))
     headers = settle(
         cells.where(is_header).groupBy("file").agg(F.min("cells").alias("names")), "headers"
     )
