@@ -30,7 +30,7 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
         row = np.repeat(np.arange(len(hashes)), lengths)
         sign = np.where((flat >> 40) & 1, 1.0, -1.0)
         sums = np.bincount(row * dimensions + flat % dimensions, weights=sign, minlength=len(hashes) * dimensions)
-        sums = sums.reshape(len(hashes), dimensions)
+        sums = sums.astype(float).reshape(len(hashes), dimensions)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         out = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0).astype(np.float32)
         return pd.Series(list(out))

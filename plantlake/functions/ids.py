@@ -63,7 +63,7 @@ def tag_parts(tag: Column) -> Column:
         part(tag, 2).alias("area"),
         F.concat_ws("-", part(tag, 1), part(tag, 2), part(tag, 3)).alias("equipment"),
         F.regexp_extract(part(tag, 3), r"^(.*?)\d*$", 1).alias("equipment_type"),
-        F.nullif(F.regexp_extract(part(tag, 3), r"(\d+)$", 1), F.lit("")).cast("int").alias("equipment_no"),
+        F.nullif(F.regexp_extract(part(tag, 3), r"(\d+)$", 1), F.lit("")).try_cast("int").alias("equipment_no"),
         part(tag, 4).alias("measure"),
-        part(tag, 5).cast("int").alias("instance"),
+        part(tag, 5).try_cast("int").alias("instance"),
     )

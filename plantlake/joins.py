@@ -4,19 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plantlake.session import settle
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.001
+HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row: eight bytes per plain value, the real length of everything else."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        name, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            width = F.octet_length(name)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            width = F.size(name) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            width = F.octet_length(F.to_json(F.struct(name)))
+        else:
+            width = F.lit(8)
+        total = total + F.coalesce(width, F.lit(0))
+    return total.cast("long")
+
+
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure the rows as text, which is never smaller than their numbers, against the limit."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"]
-    return (size or 0) <= max_bytes
+    """Measure the rows against the limit; one pass over ``df``."""
+    return (df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0) <= max_bytes
 
 
 def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
@@ -27,28 +44,44 @@ def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
 def join_sized(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Join a large side with a derived side: broadcast when its measured size allows, else by hot keys."""
+    """Join a large side with a derived side: broadcast when its measured size allows, else by hot keys.
+
+    Without keys the derived side is a global aggregate, that is one row.
+    """
     on = list(on)
     small = settle(small)
     if not on:
-        # an un-keyed series: the derived side is one row
         return big.join(F.broadcast(small), how="left" if how == "left" else "inner", on=F.lit(True))
     if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
     return join_hot(big, small, on, how)
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys that hold more than ``share`` of all rows and more than ``rows``; at most ``1/share`` of them."""
+    total = df.count()
+    if total <= rows:
+        return None
+    found = settle(
+        df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > F.lit(max(total * share, rows))).select(*on, F.lit(True).alias("_hot")),
+        "hot",
+    )
+    return None if found.isEmpty() else found
+
+
 def join_hot(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", share: float = HOT_SHARE, salts: int = SALTS
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", share: float = HOT_SHARE,
+    rows: int = HOT_ROWS, salts: int = SALTS,
 ) -> DataFrame:
-    """Equi join of two large sides; only keys holding more than ``share`` of ``big`` are salted.
+    """Equi join of two large sides; rows of ``big`` with a hot key are salted over several tasks.
 
-    At most ``1/share`` keys can be that heavy, which bounds what is broadcast.
+    ``how`` is left, inner, left_semi or left_anti. Only the hot keys are broadcast, their number is bounded.
     """
     on = list(on)
-    counts = settle(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")))
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    hot = counts.where(F.col("_rows") > F.lit(total * share)).select(*on, F.lit(True).alias("_hot"))
+    hot = hot_keys(big, on, share, rows)
+    if hot is None:
+        return big.join(small, on, how)
     salted_big = (
         big.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.when(F.col("_hot"), row_salt(big, salts)).otherwise(F.lit(0)))
@@ -66,11 +99,11 @@ def join_hot(
 
 
 def left_join_key(left: DataFrame, right: DataFrame, left_key: str, right_key: str, row_id: str) -> DataFrame:
-    """Left join on a nullable string foreign key; the null keys spread over all tasks.
+    """Left join on a nullable string foreign key; null keys and hot keys spread over all tasks.
 
     ``right_key`` is unique in ``right`` and none of its values starts with a NUL character.
     """
     spread = F.coalesce(F.col(left_key), F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
     keyed = left.withColumn("_fk", spread)
     other = right.withColumn("_fk", F.col(right_key))
-    return keyed.join(other, "_fk", "left").drop("_fk")
+    return join_hot(keyed, other, ["_fk"], "left").drop("_fk")

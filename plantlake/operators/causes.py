@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from plantlake.functions.calendar import date_range_start
 from plantlake.functions.ids import prefix
 from plantlake.joins import join_hot
 
@@ -75,7 +76,7 @@ def inventory_incidents(inventory: DataFrame) -> DataFrame:
         F.min(F.struct("file_path", "date_range", "description", "equipment_tags")).alias("_i")
     ).select(
         "trigger_id", F.lit("incident").alias("kind"), F.try_element_at("_i.equipment_tags", F.lit(1)).alias("tag"),
-        F.to_date("_i.date_range").alias("event_date"), F.lit(None).cast("double").alias("magnitude"),
+        date_range_start(F.col("_i.date_range")).alias("event_date"), F.lit(None).cast("double").alias("magnitude"),
         F.col("_i.description").alias("description"),
         F.lit(None).cast("string").alias("alarm_id"), F.lit(None).cast("string").alias("linked_id"),
     )

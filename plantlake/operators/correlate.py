@@ -7,12 +7,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlake.functions.columns import number, numeric_columns
 
 # above this many columns the n*(n-1)/2 aggregate expressions are replaced by partial sums per task
-WIDE = 30
+WIDE = 12
+# sums of co-moments kept per pair, and how many cells of them a task holds before it passes them on
+SUMS = ["n", "sa", "sb", "saa", "sbb", "sab"]
+HELD_CELLS = 4_000_000
 
 
 def correlation_pairs(
@@ -28,17 +31,22 @@ def correlation_pairs(
     values = df.select(*series, *[number(c).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
     wide = values.groupBy(*series).agg(
-        *[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.count(F.col(a) + F.col(b)).alias(f"_n{i}") for i, (a, b) in enumerate(pairs)],
+        *[_pearson(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.regr_count(a, b).alias(f"_n{i}") for i, (a, b) in enumerate(pairs)],
     )
     cells = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_n{i}").alias("n"),
-                 F.when(~F.isnan(f"_r{i}"), F.col(f"_r{i}")).alias("r"))
+                 F.col(f"_r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)
     ])
     return wide.select(*series, F.inline(cells))
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Pearson's r over the rows with both values, null when one of them is constant there."""
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
@@ -72,26 +80,30 @@ def _pairs_by_sums(df: DataFrame, columns: list[str], series: list[str]) -> Data
     upper = np.triu_indices(m, 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for key, sums in held.items():
+                out = pd.DataFrame({"i": upper[0], "j": upper[1]} | {s: sums[n][upper] for n, s in enumerate(SUMS)})
+                yield out.assign(**dict(zip(keys, key)))
+
         for pdf in batches:
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            for key, rows in groups:
-                x = rows[[f"_c{i}" for i in range(m)]].to_numpy(float) - mid
+            for key, part in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
+                x = part[[f"_c{i}" for i in range(m)]].to_numpy(float) - mid
                 ok = (~np.isnan(x)).astype(float)
                 x = np.nan_to_num(x)
-                sums = {
-                    "n": ok.T @ ok, "sa": x.T @ ok, "sb": ok.T @ x,
-                    "saa": (x * x).T @ ok, "sbb": ok.T @ (x * x), "sab": x.T @ x,
-                }
-                out = pd.DataFrame({"i": upper[0], "j": upper[1]} | {k: v[upper] for k, v in sums.items()})
-                for k, v in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    out[k] = v
-                yield out
+                sums = np.stack([ok.T @ ok, x.T @ ok, ok.T @ x, (x * x).T @ ok, ok.T @ (x * x), x.T @ x])
+                held[key] = held[key] + sums if key in held else sums
+            if len(held) * m * m > HELD_CELLS:
+                yield from rows()
+                held.clear()
+        yield from rows()
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
     schema += "".join(f", {k} {kinds[s]}" for s, k in zip(series, keys))
     sums = values.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(
-        *[F.sum(c).alias(c) for c in ["n", "sa", "sb", "saa", "sbb", "sab"]]
+        *[F.sum(c).alias(c) for c in SUMS]
     )
     n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
     va, vb = F.col("saa") - sa * sa / n, F.col("sbb") - sb * sb / n

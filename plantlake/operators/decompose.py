@@ -46,13 +46,17 @@ def moving_average(
     return spread.withColumn(out, F.when(full, total / period)).where(F.col("_block") == home).drop("_block")
 
 
-def _line(y: Column, x: Column, inside: Column) -> tuple[Column, Column]:
-    """Least-squares slope and intercept; a single point gives the smallest-norm line through it."""
+def _line(y: Column, x: Column, shift: int, inside: Column) -> tuple[Column, Column]:
+    """Least-squares slope and intercept over ``x``, which is the position less ``shift``.
+
+    A single point gives the line of smallest norm through it, in terms of the position itself.
+    """
     y, x = F.when(inside, y), F.when(inside, x)
-    one_x, one_y = F.max(x), F.max(y)
+    at, one = F.max(x) + shift, F.max(y)
     single = F.count(y) == 1
-    slope = F.when(single, one_y * one_x / (one_x * one_x + 1)).otherwise(F.regr_slope(y, x))
-    icept = F.when(single, one_y / (one_x * one_x + 1)).otherwise(F.regr_intercept(y, x))
+    flat = one * at / (at * at + 1)
+    slope = F.when(single, flat).otherwise(F.regr_slope(y, x))
+    icept = F.when(single, one / (at * at + 1) + flat * shift).otherwise(F.regr_intercept(y, x))
     return slope, icept
 
 
@@ -66,8 +70,8 @@ def end_lines(df: DataFrame, period: int, *, series_cols: Sequence[str] = ()) ->
     x = (F.col("pos") - half).cast("double")
     head = (F.col("pos") >= half) & (F.col("pos") < F.least(F.lit(half + period), back))
     tail = (F.col("pos") >= F.greatest(F.lit(half), back - period)) & (F.col("pos") < back)
-    hs, hi = _line(F.col("trend"), x, head)
-    ts_, ti = _line(F.col("trend"), x, tail)
+    hs, hi = _line(F.col("trend"), x, half, head)
+    ts_, ti = _line(F.col("trend"), x, half, tail)
     return df.where(head | tail).groupBy(*series_cols).agg(
         hs.alias("_hs"), hi.alias("_hi"), ts_.alias("_ts"), ti.alias("_ti")
     )
@@ -81,7 +85,7 @@ def phase_means(df: DataFrame, detrended: Column, period: int, model: str, *, se
         F.avg("_m").alias("_mid"), F.sort_array(F.collect_list(F.struct("_phase", "_m"))).alias("_p")
     )
     mid = F.col("_mid")
-    centred = F.transform("_p", lambda s: s["_m"] - mid if model == "additive" else s["_m"] / mid)
+    centred = F.transform("_p", lambda s: s["_m"] - mid if model == "additive" else F.try_divide(s["_m"], mid))
     return packed.select(*series, centred.alias("_season"))
 
 
@@ -125,13 +129,13 @@ def decompose(
     else:
         lined = averaged
     additive = model == "additive"
-    detrended = F.col("value") - F.col("trend") if additive else F.col("value") / F.col("trend")
+    detrended = F.col("value") - F.col("trend") if additive else F.try_divide("value", "trend")
     season = phase_means(lined, detrended, period, model, series_cols=series)
     seasonal = F.col("_season")[F.pmod("pos", F.lit(period)).cast("int")]
     out = join_sized(lined, season, series, "left").withColumn("seasonal", seasonal)
     resid = (
         F.col("value") - F.col("trend") - F.col("seasonal") if additive
-        else F.col("value") / F.col("seasonal") / F.col("trend")
+        else F.try_divide(F.try_divide("value", "seasonal"), F.col("trend"))
     )
     return out.select(
         *series, "ts", "pos", F.col("value").alias("observed"), "trend", "seasonal", resid.alias("resid")

@@ -20,8 +20,10 @@ from plantlake.session import settle
 
 METRICS = ("l2", "cosine", "dot")
 K = 3
-QUESTION_BLOCK = 2048
+QUESTION_BLOCK = 32_768
 CHUNK_BLOCK = 20_000
+# questions compared at once inside a block, which bounds the matrix of distances
+STEP = 1024
 # relative width within which block scores are taken as possibly equal and compared again directly
 NEAR = 1e-9
 
@@ -61,6 +63,14 @@ def best_of_block(
     qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, metric: str
 ) -> pd.DataFrame:
     """The k nearest chunks of the block for every question; equal distances go to the smaller id."""
+    return pd.concat([
+        _best(qid[i:i + STEP], q[i:i + STEP], cid, x, k, metric) for i in range(0, max(len(qid), 1), STEP)
+    ])
+
+
+def _best(
+    qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, metric: str
+) -> pd.DataFrame:
     rough = _bulk(q, x, metric)
     kk = min(k, len(cid))
     kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
@@ -121,9 +131,8 @@ def exact_top_k(
             if not len(pdf):
                 continue
             cid, x = pdf["chunk_id"].to_numpy(), _vectors(pdf["embedding"])
-            for at in range(0, len(qid), QUESTION_BLOCK):
-                found = best_of_block(qid[at:at + QUESTION_BLOCK], q[at:at + QUESTION_BLOCK], cid, x, k, metric)
-                best = found if best is None else pd.concat([best, found])
+            found = best_of_block(qid, q, cid, x, k, metric)
+            best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["question_id", "distance", "chunk_id"]).groupby("question_id", sort=False).head(k)
         if best is not None:
             yield best

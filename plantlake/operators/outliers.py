@@ -168,7 +168,7 @@ def _score_by_lookup(rows: DataFrame, value: str, steps: DataFrame, series: list
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for x, *keys in batches:
+        for x, _, *keys in batches:
             out = np.empty(len(x))
             groups = pd.DataFrame(dict(enumerate(keys))).groupby(list(range(len(keys)))).indices if keys else {(): slice(None)}
             for key, idx in groups.items():
@@ -176,7 +176,8 @@ def _score_by_lookup(rows: DataFrame, value: str, steps: DataFrame, series: list
                 out[idx] = _score(at, jump, sample, trees, x.to_numpy(float)[idx])
             yield pd.Series(out)
 
-    return rows.withColumn("score", score(value, *series))
+    # the constant keeps a batch a tuple when there is no series column
+    return rows.withColumn("score", score(value, F.lit(0), *series))
 
 
 def _score_by_group(

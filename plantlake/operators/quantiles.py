@@ -12,13 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plantlake.joins import join_sized
+from plantlake.ordered import running_total
+from plantlake.session import settle
+
+WINDOW_ROWS = 2_000_000
 
 
 def exact_quantiles(
     df: DataFrame, series: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
-    accuracy: int = 10_000,
+    accuracy: int = 10_000, window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """One row per series with the linearly interpolated quantiles; nulls are skipped."""
+    """One row per series with the linearly interpolated quantiles; nulls are skipped.
+
+    A band of more than ``window_rows`` distinct values is summed up in chunks instead of one window.
+    """
     series = list(series)
     rows = df.where(F.col(value).isNotNull()).select(*series, F.col(value).cast("double").alias("_v"))
     slack = 5.0 / accuracy
@@ -48,7 +55,9 @@ def exact_quantiles(
         .groupBy(*series, "_n", F.col("_c._q").alias("_q"), F.col("_c._x").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_m"))
     )
-    picked = _pick(counted, series, probs)
+    counted = settle(counted, "bands")
+    longest = counted.groupBy(*series, "_q").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    picked = _pick(counted, series, probs, chunked=longest > window_rows)
     return picked.groupBy(*series).agg(
         *[F.max(F.when(F.col("_q") == i, F.col("_quantile"))).alias(n) for i, n in enumerate(names)]
     )
@@ -65,14 +74,18 @@ def weighted_quantile(counted: DataFrame, series: Sequence[str], value: str, wei
     return _pick(rows, series, [prob]).select(*series, F.col("_quantile").alias(name))
 
 
-def _pick(counted: DataFrame, series: list[str], probs: Sequence[float]) -> DataFrame:
+def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], chunked: bool = False) -> DataFrame:
     """Interpolate between the values at the two ranks around prob * (n - 1).
 
     ``_x`` null stands for all rows below the band.
     """
-    upto = W.partitionBy(*series, "_q").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    if chunked:
+        ranked = running_total(counted, [*series, "_q"], ["_x"], F.col("_m"), "_cum")
+    else:
+        upto = W.partitionBy(*series, "_q").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+        ranked = counted.withColumn("_cum", F.sum("_m").over(upto))
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_q") + 1)
-    ranked = counted.withColumn("_cum", F.sum("_m").over(upto)).withColumn("_t", prob * (F.col("_n") - 1))
+    ranked = ranked.withColumn("_t", prob * (F.col("_n") - 1))
     at = ranked.groupBy(*series, "_q").agg(
         F.min(F.when(F.col("_cum") > F.floor("_t"), F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_cum") > F.ceil("_t"), F.col("_x"))).alias("_b"),

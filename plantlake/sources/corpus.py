@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantlake.functions.chunking import BUDGET, heading_chunks, stamp_chunks
 from plantlake.functions.text import basename, clean_markup, error_details, extension, file_kind
+from plantlake.joins import fits_broadcast
+from plantlake.session import settle
 
 # fixed values: status words of the processing log, and the note of a skipped file
 OK, FAILED, UNSUPPORTED, SKIPPED = "ok", "failed", "unsupported", "skipped"
 ALREADY = "Already processed in this session"
-LOG = "path string, file string, type string, status string, details string"
 # extensions whose bytes are text
 TEXT_EXTENSIONS = [".csv", ".txt", ".md"]
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, file, kind, ext, modified, text) of every file; text is null for kinds that are not plain text."""
+    """(path, file, kind, ext, modified, text) of every file; text is null for kinds that are not plain text.
+
+    Spark's file sources pass over files of zero bytes, so those give no row.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -34,12 +38,17 @@ def route(files: DataFrame) -> DataFrame:
 
 def unseen(files: DataFrame, log: DataFrame) -> DataFrame:
     """Files without a successful entry in the log; a failed file comes again."""
-    return files.join(log.where(F.col("status") == OK).select("path").distinct(), "path", "left_anti")
+    return files.join(_done(log), "path", "left_anti")
+
+
+def _done(log: DataFrame) -> DataFrame:
+    """Paths already processed; broadcast while they are few, so that file contents are not shuffled."""
+    done = settle(log.where(F.col("status") == OK).select("path").distinct(), "done")
+    return F.broadcast(done) if fits_broadcast(done) else done
 
 
 def skipped_log(files: DataFrame, log: DataFrame) -> DataFrame:
-    done = log.where(F.col("status") == OK).select("path").distinct()
-    return files.join(done, "path", "left_semi").select(
+    return files.select("path", "file").join(_done(log), "path", "left_semi").select(
         "path", "file", F.lit("N/A (Skipped)").alias("type"), F.lit(SKIPPED).alias("status"), F.lit(ALREADY).alias("details")
     )
 
@@ -67,13 +76,14 @@ def image_chunks(descriptions: DataFrame, ingested_at: str, model: str = "extern
 def processing_log(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per file: type, status and details (number of chunks, or what went wrong)."""
     counts = chunks.groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = files.join(counts, "file", "left")
+    seen = files.select("path", "file", "kind", "ext", F.col("text").isNotNull().alias("_readable"))
+    joined = seen.join(counts, "file", "left")
     n = F.coalesce("_n", F.lit(0))
     status = (
         F.when(F.col("kind").isNull(), UNSUPPORTED).when(n > 0, OK).otherwise(FAILED)
     )
     reason = F.when(F.col("kind") == "Img", "no description given for the image").when(
-        F.col("text").isNull(), "no text extractor for this format"
+        ~F.col("_readable"), "no text extractor for this format"
     ).otherwise("file empty or without content")
     details = (
         F.when(F.col("kind").isNull(), F.format_string("Unsupported type (%s)", "ext"))
