@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from plantlake.session import settle
+from plantlake.session import row_bytes, settle, settle_sized
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 0.001
@@ -14,23 +14,6 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def row_bytes(df: DataFrame) -> Column:
-    """Size of a row: eight bytes per plain value, the real length of everything else."""
-    total = F.lit(16)
-    for field in df.schema.fields:
-        name, kind = F.col(f"`{field.name}`"), field.dataType
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            width = F.octet_length(name)
-        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
-            width = F.size(name) * 8
-        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            width = F.octet_length(F.to_json(F.struct(name)))
-        else:
-            width = F.lit(8)
-        total = total + F.coalesce(width, F.lit(0))
-    return total.cast("long")
-
-
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure the rows against the limit; one pass over ``df``."""
     return (df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0) <= max_bytes
@@ -49,10 +32,10 @@ def join_sized(
     Without keys the derived side is a global aggregate, that is one row.
     """
     on = list(on)
-    small = settle(small)
+    small, size = settle_sized(small)
     if not on:
         return big.join(F.broadcast(small), how="left" if how == "left" else "inner", on=F.lit(True))
-    if fits_broadcast(small, max_bytes):
+    if size <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return join_hot(big, small, on, how)
 
@@ -72,14 +55,15 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: i
 
 def join_hot(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", share: float = HOT_SHARE,
-    rows: int = HOT_ROWS, salts: int = SALTS,
+    rows: int = HOT_ROWS, salts: int = SALTS, measured: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
     """Equi join of two large sides; rows of ``big`` with a hot key are salted over several tasks.
 
     ``how`` is left, inner, left_semi or left_anti. Only the hot keys are broadcast, their number is bounded.
+    ``measured`` holds the result of an earlier ``hot_keys`` on the same table.
     """
     on = list(on)
-    hot = hot_keys(big, on, share, rows)
+    hot = measured[0] if measured else hot_keys(big, on, share, rows)
     if hot is None:
         return big.join(small, on, how)
     salted_big = (

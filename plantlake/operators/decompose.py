@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plantlake.functions.columns import number, present
 from plantlake.joins import join_sized
-from plantlake.ordered import with_position
+from plantlake.ordered import UNLIMITED, WINDOW_ROWS, is_short, with_position
 from plantlake.session import settle
 
 MODELS = ("additive", "multiplicative")
@@ -22,28 +22,31 @@ BLOCK = 65536
 
 def moving_average(
     df: DataFrame, period: int, value: str = "value", pos: str = "pos", *, series_cols: Sequence[str] = (),
-    out: str = "trend",
+    out: str = "trend", blocks: bool = True,
 ) -> DataFrame:
     """Centred moving average over ``period`` rows; an even period weighs both ends by one half.
 
-    Null within half a period of either end of the series.
+    Null within half a period of either end of the series. Without ``blocks`` each series is one window,
+    which suits series known to be short.
     """
     series = list(series_cols)
     half = period // 2
     if half == 0:
         return df.withColumn(out, F.col(value))
-    block = max(BLOCK, 8 * period)
-    home = F.floor(F.col(pos) / block)
-    reach = F.sequence(
-        F.greatest(F.floor((F.col(pos) - half) / block), F.lit(0)), F.floor((F.col(pos) + half) / block)
-    )
-    spread = df.withColumn("_block", F.explode(reach))
-    frame = W.partitionBy(*series, "_block").orderBy(pos).rowsBetween(-half, half)
+    if blocks:
+        block = max(BLOCK, 8 * period)
+        home = F.floor(F.col(pos) / block)
+        reach = F.sequence(
+            F.greatest(F.floor((F.col(pos) - half) / block), F.lit(0)), F.floor((F.col(pos) + half) / block)
+        )
+        df = df.withColumn("_block", F.explode(reach))
+    frame = W.partitionBy(*series, *(["_block"] if blocks else [])).orderBy(pos).rowsBetween(-half, half)
     total = F.sum(value).over(frame)
     if period % 2 == 0:
         total = total - (F.first(value).over(frame) + F.last(value).over(frame)) / 2
     full = F.count(F.lit(1)).over(frame) == 2 * half + 1
-    return spread.withColumn(out, F.when(full, total / period)).where(F.col("_block") == home).drop("_block")
+    averaged = df.withColumn(out, F.when(full, total / period))
+    return averaged.where(F.col("_block") == home).drop("_block") if blocks else averaged
 
 
 def _line(y: Column, x: Column, shift: int, inside: Column) -> tuple[Column, Column]:
@@ -89,33 +92,46 @@ def phase_means(df: DataFrame, detrended: Column, period: int, model: str, *, se
     return packed.select(*series, centred.alias("_season"))
 
 
-def positions(df: DataFrame, ts: str, value: str, *, series_cols: Sequence[str] = (), tie_cols: Sequence[str] = ()) -> DataFrame:
+def positions(
+    df: DataFrame, ts: str, value: str, *, series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (),
+    window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
     """(series, ts, value, pos, _n): nulls dropped, 0-based position in time order, rows per series."""
     series = list(series_cols)
     rows = present(df, value).select(*series, *tie_cols, F.col(ts).alias("ts"), number(value).alias("value"))
-    return with_position(rows, series, ["ts", *tie_cols], total="_n").select(*series, "ts", "value", "pos", "_n")
+    numbered = with_position(rows, series, ["ts", *tie_cols], total="_n", window_rows=window_rows)
+    return numbered.select(*series, "ts", "value", "pos", "_n")
 
 
 def decompose(
     df: DataFrame, ts: str, value: str, period: int, model: str = "additive", *,
-    series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (),
+    series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (), window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """(series, ts, pos, observed, trend, seasonal, resid) of every series with two full periods.
 
     ``tie_cols`` order rows of equal time. Series that are too short, or not positive under the
-    multiplicative model, are left out; ``season_strength`` reports why.
+    multiplicative model, are left out; ``season_strength`` reports why. Series longer than
+    ``window_rows`` are worked on in chunks.
     """
+    _check(period, model)
+    short = is_short(present(df, value), series_cols, window_rows)
+    rows = positions(df, ts, value, series_cols=series_cols, tie_cols=tie_cols, window_rows=UNLIMITED if short else 0)
+    return _decompose(rows, period, model, list(series_cols), short)
+
+
+def _check(period: int, model: str) -> None:
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
     if period < 1:
         raise ValueError("period must be positive")
-    series = list(series_cols)
-    rows = positions(df, ts, value, series_cols=series, tie_cols=tie_cols)
+
+
+def _decompose(rows: DataFrame, period: int, model: str, series: list[str], short: bool) -> DataFrame:
     if model == "multiplicative":
         lowest = rows.groupBy(*series).agg(F.min("value").alias("_lowest"))
         rows = join_sized(rows, lowest, series, "inner").where(F.col("_lowest") > 0).drop("_lowest")
     rows = rows.where(F.col("_n") >= 2 * period)
-    averaged = settle(moving_average(rows, period, series_cols=series), "averaged")
+    averaged = settle(moving_average(rows, period, series_cols=series, blocks=not short), "averaged")
     if period >= 2:
         half = period // 2
         x = F.col("pos") - half
@@ -159,19 +175,21 @@ def strengths(parts: DataFrame, *, series_cols: Sequence[str] = ()) -> DataFrame
 
 def season_strength(
     df: DataFrame, ts: str, value: str, period: int, model: str = "additive", *,
-    series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (),
+    series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (), window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """One row per series: n, status and the two strengths (null unless the status is ``ok``)."""
+    _check(period, model)
     series = list(series_cols)
-    facts = present(df, value).groupBy(*series).agg(
-        F.count(F.lit(1)).alias("n"), F.min(number(value)).alias("_lowest")
+    facts = settle(
+        present(df, value).groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.min(number(value)).alias("_lowest")), "facts"
     )
+    short = window_rows > 0 and (facts.agg(F.max("n")).first()[0] or 0) <= window_rows
+    rows = positions(df, ts, value, series_cols=series, tie_cols=tie_cols, window_rows=UNLIMITED if short else 0)
     status = F.when(F.col("n") < 2 * period, F.format_string(f"need at least {2 * period} rows, found %d", "n"))
     if model == "multiplicative":
         status = status.when(F.col("_lowest") <= 0, F.lit("multiplicative model needs positive values"))
     facts = facts.select(*series, "n", status.otherwise(F.lit("ok")).alias("status"))
-    parts = decompose(df, ts, value, period, model, series_cols=series, tie_cols=tie_cols)
-    found = strengths(parts, series_cols=series).drop("n")
+    found = strengths(_decompose(rows, period, model, series, short), series_cols=series).drop("n")
     if not series:
         return facts.join(F.broadcast(found), how="left", on=F.lit(True))
     return facts.join(found, series, "left")
@@ -217,12 +235,14 @@ def infer_period(df: DataFrame, ts: str, *, series_cols: Sequence[str] = ()) ->
          & (F.max(month_no) - F.min(month_no) + 1 == F.count(F.lit(1)))).alias("_month"),
     )
     # weekly series may step by several weeks: every stamp must then sit on that longer step
-    on_gap = join_sized(
-        distinct, facts.where("_week and _d > 1").select(*series, "_gap", "_from"), series, "inner"
-    ).groupBy(*series).agg(
-        F.bool_and((F.col("_gap") == F.floor("_gap")) & (F.pmod(day - F.col("_from"), F.col("_gap") * 7) == 0)).alias("_weeks")
-    )
-    facts = facts.join(on_gap, series, "left") if series else facts.join(F.broadcast(on_gap), how="left", on=F.lit(True))
+    facts = settle(facts, "steps")
+    weekly = facts.where("_week and _d > 1 and not (_hour or _day or _business)").select(*series, "_gap", "_from")
+    if weekly.isEmpty():
+        facts = facts.withColumn("_weeks", F.lit(False))
+    else:
+        on_step = (F.col("_gap") == F.floor("_gap")) & (F.pmod(day - F.col("_from"), F.col("_gap") * 7) == 0)
+        steady = join_sized(distinct, weekly, series, "inner").groupBy(*series).agg(F.bool_and(on_step).alias("_weeks"))
+        facts = facts.join(steady, series, "left") if series else facts.join(F.broadcast(steady), how="left", on=F.lit(True))
     usable = (F.col("n") == F.col("_d")) & (F.col("n") >= 3)
     frequency = (
         F.when(~usable, F.lit(None))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plantlake.functions.ids import ids_in_text, link_kind
-from plantlake.joins import join_hot
+from plantlake.joins import hot_keys, join_hot
 from plantlake.session import settle
 
 
@@ -48,9 +48,9 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFram
         raise ValueError("hops must be 0 to 3")
     both = settle(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     reached = settle(seeds.select("node").distinct().withColumn("distance", F.lit(0)), "reached")
-    frontier = reached
+    frontier, heavy = reached, (hot_keys(both, ["src"]),)
     for hop in range(1, hops + 1):
-        stepped = join_hot(both, frontier.select(F.col("node").alias("src")), ["src"], "inner")
+        stepped = join_hot(both, frontier.select(F.col("node").alias("src")), ["src"], "inner", measured=heavy)
         fresh = stepped.select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
         frontier = settle(fresh.withColumn("distance", F.lit(hop)), "frontier")
         reached = reached.unionByName(frontier)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlake.joins import join_hot, join_sized, left_join_key
-from plantlake.ordered import last_before
+from plantlake.ordered import WINDOW_ROWS, last_before
 from plantlake.session import settle
 
 # fixed values: lags of the attribution rules
@@ -65,7 +65,7 @@ def propagate_resolution(alarms: DataFrame, work_orders: DataFrame) -> DataFrame
 
 
 def attribute_downtime(
-    alarms: DataFrame, downtime: DataFrame, lag_minutes: tuple[int, int] = DOWNTIME_LAG_MINUTES
+    alarms: DataFrame, downtime: DataFrame, lag_minutes: tuple[int, int] = DOWNTIME_LAG_MINUTES, window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """(EquipmentTag, DowntimeID, AlarmID, lag_minutes): the nearest alarm within the lag on the same equipment.
 
@@ -75,7 +75,7 @@ def attribute_downtime(
     shifted = downtime.withColumn("_latest", F.col("StartTime") - F.expr(f"interval {low} minutes"))
     found = last_before(
         alarms.withColumnRenamed("Timestamp", "_alarm_time"), shifted, ["EquipmentTag"],
-        "_alarm_time", "_latest", "AlarmID", "DowntimeID",
+        "_alarm_time", "_latest", "AlarmID", "DowntimeID", window_rows,
     )
     lag = (F.unix_micros(F.col("_latest").cast("timestamp")) - F.unix_micros(F.col("_alarm_time").cast("timestamp"))) / 60e6 + low
     return found.withColumn("lag_minutes", lag).where(F.col("lag_minutes") <= high).select(

@@ -82,7 +82,7 @@ def iforest_steps(
 
     The path length summed over all trees at x is ``base`` plus the jumps of all steps at points < x.
     A tree's sample is the rows with the smallest hashes, so it depends on the rows alone and not on
-    how they are partitioned. Rows are thinned by one hash before any shuffle.
+    how they are partitioned. Rows are thinned by hash before any shuffle.
     """
     series = list(series_cols)
     rows = present(df, value)
@@ -92,15 +92,13 @@ def iforest_steps(
     keyed = join_sized(rows.select(*series, *row_id, number(value).alias("_v")), counts, series, "inner")
     first = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(thin))
     pooled = keyed.where(first < F.lit(thin) * F.least(F.lit(1.0), F.lit(float(pool)) / F.col("_n")))
-    # of the pool each tree considers about three times its sample, well above the spread of the count
+    # a row of the pool goes to enough trees to give each about four times its sample; a short series to all
     size = F.least(F.col("_n"), F.lit(pool))
-    odds = F.lit(thin) * F.least(F.lit(1.0), F.lit(3.0 * SAMPLE) / size)
-    chosen = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, *row_id), F.lit(thin)).alias("h"))),
-        lambda s: s["h"] < odds,
-    )
-    drawn = pooled.select(*series, *row_id, "_v", F.inline(chosen))
+    draws = F.sequence(F.lit(1), F.ceil(F.lit(float(pool)) / size).cast("int"))
+    some = F.array_distinct(F.transform(draws, lambda j: F.pmod(F.xxhash64(F.lit(seed), j, *row_id), F.lit(trees)).cast("int")))
+    into = F.when(F.col("_n") <= 4 * SAMPLE, F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(some)
+    chosen = F.explode(into).alias("tree")
+    drawn = pooled.select(*series, *row_id, "_v", chosen).withColumn("h", F.xxhash64(F.lit(seed), F.lit("rank"), "tree", *row_id))
     rank = W.partitionBy(*series, "tree").orderBy("h", *row_id)
     sampled = drawn.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= SAMPLE)
 

@@ -12,11 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plantlake.joins import join_sized
-from plantlake.ordered import running_total
+from plantlake.ordered import WINDOW_ROWS, running_total
 from plantlake.session import settle
 
-WINDOW_ROWS = 2_000_000
-
 
 def exact_quantiles(
     df: DataFrame, series: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
@@ -29,19 +27,19 @@ def exact_quantiles(
     series = list(series)
     rows = df.where(F.col(value).isNotNull()).select(*series, F.col(value).cast("double").alias("_v"))
     slack = 5.0 / accuracy
-    low = F.percentile_approx("_v", F.array(*[F.lit(max(0.0, p - slack)) for p in probs]), F.lit(accuracy))
-    high = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, p + slack)) for p in probs]), F.lit(accuracy))
+    m = len(probs)
+    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     sketch = rows.groupBy(*series).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        low.alias("_low"), high.alias("_high"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_edges"),
     )
     # a short series is its own band; so is the end of the range next to probability 0 or 1
     whole = F.col("_n") <= accuracy
     bands = sketch.select(
         *series, "_n",
-        *[F.when(whole | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_low")[i]).alias(f"_lo{i}")
+        *[F.when(whole | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_edges")[i]).alias(f"_lo{i}")
           for i, p in enumerate(probs)],
-        *[F.when(whole | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_high")[i]).alias(f"_hi{i}")
+        *[F.when(whole | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_edges")[m + i]).alias(f"_hi{i}")
           for i, p in enumerate(probs)],
     )
     joined = join_sized(rows, bands, series, "inner")
@@ -51,7 +49,7 @@ def exact_quantiles(
         for i in range(len(probs))
     ])
     counted = (
-        joined.select(*series, "_n", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("_c"))
+        joined.select(*series, "_n", F.explode(cells).alias("_c")).where(F.col("_c").isNotNull())
         .groupBy(*series, "_n", F.col("_c._q").alias("_q"), F.col("_c._x").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_m"))
     )
@@ -80,7 +78,7 @@ def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], chunked
     ``_x`` null stands for all rows below the band.
     """
     if chunked:
-        ranked = running_total(counted, [*series, "_q"], ["_x"], F.col("_m"), "_cum")
+        ranked = running_total(counted, [*series, "_q"], ["_x"], F.col("_m"), "_cum", window_rows=0)
     else:
         upto = W.partitionBy(*series, "_q").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
         ranked = counted.withColumn("_cum", F.sum("_m").over(upto))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlake.functions.text import clean_code_argument, clean_model_output, strip
-from plantlake.ordered import running_total
+from plantlake.ordered import WINDOW_ROWS, running_total
 
 PLOT_PATH = r"([^\s`'\"()]+\.html)"
 
@@ -16,7 +16,7 @@ MEDIA_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png",
 DEFAULT_MEDIA_TYPE = "image/png"
 
 
-def merge_pieces(df: DataFrame, conversation: Sequence[str], order: Sequence[str], text: str, is_piece: Column) -> DataFrame:
+def merge_pieces(df: DataFrame, conversation: Sequence[str], order: Sequence[str], text: str, is_piece: Column, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Runs of consecutive text pieces become one message; every other row ends a run and stays itself.
 
     Returns (conversation, first position, n_pieces, is_piece, text) with the pieces put together in order.
@@ -24,7 +24,7 @@ def merge_pieces(df: DataFrame, conversation: Sequence[str], order: Sequence[str
     conversation, order = list(conversation), list(order)
     rows = df.select(*conversation, *order, F.col(text).alias("text"), F.coalesce(is_piece, F.lit(False)).alias("is_piece"))
     breaks = F.when(F.col("is_piece"), 0).otherwise(1)
-    numbered = running_total(rows, conversation, order, breaks, "_run")
+    numbered = running_total(rows, conversation, order, breaks, "_run", window_rows)
     place = F.struct(*order)
     merged = numbered.groupBy(*conversation, "_run", "is_piece").agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("n_pieces"),

@@ -1,9 +1,9 @@
 """Ordered work over series of any length.
 
-A window over one whole series is one task. Here the rows are range partitioned by (series, order),
-so that every chunk holds about the same number of rows however heavy a series is. Windows then run
-inside (series, chunk), and a small table with one row per (series, chunk) carries the state over
-the chunk borders.
+A window over one whole series is one task. While the longest series is short that is the best plan: one
+shuffle by series. Beyond a measured length the rows are range partitioned by (series, order), so
+that every chunk holds about the same number of rows however heavy a series is. Windows then run inside
+(series, chunk), and a small table with one row per (series, chunk) carries the state over the borders.
 """
 
 from __future__ import annotations
@@ -12,11 +12,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plantlake.joins import BROADCAST_BYTES, fits_broadcast
-from plantlake.session import settle
+from plantlake.joins import BROADCAST_BYTES
+from plantlake.session import settle, settle_sized
 
 CHUNK = "_chunk"
 ROW = "_row"
+# rows of one series that a single task may sort
+WINDOW_ROWS = 2_000_000
+# for a caller that has measured the length already
+UNLIMITED = 2**62
+
+
+def is_short(df: DataFrame, keys: Sequence[str], window_rows: int = WINDOW_ROWS) -> bool:
+    """True when no series has more than ``window_rows`` rows; one counting pass over the key columns."""
+    if window_rows <= 0 or window_rows >= UNLIMITED:
+        return window_rows > 0
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (longest or 0) <= window_rows
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> DataFrame:
@@ -42,16 +54,22 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chu
 def join_chunks(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach one carry row per (keys, chunk); a (keys, chunk) group is bounded by the chunk size."""
     on = [*keys, CHUNK]
-    carry = settle(carry, "carry")
-    right = F.broadcast(carry) if fits_broadcast(carry, BROADCAST_BYTES) else carry
+    carry, size = settle_sized(carry, "carry")
+    right = F.broadcast(carry) if size <= BROADCAST_BYTES else carry
     return df.join(right, on, "left")
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", total: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", total: str | None = None,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """0-based position of each row in its series, and optionally the series' row count."""
     keys = list(keys)
+    if is_short(df, keys, window_rows):
+        rows = df.dropna(subset=keys) if keys else df
+        series = W.partitionBy(*keys)
+        numbered = rows.withColumn(pos, (F.row_number().over(series.orderBy(*order)) - 1).cast("long"))
+        return numbered.withColumn(total, F.count(F.lit(1)).over(series)) if total else numbered
     chunks = ordered_chunks(df, keys, order)
     per = chunks.groupBy(*keys, CHUNK).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
@@ -66,10 +84,13 @@ def with_position(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, name: str, window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` along each series."""
     keys = list(keys)
+    if is_short(df, keys, window_rows):
+        rows = df.dropna(subset=keys) if keys else df
+        return rows.withColumn(name, F.sum(weight).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     chunks = ordered_chunks(df.withColumn("_w", weight), keys, order)
     per = chunks.groupBy(*keys, CHUNK).agg(F.sum("_w").alias("_s"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
@@ -85,7 +106,7 @@ def running_total(
 
 def last_before(
     causes: DataFrame, effects: DataFrame, keys: Sequence[str], cause_time: str, effect_time: str,
-    cause_id: str, effect_id: str,
+    cause_id: str, effect_id: str, window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """For each effect the latest cause of the same keys with ``cause_time <= effect_time``.
 
@@ -102,18 +123,24 @@ def last_before(
             F.lit(None).cast(causes.schema[cause_id].dataType).alias("_cid"), F.col(effect_id).alias("_eid"),
         )
     )
-    chunks = ordered_chunks(rows.where(F.col("_t").isNotNull()), keys, ["_t", "_kind", "_cid", "_eid"])
+    rows = rows.where(F.col("_t").isNotNull()).dropna(subset=keys)
+    order = ["_t", "_kind", "_cid", "_eid"]
     cause = F.when(F.col("_kind") == 0, F.struct(F.col("_t").alias("t"), F.col("_cid").alias("id")))
+
+    def shape(found: DataFrame, best: Column) -> DataFrame:
+        return found.select(
+            *keys, F.col("_eid").alias(effect_id), F.col("_t").alias(effect_time),
+            best["id"].alias(cause_id), best["t"].alias(cause_time),
+        )
+
+    if is_short(rows, keys, window_rows):
+        upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        latest = rows.withColumn("_best", F.last(cause, ignorenulls=True).over(upto))
+        return shape(latest.where(F.col("_kind") == 1), F.col("_best"))
+    chunks = ordered_chunks(rows, keys, order)
     per = chunks.groupBy(*keys, CHUNK).agg(F.max(cause).alias("_last"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = per.select(*keys, CHUNK, F.max("_last").over(before).alias("_carry"))
     local = W.partitionBy(*keys, CHUNK).orderBy(ROW).rowsBetween(W.unboundedPreceding, 0)
     found = chunks.withColumn("_local", F.last(cause, ignorenulls=True).over(local)).where(F.col("_kind") == 1)
-    best = F.coalesce("_local", "_carry")
-    return join_chunks(found, carry, keys).select(
-        *keys,
-        F.col("_eid").alias(effect_id),
-        F.col("_t").alias(effect_time),
-        best["id"].alias(cause_id),
-        best["t"].alias(cause_time),
-    )
+    return shape(join_chunks(found, carry, keys), F.coalesce("_local", "_carry"))

@@ -13,7 +13,8 @@ from plantlake.functions.units import convert, general_information, phrase_parts
 from plantlake.operators.answers import answer_questions
 from plantlake.operators.neighbours import cell_top_k, exact_top_k, hashed_top_k
 from plantlake.operators.trace import classify_steps, merge_pieces
-from plantlake.plans.views import PLANT_EVENTS_SQL, plant_events, rounded, stamp, table, with_sql
+from plantlake.ordered import WINDOW_ROWS
+from plantlake.plans.views import PLANT_EVENTS_SQL, busy_table, plant_events, rounded, stamp, table, with_sql
 from plantlake.session import scratch_path
 from plantlake.sources.collection import Collection, flatten_metadata
 from plantlake.sources.corpus import document_chunks, image_chunks, processing_log, route, scan_files, skipped_log, unseen
@@ -24,22 +25,22 @@ BUDGET = 120
 
 
 def doc_clean_markup(spark, folder):
-    return table(spark, folder, "pages").select("page_id", clean_markup(F.col("html")).alias("text"))
+    return busy_table(spark, folder, "pages", "page_id", "html").select("page_id", clean_markup(F.col("html")).alias("text"))
 
 
 def doc_windows(spark, folder):
-    out = window_chunks(table(spark, folder, "documents"), "doc_id", "text", 800, 100)
+    out = window_chunks(busy_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", 800, 100)
     return out.select("doc_id", "chunk_no", "text", "n_tokens")
 
 
 def doc_windows_plain(spark, folder):
-    out = window_chunks(table(spark, folder, "documents"), "doc_id", "text")
+    out = window_chunks(busy_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "chunk_no", F.md5("text").alias("digest"), "n_tokens")
 
 
 def doc_heading_chunks(spark, folder):
     """Documents under two headings, language and source."""
-    docs = table(spark, folder, "documents").withColumn("text", F.concat(F.lit("# "), "lang", F.lit("\n## "), "source", F.lit("\n"), "text"))
+    docs = busy_table(spark, folder, "documents", "doc_id", "lang", "source", "text").withColumn("text", F.concat(F.lit("# "), "lang", F.lit("\n## "), "source", F.lit("\n"), "text"))
     out = heading_chunks(docs, "doc_id", "text", BUDGET)
     return out.select("doc_id", "chunk_no", "text", "n_tokens", F.array_join("headings", " > ").alias("headings"))
 
@@ -66,7 +67,7 @@ def doc_ingest_log(spark, folder):
 
 
 def doc_stamps(spark, folder):
-    docs = table(spark, folder, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = busy_table(spark, folder, "documents", "doc_id", "source", "text").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     out = stamp_chunks(window_chunks(docs, "path", "text", 200), "path", "document", INGESTED)
     return out.select("chunk_id", "source", "type", "chunk_no", "n_tokens", stamp("ingested_at").alias("ingested_at"))
 
@@ -93,7 +94,7 @@ def doc_scan_files(spark, folder):
 
 def doc_collection(spark, folder):
     """Chunks stored with their vectors, the same files added twice, counted per file."""
-    docs = table(spark, folder, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = busy_table(spark, folder, "documents", "doc_id", "source", "text").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     store = Collection(spark, scratch_path(spark, "collection"), hashing_embedder(64))
     for _ in range(2):
         store.add(stamp_chunks(window_chunks(docs, "path", "text"), "path", "document", INGESTED))
@@ -189,10 +190,13 @@ def doc_paths(spark, folder):
     return p.select("page_id", basename(F.col("path")).alias("file"), extension(F.col("path")).alias("ext"), file_kind(F.col("path")).alias("kind"))
 
 
-def doc_merge_pieces(spark, folder):
-    c = table(spark, folder, "conversations")
-    out = merge_pieces(c, ["conv_id"], ["turn"], "text", F.col("role") != "system")
-    return out.select("conv_id", "turn", "n_pieces", "is_piece", F.md5("text").alias("digest"))
+def _merged(window_rows: int):
+    def run(spark, folder):
+        c = table(spark, folder, "conversations")
+        out = merge_pieces(c, ["conv_id"], ["turn"], "text", F.col("role") != "system", window_rows)
+        return out.select("conv_id", "turn", "n_pieces", "is_piece", F.md5("text").alias("digest"))
+
+    return run
 
 
 def _questions(spark, folder) -> DataFrame:
@@ -200,7 +204,7 @@ def _questions(spark, folder) -> DataFrame:
 
 
 def _vectors(spark, folder) -> DataFrame:
-    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return busy_table(spark, folder, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def _shown(ranked: DataFrame) -> DataFrame:
@@ -233,7 +237,7 @@ def doc_top_k_all_cells(spark, folder):
 
 def doc_embed(spark, folder):
     """Hashed vectors of whole documents: their length and how many words they stand for."""
-    out = embed_column(table(spark, folder, "documents"), "text", hashing_embedder(64))
+    out = embed_column(busy_table(spark, folder, "documents", "doc_id", "text"), "text", hashing_embedder(64))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return out.select("doc_id", F.size("embedding").alias("width"), F.round(square, 4).alias("square"))
 
@@ -254,7 +258,7 @@ def doc_answers(spark, folder):
 
 def doc_answers_text(spark, folder):
     """Benchmark passages ask the chunks of all documents, both embedded by the default function."""
-    docs = table(spark, folder, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = busy_table(spark, folder, "documents", "doc_id", "source", "text").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
     chunks = stamp_chunks(window_chunks(docs, "path", "text", 200), "path", "document", INGESTED)
     questions = table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
     out = answer_questions(questions, chunks, metric="cosine")
@@ -262,11 +266,13 @@ def doc_answers_text(spark, folder):
 
 
 QUERIES = {
+    "doc_merge_pieces": _merged(WINDOW_ROWS),
+    "doc_merge_pieces_chunked": _merged(0),
     **{f"doc_top_k_{m}": _exact(m) for m in ["l2", "cosine", "dot"]},
     **{f.__name__: f for f in [
         doc_clean_markup, doc_windows, doc_windows_plain, doc_heading_chunks, doc_ingest_log, doc_stamps, doc_ingest_counts, doc_non_empty,
         doc_scan_files, doc_collection, doc_stream, doc_metadata, doc_images, doc_unit_phrases, doc_context_labels, doc_general_information,
-        doc_converted_readings, doc_previews, doc_think_markers, doc_trace_clean, doc_steps, doc_paths, doc_merge_pieces, doc_top_k_blocks,
+        doc_converted_readings, doc_previews, doc_think_markers, doc_trace_clean, doc_steps, doc_paths, doc_top_k_blocks,
         doc_top_k_hashed, doc_top_k_cells, doc_top_k_all_cells, doc_embed, doc_answers, doc_answers_text,
     ]},
 }
@@ -373,6 +379,8 @@ WHEN turn > 0 THEN 'tool_result_plot' ELSE 'tool_result' END AS message_type, CA
 WHERE trim(text) <> '' OR (role = 'user' AND turn > 0)) GROUP BY 1, 2""",
     "doc_paths": "SELECT page_id, 'Report.v2.PNG' AS file, '.png' AS ext, 'Img' AS kind FROM pages",
     "doc_merge_pieces": """WITH b AS (SELECT *, role <> 'system' AS p, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
+SELECT conv_id, min(turn) AS turn, count(*) AS n_pieces, p AS is_piece, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM b GROUP BY conv_id, run, p""",
+    "doc_merge_pieces_chunked": """WITH b AS (SELECT *, role <> 'system' AS p, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
 SELECT conv_id, min(turn) AS turn, count(*) AS n_pieces, p AS is_piece, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM b GROUP BY conv_id, run, p""",
     "doc_embed": """SELECT doc_id, 64 AS width, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square FROM documents""",
     "doc_answers": with_sql("docs AS (SELECT vec_id, embedding FROM embeddings SEMI JOIN documents ON vec_id = doc_id)", _top_sql(_L2, "docs")) + """, s AS (SELECT k.*, text,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from plantlake.functions.calendar import date_range_end, date_range_start
 from plantlake.functions.ids import entity_kind, ids_in_text, of_plant, prefix, short_id, tag_parts
 from plantlake.operators import causes, graph, links, quality, report
+from plantlake.ordered import WINDOW_ROWS
 from plantlake.plans.views import (
     BATCHES_SQL, EVENT_VIEWS_SQL, LAB_SQL, PLANT_EVENTS_SQL, alarms, batches, downtime, incidents,
     inventory, lab, plant_events, rounded, stamp, table, with_sql, work_orders,
@@ -60,9 +61,12 @@ def ev_dangling(spark, folder):
     return out.select("DowntimeID", "TriggeringAlarmID")
 
 
-def ev_attribute_downtime(spark, folder):
-    out = links.attribute_downtime(alarms(spark, folder), downtime(spark, folder))
-    return out.select("EquipmentTag", "DowntimeID", "AlarmID", rounded("lag_minutes").alias("lag_minutes"))
+def _attributed(window_rows: int):
+    def run(spark, folder):
+        out = links.attribute_downtime(alarms(spark, folder), downtime(spark, folder), window_rows=window_rows)
+        return out.select("EquipmentTag", "DowntimeID", "AlarmID", rounded("lag_minutes").alias("lag_minutes"))
+
+    return run
 
 
 def ev_attribute_work_orders(spark, folder):
@@ -221,9 +225,13 @@ def ev_inventory_roundtrip(spark, folder):
                        F.date_format(date_range_start(F.col("date_range")), "yyyy-MM-dd").alias("first"), F.date_format(date_range_end(F.col("date_range")), "yyyy-MM-dd").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in [
+QUERIES = {
+    "ev_attribute_downtime": _attributed(WINDOW_ROWS),
+    # in chunks, as for equipment with too many events for one task
+    "ev_attribute_downtime_chunked": _attributed(0),
+} | {f.__name__: f for f in [
     ev_needs_downtime, ev_triggers_maintenance, ev_of_plant, ev_downtime_with_alarm, ev_work_order_causes, ev_resolution, ev_unlinked,
-    ev_dangling, ev_attribute_downtime, ev_attribute_work_orders, ev_same_day_downtime, ev_event_chain, ev_trigger_lookup,
+    ev_dangling, ev_attribute_work_orders, ev_same_day_downtime, ev_event_chain, ev_trigger_lookup,
     ev_cause_candidates, ev_report_kpis, ev_report_alloys, ev_report_downtime, ev_report_work_orders, ev_distinct_links, ev_lab_batches,
     ev_quality, ev_iron_closure, ev_emissions, ev_incident_rollup, ev_file_edges, ev_degrees, ev_neighbourhood, ev_text_ids, ev_first_ids,
     ev_tag_parts, ev_alarm_records, ev_inventory_roundtrip,
@@ -271,6 +279,7 @@ LEFT JOIN (SELECT TriggeringAlarmID AS a, min(MWO_ID) AS m FROM work_orders WHER
 UNION ALL SELECT MWO_ID, 'work order' FROM work_orders WHERE TriggeringAlarmID IS NULL AND RelatedDowntimeID IS NULL""",
     "ev_dangling": V + "SELECT DowntimeID, TriggeringAlarmID FROM downtime WHERE TriggeringAlarmID IS NOT NULL AND TriggeringAlarmID NOT IN (SELECT AlarmID FROM alarms)",
     "ev_attribute_downtime": V + ", " + _ATTRIBUTED.format(downtime="downtime") + " SELECT EquipmentTag, DowntimeID, AlarmID, round(3e-9 + lag, 4) + 0.0 AS lag_minutes FROM att",
+    "ev_attribute_downtime_chunked": V + ", " + _ATTRIBUTED.format(downtime="downtime") + " SELECT EquipmentTag, DowntimeID, AlarmID, round(3e-9 + lag, 4) + 0.0 AS lag_minutes FROM att",
     "ev_attribute_work_orders": V + """SELECT EquipmentTag, MWO_ID, AlarmID, lag_days FROM (
 SELECT m.EquipmentTag, MWO_ID, a.AlarmID, date_diff('day', CAST(a.Timestamp AS DATE), m.Date) AS lag_days,
 row_number() OVER (PARTITION BY MWO_ID ORDER BY CAST(a.Timestamp AS DATE) DESC, a.AlarmID DESC) AS r FROM work_orders m JOIN alarms a

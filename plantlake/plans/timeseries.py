@@ -12,7 +12,8 @@ from plantlake.operators.decompose import (
 from plantlake.operators.describe import describe, describe_labels, histogram, overview, summarize
 from plantlake.operators.outliers import iforest_outliers, outlier_share, zscore_outliers
 from plantlake.operators.resample import resample_mean
-from plantlake.plans.views import pick, pick_sql, rounded, stamp, table
+from plantlake.ordered import WINDOW_ROWS
+from plantlake.plans.views import busy_table, pick, pick_sql, rounded, stamp, table
 from plantlake.session import scratch_path
 from plantlake.sources.timeseries import (
     file_name, load_timeseries, long_to_wide, read_sensor_files, tag_dimension, wide_to_long, write_dataset, write_json,
@@ -69,7 +70,7 @@ def ts_overview(spark, folder):
 
 
 def ts_describe(spark, folder):
-    out = describe(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], series_cols=["l_returnflag"])
+    out = describe(busy_table(spark, folder, "lineitem", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], series_cols=["l_returnflag"])
     return out.select("l_returnflag", "column", "count", *[rounded(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
@@ -141,8 +142,15 @@ def ts_correlation_wide(spark, folder):
     return correlation_pairs(wide, tags).select("a", "b", "n", rounded("r", 6).alias("r"))
 
 
-def ts_positions(spark, folder):
-    out = positions(table(spark, folder, "events"), "ts", "value", series_cols=TYPE, tie_cols=["event_id"])
+def _positions(window_rows: int):
+    def run(spark, folder):
+        out = positions(table(spark, folder, "events"), "ts", "value", series_cols=TYPE, tie_cols=["event_id"], window_rows=window_rows)
+        return _position_blocks(out)
+
+    return run
+
+
+def _position_blocks(out):
     return out.groupBy("event_type", F.floor(F.col("pos") / 100).alias("block")).agg(
         F.count(F.lit(1)).alias("n"), rounded(F.sum(F.col("pos") * F.col("value")), 2).alias("moment"), F.max("_n").alias("series_rows")
     )
@@ -174,8 +182,14 @@ def ts_phase_means(spark, folder):
     return out.select("event_type", F.posexplode("_season").alias("phase", "_s")).select("event_type", "phase", rounded("_s").alias("seasonal"))
 
 
-def ts_decompose(spark, folder):
-    out = decompose(hourly(spark, folder), "ts", "value", PERIOD, series_cols=TYPE)
+def _decomposed(window_rows: int):
+    def run(spark, folder):
+        return _parts(decompose(hourly(spark, folder), "ts", "value", PERIOD, series_cols=TYPE, window_rows=window_rows))
+
+    return run
+
+
+def _parts(out):
     return out.select("event_type", stamp("ts").alias("hour"), *[rounded(c).alias(c) for c in ["observed", "trend", "seasonal", "resid"]])
 
 
@@ -224,12 +238,12 @@ def ts_outlier_share(spark, folder):
 
 def ts_iforest(spark, folder):
     """Every reading with its isolation score and flag within its event type."""
-    out = iforest_outliers(table(spark, folder, "events"), "value", ["event_id"], series_cols=TYPE)
+    out = iforest_outliers(busy_table(spark, folder, "events", "event_type", "event_id", "value"), "value", ["event_id"], series_cols=TYPE)
     return out.select("event_type", "event_id", "value", "score", "is_outlier")
 
 
 def ts_iforest_share(spark, folder):
-    out = iforest_outliers(table(spark, folder, "events"), "value", ["event_id"], series_cols=TYPE)
+    out = iforest_outliers(busy_table(spark, folder, "events", "event_type", "event_id", "value"), "value", ["event_id"], series_cols=TYPE)
     return outlier_share(out, series_cols=TYPE)
 
 
@@ -297,6 +311,11 @@ def ts_outlier_chart(spark, folder):
 
 
 QUERIES = {
+    "ts_positions": _positions(WINDOW_ROWS),
+    # in chunks, as for series too long for one task
+    "ts_positions_chunked": _positions(0),
+    "ts_decompose": _decomposed(WINDOW_ROWS),
+    "ts_decompose_chunked": _decomposed(0),
     "ts_resample_hour": _resampled("h", "events", "ts", "value", TYPE),
     "ts_resample_15min": _resampled("15min", "events", "ts", "value", TYPE),
     "ts_resample_7h": _resampled("7h", "events", "ts", "value", TYPE),
@@ -308,8 +327,8 @@ QUERIES = {
     "ts_resample_year": _resampled("Y", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     **{f.__name__: f for f in [
         ts_overview, ts_describe, ts_describe_labels, ts_histogram, ts_slice, ts_numeric_columns, ts_present, ts_correlation,
-        ts_correlation_matrix, ts_strong_pairs, ts_correlation_wide, ts_positions, ts_moving_average, ts_moving_average_odd,
-        ts_end_lines, ts_phase_means, ts_decompose, ts_decompose_multiplicative, ts_season_strength, ts_season_strength_users,
+        ts_correlation_matrix, ts_strong_pairs, ts_correlation_wide, ts_moving_average, ts_moving_average_odd,
+        ts_end_lines, ts_phase_means, ts_decompose_multiplicative, ts_season_strength, ts_season_strength_users,
         ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_wide_to_long, ts_csv_load, ts_sensor_files,
         ts_dataset_roundtrip, ts_summary_json, ts_outlier_chart,
     ]},
@@ -416,6 +435,8 @@ r AS (SELECT p.tag AS a, q.tag AS b, count(*) AS n, corr(p.v, q.v) AS r FROM x p
 SELECT n1.tag AS a, n2.tag AS b, coalesce(n, 0) AS n, CASE WHEN isfinite(r) THEN round(3e-9 + r, 6) + 0.0 END AS r
 FROM names n1 JOIN names n2 ON n1.no < n2.no LEFT JOIN r ON r.a = n1.tag AND r.b = n2.tag""",
     "ts_positions": _chain(_positions_sql("events", "ts, event_id")) + """SELECT event_type, CAST(floor(pos / 100) AS BIGINT) AS block, count(*) AS n,
+round(3e-9 + sum(pos * value), 2) + 0.0 AS moment, max(n) AS series_rows FROM p GROUP BY 1, 2""",
+    "ts_positions_chunked": _chain(_positions_sql("events", "ts, event_id")) + """SELECT event_type, CAST(floor(pos / 100) AS BIGINT) AS block, count(*) AS n,
 round(3e-9 + sum(pos * value), 2) + 0.0 AS moment, max(n) AS series_rows FROM p GROUP BY 1, 2""",
     "ts_moving_average": _chain(*_PARTS[:3]) + "SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS hour, pos, round(3e-9 + t0, 4) + 0.0 AS average FROM m",
     "ts_moving_average_odd": _chain("h AS (SELECT event_type, ts, event_id, value AS v FROM events)", _positions_sql("h", "ts, event_id"), _average_sql(7))
@@ -443,6 +464,7 @@ SELECT 'events 15min', CAST(floor(epoch(b) / 900) - floor(epoch(a) / 900) AS BIG
 SELECT 'orders W', wb - wa + 1, 'week', 52 FROM o UNION ALL
 SELECT 'orders 2W', CAST(ceil((wb - wa) / 2) AS BIGINT) + 1, 'week', 26 FROM o UNION ALL
 SELECT 'orders M', mb - ma + 1, 'month', 12 FROM o UNION ALL SELECT 'orders MS', mb - ma + 1, 'month', 12 FROM o""",
+    "ts_decompose_chunked": _chain(*_PARTS, *_decompose_sql(PERIOD)) + _ROWS,
     "ts_zscore": """SELECT event_id, round(3e-9 + (value - m) / s, 4) + 0.0 AS z, abs((value - m) / s) > 3 AS is_outlier
 FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1) USING (event_type)""",
     "ts_outlier_share": """SELECT user_id, count(*) AS n, count(*) FILTER (abs((value - m) / s) > 2) AS n_outliers,

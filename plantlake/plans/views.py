@@ -7,11 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plantlake.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def busy_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table for work that is heavy per row: spread over all cores when it comes in one piece."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def stamp(c: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 def get_session(app: str = "plantlake", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -45,6 +45,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table read in fewer pieces than there are cores to all of them; larger tables stay as they are.
+
+    For plain scans ahead of work that is heavy per row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -55,3 +64,27 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_sized(df: DataFrame, label: str = "settled") -> tuple[DataFrame, int]:
+    """``settle``, and the size of the rows as measured while they were written."""
+    seen = Observation()
+    kept = settle(df.observe(seen, F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")), label)
+    return kept, seen.get["bytes"]
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row: eight bytes per plain value, the real length of everything else."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        name, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            width = F.octet_length(name)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            width = F.size(name) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            width = F.octet_length(F.to_json(F.struct(name)))
+        else:
+            width = F.lit(8)
+        total = total + F.coalesce(width, F.lit(0))
+    return total.cast("long")

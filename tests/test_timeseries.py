@@ -15,7 +15,7 @@ from plantlake.operators.describe import describe, describe_labels, histogram, o
 from plantlake.operators.outliers import grow_tree, iforest_outliers, mean_depth, outlier_share, zscore_outliers
 from plantlake.operators.quantiles import exact_quantiles
 from plantlake.operators.resample import resample_mean
-from plantlake.ordered import last_before, running_total, with_position
+from plantlake.ordered import last_before, ordered_chunks, running_total, with_position
 
 
 @pytest.fixture(scope="module")
@@ -179,7 +179,9 @@ def test_decompose_like_numpy(spark, monkeypatch, period, n, model):
     rows = [("s", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(v)) for i, v in enumerate(x)]
     rows.insert(5, ("s", dt.datetime(2023, 1, 1), None))
     df = spark.createDataFrame(rows + [("short", dt.datetime(2024, 1, 1), 1.0)], "s string, ts timestamp, v double")
-    got = decompose(df, "ts", "v", period, model, series_cols=["s"]).toPandas().sort_values("pos")
+    whole = decompose(df, "ts", "v", period, model, series_cols=["s"]).toPandas().sort_values("pos")
+    got = decompose(df, "ts", "v", period, model, series_cols=["s"], window_rows=0).toPandas().sort_values("pos")
+    np.testing.assert_allclose(whole[["trend", "seasonal"]], got[["trend", "seasonal"]], rtol=1e-9)
     assert set(got.s) == {"s"} and len(got) == n
     for name, want in zip(["trend", "seasonal", "resid"], numpy_decompose(x, period, model)):
         np.testing.assert_allclose(got[name].to_numpy(), want, rtol=1e-8, atol=1e-9)
@@ -266,14 +268,16 @@ def test_iforest(spark):
 def test_positions_and_totals_with_a_heavy_series(spark):
     """One series holds most rows; chunks stay even and the numbering has no hole."""
     df = spark.range(5000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("s"), (F.hash("id") % 1000).alias("t"), "id")
-    got = with_position(df, ["s"], ["t", "id"], total="n").toPandas().sort_values(["s", "t", "id"])
-    want = got.groupby("s").cumcount()
-    assert (got.pos.to_numpy() == want.to_numpy()).all()
-    assert (got.n == got.groupby("s").id.transform("size")).all()
-    summed = running_total(df, ["s"], ["t", "id"], F.col("id") % 3, "total").toPandas().sort_values(["s", "t", "id"])
-    assert (summed.total == (summed.id % 3).groupby(summed.s).cumsum()).all()
-    bare = with_position(df.drop("s"), [], ["id"]).toPandas()
-    assert (bare.pos == bare.id).all()
+    for rows in [0, 10**6]:
+        got = with_position(df, ["s"], ["t", "id"], total="n", window_rows=rows).toPandas().sort_values(["s", "t", "id"])
+        assert (got.pos.to_numpy() == got.groupby("s").cumcount().to_numpy()).all()
+        assert (got.n == got.groupby("s").id.transform("size")).all()
+        summed = running_total(df, ["s"], ["t", "id"], F.col("id") % 3, "total", rows).toPandas().sort_values(["s", "t", "id"])
+        assert (summed.total == (summed.id % 3).groupby(summed.s).cumsum()).all()
+        bare = with_position(df.drop("s"), [], ["id"], window_rows=rows).toPandas()
+        assert (bare.pos == bare.id).all()
+    sizes = ordered_chunks(df, ["s"], ["t", "id"], 8).groupBy("_chunk").count().toPandas()["count"]
+    assert len(sizes) == 8 and sizes.max() < 2 * 5000 / 8
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -281,11 +285,10 @@ def test_positions_and_totals_with_a_heavy_series(spark):
 def test_last_before_like_brute_force(spark, rows):
     causes = [("k", t, f"c{i:02d}") for i, (is_cause, t) in enumerate(rows) if is_cause]
     effects = [("k", t, f"e{i:02d}") for i, (is_cause, t) in enumerate(rows) if not is_cause]
-    out = last_before(spark.createDataFrame(causes, "k string, ct int, c string"), spark.createDataFrame(effects, "k string, et int, e string"),
-                      ["k"], "ct", "et", "c", "e")
-    got = {r.e: r.c for r in out.collect()}
+    left, right = spark.createDataFrame(causes, "k string, ct int, c string"), spark.createDataFrame(effects, "k string, et int, e string")
     want = {e: max(((ct, c) for _, ct, c in causes if ct <= t), default=(None, None))[1] for _, t, e in effects}
-    assert got == want
+    for limit in [0, 10**6]:
+        assert {r.e: r.c for r in last_before(left, right, ["k"], "ct", "et", "c", "e", limit).collect()} == want
 
 
 def test_calendar_texts(spark):
