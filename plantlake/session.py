@@ -70,7 +70,8 @@ def settle_sized(df: DataFrame, label: str = "settled") -> tuple[DataFrame, int]
     """``settle``, and the size of the rows as measured while they were written."""
     seen = Observation()
     kept = settle(df.observe(seen, F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")), label)
-    return kept, seen.get["bytes"]
+    # an empty input may be planned away together with its measurement
+    return kept, (seen.get or {}).get("bytes") or 0
 
 
 def row_bytes(df: DataFrame) -> Column:
