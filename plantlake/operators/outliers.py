@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plantlake.functions.columns import number, present
-from plantlake.joins import BROADCAST_BYTES, fits_broadcast, join_sized
+from plantlake.joins import BROADCAST_BYTES, join_sized
 from plantlake.operators.quantiles import weighted_quantile
-from plantlake.session import settle
+from plantlake.session import settle, settle_sized
 
 SAMPLE = 256
 GROUP_ROWS = 250_000
@@ -50,81 +50,86 @@ def mean_depth(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, deep, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(values: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """One isolation tree over a single feature, as a step function.
+def grow_forest(samples: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Isolation trees over a single feature, one per row of ``samples`` (each row sorted), as one step function.
 
-    Returns the split points and the path length on each of the len(splits) + 1 intervals; a value
-    equal to a split point belongs to the interval on its left.
+    Returns points and jumps sorted by point: the path length at x, summed over the trees, is the sum of
+    the jumps at points below x. A tree starts with its leftmost path length at minus infinity. All
+    nodes of one depth are split at once.
     """
-    limit = math.ceil(math.log2(max(len(values), 2)))
-    values = np.sort(values)
-    splits: list[float] = []
-    paths: list[float] = []
-
-    def grow(lo: int, hi: int, depth: int) -> None:
-        if depth >= limit or hi - lo <= 1 or values[lo] == values[hi - 1]:
-            paths.append(depth + float(mean_depth(hi - lo)))
-            return
-        at = rng.uniform(values[lo], values[hi - 1])
-        cut = lo + int(np.searchsorted(values[lo:hi], at, side="right"))
-        grow(lo, cut, depth + 1)
-        splits.append(at)
-        grow(cut, hi, depth + 1)
-
-    grow(0, len(values), 0)
-    return np.array(splits), np.array(paths)
+    trees, size = samples.shape
+    flat = samples.ravel()
+    limit = math.ceil(math.log2(max(size, 2)))
+    lo = np.arange(trees) * size
+    hi = lo + size
+    starts, paths = [], []
+    border = np.full(len(flat), -np.inf)
+    for depth in range(limit + 1):
+        open_ = (flat[lo] < flat[hi - 1]) & (depth < limit)
+        starts.append(lo[~open_])
+        paths.append(depth + mean_depth(hi - lo)[~open_])
+        lo, hi = lo[open_], hi[open_]
+        if not len(lo):
+            break
+        at = rng.uniform(flat[lo], flat[hi - 1])
+        width = hi - lo
+        node = np.repeat(np.arange(len(lo)), width)
+        inside = np.arange(len(node)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo, width)
+        cut = lo + np.bincount(node, weights=flat[inside] <= at[node], minlength=len(lo)).astype(int)
+        border[cut] = at
+        lo, hi = np.concatenate([lo, cut]), np.concatenate([cut, hi])
+    first, path = np.concatenate(starts), np.concatenate(paths)
+    order = np.argsort(first)
+    first, path = first[order], path[order]
+    jump = np.diff(path, prepend=0.0)
+    begins = first % size == 0
+    jump[begins] = path[begins]
+    point = border[first]
+    point[begins] = -np.inf
+    by_point = np.argsort(point, kind="stable")
+    return point[by_point], jump[by_point]
 
 
 def iforest_steps(
     df: DataFrame, value: str, row_id: Sequence[str], trees: int = 100, seed: int = 42, *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Trees of each series as steps: (series, at, jump, base, sample).
+    """The forest of each series as one row: (series, points, totals, sample).
 
-    The path length summed over all trees at x is ``base`` plus the jumps of all steps at points < x.
-    A tree's sample is the rows with the smallest hashes, so it depends on the rows alone and not on
-    how they are partitioned. Rows are thinned by hash before any shuffle.
+    ``totals`` is the path length summed over all trees to the right of each point. A series sends at most
+    about four times what all its samples need, chosen by hash; the samples depend on those rows alone and
+    not on how they are partitioned.
     """
     series = list(series_cols)
     rows = present(df, value)
     counts = rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
-    pool = 4 * SAMPLE * trees
-    thin = 2**31
+    pool, thin = 4 * SAMPLE * trees, 2**31
     keyed = join_sized(rows.select(*series, *row_id, number(value).alias("_v")), counts, series, "inner")
-    first = F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(thin))
-    pooled = keyed.where(first < F.lit(thin) * F.least(F.lit(1.0), F.lit(float(pool)) / F.col("_n")))
-    # a row of the pool goes to enough trees to give each about four times its sample; a short series to all
-    size = F.least(F.col("_n"), F.lit(pool))
-    draws = F.sequence(F.lit(1), F.ceil(F.lit(float(pool)) / size).cast("int"))
-    some = F.array_distinct(F.transform(draws, lambda j: F.pmod(F.xxhash64(F.lit(seed), j, *row_id), F.lit(trees)).cast("int")))
-    into = F.when(F.col("_n") <= 4 * SAMPLE, F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(some)
-    chosen = F.explode(into).alias("tree")
-    drawn = pooled.select(*series, *row_id, "_v", chosen).withColumn("h", F.xxhash64(F.lit(seed), F.lit("rank"), "tree", *row_id))
-    rank = W.partitionBy(*series, "tree").orderBy("h", *row_id)
-    sampled = drawn.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= SAMPLE)
+    mark = F.xxhash64(F.lit(seed), *row_id)
+    share = F.least(F.lit(1.0), F.lit(float(pool)) / F.col("_n"))
+    pooled = keyed.where(F.pmod(mark, F.lit(thin)) < F.lit(thin) * share).select(*series, mark.alias("_h"), "_v")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        x = pdf["_v"].to_numpy(float)
-        splits, paths = grow_tree(x, np.random.default_rng([seed, tree]))
-        out = pd.DataFrame({"at": np.concatenate([[-np.inf], splits]), "jump": np.concatenate([paths[:1], np.diff(paths)])})
-        out["sample"] = float(len(x))
-        for s in series:
-            out[s] = pdf[s].iloc[0]
-        return out
+        x = pdf.sort_values(["_h", "_v"])["_v"].to_numpy(float)
+        rng = np.random.default_rng(seed)
+        size = min(SAMPLE, len(x))
+        samples = np.stack([np.sort(rng.choice(x, size, replace=False)) for _ in range(trees)])
+        points, jumps = grow_forest(samples, rng)
+        out = {s: [pdf[s].iloc[0]] for s in series}
+        return pd.DataFrame(out | {"points": [points], "totals": [np.cumsum(jumps)], "sample": [float(size)]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = "at double, jump double, sample double" + "".join(f", {s} {kinds[s]}" for s in series)
-    return sampled.select(*series, "tree", "_v").groupBy(*series, "tree").applyInPandas(build, schema)
+    schema = "".join(f"`{s}` {kinds[s]}, " for s in series) + "points array<double>, totals array<double>, sample double"
+    return pooled.groupBy(*series).applyInPandas(build, schema)
 
 
-def _score(at: np.ndarray, jump: np.ndarray, sample: float, trees: int, x: np.ndarray) -> np.ndarray:
-    """Anomaly score of x from the steps sorted by ``at`` (the -inf steps come first)."""
-    order = np.argsort(at, kind="stable")
-    at, total = at[order], np.cumsum(jump[order])
-    path = total[np.searchsorted(at, x, side="left") - 1]
+def _score(points: np.ndarray, totals: np.ndarray, sample: float, trees: int, x: np.ndarray) -> np.ndarray:
+    """Anomaly score of x; points sorted, the starts of the trees at minus infinity first."""
     depth = float(mean_depth(sample))
-    # twelve digits: the same level must not differ by the order in which the jumps were added
-    return np.round(2.0 ** (-(path / trees) / depth), 12) if depth > 0 else np.full(len(x), 0.5)
+    if depth <= 0:
+        return np.full(len(x), 0.5)
+    path = totals[np.searchsorted(points, x, side="left") - 1]
+    # twelve digits: one level has one score, whatever the rounding of the sums
+    return np.round(2.0 ** (-(path / trees) / depth), 12)
 
 
 def iforest_outliers(
@@ -142,8 +147,8 @@ def iforest_outliers(
     rows = present(df, value).select(*series, *row_id, number(value).alias(value))
     if series:
         rows = rows.dropna(subset=series)
-    steps = settle(iforest_steps(rows, value, row_id, trees, seed, series_cols=series), "steps")
-    if fits_broadcast(steps, max_bytes):
+    steps, size = settle_sized(iforest_steps(rows, value, row_id, trees, seed, series_cols=series), "steps")
+    if size <= max_bytes:
         scored = _score_by_lookup(rows, value, steps, series, trees)
     else:
         scored = _score_by_group(rows, value, steps, series, row_id, trees)
@@ -157,10 +162,10 @@ def iforest_outliers(
 def _score_by_lookup(rows: DataFrame, value: str, steps: DataFrame, series: list[str], trees: int) -> DataFrame:
     """Steps of all series were measured to be small: every task gets them, no row is shuffled."""
     table = steps.toPandas()
+    keys = table[series].itertuples(index=False, name=None) if series else [()] * len(table)
     lookup = {
-        key: (part["at"].to_numpy(), part["jump"].to_numpy(), part["sample"].iloc[0])
-        for key, part in (table.groupby(series, sort=False) if series else [((), table)])
-        if len(part)
+        key: (np.asarray(points), np.asarray(totals), sample)
+        for key, points, totals, sample in zip(keys, table["points"], table["totals"], table["sample"])
     }
     shared = rows.sparkSession.sparkContext.broadcast(lookup)
 
@@ -170,8 +175,7 @@ def _score_by_lookup(rows: DataFrame, value: str, steps: DataFrame, series: list
             out = np.empty(len(x))
             groups = pd.DataFrame(dict(enumerate(keys))).groupby(list(range(len(keys)))).indices if keys else {(): slice(None)}
             for key, idx in groups.items():
-                at, jump, sample = shared.value[key if isinstance(key, tuple) else (key,)]
-                out[idx] = _score(at, jump, sample, trees, x.to_numpy(float)[idx])
+                out[idx] = _score(*shared.value[key if isinstance(key, tuple) else (key,)], trees, x.to_numpy(float)[idx])
             yield pd.Series(out)
 
     # the constant keeps a batch a tuple when there is no series column
@@ -194,8 +198,8 @@ def _score_by_group(
         out = pdf.drop(columns="_part")
         if len(out) == 0:
             return out.assign(score=pd.Series(dtype=float))
-        x = pdf[value].to_numpy(float)
-        return out.assign(score=_score(table["at"].to_numpy(), table["jump"].to_numpy(), table["sample"].iloc[0], trees, x))
+        forest = table.iloc[0]
+        return out.assign(score=_score(forest["points"], forest["totals"], forest["sample"], trees, pdf[value].to_numpy(float)))
 
     keys = [*series, "_part"]
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])

@@ -16,6 +16,10 @@ from plantlake.ordered import WINDOW_ROWS, running_total
 from plantlake.session import settle
 
 
+# band number of a series that is counted as a whole
+ALL = -1
+
+
 def exact_quantiles(
     df: DataFrame, series: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
     accuracy: int = 10_000, window_rows: int = WINDOW_ROWS,
@@ -33,46 +37,42 @@ def exact_quantiles(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_edges"),
     )
-    # a short series is its own band; so is the end of the range next to probability 0 or 1
-    whole = F.col("_n") <= accuracy
+    # the end of the range next to probability 0 or 1 is open; a short series is one band for all probabilities
+    short = F.col("_n") <= accuracy
     bands = sketch.select(
-        *series, "_n",
-        *[F.when(whole | F.lit(p - slack <= 0), F.col("_min")).otherwise(F.col("_edges")[i]).alias(f"_lo{i}")
-          for i, p in enumerate(probs)],
-        *[F.when(whole | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_edges")[m + i]).alias(f"_hi{i}")
-          for i, p in enumerate(probs)],
+        *series, "_n", short.alias("_short"),
+        *[(F.col("_min") if p - slack <= 0 else F.col("_edges")[i]).alias(f"_lo{i}") for i, p in enumerate(probs)],
+        *[(F.col("_max") if p + slack >= 1 else F.col("_edges")[m + i]).alias(f"_hi{i}") for i, p in enumerate(probs)],
     )
     joined = join_sized(rows, bands, series, "inner")
-    cells = F.array(*[
+    whole = F.array(F.struct(F.lit(ALL).alias("_q"), F.col("_v").alias("_x")))
+    banded = F.array(*[
         F.when(F.col("_v") <= F.col(f"_hi{i}"),
                F.struct(F.lit(i).alias("_q"), F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v")).alias("_x")))
-        for i in range(len(probs))
+        for i in range(m)
     ])
     counted = (
-        joined.select(*series, "_n", F.explode(cells).alias("_c")).where(F.col("_c").isNotNull())
+        joined.select(*series, "_n", F.explode(F.when(F.col("_short"), whole).otherwise(banded)).alias("_c"))
+        .where(F.col("_c").isNotNull())
         .groupBy(*series, "_n", F.col("_c._q").alias("_q"), F.col("_c._x").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_m"))
     )
     counted = settle(counted, "bands")
     longest = counted.groupBy(*series, "_q").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    picked = _pick(counted, series, probs, chunked=longest > window_rows)
-    return picked.groupBy(*series).agg(
-        *[F.max(F.when(F.col("_q") == i, F.col("_quantile"))).alias(n) for i, n in enumerate(names)]
-    )
+    return _pick(counted, series, probs, names, chunked=longest > window_rows)
 
 
 def weighted_quantile(counted: DataFrame, series: Sequence[str], value: str, weight: str, prob: float, name: str) -> DataFrame:
     """Quantile per series from a table of (value, how often); the distinct values per series are few."""
     series = list(series)
-    total = W.partitionBy(*series)
     rows = counted.select(
-        *series, F.sum(weight).over(total).alias("_n"), F.lit(0).alias("_q"),
+        *series, F.sum(weight).over(W.partitionBy(*series)).alias("_n"), F.lit(ALL).alias("_q"),
         F.col(value).cast("double").alias("_x"), F.col(weight).alias("_m"),
     )
-    return _pick(rows, series, [prob]).select(*series, F.col("_quantile").alias(name))
+    return _pick(rows, series, [prob], [name])
 
 
-def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], chunked: bool = False) -> DataFrame:
+def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], names: Sequence[str], chunked: bool = False) -> DataFrame:
     """Interpolate between the values at the two ranks around prob * (n - 1).
 
     ``_x`` null stands for all rows below the band.
@@ -82,15 +82,24 @@ def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], chunked
     else:
         upto = W.partitionBy(*series, "_q").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
         ranked = counted.withColumn("_cum", F.sum("_m").over(upto))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_q") + 1)
-    ranked = ranked.withColumn("_t", prob * (F.col("_n") - 1))
-    at = ranked.groupBy(*series, "_q").agg(
-        F.min(F.when(F.col("_cum") > F.floor("_t"), F.col("_x"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil("_t"), F.col("_x"))).alias("_b"),
-        F.max(F.when(F.col("_x").isNull(), F.col("_cum") > F.floor("_t"))).alias("_below"),
-        F.first("_t").alias("_t"),
-    )
-    sound = (~F.coalesce(F.col("_below"), F.lit(False))) & F.col("_b").isNotNull()
-    value = F.col("_a") + (F.col("_t") - F.floor("_t")) * (F.col("_b") - F.col("_a"))
+    x, cum = F.col("_x"), F.col("_cum")
+
+    def at(i: int, p: float) -> list[Column]:
+        mine, rank = F.col("_q").isin(i, ALL), F.lit(float(p)) * (F.col("_n") - 1)
+        return [
+            F.min(F.when(mine & (cum > F.floor(rank)), x)).alias(f"_a{i}"),
+            F.min(F.when(mine & (cum > F.ceil(rank)), x)).alias(f"_b{i}"),
+            F.max(F.when(mine & x.isNull(), cum > F.floor(rank))).alias(f"_below{i}"),
+        ]
+
+    found = ranked.groupBy(*series).agg(F.first("_n").alias("_n"), *[c for i, p in enumerate(probs) for c in at(i, p)])
     missed: Column = F.raise_error(F.lit("quantile band missed its rank, raise the accuracy")).cast("double")
-    return at.select(*series, "_q", F.when(sound, value).otherwise(missed).alias("_quantile"))
+
+    def quantile(i: int, p: float) -> Column:
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        sound = ~F.coalesce(F.col(f"_below{i}"), F.lit(False)) & F.col(f"_b{i}").isNotNull()
+        value = F.col(f"_a{i}") + (rank - F.floor(rank)) * (F.col(f"_b{i}") - F.col(f"_a{i}"))
+        # a series without any value has no quantile
+        return F.when(sound, value).when(F.col("_n").isNotNull(), missed)
+
+    return found.select(*series, *[quantile(i, p).alias(n) for i, (p, n) in enumerate(zip(probs, names))])

@@ -12,7 +12,7 @@ from plantlake.functions.columns import numeric_columns, present
 from plantlake.operators.correlate import correlation_matrix, correlation_pairs, strong_pairs
 from plantlake.operators.decompose import decompose, infer_period, season_strength
 from plantlake.operators.describe import describe, describe_labels, histogram, overview, summarize
-from plantlake.operators.outliers import grow_tree, iforest_outliers, mean_depth, outlier_share, zscore_outliers
+from plantlake.operators.outliers import grow_forest, iforest_outliers, mean_depth, outlier_share, zscore_outliers
 from plantlake.operators.quantiles import exact_quantiles
 from plantlake.operators.resample import resample_mean
 from plantlake.ordered import last_before, ordered_chunks, running_total, with_position
@@ -232,13 +232,44 @@ def test_zscore(spark):
     assert (share["a"].n, share["a"].n_outliers, share["b"].n_outliers) == (21, 1, 0)
 
 
-def test_isolation_tree_paths():
-    values = np.sort(np.random.default_rng(1).normal(size=256))
-    splits, paths = grow_tree(values, np.random.default_rng(2))
-    assert len(paths) == len(splits) + 1 and (np.diff(splits) > 0).all()
+def slow_tree(values, rng_at, limit):
+    """Path length of each value in one isolation tree, by recursion, with the split taken from ``rng_at``."""
+    out = {}
+
+    def grow(part, depth, lo):
+        if depth >= limit or part[0] == part[-1]:
+            for v in part:
+                out[v] = depth + float(mean_depth(len(part)))
+            return
+        at = rng_at(lo, part)
+        left = part[part <= at]
+        grow(left, depth + 1, lo)
+        grow(part[part > at], depth + 1, lo + len(left))
+
+    grow(values, 0, 0)
+    return out
+
+
+def test_isolation_forest_steps():
+    samples = np.sort(np.random.default_rng(1).normal(size=(3, 64)).round(1), axis=1)
+
+    class Middle:
+        """Splits in the middle of a node's range, so that the trees are known."""
+
+        def uniform(self, a, b):
+            return (a + b) / 2
+
+    points, jumps = grow_forest(samples, Middle())
+    x = np.unique(samples)
+    got = np.cumsum(jumps)[np.searchsorted(points, x, side="left") - 1]
+    trees = [slow_tree(row, lambda lo, part: (part[0] + part[-1]) / 2, 6) for row in samples]
+    for value, path in zip(x, got):
+        if all(value in t for t in trees):
+            assert path == pytest.approx(sum(t[value] for t in trees))
+    assert (points[:3] == -np.inf).all() and np.isfinite(points[3:]).all()
     assert mean_depth(2) == 1.0 and mean_depth(1) == 0.0 and mean_depth(256) == pytest.approx(10.2448, abs=1e-3)
-    # every leaf holds at least one sample
-    assert len(np.unique(np.searchsorted(splits, values))) == len(paths)
+    flat = grow_forest(np.full((2, 10), 4.0), np.random.default_rng(0))
+    assert len(flat[0]) == 2 and flat[1].sum() == pytest.approx(2 * float(mean_depth(10)))
 
 
 def test_iforest(spark):
