@@ -41,6 +41,11 @@ def between(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     return df
 
 
+def by_time(df: DataFrame, ts: str, series_cols: Sequence[str] = ()) -> DataFrame:
+    """Sorted by series and time, for an ordered output; the operators themselves need no sorted input."""
+    return df.orderBy(*series_cols, ts)
+
+
 def to_long(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:
     """One row per (kept columns, column name); missing values are dropped."""
     cells = F.array(*[F.struct(F.lit(c).alias(name), number(c).alias(value)) for c in columns])

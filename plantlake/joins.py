@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plantlake.session import row_bytes, settle, settle_sized
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_SHARE = 0.001
+# rows of one key that a single task may join, and the most keys treated as hot
 HOT_ROWS = 1_000_000
-SALTS = 64
+MAX_HOT = 100_000
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -19,11 +19,6 @@ def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(row_bytes(df)).alias("b")).first()["b"] or 0) <= max_bytes
 
 
-def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
-    """Salt from the row's own content, so that a recomputed task gives every row the same salt."""
-    return F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-
-
 def join_sized(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -40,44 +35,42 @@ def join_sized(
     return join_hot(big, small, on, how)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys that hold more than ``share`` of all rows and more than ``rows``; at most ``1/share`` of them."""
+def hot_keys(df: DataFrame, on: Sequence[str], rows: int = HOT_ROWS, max_keys: int = MAX_HOT) -> DataFrame | None:
+    """(on, _salts): keys with too many rows for one task, and over how many tasks to spread each.
+
+    A key is hot above ``rows`` rows, or above ``1/max_keys`` of the table if that is more. So there are
+    never more than ``max_keys`` of them, which bounds what is broadcast.
+    """
     total = df.count()
     if total <= rows:
         return None
-    found = settle(
-        df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > F.lit(max(total * share, rows))).select(*on, F.lit(True).alias("_hot")),
-        "hot",
-    )
+    limit = max(rows, -(-total // max_keys))
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    found = settle(counts.select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_salts")), "hot")
     return None if found.isEmpty() else found
 
 
 def join_hot(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", share: float = HOT_SHARE,
-    rows: int = HOT_ROWS, salts: int = SALTS, measured: tuple[DataFrame | None] | None = None,
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", rows: int = HOT_ROWS,
+    measured: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
-    """Equi join of two large sides; rows of ``big`` with a hot key are salted over several tasks.
+    """Equi join of two large sides; rows of ``big`` with a hot key are spread, their partners repeated.
 
-    ``how`` is left, inner, left_semi or left_anti. Only the hot keys are broadcast, their number is bounded.
-    ``measured`` holds the result of an earlier ``hot_keys`` on the same table.
+    ``how`` is left, inner, left_semi or left_anti. ``measured`` holds the result of an earlier
+    ``hot_keys`` on the same table. The salt comes from the row's own content, so that a recomputed
+    task gives every row the same salt.
     """
     on = list(on)
-    hot = measured[0] if measured else hot_keys(big, on, share, rows)
+    hot = measured[0] if measured else hot_keys(big, on, rows)
     if hot is None:
         return big.join(small, on, how)
-    salted_big = (
-        big.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), row_salt(big, salts)).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
+    salt = F.pmod(F.xxhash64(*big.columns), F.col("_salts")).cast("int")
+    all_salts = F.sequence(F.lit(0), F.col("_salts") - 1)
+    salted_big = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
     salted_small = (
         small.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.coalesce(all_salts, F.array(F.lit(0)))))
+        .drop("_salts")
     )
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
 

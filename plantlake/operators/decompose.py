@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plantlake.functions.columns import number, present
 from plantlake.joins import join_sized
-from plantlake.ordered import UNLIMITED, WINDOW_ROWS, is_short, with_position
+from plantlake.ordered import UNLIMITED, WINDOW_ROWS, chunks_for, window_plan, with_position
 from plantlake.session import settle
 
 MODELS = ("additive", "multiplicative")
@@ -94,12 +94,12 @@ def phase_means(df: DataFrame, detrended: Column, period: int, model: str, *, se
 
 def positions(
     df: DataFrame, ts: str, value: str, *, series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (),
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int = WINDOW_ROWS, chunks: int | None = None,
 ) -> DataFrame:
     """(series, ts, value, pos, _n): nulls dropped, 0-based position in time order, rows per series."""
     series = list(series_cols)
     rows = present(df, value).select(*series, *tie_cols, F.col(ts).alias("ts"), number(value).alias("value"))
-    numbered = with_position(rows, series, ["ts", *tie_cols], total="_n", window_rows=window_rows)
+    numbered = with_position(rows, series, ["ts", *tie_cols], total="_n", window_rows=window_rows, chunks=chunks)
     return numbered.select(*series, "ts", "value", "pos", "_n")
 
 
@@ -114,8 +114,8 @@ def decompose(
     ``window_rows`` are worked on in chunks.
     """
     _check(period, model)
-    short = is_short(present(df, value), series_cols, window_rows)
-    rows = positions(df, ts, value, series_cols=series_cols, tie_cols=tie_cols, window_rows=UNLIMITED if short else 0)
+    short, chunks = window_plan(present(df, value), series_cols, window_rows)
+    rows = positions(df, ts, value, series_cols=series_cols, tie_cols=tie_cols, window_rows=UNLIMITED if short else 0, chunks=chunks)
     return _decompose(rows, period, model, list(series_cols), short)
 
 
@@ -183,8 +183,11 @@ def season_strength(
     facts = settle(
         present(df, value).groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.min(number(value)).alias("_lowest")), "facts"
     )
-    short = window_rows > 0 and (facts.agg(F.max("n")).first()[0] or 0) <= window_rows
-    rows = positions(df, ts, value, series_cols=series, tie_cols=tie_cols, window_rows=UNLIMITED if short else 0)
+    longest, total = facts.agg(F.max("n"), F.sum("n")).first()
+    short = window_rows > 0 and (longest or 0) <= window_rows
+    rows = positions(
+        df, ts, value, series_cols=series, tie_cols=tie_cols, window_rows=UNLIMITED if short else 0, chunks=chunks_for(df, total or 0)
+    )
     status = F.when(F.col("n") < 2 * period, F.format_string(f"need at least {2 * period} rows, found %d", "n"))
     if model == "multiplicative":
         status = status.when(F.col("_lowest") <= 0, F.lit("multiplicative model needs positive values"))

@@ -19,16 +19,27 @@ CHUNK = "_chunk"
 ROW = "_row"
 # rows of one series that a single task may sort
 WINDOW_ROWS = 2_000_000
+# rows of one chunk
+CHUNK_ROWS = 10_000_000
 # for a caller that has measured the length already
 UNLIMITED = 2**62
 
 
-def is_short(df: DataFrame, keys: Sequence[str], window_rows: int = WINDOW_ROWS) -> bool:
-    """True when no series has more than ``window_rows`` rows; one counting pass over the key columns."""
+def window_plan(df: DataFrame, keys: Sequence[str], window_rows: int = WINDOW_ROWS) -> tuple[bool, int | None]:
+    """(short, chunks): whether every series fits one window, else how many chunks the rows need.
+
+    One counting pass over the key columns.
+    """
     if window_rows <= 0 or window_rows >= UNLIMITED:
-        return window_rows > 0
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return (longest or 0) <= window_rows
+        return window_rows > 0, None
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    longest, total = per.agg(F.max("_n"), F.sum("_n")).first()
+    return (longest or 0) <= window_rows, chunks_for(df, total or 0)
+
+
+def chunks_for(df: DataFrame, rows: int) -> int:
+    """As many chunks as shuffle partitions, more when a chunk would get too long."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // CHUNK_ROWS))
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> DataFrame:
@@ -37,7 +48,7 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chu
     ``order`` should identify a row within its series; rows equal in it stay together in one chunk.
     Rows without a series key belong to no series and are left out.
     """
-    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = chunks or chunks_for(df, 0)
     by = [*keys, *order]
     rows = df.dropna(subset=list(keys)) if keys else df
     marked = (
@@ -61,17 +72,18 @@ def join_chunks(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", total: str | None = None,
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int = WINDOW_ROWS, chunks: int | None = None,
 ) -> DataFrame:
     """0-based position of each row in its series, and optionally the series' row count."""
     keys = list(keys)
-    if is_short(df, keys, window_rows):
+    short, needed = window_plan(df, keys, window_rows)
+    if short:
         rows = df.dropna(subset=keys) if keys else df
         series = W.partitionBy(*keys)
         numbered = rows.withColumn(pos, (F.row_number().over(series.orderBy(*order)) - 1).cast("long"))
         return numbered.withColumn(total, F.count(F.lit(1)).over(series)) if total else numbered
-    chunks = ordered_chunks(df, keys, order)
-    per = chunks.groupBy(*keys, CHUNK).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    cut = ordered_chunks(df, keys, order, chunks or needed)
+    per = cut.groupBy(*keys, CHUNK).agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = per.select(
         *keys,
@@ -79,7 +91,7 @@ def with_position(
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         *([F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []),
     )
-    joined = join_chunks(chunks, carry, keys)
+    joined = join_chunks(cut, carry, keys)
     return joined.withColumn(pos, (F.col(ROW) + F.col("_shift")).cast("long")).drop(CHUNK, ROW, "_shift")
 
 
@@ -88,10 +100,11 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` along each series."""
     keys = list(keys)
-    if is_short(df, keys, window_rows):
+    short, needed = window_plan(df, keys, window_rows)
+    if short:
         rows = df.dropna(subset=keys) if keys else df
         return rows.withColumn(name, F.sum(weight).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    chunks = ordered_chunks(df.withColumn("_w", weight), keys, order)
+    chunks = ordered_chunks(df.withColumn("_w", weight), keys, order, needed)
     per = chunks.groupBy(*keys, CHUNK).agg(F.sum("_w").alias("_s"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = per.select(*keys, CHUNK, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
@@ -133,11 +146,12 @@ def last_before(
             best["id"].alias(cause_id), best["t"].alias(cause_time),
         )
 
-    if is_short(rows, keys, window_rows):
+    short, needed = window_plan(rows, keys, window_rows)
+    if short:
         upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         latest = rows.withColumn("_best", F.last(cause, ignorenulls=True).over(upto))
         return shape(latest.where(F.col("_kind") == 1), F.col("_best"))
-    chunks = ordered_chunks(rows, keys, order)
+    chunks = ordered_chunks(rows, keys, order, needed)
     per = chunks.groupBy(*keys, CHUNK).agg(F.max(cause).alias("_last"))
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = per.select(*keys, CHUNK, F.max("_last").over(before).alias("_carry"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlake.functions.columns import between, numeric_columns, present
+from plantlake.functions.columns import between, by_time, numeric_columns, present
 from plantlake.operators.correlate import correlation_matrix, correlation_pairs, strong_pairs
 from plantlake.operators.decompose import (
     decompose, end_lines, infer_period, moving_average, phase_means, positions, season_strength,
@@ -95,6 +95,10 @@ def ts_slice(spark, folder):
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value")).alias("total"))
 
 
+def ts_by_time(spark, folder):
+    return by_time(table(spark, folder, "events"), "ts", TYPE).select("event_type", stamp("ts").alias("at"), "event_id")
+
+
 def ts_numeric_columns(spark, folder):
     """One row per numeric column: how many values it holds."""
     df = table(spark, folder, "lineitem")
@@ -326,7 +330,7 @@ QUERIES = {
     "ts_resample_quarter": _resampled("Q", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     "ts_resample_year": _resampled("Y", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     **{f.__name__: f for f in [
-        ts_overview, ts_describe, ts_describe_labels, ts_histogram, ts_slice, ts_numeric_columns, ts_present, ts_correlation,
+        ts_overview, ts_describe, ts_describe_labels, ts_histogram, ts_slice, ts_by_time, ts_numeric_columns, ts_present, ts_correlation,
         ts_correlation_matrix, ts_strong_pairs, ts_correlation_wide, ts_moving_average, ts_moving_average_odd,
         ts_end_lines, ts_phase_means, ts_decompose_multiplicative, ts_season_strength, ts_season_strength_users,
         ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_wide_to_long, ts_csv_load, ts_sensor_files,
@@ -415,6 +419,7 @@ SELECT g.event_type, g.bin, round(3e-9 + lo + g.bin * ((hi - lo) / 20), 4) + 0.0
 coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.event_type = c.event_type AND g.bin = c.bin""",
     "ts_slice": """SELECT event_type, count(*) AS n, round(3e-9 + sum(value), 4) + 0.0 AS total FROM events
 WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY 1""",
+    "ts_by_time": """SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", event_id FROM events""",
     "ts_numeric_columns": " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n FROM lineitem" for c in [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_COLUMNS]),
     "ts_present": _chain(HOURLY_SQL) + "SELECT event_type, count(*) AS n, round(3e-9 + sum(v), 4) + 0.0 AS total FROM h GROUP BY 1",

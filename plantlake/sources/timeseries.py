@@ -38,8 +38,8 @@ def load_timeseries_lenient(
 def _read(spark, path, datetime_column, schema, time_format, lenient):
     reader = spark.read.option("header", True).option("enforceSchema", False)
     if schema is None:
-        # the time stays text until it is parsed by our own rule
-        df = reader.option("inferSchema", True).option("inferDate", False).option("timestampFormat", "'unused'").csv(path)
+        # a format that fits nothing keeps the time as text until it is parsed by our own rule
+        df = reader.options(inferSchema=True, preferDate=False, timestampFormat="'unused'").csv(path)
     else:
         df = reader.schema(schema).csv(path)
     if datetime_column not in df.columns:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantlake.functions.ids import entity_kind, id_plant, ids_in_text, link_kind, of_plant, short_id, tag_parts
-from plantlake.joins import fits_broadcast, join_hot, join_sized, left_join_key
+from plantlake.joins import fits_broadcast, hot_keys, join_hot, join_sized, left_join_key
 from plantlake.operators import causes, graph, links, quality, report
 from plantlake.sources.plant import ALARMS, BATCHES, DOWNTIME, INVENTORY, LAB, PLANTS, WORK_ORDERS, areas, read_alarms, read_inventory, write_inventory
 from plantlake.sources.timeseries import (
@@ -217,12 +217,19 @@ def test_hot_key_join_equals_plain_join(spark, how):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"), (F.col("id") % 11).alias("v"))
     small = spark.range(0, 400, 2).select(F.col("id").alias("k"), *([(F.col("id") * 2).alias("w")] if how in ("left", "inner") else []))
     want = sorted(map(str, big.join(small, "k", how).collect()))
-    assert sorted(map(str, join_hot(big, small, ["k"], how, share=0.05, rows=10, salts=8).collect())) == want
+    assert sorted(map(str, join_hot(big, small, ["k"], how, rows=100).collect())) == want
     if how in ("left", "inner"):
         assert sorted(map(str, join_sized(big, small, ["k"], how, max_bytes=0).collect())) == want
         assert sorted(map(str, join_sized(big, small, ["k"], how).collect())) == want
 
 
+def test_hot_keys_are_few(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    assert hot_keys(df, ["k"]) is None
+    assert [tuple(r) for r in hot_keys(df, ["k"], rows=100).collect()] == [(7, 11)]
+    assert [tuple(r) for r in hot_keys(df, ["k"], rows=10, max_keys=4).collect()] == [(7, 2)]
+
+
 def test_size_check_and_null_keys(spark):
     df = spark.createDataFrame([(1, "x" * 100, [1.0, 2.0])] * 50, "a int, b string, c array<double>")
     assert fits_broadcast(df, 8000) and not fits_broadcast(df, 5000)
