@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from plantlake.functions.columns import number, numeric_columns, to_long
 from plantlake.joins import join_sized
 from plantlake.operators.quantiles import exact_quantiles
+from plantlake.ordered import window_plan
+
+# values of one series that a percentile aggregate may hold
+PERCENTILE_ROWS = 250_000
 
 
 def overview(df: DataFrame, ts: str, *, series_cols: Sequence[str] = ()) -> DataFrame:
@@ -39,9 +43,13 @@ def overview(df: DataFrame, ts: str, *, series_cols: Sequence[str] = ()) -> Data
 
 def describe(
     df: DataFrame, columns: Sequence[str] | None = None, *, series_cols: Sequence[str] = (), approximate: bool = False,
-    accuracy: int = 10_000,
+    accuracy: int = 10_000, percentile_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
-    """count, mean, std, min, quartiles and max per numeric column, one row per (series, column)."""
+    """count, mean, std, min, quartiles and max per numeric column, one row per (series, column).
+
+    Quartiles are exact: while no series holds more than ``percentile_rows`` values by Spark's own
+    aggregate, which keeps the values of a series in memory, beyond by ``exact_quantiles``.
+    """
     series = list(series_cols)
     columns = numeric_columns(df, columns, skip=series)
     if not columns:
@@ -53,8 +61,9 @@ def describe(
         F.min("value").alias("min"), F.max("value").alias("max"),
     ]
     order = [*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    if approximate:
-        quartiles = F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(accuracy))
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    if approximate or window_plan(cells, keys, percentile_rows)[0]:
+        quartiles = F.percentile_approx("value", at, F.lit(accuracy)) if approximate else F.percentile("value", at)
         stats = cells.groupBy(*keys).agg(*plain, quartiles.alias("_q"))
         return stats.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])]).select(*order)
     quart = exact_quantiles(cells, keys, "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], accuracy)

@@ -9,7 +9,7 @@ from plantlake.operators.correlate import correlation_matrix, correlation_pairs,
 from plantlake.operators.decompose import (
     decompose, end_lines, infer_period, moving_average, phase_means, positions, season_strength,
 )
-from plantlake.operators.describe import describe, describe_labels, histogram, overview, summarize
+from plantlake.operators.describe import PERCENTILE_ROWS, describe, describe_labels, histogram, overview, summarize
 from plantlake.operators.outliers import iforest_outliers, outlier_share, zscore_outliers
 from plantlake.operators.resample import resample_mean
 from plantlake.ordered import WINDOW_ROWS
@@ -69,9 +69,15 @@ def ts_overview(spark, folder):
     )
 
 
-def ts_describe(spark, folder):
-    out = describe(busy_table(spark, folder, "lineitem", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], series_cols=["l_returnflag"])
-    return out.select("l_returnflag", "column", "count", *[rounded(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+def _described(percentile_rows: int):
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+    def run(spark, folder):
+        rows = busy_table(spark, folder, "lineitem", "l_returnflag", *columns)
+        out = describe(rows, columns, series_cols=["l_returnflag"], percentile_rows=percentile_rows)
+        return out.select("l_returnflag", "column", "count", *[rounded(c).alias(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
+
+    return run
 
 
 def _describe_sql(columns: list[str]) -> str:
@@ -318,6 +324,9 @@ QUERIES = {
     "ts_positions": _positions(WINDOW_ROWS),
     # in chunks, as for series too long for one task
     "ts_positions_chunked": _positions(0),
+    "ts_describe": _described(PERCENTILE_ROWS),
+    # by value bands, as for series too long to hold
+    "ts_describe_bands": _described(0),
     "ts_decompose": _decomposed(WINDOW_ROWS),
     "ts_decompose_chunked": _decomposed(0),
     "ts_resample_hour": _resampled("h", "events", "ts", "value", TYPE),
@@ -330,7 +339,7 @@ QUERIES = {
     "ts_resample_quarter": _resampled("Q", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     "ts_resample_year": _resampled("Y", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     **{f.__name__: f for f in [
-        ts_overview, ts_describe, ts_describe_labels, ts_histogram, ts_slice, ts_by_time, ts_numeric_columns, ts_present, ts_correlation,
+        ts_overview, ts_describe_labels, ts_histogram, ts_slice, ts_by_time, ts_numeric_columns, ts_present, ts_correlation,
         ts_correlation_matrix, ts_strong_pairs, ts_correlation_wide, ts_moving_average, ts_moving_average_odd,
         ts_end_lines, ts_phase_means, ts_decompose_multiplicative, ts_season_strength, ts_season_strength_users,
         ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_wide_to_long, ts_csv_load, ts_sensor_files,
@@ -408,6 +417,7 @@ ORACLES = {
 strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end",
 count(*) - count(value) AS missing_value, count(*) - count(props) AS missing_props FROM events GROUP BY event_type""",
     "ts_describe": _describe_sql(_COLUMNS),
+    "ts_describe_bands": _describe_sql(_COLUMNS),
     "ts_describe_labels": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique", arg_min(v, (-n, v)) AS top, max(n) AS freq
 FROM (SELECT {c} AS v, count(*) AS n FROM events GROUP BY 1)""" for c in ["event_type", "props"]),

@@ -77,7 +77,7 @@ def test_describe_like_pandas(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"s": rng.choice(["a", "b"], 3000, p=[0.9, 0.1]), "x": rng.choice([0.0, 1.5, 7.25], 3000), "y": rng.normal(size=3000)})
     df = spark.createDataFrame(pdf)
-    for kwargs in [{}, {"accuracy": 50}]:
+    for kwargs in [{}, {"percentile_rows": 0}, {"percentile_rows": 0, "accuracy": 50}]:
         got = describe(df, series_cols=["s"], **kwargs).toPandas()
         for _, row in got.iterrows():
             want = pdf[pdf.s == row.s][row["column"]].describe()
