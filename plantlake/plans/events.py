@@ -10,7 +10,7 @@ from plantlake.operators import causes, graph, links, quality, report
 from plantlake.ordered import WINDOW_ROWS
 from plantlake.plans.views import (
     BATCHES_SQL, EVENT_VIEWS_SQL, LAB_SQL, PLANT_EVENTS_SQL, alarms, batches, downtime, incidents,
-    inventory, lab, plant_events, rounded, stamp, table, with_sql, work_orders,
+    inventory, lab, plant_events, rounded, stamp, with_sql, work_orders,
 )
 from plantlake.session import scratch_path
 from plantlake.sources.plant import read_alarms, read_inventory, write_inventory
