@@ -8,9 +8,16 @@ import public_tokenizers
 from plantlake.llm.mixing import take_words
 from plantlake.llm.packing import pack
 from plantlake.llm.secrets import redact, train_secret_model
+from plantlake.llm.toxicity import score_texts, train_toxic_model
 from plantlake.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    model = train_toxic_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_texts(docs, model).where(F.col("score") < 0.5).drop("score")
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan finds is masked in the text; no document goes."""
     return redact(docs, train_secret_model(docs)).withColumn("n_chars", F.length("text").cast("long"))
@@ -26,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
-STAGES = [("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
 # decoding, fitted models and the tokenizer have no SQL form; tests compare with a brute-force version
 ORACLE_SQL = None
 

@@ -82,7 +82,8 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: flo
 
 
 def take_words(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2) -> DataFrame:
-    """The documents of the mix: as many whole copies of each as the mix takes, and the first words of the one at the cut.
+    """The documents of the mix: as many whole copies of each as the mix takes, and the first words of the one at the cut
+    (single spaces between them).
 
     The columns are those of ``docs``; n_chars, if there, follows the text. Documents that the mix leaves out, or that
     have no words, go. Equal rows share what is taken of them in the order of the cut.
@@ -101,7 +102,7 @@ def take_words(docs: DataFrame, weights: Sequence[float], share: float = 1.5, mo
     # number 0 stands for the cut copy, the others for whole ones
     copies = F.array_compact(F.concat(F.when(rest > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>"))))
     out = joined.withColumn("_part", F.explode(copies))
-    first = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^(?s)(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), rest.cast("string"), F.lit("}")), 0)
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), rest), " ")
     text = F.when(F.col("_part") == 0, first).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in names:

@@ -5,20 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plantlake.llm import hmm
 from plantlake.llm.common import crc_fold, table
 from plantlake.llm.mixing import mix
 from plantlake.llm.packing import pack
 from plantlake.llm.secrets import find_secrets, spans_text, train_secret_model
 from plantlake.llm.token_files import read_token_files, with_crc, write_token_files
+from plantlake.llm.toxicity import score_texts, train_toxic_model
 from plantlake.session import scratch_path
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train_toxic_model(docs, table(spark, folder, "labels"))
+    return score_texts(docs, model).select(
+        "doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_token_files(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return with_crc(read_token_files(spark, path))
 
 
+def op3_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = hmm.score_texts(docs, crc_fold(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = find_secrets(docs, train_secret_model(docs))
@@ -39,5 +55,5 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {q.__name__: q for q in [op2_token_files, op4_secrets, op6_mixing, op8_packing]}
+QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op8_packing]}
 ORACLES: dict[str, str] = {}
