@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantlake.llm import hmm
 from plantlake.llm.common import crc_fold, table
+from plantlake.llm.jaccard import near_duplicates
 from plantlake.llm.mixing import mix
 from plantlake.llm.packing import pack
 from plantlake.llm.secrets import find_secrets, spans_text, train_secret_model
@@ -55,5 +56,9 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op8_packing]}
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), percent=80)
+
+
+QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op8_packing, op9_ngram_jaccard]}
 ORACLES: dict[str, str] = {}
