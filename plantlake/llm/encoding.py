@@ -18,7 +18,12 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def words_of(text: str) -> list[str]:
-    """Pieces for a tokenizer that drops white space: no token spans a space or line break."""
+    """Pieces for a tokenizer that drops case and white space: no token spans a space or line break.
+
+    Small letters make words meet again more often. Two letters whose small form depends on more than themselves stay.
+    """
+    if "\u0130" not in text and "\u03a3" not in text:
+        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
@@ -85,7 +90,11 @@ class Encoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of new pieces. A plain word goes to the model at once, others through the whole tokenizer."""
         new, odd, known, text_of, plain, part = {}, [], self.known, self.text_of, _PLAIN.fullmatch, self._part
+        tokenize, lower = self.model.tokenize, self.lower
         for w in words:
+            if lower and w.isascii() and w.isalpha():
+                new[w] = array("I", [t.id for t in tokenize(w.lower())]).tobytes()
+                continue
             text = text_of(w)
             cut = plain(text, 1 if text[:1] == " " else 0)
             if cut is None:

@@ -10,6 +10,7 @@ from plantlake.llm.common import crc_fold, table
 from plantlake.llm.jaccard import near_duplicates
 from plantlake.llm.mixing import mix
 from plantlake.llm.packing import pack
+from plantlake.llm.repeats import remove_repeats
 from plantlake.llm.secrets import find_secrets, spans_text, train_secret_model
 from plantlake.llm.token_files import read_token_files, with_crc, write_token_files
 from plantlake.llm.toxicity import score_texts, train_toxic_model
@@ -60,5 +61,10 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), percent=80)
 
 
-QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op8_packing, op9_ngram_jaccard]}
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op8_packing, op9_ngram_jaccard, op10_suffix_dedup]}
 ORACLES: dict[str, str] = {}
