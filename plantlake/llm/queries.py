@@ -9,6 +9,7 @@ from plantlake.llm import hmm
 from plantlake.llm.common import crc_fold, table
 from plantlake.llm.jaccard import near_duplicates
 from plantlake.llm.mixing import mix
+from plantlake.llm.neighbour_graph import nearest
 from plantlake.llm.packing import pack
 from plantlake.llm.repeats import remove_repeats
 from plantlake.llm.secrets import find_secrets, spans_text, train_secret_model
@@ -52,6 +53,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), [3, 1, 2], share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_neighbour_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -66,5 +71,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op8_packing, op9_ngram_jaccard, op10_suffix_dedup]}
+QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op7_neighbour_graph, op8_packing, op9_ngram_jaccard, op10_suffix_dedup]}
 ORACLES: dict[str, str] = {}
