@@ -11,6 +11,7 @@ from plantlake.llm.jaccard import near_duplicates
 from plantlake.llm.mixing import mix
 from plantlake.llm.neighbour_graph import nearest
 from plantlake.llm.packing import pack
+from plantlake.llm.range_join import range_join
 from plantlake.llm.repeats import remove_repeats
 from plantlake.llm.secrets import find_secrets, spans_text, train_secret_model
 from plantlake.llm.token_files import read_token_files, with_crc, write_token_files
@@ -49,6 +50,10 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    return range_join(table(spark, folder, "embeddings"), least=0.9)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), [3, 1, 2], share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -71,5 +76,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op6_mixing, op7_neighbour_graph, op8_packing, op9_ngram_jaccard, op10_suffix_dedup]}
+QUERIES = {q.__name__: q for q in [op1_toxicity, op2_token_files, op3_hidden_markov, op4_secrets, op5_range_join, op6_mixing, op7_neighbour_graph, op8_packing, op9_ngram_jaccard, op10_suffix_dedup]}
 ORACLES: dict[str, str] = {}
