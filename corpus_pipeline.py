@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
+from plantlake.llm.jaccard import one_of_each
 from plantlake.llm.mixing import take_words
 from plantlake.llm.packing import pack
 from plantlake.llm.secrets import redact, train_secret_model
@@ -18,6 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).where(F.col("score") < 0.5).drop("score")
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays."""
+    return one_of_each(docs, percent=80)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan finds is masked in the text; no document goes."""
     return redact(docs, train_secret_model(docs)).withColumn("n_chars", F.length("text").cast("long"))
@@ -33,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
-STAGES = [("toxicity", drop_toxic), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
 # decoding, fitted models and the tokenizer have no SQL form; tests compare with a brute-force version
 ORACLE_SQL = None
 

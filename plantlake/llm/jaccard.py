@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from plantlake.joins import fits_broadcast
-from plantlake.llm.common import once, over_texts
+from plantlake.joins import fits_broadcast, join_sized
+from plantlake.llm.common import drop_table, once, over_texts
 from plantlake.llm.graph import components
 
 N = 5
@@ -73,7 +73,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = N, stars: int = STARS, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(row columns doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Documents are sets of distinct n-word hashes (a shorter text is one n-gram of all its words); two link when
     100 * shared >= percent * united. Equal sets are one class from the start, whatever their number. Two sets that link
@@ -88,6 +88,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = N, stars: int =
     ``block_docs`` classes. Nulls and empty texts have no n-gram and stay alone (component is their own doc_id);
     equal rows are equal classes; rows with a null doc_id take part and never name a component; an empty table gives no rows.
     """
+    return _named(docs, percent, n, stars, block_docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -> DataFrame:
+    """(doc_id, text_hash, key, n, plain, component, component_id) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     classes, common = _classes(texts, n)
@@ -109,13 +114,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = N, stars: int =
     right = left.select("shingle", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     rest = _fitting(left.join(right, "shingle").where("component < component_b"), percent).join(fit, ["a", "b"], "left_anti")
     rest = once(rest, "pairs")
+    for scratch in (columns, now, left):
+        drop_table(texts.sparkSession, scratch)
     if not rest.isEmpty():
         member = components(links.unionByName(once(verified(texts, sizes, rest, percent, n, block_docs), "verified")))
     joined = classes.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     # many rows of one class or component meet as one partial minimum per task
     first = joined.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(first, "component", "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.join(first, "component", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, n: int = N) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Rows without an n-gram all stay. A row without doc_id stays only where no other of its component has one; of equal
+    rows one stays. Columns are those of ``docs``.
+    """
+    found = _named(docs, percent, n, STARS, BLOCK_DOCS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.where("n > 0").groupBy("component").agg(F.min(order).alias("first"))
+    row = lambda c: F.xxhash64(F.col(f"{c}doc_id").isNull(), F.col(f"{c}doc_id"), F.col(f"{c}text_hash"))
+    stay = once(best.select(row("first.").alias("_row")).unionByName(found.where("n = 0").select(row("").alias("_row"))).distinct(), "stay")
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    kept = join_sized(keyed, stay, ["_row"], "left_semi")
+    again = once(found.where("n > 0").groupBy(row("").alias("_row")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_row"), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, "_row", "left_anti").unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns)
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
