@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 import hashlib
 
 import numpy as np
@@ -14,9 +14,11 @@ from plantlake.llm.common import drop_table, once, over_texts
 from plantlake.llm.graph import components
 
 N = 5
-# frequent n-grams that are put last in the order of prefixes, at most; seen this often in one slice of texts
+# frequent n-grams that are put last in the order of prefixes, at most; seen this often among COUNTED n-grams
 COMMON = 262_144
 OFTEN = 3
+# n-grams that a task counts together
+COUNTED = 4_000_000
 # classes of a shared n-gram that all its others are held against first
 STARS = 3
 # documents of one block of the product
@@ -67,6 +69,22 @@ def _key(shingles: np.ndarray) -> int:
     return int.from_bytes(set_key(shingles), "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many hashes fall into each equal part of the hash range, one byte a part; empty where a byte is not enough."""
+    bits = max(6, int(np.ceil(np.log2(max(1, len(shingles))))))
+    counts = np.bincount((shingles.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def shared_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """No more hashes than this are in both sets of two sketches."""
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        b = b.reshape(-1, 2).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def prefix_length(size: int, percent: int) -> int:
     """N-grams of which two sets of the wanted similarity share at least one, whatever the common order."""
     return size - -(-percent * size // 100) + 1
@@ -84,8 +102,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = N, stars: int =
     * columns whose classes are one component by then have nothing left to say; from the others all pairs of
       different components follow, so nothing is missed.
 
-    Pairs whose sizes alone rule the link out go before their sets meet, and sets meet in blocks of ``block_docs`` by
-    ``block_docs`` classes. Nulls and empty texts have no n-gram and stay alone (component is their own doc_id);
+    Pairs whose sizes alone rule the link out go at once, then those whose sketches (counts of hashes by range) leave too
+    little room; the sets of the others meet in blocks of ``block_docs`` by ``block_docs`` classes. Nulls and empty texts have no n-gram and stay alone (component is their own doc_id);
     equal rows are equal classes; rows with a null doc_id take part and never name a component; an empty table gives no rows.
     """
     return _named(docs, percent, n, stars, block_docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -97,9 +115,9 @@ def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     classes, common = _classes(texts, n)
     columns = _columns(texts, common, percent, n)
-    per_class = [F.max("n").alias("n"), F.max("plain").alias("plain"), F.min("text_hash").alias("text_hash")]
+    per_class = [F.max("n").alias("n"), F.max("plain").alias("plain"), F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")]
     sizes = once(classes.where("n > 0").groupBy("key").agg(*per_class), "sizes")
-    state = columns.join(sizes.drop("text_hash"), "key")
+    state = columns.join(sizes.drop("text_hash", "sketch"), "key")
     lead = lambda first, turn: F.max(F.struct(*first, F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n"))
     found = [lead([F.col("plain")] if not k else [], k) for k in range(stars)]
     leads = F.array_distinct(F.array(*[F.struct(x["key"].alias("key"), x["n"].alias("n")) for x in found]))
@@ -143,6 +161,15 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = N) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+CLASS_ROWS = "doc_id long, key long, n long, plain double, text_hash long, sketch binary, is_doc boolean"
+
+
+def _class_rows(doc_id, key, n, plain, text_hash, sketches: list[bytes], is_doc: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "doc_id": doc_id, "key": key, "n": n, "plain": plain, "text_hash": text_hash, "sketch": pa.array(sketches, pa.binary()), "is_doc": np.full(len(key), is_doc),
+    })
+
+
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of (key, n, key_b, n_b) whose sizes allow the similarity."""
     fit = pairs.where("key <> key_b").where(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
@@ -157,25 +184,32 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler, held, seen = Shingler(n), [], set()
+
+        def frequent() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            often, many = values[counts >= OFTEN], counts[counts >= OFTEN]
+            held.clear()
+            seen.clear()
+            return _class_rows(pa.nulls(len(often), pa.int64()), often, many, np.zeros(len(often)), pa.nulls(len(often), pa.int64()), [b""] * len(often), False)
+
         for b in batches:
             sets = shingler.sets(b.column("text").to_pylist())
+            keys = np.array([_key(s) for s in sets], np.int64)
             # copies count once, or every n-gram of a copied text were frequent
-            distinct = {_key(s): s for s in sets if len(s)}
-            values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *distinct.values()]), return_counts=True)
-            often = values[counts >= OFTEN]
-            plain = [float(np.isin(s, often).mean()) if len(s) and len(often) else 0.0 for s in sets]
-            rows = len(sets)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.concat_arrays([b.column("doc_id"), pa.nulls(len(often), pa.int64())]),
-                "key": np.concatenate([np.array([_key(s) for s in sets], np.int64), often]),
-                "n": np.concatenate([np.array([len(s) for s in sets], np.int64), counts[counts >= OFTEN]]),
-                "plain": np.concatenate([np.array(plain), np.zeros(len(often))]),
-                "text_hash": pa.concat_arrays([b.column("text_hash"), pa.nulls(len(often), pa.int64())]),
-                "is_doc": np.concatenate([np.ones(rows, bool), np.zeros(len(often), bool)]),
-            })
-
-    both = once(over_texts(texts, run, "doc_id long, key long, n long, plain double, text_hash long, is_doc boolean"), "classes")
+            for k, s in zip(keys.tolist(), sets, strict=True):
+                if len(s) and k not in seen:
+                    seen.add(k)
+                    held.append(s)
+            if sum(map(len, held)) > COUNTED:
+                yield frequent()
+            values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *{k: s for k, s in zip(keys.tolist(), sets, strict=True)}.values()]), return_counts=True)
+            shared = values[counts >= OFTEN]
+            plain = np.array([float(np.isin(s, shared).mean()) if len(s) and len(shared) else 0.0 for s in sets])
+            yield _class_rows(b.column("doc_id"), keys, np.array([len(s) for s in sets], np.int64), plain, b.column("text_hash"), [sketch(s) for s in sets], True)
+        yield frequent()
+
+    both = once(over_texts(texts, run, CLASS_ROWS), "classes")
     frequent = both.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON)
     return both.where("is_doc").drop("is_doc"), frequent.select(F.col("key").alias("shingle"))
 
@@ -211,41 +245,73 @@ def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataF
                 yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(parts), "key": np.concatenate(keys), "hot": np.concatenate(hot)})
 
     rows = over_texts(texts.select("text"), run, "shingle long, key long, hot boolean")
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(1024))).otherwise(F.lit(0)))
+    # 0 for the others
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(1024)) + 1).otherwise(F.lit(0)).cast("short"))
     column = W.partitionBy("shingle", "salt")
-    shared = rows.withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column))
-    return once(shared.where("hot or lo <> hi").select("shingle", "key").distinct(), "columns")
+    shared = rows.drop("hot").withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column))
+    return once(shared.where("salt > 0 or lo <> hi").select("shingle", "key").distinct(), "columns")
 
 
 def verified(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int, n: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity.
+    """The pairs (a, b) whose sets have the similarity: first by what their sketches allow, then by the sets themselves."""
+    pairs = once(_product(pairs, sizes.select("key", F.col("sketch").alias("data")), _bound(percent), block_docs), "allowed")
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = _sets(texts, ends.join(sizes, "key").select("key", "text_hash"), n)
+    return _product(pairs, sets.select("key", F.col("shingles").alias("data")), _overlap(percent), block_docs)
+
+
+def _product(pairs: DataFrame, data: DataFrame, judge: Callable, block_docs: int) -> DataFrame:
+    """The pairs that ``judge`` keeps, cell by cell.
 
     The classes that stand in pairs are dealt into blocks by hash; a cell is a block of left and a block of right
-    classes. A set goes once to each cell that has a pair of it, where overlaps add up n-gram by n-gram.
+    classes. The data of a class goes once to each cell that has a pair of it.
     """
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ends = once(ends, "ends")
     blocks = max(1, -(-ends.count() // block_docs))
     cell = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(9)), F.lit(blocks)).cast("long")
     placed = pairs.withColumn("cell", cell("a") * blocks + cell("b"))
     wanted = placed.select(F.col("cell").alias("place"), F.col("a").alias("key")).unionByName(placed.select(F.col("cell").alias("place"), F.col("b").alias("key"))).distinct()
-    sets = _sets(texts, ends.join(sizes, "key").select("key", "text_hash"), n)
-    rows = wanted.join(sets, "key").select("place", "key", "shingles")
+    rows = wanted.join(data, "key").select("place", "key", "data")
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
-        column = right.column("shingles").combine_chunks()
-        sets_ = [np.frombuffer(column[int(i)].as_py(), np.int64) for i in order]
+        column = right.column("data").combine_chunks()
+        values = [column[int(i)].as_py() for i in order]
         keys = keys[order]
-        lengths = np.array([len(s) for s in sets_], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *sets_])
-        _, code = np.unique(flat, return_inverse=True)
-        starts = np.cumsum(lengths) - lengths
         a = np.searchsorted(keys, left.column("a").to_numpy())
         b = np.searchsorted(keys, left.column("b").to_numpy())
         turn = np.lexsort((b, a))
         a, b = a[turn], b[turn]
+        kept = judge(values, a, b)
+        return pa.table({"a": keys[a[kept]], "b": keys[b[kept]]})
+
+    return placed.groupBy("cell").cogroup(rows.groupBy("place")).applyInArrow(multiply, "a long, b long")
+
+
+def _bound(percent: int) -> Callable:
+    """Pairs whose sketches leave room for the similarity."""
+
+    def judge(values: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sketches = [np.frombuffer(v, np.uint8) for v in values]
+        sizes = [int(s.sum(dtype=np.int64)) for s in sketches]
+        kept = np.ones(len(a), bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            if len(sketches[i]) and len(sketches[j]):
+                most = shared_at_most(sketches[i], sketches[j])
+                kept[k] = 100 * most >= percent * (sizes[i] + sizes[j] - most)
+        return kept
+
+    return judge
+
+
+def _overlap(percent: int) -> Callable:
+    """Pairs whose sets have the similarity; overlaps add up n-gram by n-gram, one row of the product at a time."""
+
+    def judge(values: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        lengths = np.array([len(v) // 8 for v in values], np.int64)
+        _, code = np.unique(np.frombuffer(b"".join(values), np.int64), return_inverse=True)
+        starts = np.cumsum(lengths) - lengths
         mark = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
         linked = np.zeros(len(a), bool)
         edges = np.flatnonzero(np.diff(a, prepend=-1, append=-1))
@@ -256,14 +322,14 @@ def verified(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int,
             for at in range(s, e, 512):
                 some = b[at : min(e, at + 512)]
                 counts = lengths[some]
-                ends_ = np.cumsum(counts)
-                place = np.repeat(starts[some] - (ends_ - counts), counts) + np.arange(ends_[-1])
-                shared = np.add.reduceat(mark[code[place]].astype(np.int64), ends_ - counts)
+                ends = np.cumsum(counts)
+                place = np.repeat(starts[some] - (ends - counts), counts) + np.arange(ends[-1])
+                shared = np.add.reduceat(mark[code[place]].astype(np.int64), ends - counts)
                 linked[at : at + len(some)] = 100 * shared >= percent * (lengths[i] + counts - shared)
             mark[row] = False
-        return pa.table({"a": keys[a[linked]], "b": keys[b[linked]]})
+        return linked
 
-    return placed.groupBy("cell").cogroup(rows.groupBy("place")).applyInArrow(multiply, "a long, b long")
+    return judge
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

@@ -13,8 +13,8 @@ from plantlake.llm.common import drop_table, lists, once
 from plantlake.llm.vectors import matrix, vector_classes
 
 # neighbours of a node in the graph, and nodes that name it which it looks at beside them
-NEAR = 16
-NAMED = 16
+NEAR = 24
+NAMED = 24
 # nodes that are compared with each other at the start, and starts
 LEAF = 192
 STARTS = 4
@@ -22,8 +22,8 @@ ROUNDS = 6
 # share of changed neighbours below which the graph is done
 SETTLED = 0.02
 # candidates that a query keeps, those it opens in one round, and rounds at most
-KEPT = 96
-OPENED = 24
+KEPT = 200
+OPENED = 48
 STEPS = 40
 
 

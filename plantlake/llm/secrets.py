@@ -90,11 +90,19 @@ def train_secret_model(docs: DataFrame, smooth: float = 0.5) -> SecretModel:
     counted = over_texts(docs.select(F.col("text").cast("string").alias("text")), count, "kind long, pair long, n long")
     # at most 2 x 64 x 64 rows
     rows = counted.groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect()
-    table = np.full((2, ALPHABET * ALPHABET), smooth)
+    table = np.zeros((2, ALPHABET * ALPHABET))
     for r in rows:
         table[r["kind"], r["pair"]] += r["n"]
-    logs = [np.log(t / t.sum(axis=1, keepdims=True)) for t in table.reshape(2, ALPHABET, ALPHABET)]
-    return SecretModel(logs[1] - logs[0])
+    ordinary, random = (_pair_model(t.reshape(ALPHABET, ALPHABET), smooth) for t in table)
+    # secrets of kinds that no sample shows are drawn from all characters alike
+    return SecretModel(np.log(0.5 * random + 0.5 / ALPHABET) - np.log(ordinary))
+
+
+def _pair_model(counts: np.ndarray, smooth: float) -> np.ndarray:
+    """P(next | character); a character that was hardly seen leans on the frequencies of all."""
+    single = counts.sum(axis=0) + smooth
+    single = single / single.sum()
+    return (counts + 20.0 * single) / (counts.sum(axis=1, keepdims=True) + 20.0)
 
 
 def _add(counts: np.ndarray, samples: list[str]) -> None:
