@@ -64,6 +64,21 @@ def once(df: DataFrame, label: str) -> DataFrame:
     return settle(df, label)
 
 
+def most_frequent(df: DataFrame, limit: int, column: str = "n", cap: int = 100_000) -> DataFrame:
+    """The rows with the highest counts, ``limit`` of them at most; rows with equal counts stay or go together.
+
+    Only the number of rows per count, at most ``cap`` numbers, comes to the driver: nothing is sorted or merged there.
+    """
+    per = df.groupBy(F.least(F.col(column), F.lit(cap)).alias("v")).agg(F.count(F.lit(1)).alias("c")).collect()
+    total, least = 0, cap + 1
+    for r in sorted(per, key=lambda r: -r["v"]):
+        total += r["c"]
+        if total > limit:
+            break
+        least = r["v"]
+    return df.where(F.col(column) >= least)
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Remove a scratch table that nothing reads any more."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantlake.llm.common import lists, once, over_texts
+from plantlake.llm.common import lists, most_frequent, once, over_texts
 
 STATES = 8
 ITERATIONS = 3
@@ -20,9 +20,9 @@ ITERATIONS = 3
 OWN = 4_096
 CLASSES = 256
 # most frequent words whose counts are sent to the tasks; all others are joined
-SENT = 250_000
+SENT = 150_000
 # most frequent symbols that the start of training clusters by their neighbours
-SEED_SYMBOLS = 512
+SEED_SYMBOLS = 256
 # symbols in one block of the forward and backward recursion
 BLOCK = 300_000
 
@@ -79,10 +79,11 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, train_docs: int) -> Vocabulary:
-    """The SENT most frequent words and the totals of all; the driver holds nothing that grows with the corpus."""
-    top = counts.orderBy(F.desc("n"), "word").limit(SENT).toPandas()
-    words = [bytes(w) for w in top["word"]]
-    n, classes = top["n"].to_numpy(np.int64), top["class"].to_numpy(np.int64)
+    """The most frequent words, SENT at most, and the totals of all; the driver holds nothing that grows with the corpus."""
+    top = most_frequent(counts, SENT).toArrow()
+    words, n, classes = top.column("word").to_pylist(), top.column("n").to_numpy(), top.column("class").to_numpy().astype(np.int64)
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    words, n, classes = [words[i] for i in order], n[order], classes[order]
     # CLASSES rows
     per = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     class_n, class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -231,9 +232,9 @@ def _sums(rows: DataFrame, fold, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "value"])
 
-    got = rows.select("symbols").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+    got = rows.select("symbols").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(size)
-    out[got["place"].to_numpy(np.int64)] = got["value"].to_numpy(np.float64)
+    out[got.column("place").to_numpy()] = got.column("value").to_numpy()
     return out
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from plantlake.joins import fits_broadcast, join_sized
-from plantlake.llm.common import drop_table, once, over_texts
+from plantlake.llm.common import drop_table, most_frequent, once, over_texts
 from plantlake.llm.graph import components
 
 N = 5
@@ -210,7 +210,7 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         yield frequent()
 
     both = once(over_texts(texts, run, CLASS_ROWS), "classes")
-    frequent = both.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON)
+    frequent = most_frequent(both.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")), COMMON)
     return both.where("is_doc").drop("is_doc"), frequent.select(F.col("key").alias("shingle"))
 
 

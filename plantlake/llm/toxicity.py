@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantlake.llm.common import crc_fold, over_texts, texts_of
+from plantlake.llm.common import crc_fold, most_frequent, once, over_texts, texts_of
 
 # labelled rows that the classifier is fitted on, at most about: a documented bound
 TRAIN_ROWS = 200_000
@@ -218,8 +218,8 @@ def train_toxic_model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAI
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     lexicon: dict[str, float] = {}
     if ones and zeros:
-        toxic = _feature_documents(for_lexicon.where("toxic = 1"), chars, None).where(F.col("n") >= LEAST_DOCS)
-        seen = {r["feature"]: r["n"] for r in toxic.orderBy(F.desc("n"), "feature").limit(LEXICON).collect()}
+        toxic = once(_feature_documents(for_lexicon.where("toxic = 1"), chars, None).where(F.col("n") >= LEAST_DOCS), "features")
+        seen = {r["feature"]: r["n"] for r in most_frequent(toxic, LEXICON).collect()}
         clean = {r["feature"]: r["n"] for r in _feature_documents(for_lexicon.where("toxic = 0"), chars, set(seen)).collect()}
         odds = {f: math.log((n + 0.5) / (ones + 1)) - math.log((clean.get(f, 0) + 0.5) / (zeros + 1)) for f, n in seen.items()}
         lexicon = {f: w for f, w in odds.items() if w >= LEAST_WEIGHT}
