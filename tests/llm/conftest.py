@@ -1,0 +1,10 @@
+from llm_tables import DOCS, rows_of
+import pytest
+
+
+@pytest.fixture
+def docs(spark):
+    def make(texts, rows=None):
+        return spark.createDataFrame(rows if rows is not None else rows_of(texts), DOCS)
+
+    return make
