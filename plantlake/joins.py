@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from plantlake.session import row_bytes, settle, settle_sized
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-# rows of one key that a single task may join, and the most keys treated as hot
+# rows of one key that a single task may join
 HOT_ROWS = 1_000_000
-MAX_HOT = 100_000
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -35,18 +34,12 @@ def join_sized(
     return join_hot(big, small, on, how)
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], rows: int = HOT_ROWS, max_keys: int = MAX_HOT) -> DataFrame | None:
-    """(on, _salts): keys with too many rows for one task, and over how many tasks to spread each.
-
-    A key is hot above ``rows`` rows, or above ``1/max_keys`` of the table if that is more. So there are
-    never more than ``max_keys`` of them, which bounds what is broadcast.
-    """
-    total = df.count()
-    if total <= rows:
+def hot_keys(df: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """(on, _salts): keys with more than ``rows`` rows, and over how many tasks to spread each."""
+    if df.count() <= rows:
         return None
-    limit = max(rows, -(-total // max_keys))
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    found = settle(counts.select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_salts")), "hot")
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows)
+    found = settle(counts.select(*on, F.ceil(F.col("_rows") / rows).cast("int").alias("_salts")), "hot")
     return None if found.isEmpty() else found
 
 
@@ -57,22 +50,20 @@ def join_hot(
     """Equi join of two large sides; rows of ``big`` with a hot key are spread, their partners repeated.
 
     ``how`` is left, inner, left_semi or left_anti. ``measured`` holds the result of an earlier
-    ``hot_keys`` on the same table. The salt comes from the row's own content, so that a recomputed
-    task gives every row the same salt.
+    ``hot_keys`` on the same table. Rows with a hot key are written once with a number of their own, which is their
+    salt: equal rows spread like any others, and a repeated task gives every row the same salt.
     """
     on = list(on)
     hot = measured[0] if measured else hot_keys(big, on, rows)
     if hot is None:
         return big.join(small, on, how)
-    salt = F.pmod(F.xxhash64(*big.columns), F.col("_salts")).cast("int")
-    all_salts = F.sequence(F.lit(0), F.col("_salts") - 1)
-    salted_big = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
-    salted_small = (
-        small.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(F.coalesce(all_salts, F.array(F.lit(0)))))
-        .drop("_salts")
-    )
-    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    numbered = settle(big.join(hot, on).withColumn("_salt", F.monotonically_increasing_id()), "hot-rows")
+    salted_big = numbered.withColumn("_salt", F.pmod("_salt", F.col("_salts").cast("long"))).drop("_salts")
+    all_salts = F.sequence(F.lit(0).cast("long"), F.col("_salts").cast("long") - 1)
+    salted_small = small.join(hot, on).withColumn("_salt", F.explode(all_salts)).drop("_salts")
+    spread = salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+    return big.join(hot, on, "left_anti").join(small, on, how).unionByName(spread)
 
 
 def left_join_key(left: DataFrame, right: DataFrame, left_key: str, right_key: str, row_id: str) -> DataFrame:

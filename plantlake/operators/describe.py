@@ -67,7 +67,11 @@ def describe(
         stats = cells.groupBy(*keys).agg(*plain, quartiles.alias("_q"))
         return stats.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])]).select(*order)
     quart = exact_quantiles(cells, keys, "value", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], accuracy)
-    return cells.groupBy(*keys).agg(*plain).join(quart, keys).select(*order)
+    same = F.struct(*keys).alias("_key")
+    stats = cells.groupBy(*keys).agg(*plain).select("*", same)
+    quart = quart.select(same, "q25", "q50", "q75")
+    # a null key is equal to itself inside a struct; a series without values has no quartiles
+    return stats.join(quart, "_key", "left").select(*order)
 
 
 def describe_labels(df: DataFrame, columns: Sequence[str], *, series_cols: Sequence[str] = ()) -> DataFrame:

@@ -42,10 +42,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """(node, distance) of every node within ``hops`` undirected steps of any seed.
 
-    One join per hop over the newly reached nodes only; a node is visited once, whatever its degree.
+    One join per hop over the newly reached nodes only; a node is visited once, whatever its degree. It ends early when
+    a hop reaches nothing new.
     """
-    if not 0 <= hops <= 3:
-        raise ValueError("hops must be 0 to 3")
+    if hops < 0:
+        raise ValueError("hops must not be negative")
     both = settle(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
     reached = settle(seeds.select("node").distinct().withColumn("distance", F.lit(0)), "reached")
     frontier, heavy = reached, (hot_keys(both, ["src"]),)
@@ -53,5 +54,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFram
         stepped = join_hot(both, frontier.select(F.col("node").alias("src")), ["src"], "inner", measured=heavy)
         fresh = stepped.select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
         frontier = settle(fresh.withColumn("distance", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached

@@ -26,10 +26,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per series with the linearly interpolated quantiles; nulls are skipped.
 
-    A band of more than ``window_rows`` distinct values is summed up in chunks instead of one window.
+    A band of more than ``window_rows`` distinct values is summed up in chunks instead of one window. A null key is a
+    series of its own: keys travel inside a struct, whose nulls are equal.
     """
-    series = list(series)
-    rows = df.where(F.col(value).isNotNull()).select(*series, F.col(value).cast("double").alias("_v"))
+    outer, series = list(series), ["_key"] if series else []
+    key = [F.struct(*outer).alias("_key")] if outer else []
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
     slack = 5.0 / accuracy
     m = len(probs)
     edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
@@ -59,7 +61,8 @@ def exact_quantiles(
     )
     counted = settle(counted, "bands")
     longest = counted.groupBy(*series, "_q").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    return _pick(counted, series, probs, names, chunked=longest > window_rows)
+    found = _pick(counted, series, probs, names, chunked=longest > window_rows)
+    return found.select(*[F.col("_key")[c].alias(c) for c in outer], *names)
 
 
 def weighted_quantile(counted: DataFrame, series: Sequence[str], value: str, weight: str, prob: float, name: str) -> DataFrame:

@@ -12,16 +12,16 @@ from plantlake.joins import join_sized
 
 # buckets made per generated block; a block is the unit of work when a grid is laid out
 BLOCK = 4096
-MAX_BUCKETS = 10**9
 
 
 def resample_mean(
     df: DataFrame, ts: str, rule: str = "D", columns: Sequence[str] | None = None, *,
-    series_cols: Sequence[str] = (), fill: bool = True, max_buckets: int = MAX_BUCKETS,
+    series_cols: Sequence[str] = (), fill: bool = True, max_buckets: int | None = None,
 ) -> DataFrame:
     """Mean of each numeric column per calendar bucket and series.
 
     Every bucket between the first and the last of a series is returned; without a value it is null.
+    ``max_buckets`` lets a caller refuse series longer than that; by default there is no limit.
     """
     r = parse_rule(rule)
     series = list(series_cols)
@@ -53,15 +53,15 @@ def resample_mean(
     return means.select(*series, r.label(F.col("_b"), F.col("_o")).alias(ts), *columns)
 
 
-def bucket_grid(span: DataFrame, keep: Sequence[str], max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def bucket_grid(span: DataFrame, keep: Sequence[str], max_buckets: int | None = None) -> DataFrame:
     """Rows (keep, _b) for every bucket number in [_from, _to], laid out block by block.
 
     The blocks of a long span are spread before they are filled, so no array holds a whole series.
     """
     size = F.col("_to") - F.col("_from") + 1
-    guard = F.when(
-        size > max_buckets, F.raise_error(F.format_string("%d buckets in one series", size)).cast("long")
-    ).otherwise(F.col("_from"))
+    guard = F.col("_from")
+    if max_buckets is not None:
+        guard = F.when(size > max_buckets, F.raise_error(F.format_string("%d buckets in one series", size)).cast("long")).otherwise(guard)
     blocks = span.select(
         *keep, "_to", F.explode(F.sequence(guard, F.col("_to"), F.lit(BLOCK).cast("long"))).alias("_start")
     ).repartition(*keep, "_start")

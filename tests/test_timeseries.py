@@ -336,3 +336,26 @@ def test_summary_is_json(spark, tmp_path):
     write_json(summarize(df, "ts"), str(tmp_path / "s"))
     text = next((tmp_path / "s").glob("part-*.json")).read_text()
     assert json.loads(text)["stats"]["v"]["mean"] == 1.0
+
+
+def test_null_and_far_series_are_alike_on_both_sides_of_a_switch(spark):
+    """A null series stays, a series far from the others keeps its digits, an empty table gives the same rows."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(120, 13))
+    base[:, 1] = base[:, 0] + 0.1 * base[:, 1]
+    rows = [(s, *map(float, r + (1e8 if s == "far" else 0.0))) for s in [None, "a", "far"] for r in base]
+    names = [f"c{i:02d}" for i in range(13)]
+    df = spark.createDataFrame(rows, "s string, " + ", ".join(f"{n} double" for n in names)).repartition(5)
+    few = {(r.s, r.a, r.b): (r.n, r.r) for r in correlation_pairs(df, names[:12], series_cols=["s"]).collect()}
+    many = {(r.s, r.a, r.b): (r.n, r.r) for r in correlation_pairs(df, names, series_cols=["s"]).collect()}
+    assert {k[0] for k in many} == {None, "a", "far"} and len(many) == 3 * 78
+    for key, (n, r) in few.items():
+        assert many[key][0] == n and many[key][1] == pytest.approx(r, abs=1e-6)
+    for columns in (names[:12], names):
+        pairs = correlation_pairs(df.drop("s").limit(0), columns).collect()
+        assert len(pairs) == len(columns) * (len(columns) - 1) // 2 and all(r.n == 0 and r.r is None for r in pairs)
+    plain = {(r.s, r.column): tuple(r) for r in describe(df, names[:2], series_cols=["s"]).collect()}
+    bands = {(r.s, r.column): tuple(r) for r in describe(df, names[:2], series_cols=["s"], percentile_rows=0).collect()}
+    assert set(plain) == set(bands) and len(plain) == 6
+    for key, want in plain.items():
+        assert bands[key][2:] == pytest.approx(want[2:], rel=1e-9)
