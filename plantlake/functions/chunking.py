@@ -122,14 +122,15 @@ def heading_chunks(
 
 
 def stamp_chunks(chunks: DataFrame, path: str, kind: str, ingested_at: str) -> DataFrame:
-    """Adds chunk_id, source, type and one ingestion time for the whole run.
+    """Adds chunk_id, path, source (the file's name), type and one ingestion time for the whole run.
 
-    The id is a digest of source, number and text, so the same file always gives the same chunks.
+    The id is a digest of path, number and text: the same file always gives the same chunks, and files of the same name in
+    different folders give different ones.
     """
     source = basename(F.col(path))
-    digest = F.sha2(F.concat_ws("\u0001", source, F.col("chunk_no").cast("string"), F.col("text")), 256)
+    digest = F.sha2(F.concat_ws("\u0001", F.col(path), F.col("chunk_no").cast("string"), F.col("text")), 256)
     return chunks.select(
-        digest.alias("chunk_id"), source.alias("source"), F.lit(kind).alias("type"),
+        digest.alias("chunk_id"), F.col(path).alias("path"), source.alias("source"), F.lit(kind).alias("type"),
         *[c for c in chunks.columns if c != path], F.lit(ingested_at).cast("timestamp").alias("ingested_at"),
     )
 

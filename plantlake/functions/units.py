@@ -40,14 +40,6 @@ CONTEXT_RULES = [
     KeywordRule(("10", "mg/nm"), "10mg/Nm³ emission limit particulates."),
 ]
 
-# fixed values: general information rules, in order
-GENERAL_RULES = [
-    KeywordRule(("eaf", "temperature"), "Sim:EAF Mn alloy temps 1400-1600°C."),
-    KeywordRule(("ppe", "furnace"), "Sim:PPE furnace:hard hats,shields,heat-gear,boots,respirators."),
-    KeywordRule(("manganese alloy", "uses"), "Sim:Mn alloys in steel(deoxidizers,alloying)&cast iron."),
-]
-
-
 def first_rule(text: Column, rules: Sequence[KeywordRule], default: Column | None = None) -> Column:
     """Answer of the first rule whose keywords all occur, else the default."""
     low = F.lower(text)
@@ -61,9 +53,9 @@ def first_rule(text: Column, rules: Sequence[KeywordRule], default: Column | Non
     return fallback if out is None else out.otherwise(fallback)
 
 
-def general_information(text: Column) -> Column:
-    default = F.concat(F.lit("Sim search for '"), text, F.lit("':General info..."))
-    return first_rule(text, GENERAL_RULES, default)
+def general_information(text: Column, rules: Sequence[KeywordRule]) -> Column:
+    """The answer of the caller's first rule that fits a question, null without one."""
+    return first_rule(text, rules)
 
 
 def to_fahrenheit(celsius: Column) -> Column:

@@ -9,7 +9,7 @@ from plantlake.functions.embedding import embed_column, hashing_embedder
 from plantlake.functions.text import (
     ANSWER, PREVIEW, basename, clean_code_argument, clean_markup, clean_model_output, cut, extension, file_kind, preview, strip_think,
 )
-from plantlake.functions.units import convert, general_information, phrase_parts, phrase_results
+from plantlake.functions.units import KeywordRule, convert, general_information, phrase_parts, phrase_results
 from plantlake.operators.answers import answer_questions
 from plantlake.operators.neighbours import cell_top_k, exact_top_k, hashed_top_k
 from plantlake.operators.trace import classify_steps, merge_pieces
@@ -46,12 +46,13 @@ def doc_heading_chunks(spark, folder):
 
 
 def _files(spark, folder) -> DataFrame:
-    """Documents as files of several kinds."""
+    """Documents as files of several kinds; names repeat over the folders, and some files are empty."""
     kinds = [".txt", ".MD", ".pdf", ".png", ".docx"]
     ext = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 5 + 1).cast("int"))
     return table(spark, folder, "documents").select(
-        F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"),
-        F.lit(INGESTED).cast("timestamp").alias("modified"), F.encode("text", "UTF-8").alias("content"), "lang",
+        F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/part"), (F.col("doc_id") % 7).cast("string"), ext).alias("path"),
+        F.lit(INGESTED).cast("timestamp").alias("modified"), "lang",
+        F.encode(F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")), "UTF-8").alias("content"),
     )
 
 
@@ -93,12 +94,13 @@ def doc_scan_files(spark, folder):
 
 
 def doc_collection(spark, folder):
-    """Chunks stored with their vectors, the same files added twice, counted per file."""
-    docs = busy_table(spark, folder, "documents", "doc_id", "source", "text").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    """Chunks stored with their vectors, the same files added twice, counted per file; file names repeat over the folders."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/part"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt"))
+    docs = busy_table(spark, folder, "documents", "doc_id", "source", "text").withColumn("path", path)
     store = Collection(spark, scratch_path(spark, "collection"), hashing_embedder(64))
     for _ in range(2):
         store.add(stamp_chunks(window_chunks(docs, "path", "text"), "path", "document", INGESTED))
-    return store.read().groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
+    return store.read().groupBy("path", "source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def doc_stream(spark, folder):
@@ -146,11 +148,15 @@ def doc_context_labels(spark, folder):
     return plant_events(spark, folder).select("event_id", parts["rule"].alias("rule"), parts["label"].alias("label"))
 
 
+TOPICS = [KeywordRule(("furnace", "temperature"), "heat"), KeywordRule(("furnace",), "furnace"), KeywordRule(("water", "use"), "supply")]
+
+
 def doc_general_information(spark, folder):
-    head = F.create_map(*[F.lit(x) for kv in {"click": "EAF temperature at ", "error": "PPE near the furnace ", "purchase": "Manganese alloy uses ",
-                                              "signup": "EAF power ", "view": "Uses of water "}.items() for x in kv])
+    """Questions about events, answered from a table of the caller's rules."""
+    head = F.create_map(*[F.lit(x) for kv in {"click": "Temperature of Furnace ", "error": "guards near the furnace ", "purchase": "furnace uses of water ",
+                                              "signup": "power ", "view": "Uses of WATER "}.items() for x in kv])
     text = F.concat(head[F.col("event_type")], F.col("k").cast("string"))
-    return plant_events(spark, folder).select("event_id", general_information(text).alias("answer"))
+    return plant_events(spark, folder).select("event_id", general_information(text, TOPICS).alias("answer"))
 
 
 def doc_converted_readings(spark, folder):
@@ -335,25 +341,24 @@ ORACLES = {
     "doc_windows_plain": with_sql(_windows_sql(800, 0)) + "SELECT doc_id, chunk_no, md5(text) AS digest, n_tokens FROM c",
     "doc_heading_chunks": "WITH RECURSIVE " + _packed_sql(BUDGET) + """ SELECT doc_id, c AS chunk_no, string_agg(text, chr(10) ORDER BY r) AS text, CAST(sum(n) AS INTEGER) AS n_tokens,
 any_value(lang || ' > ' || source) AS headings FROM g JOIN o USING (doc_id, r) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id) GROUP BY 1, 2""",
-    "doc_ingest_log": "WITH RECURSIVE " + _packed_sql(BUDGET, "(SELECT doc_id, text FROM documents WHERE lang <> 'en' AND doc_id % 5 < 2)") + f""",
-n AS (SELECT doc_id, max(c) + 1 AS n FROM g GROUP BY 1), f AS (SELECT *, '/corpus/' || source || '/' || doc_id || {_EXT} AS path, doc_id || {_EXT} AS file, doc_id % 5 AS k FROM documents)
+    "doc_ingest_log": "WITH RECURSIVE " + _packed_sql(BUDGET, "(SELECT doc_id, text FROM documents WHERE lang <> 'en' AND doc_id % 5 < 2 AND doc_id % 11 <> 0)") + f""",
+n AS (SELECT doc_id, max(c) + 1 AS n FROM g GROUP BY 1), f AS (SELECT *, '/corpus/' || source || '/' || doc_id || '/part' || doc_id % 7 || {_EXT} AS path, 'part' || doc_id % 7 || {_EXT} AS file, doc_id % 5 AS k FROM documents)
 SELECT path, file, CASE WHEN lang = 'en' THEN 'N/A (Skipped)' WHEN k < 3 THEN 'Doc' WHEN k = 3 THEN 'Img' ELSE 'Unknown' END AS type,
 CASE WHEN lang = 'en' THEN 'skipped' WHEN k = 4 THEN 'unsupported' WHEN n.n > 0 THEN 'ok' ELSE 'failed' END AS status,
 CASE WHEN lang <> 'en' THEN n.n END AS n_chunks FROM f LEFT JOIN n USING (doc_id)""",
-    "doc_stamps": with_sql(_PATHED, _windows_sql(200, 0, "d", "path")) + """SELECT sha256(string_split(path, '/')[-1] || chr(1) || chunk_no || chr(1) || text) AS chunk_id,
+    "doc_stamps": with_sql(_PATHED, _windows_sql(200, 0, "d", "path")) + """SELECT sha256(path || chr(1) || chunk_no || chr(1) || text) AS chunk_id,
 string_split(path, '/')[-1] AS source, 'document' AS type, chunk_no, n_tokens, '2024-03-01 00:00:00' AS ingested_at FROM c""",
     "doc_ingest_counts": """SELECT source, count(*) FILTER (length(l) > 0) AS n_chunks, count(*) FILTER (length(l) = 0) AS n_skipped
 FROM (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1""",
     "doc_non_empty": """SELECT lang, count(*) AS n, CAST(sum(length(l)) AS BIGINT) AS n_chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS l FROM documents)
 WHERE length(l) > 0 GROUP BY 1""",
     "doc_scan_files": "SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
-    "doc_collection": with_sql(_PATHED, _windows_sql(800, 0, "d", "path")) + "SELECT string_split(path, '/')[-1] AS source, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM c GROUP BY 1",
+    "doc_collection": with_sql(_PATHED.replace("'.txt'", "'/part' || doc_id % 7 || '.txt'"), _windows_sql(800, 0, "d", "path")) + "SELECT path, string_split(path, '/')[-1] AS source, count(*) AS n_chunks, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM c GROUP BY 1, 2",
     "doc_stream": f"SELECT CAST(sum(len({_words('text')})) AS BIGINT) AS n_tokens FROM documents",
     "doc_metadata": """SELECT doc_id, 'source' AS key, source AS value FROM documents UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR) FROM documents
 UNION ALL SELECT doc_id, 'long', CASE WHEN n_chars > 500 THEN 'true' ELSE 'false' END FROM documents UNION ALL SELECT doc_id, 'headings', lang || ' > ' || source FROM documents""",
-    "doc_images": f"""SELECT page_id || '.png' AS source, 'image_description' AS type, page_id || '.png' AS image_file, CASE WHEN t <> '' THEN t ELSE
-'This image appears to be an industrial diagram or schematic labeled ''' || page_id || '.png''. It likely shows industrial equipment, process flow, or system architecture relevant to industrial operations.' END AS text
-FROM (SELECT page_id, {_CLEAN} AS t FROM pages)""",
+    "doc_images": f"""SELECT page_id || '.png' AS source, 'image_description' AS type, page_id || '.png' AS image_file, t AS text
+FROM (SELECT page_id, {_CLEAN} AS t FROM pages) WHERE t <> ''""",
     "doc_unit_phrases": with_sql(PLANT_EVENTS_SQL, "a AS (SELECT event_id, event_type, k + 0.5::DOUBLE AS v FROM pe)") + " UNION ALL ".join(
         f"""SELECT event_id, '{rule}' AS rule, round(3e-9 + v, 4) + 0.0 AS amount, '{unit}' AS unit, '{to}' AS to_unit, round(3e-9 + {e}, 4) + 0.0 AS to_value FROM a WHERE event_type = '{kind}'"""
         for kind, rule, unit, to, e in [
@@ -366,9 +371,8 @@ FROM (SELECT page_id, {_CLEAN} AS t FROM pages)""",
     + """SELECT event_id, CASE WHEN event_type = 'signup' THEN 'pressure' WHEN l IS NOT NULL THEN 'context' ELSE 'none' END AS rule, CASE WHEN event_type <> 'signup' THEN l END AS label
 FROM (SELECT *, CASE WHEN contains(q, '1600') AND contains(q, '°c') THEN '1600°C very high, EAF smelting.' WHEN contains(q, '35') AND contains(q, 'mw') THEN '35MW high power, EAFs.'
 WHEN contains(q, '-10') AND contains(q, 'mbar') THEN '-10mbar slight vacuum, furnace extraction.' WHEN contains(q, '10') AND contains(q, 'mg/nm') THEN '10mg/Nm³ emission limit particulates.' END AS l FROM t)""",
-    "doc_general_information": with_sql(PLANT_EVENTS_SQL) + """SELECT event_id, CASE event_type WHEN 'click' THEN 'Sim:EAF Mn alloy temps 1400-1600°C.'
-WHEN 'error' THEN 'Sim:PPE furnace:hard hats,shields,heat-gear,boots,respirators.' WHEN 'purchase' THEN 'Sim:Mn alloys in steel(deoxidizers,alloying)&cast iron.'
-WHEN 'signup' THEN 'Sim search for ''EAF power ' || k || ''':General info...' ELSE 'Sim search for ''Uses of water ' || k || ''':General info...' END AS answer FROM pe""",
+    "doc_general_information": with_sql(PLANT_EVENTS_SQL) + """SELECT event_id, CASE event_type WHEN 'click' THEN 'heat' WHEN 'error' THEN 'furnace'
+WHEN 'purchase' THEN 'furnace' WHEN 'view' THEN 'supply' END AS answer FROM pe""",
     "doc_converted_readings": """SELECT event_id, round(3e-9 + CASE event_type WHEN 'click' THEN value * 100 WHEN 'error' THEN value * 6.89 WHEN 'purchase' THEN value / 10
 WHEN 'signup' THEN value END, 4) + 0.0 AS kpa, round(3e-9 + CASE event_type WHEN 'view' THEN value * 9 / 5 + 32 END, 4) + 0.0 AS fahrenheit FROM events""",
     "doc_previews": "SELECT doc_id, substr(text, 1, 70) || '...' AS preview, CAST(least(length(text), 1000) AS INTEGER) AS shown FROM documents",

@@ -60,24 +60,22 @@ def document_chunks(files: DataFrame, ingested_at: str, budget: int = BUDGET) ->
 
 
 def image_chunks(descriptions: DataFrame, ingested_at: str, model: str = "external") -> DataFrame:
-    """Image descriptions that came from elsewhere as text: ``descriptions(path, text)``."""
+    """Image descriptions that came from elsewhere as text: ``descriptions(path, text)``.
+
+    An image without a description gives no chunk, so the processing log shows it as failed.
+    """
     cleaned = descriptions.withColumn("text", clean_markup(F.col("text")))
     name = basename(F.col("path"))
-    generic = F.concat(
-        F.lit("This image appears to be an industrial diagram or schematic labeled '"), name,
-        F.lit("'. It likely shows industrial equipment, process flow, or system architecture relevant to industrial operations."),
-    )
-    body = F.when(F.length("text") > 0, F.col("text")).otherwise(generic)
-    note = F.when(F.length("text") == 0, F.lit("placeholder description")).alias("note")
-    one = cleaned.select("path", F.lit(0).alias("chunk_no"), body.alias("text"), name.alias("image_file"), F.lit(model).alias("vision_model"), note)
+    described = cleaned.where(F.length("text") > 0)
+    one = described.select("path", F.lit(0).alias("chunk_no"), "text", name.alias("image_file"), F.lit(model).alias("vision_model"))
     return stamp_chunks(one, "path", "image_description", ingested_at)
 
 
 def processing_log(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row per file: type, status and details (number of chunks, or what went wrong)."""
-    counts = chunks.groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("_n"))
+    """One row per file: type, status and details (number of chunks, or what went wrong); files are told apart by path."""
+    counts = chunks.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     seen = files.select("path", "file", "kind", "ext", F.col("text").isNotNull().alias("_readable"))
-    joined = seen.join(counts, "file", "left")
+    joined = seen.join(counts, "path", "left")
     n = F.coalesce("_n", F.lit(0))
     status = (
         F.when(F.col("kind").isNull(), UNSUPPORTED).when(n > 0, OK).otherwise(FAILED)

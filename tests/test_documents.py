@@ -12,7 +12,7 @@ from plantlake.functions.embedding import embed_column, hashing_embedder
 from plantlake.functions.text import (
     basename, clean_code_argument, clean_markup, clean_model_output, error_details, extension, file_kind, preview, strip_think,
 )
-from plantlake.functions.units import convert, general_information, phrase_parts, phrase_results
+from plantlake.functions.units import KeywordRule, convert, general_information, phrase_parts, phrase_results
 from plantlake.operators.answers import answer_questions, nearest_chunks
 from plantlake.operators.neighbours import cell_top_k, exact_top_k, hashed_top_k, top_k_in_cells
 from plantlake.operators.trace import classify_steps, media_type, merge_pieces
@@ -59,8 +59,9 @@ def test_unit_phrases(spark):
 
 
 def test_general_information(spark):
-    got = column(spark, ["EAF temperature?", "furnace PPE", "uses of manganese alloy", "eaf power"], general_information)
-    assert got[0].startswith("Sim:EAF") and got[1].startswith("Sim:PPE") and got[2].startswith("Sim:Mn") and got[3] == "Sim search for 'eaf power':General info..."
+    rules = [KeywordRule(("furnace", "heat"), "a"), KeywordRule(("furnace",), "b")]
+    got = column(spark, ["Heat of a FURNACE?", "furnace guards", "power"], lambda c: general_information(c, rules))
+    assert list(got) == ["a", "b", None]
 
 
 @pytest.mark.parametrize("size,overlap", [(5, 0), (5, 2), (3, 1), (800, 100)])
@@ -222,7 +223,23 @@ def test_corpus_log_and_retry(spark, tmp_path):
     assert {r.file for r in skipped_log(files, log).collect()} == {"a.txt", "B.MD"}
     pictures = image_chunks(spark.createDataFrame([("/x/e.png", "<b>furnace</b>"), ("/x/f.png", " ")], "path string, text string"), "2024-01-01")
     rows = {r.source: r for r in pictures.collect()}
-    assert rows["e.png"].text == "furnace" and rows["e.png"].note is None and "labeled 'f.png'" in rows["f.png"].text and rows["f.png"].note
+    # an image that nobody described has no chunk and is logged as failed
+    assert rows["e.png"].text == "furnace" and set(rows) == {"e.png"}
+
+
+def test_log_and_collection_tell_files_of_one_name_apart(spark, tmp_path):
+    for folder, text in [("a", "same words"), ("b", " \n"), ("c", "same words")]:
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "readme.md").write_text(text)
+    files = scan_files(spark, str(tmp_path / "in"))
+    chunks = document_chunks(files, "2024-01-01")
+    log = processing_log(files, chunks)
+    assert {r.path.split("/")[-2]: (r.status, r.details) for r in log.collect() if r.status == "ok"} == {"a": ("ok", "1 chunks"), "c": ("ok", "1 chunks")}
+    assert [r.path.split("/")[-2] for r in unseen(files, log).collect()] == ["b"]
+    store = Collection(spark, str(tmp_path / "store"), hashing_embedder(16))
+    for _ in range(2):
+        store.add(chunks)
+    assert store.read().count() == 2
 
 
 def test_collection_and_stream(spark, tmp_path):
