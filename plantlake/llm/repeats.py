@@ -17,8 +17,6 @@ LENGTH = 200
 LEAD = 32
 # suffixes of one bucket, and of one leading string beyond which its bucket is split
 BUCKET = 20_000
-# suffix positions of a document table that may be broadcast
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 _P = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
@@ -139,7 +137,8 @@ def _contexts(texts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(lead, key, pos, after, context): the bytes of all stretches of a suffix."""
     per = suffixes.groupBy("key").agg(F.collect_list(F.struct("lead", "pos", "before", "after")).alias("found"))
     per = per.select("key", *[F.col(f"found.{c}").alias(c) for c in ("lead", "pos", "before", "after")])
-    rows = join_sized(texts.select("key", "text"), per, ["key"], "inner", BROADCAST_BYTES)
+    # positions grow with the texts, so the two sides meet by key
+    rows = texts.select("key", "text").join(per, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -236,6 +235,27 @@ def repeated_runs(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return runs.unionByName(met.select("key", "start", "stop"))
 
 
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """(key, starts, stops): the maximal runs of every text, ascending."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, stops = [], []
+            for found in b.column("found").to_pylist():
+                merged: list[list[int]] = []
+                for s, e in sorted((r["start"], r["stop"]) for r in found):
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], e)
+                    else:
+                        merged.append([s, e])
+                starts.append([s for s, _ in merged])
+                stops.append([e for _, e in merged])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64()))], ["key", "starts", "stops"])
+
+    per = runs.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    return per.mapInArrow(merge, "key long, starts array<long>, stops array<long>")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """What is left of every text without the bytes of 200-byte strings that start anywhere else too.
 
@@ -254,9 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     long = texts.where(F.octet_length("text") >= LENGTH)
     copied = long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1")
     runs = repeated_runs(long).unionByName(copied.select("key", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
-    per = runs.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    per = per.select("key", F.col("found.start").alias("starts"), F.col("found.stop").alias("stops"))
-    joined = join_sized(texts, per, ["key"], "left", BROADCAST_BYTES)
+    joined = join_sized(texts, merged_runs(runs), ["key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,13 +282,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             starts, stops = b.column("starts"), b.column("stops")
             for i, text in enumerate(b.column("text").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
-                merged: list[list[int]] = []
-                if starts[i].is_valid:
-                    for s, e in sorted(zip(starts[i].as_py(), stops[i].as_py(), strict=True)):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], e)
-                        else:
-                            merged.append([s, e])
+                merged = list(zip(starts[i].as_py(), stops[i].as_py(), strict=True)) if starts[i].is_valid else []
                 at, left = 0, []
                 for s, e in merged:
                     left.append(data[at:s])
