@@ -16,7 +16,7 @@ from plantlake.session import scratch_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = train_toxic_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_texts(docs, model).where(F.col("score") < 0.5).drop("score")
+    return score_texts(docs, model, "_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

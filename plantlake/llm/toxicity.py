@@ -277,16 +277,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, base: float) -> np.ndarray:
     return w
 
 
-def score_texts(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """Add ``score`` (0 to 1, higher: toxic) to every row of ``docs``, from its text alone.
+def score_texts(docs: DataFrame, model: ToxicModel, name: str = "score") -> DataFrame:
+    """Add the score (0 to 1, higher: toxic) to every row of ``docs``, from its text alone.
 
-    Null text counts as empty. Equal texts score alike, other columns pass through, an empty table stays empty.
+    The new column is called ``name`` and takes the place of an old one of that name. Null text counts as empty. Equal texts
+    score alike, other columns pass through, an empty table stays empty.
     """
+    kept = [(c, t) for c, t in docs.dtypes if c != name]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.chars, model.lexicon)
         for b in batches:
             values = np.array([reader.features(t) for t in texts_of(b.column("text"))]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(values))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(values))], [*b.schema.names, name])
 
-    return over_texts(docs, score, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "score double"]))
+    return over_texts(docs.select(*[f"`{c}`" for c, _ in kept]), score, ", ".join([*(f"`{c}` {t}" for c, t in kept), f"`{name}` double"]))
