@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+import functools
 import math
 import re
 
@@ -37,6 +38,8 @@ _EDGE = ".,;:?\"'`[]{}<>()!#%&*~^|=/\\-_+"
 _NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£]|.*([^\W\d_])\1\1)")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\s.,!?;:])")
 _RUNS = re.compile(r"(.)\1+")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_DRAWN = re.compile(r"([^\W\d_])\1\1")
 FEATURES = ("log_sum", "best", "log_count", "share")
 
 
@@ -51,6 +54,7 @@ def _codes(text: str) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=65_536)
 def symbol(char: str) -> int:
     return int(_codes(char)[0])
 
@@ -140,33 +144,53 @@ def word_features(word: str) -> list[str]:
 
 
 class Reader:
-    """Restored words of texts, each distinct token decoded once per worker while the cache holds it."""
+    """Restored words of texts, each distinct token decoded once per worker while the cache holds it.
 
-    def __init__(self, model: CharModel, lexicon: dict[str, float]) -> None:
-        self.model, self.lexicon, self.seen = model, lexicon, {}
+    ``lexicon`` has the weight of each feature that counts; None lets all features count, without weights.
+    """
+
+    def __init__(self, model: CharModel, lexicon: dict[str, float] | None) -> None:
+        self.model, self.lexicon = model, lexicon
+        self.seen: dict[str, float] = {}
+        self.held: dict[str, tuple[str, ...]] = {}
+        words = {f[1:] for f in lexicon or () if f.startswith("=")}
         # doubled letters alone are common; they are looked into where the word without them is in the lexicon
-        self.short = {_RUNS.sub(r"\1", f[1:]) for f in lexicon if f.startswith("=")}
+        self.short = {_RUNS.sub(r"\1", w) for w in words}
+        # a word that begins like no feature has none
+        self.heads = None if lexicon is None else {w[:4] for w in words} | {f[:4] for f in lexicon if not f.startswith("=")}
 
     def word(self, token: str) -> str:
         core = token.strip(_EDGE)
         if len(core) > LONGEST or core.isdigit():
             return core
-        if _NOISY.match(core):
+        if not core.isalpha():
+            return self.model.restore(core) if _NOISY.match(core) else core
+        if (run := _DOUBLE.search(core)) is None:
+            return core
+        if _DRAWN.search(core, run.start()):
             return self.model.restore(core)
-        if self.short and (plain := _RUNS.sub(r"\1", core)) != core and plain in self.short and f"={core}" not in self.lexicon:
+        if self.short and _RUNS.sub(r"\1", core) in self.short and f"={core}" not in self.lexicon:
             return self.model.restore(core)
         return core
 
+    def found(self, token: str) -> tuple[str, ...]:
+        """The features of the restored token that count."""
+        out = self.held.get(token)
+        if out is None:
+            words, heads = self.word(token).split(), self.heads
+            if heads is None:
+                out = tuple(f for w in words for f in word_features(w))
+            else:
+                out = tuple(f for w in words if w[:4] in heads for f in word_features(w) if f in self.lexicon)
+            if len(self.held) >= CACHE:
+                self.held.clear()
+            self.held[token] = out
+        return out
+
     def weight(self, token: str) -> float:
         """The strongest evidence among the features of the restored token; 0 for none."""
-        found = self.seen.get(token)
-        if found is None:
-            lexicon = self.lexicon
-            found = max((lexicon.get(f, 0.0) for w in self.word(token).split() for f in word_features(w)), default=0.0)
-            if len(self.seen) >= CACHE:
-                self.seen = {t: w for t, w in self.seen.items() if w}
-            self.seen[token] = found
-        return found
+        words, heads, lexicon = self.word(token).split(), self.heads, self.lexicon
+        return max((lexicon.get(f, 0.0) for w in words if w[:4] in heads for f in word_features(w)), default=0.0)
 
     def tokens(self, text: str) -> list[str]:
         """Lower-case tokens; spelled-out words are put together first."""
@@ -176,8 +200,13 @@ class Reader:
         return text.split()
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        tokens = self.tokens(text)
-        hits = [w for w in map(self.weight, tokens) if w]
+        tokens, seen = self.tokens(text), self.seen
+        new = set(tokens).difference(seen)
+        if len(seen) + len(new) > CACHE:
+            self.seen = seen = {t: seen[t] for t in set(tokens).intersection(seen)}
+        for t in new:
+            seen[t] = self.weight(t)
+        hits = [w for w in map(seen.__getitem__, tokens) if w]
         total = sum(hits)
         return math.log1p(total), max(hits, default=0.0), math.log1p(len(hits)), total / (1.0 + len(tokens)) * 10.0
 
@@ -232,16 +261,14 @@ def _feature_documents(docs: DataFrame, chars: CharModel, only: set[str] | None)
     """(feature, n): documents that hold each feature, or each of a given set."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = Reader(chars, {}), Counter()
+        reader, counts = Reader(chars, None if only is None else dict.fromkeys(only, 0.0)), Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
 
         for b in batches:
             for text in texts_of(b.column("text")):
-                words = {w for t in set(reader.tokens(text)) for w in reader.word(t).split()}
-                found = {f for w in words for f in word_features(w)}
-                counts.update(found if only is None else found & only)
+                counts.update({f for t in set(reader.tokens(text)) for f in reader.found(t)})
             if len(counts) > 500_000:
                 yield out()
                 counts.clear()
