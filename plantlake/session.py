@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -23,7 +25,23 @@ def get_session(app: str = "plantlake", master: str | None = None, conf: dict |
     settings.update(conf or {})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; Spark's file server hands it out."""
+    context = spark.sparkContext
+    if getattr(context, "_plantlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="plantlake-code-")) / "plantlake.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._plantlake_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:

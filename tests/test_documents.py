@@ -287,3 +287,24 @@ def test_classify_steps(spark):
     assert out[0].content == "think ```" and out[1].content == "```python\nx\n```" and out[2].path == "results/plots/a.html"
     assert [r.mime_type for r in out[-2:]] == ["image/jpeg", "audio/mpeg"]
     assert column(spark, ["a.wav", "b"], media_type) == ["audio/wav", "image/png"]
+
+
+def test_python_stages_run_from_another_folder(tmp_path):
+    """The package reaches the workers when only the driver's sys.path knows it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from plantlake.session import get_session
+from plantlake.functions.chunking import heading_chunks
+spark = get_session("elsewhere", "local[2]", {{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+docs = spark.createDataFrame([(1, "# a" + chr(10) + "one two three")], "d int, text string")
+print("chunks", heading_chunks(docs, "d", "text", 2).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "chunks 2" in done.stdout, done.stderr[-2000:]
