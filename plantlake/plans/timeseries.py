@@ -53,6 +53,7 @@ FROM g LEFT JOIN b ON g.o_orderpriority = b.o_orderpriority AND g.u = b.u"""
 
 
 MONTH_NO = "(year(o_orderdate) * 12 + month(o_orderdate) - 1)"
+DAY_NO = "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"
 WEEK_NO = "CAST(floor((date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 3) / 7) AS BIGINT)"
 
 
@@ -337,6 +338,9 @@ QUERIES = {
     "ts_resample_month_end": _resampled("M", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     "ts_resample_month_start": _resampled("MS", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     "ts_resample_quarter": _resampled("Q", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
+    "ts_resample_business_day": _resampled("B", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
+    "ts_resample_week_monday": _resampled("W-MON", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
+    "ts_resample_quarter_start": _resampled("QS", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     "ts_resample_year": _resampled("Y", "orders", "o_orderdate", "o_totalprice", ["o_orderpriority"]),
     **{f.__name__: f for f in [
         ts_overview, ts_describe_labels, ts_histogram, ts_slice, ts_by_time, ts_numeric_columns, ts_present, ts_correlation,
@@ -409,6 +413,10 @@ ORACLES = {
     "ts_resample_7h": _fixed_sql("25200", "date_trunc('day', min(ts) OVER (PARTITION BY event_type))"),
     "ts_resample_day": _fixed_sql("86400", "TIMESTAMP '1970-01-01'"),
     "ts_resample_week": _calendar_sql(WEEK_NO, "DATE '1970-01-01' + CAST(g.u * 7 + 3 AS INTEGER)"),
+    "ts_resample_business_day": _calendar_sql(
+        f"CAST(floor(({DAY_NO} + 3) / 7.0) * 5 + least(({DAY_NO} + 3) % 7, 4) AS BIGINT)", "DATE '1970-01-01' + CAST(floor(g.u / 5.0) * 7 + g.u % 5 - 3 AS INTEGER)"),
+    "ts_resample_week_monday": _calendar_sql(f"CAST(floor(({DAY_NO} + 9) / 7.0) AS BIGINT)", "DATE '1970-01-01' + CAST(g.u * 7 - 3 AS INTEGER)"),
+    "ts_resample_quarter_start": _calendar_sql(f"CAST(floor(({MONTH_NO}) / 3.0) AS BIGINT)", _month_sql("g.u * 3")),
     "ts_resample_month_end": _calendar_sql(MONTH_NO, f"last_day({_month_sql('g.u')})"),
     "ts_resample_month_start": _calendar_sql(MONTH_NO, _month_sql("g.u")),
     "ts_resample_quarter": _calendar_sql(f"CAST(floor({MONTH_NO} / 3) AS BIGINT)", f"last_day({_month_sql('g.u * 3 + 2')})"),

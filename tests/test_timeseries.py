@@ -30,7 +30,7 @@ def readings(spark):
     return pdf.sample(frac=1, random_state=1), spark.createDataFrame(pdf.sample(frac=1, random_state=2), "ts timestamp, value double")
 
 
-@pytest.mark.parametrize("rule", ["D", "h", "7h", "5h", "90min", "2D", "3D", "W", "2W", "3W", "ME", "2ME", "MS", "2MS", "QE", "YE", "45s"])
+@pytest.mark.parametrize("rule", ["D", "h", "7h", "5h", "90min", "2D", "3D", "W", "2W", "3W", "ME", "2ME", "MS", "2MS", "QE", "YE", "45s", "B", "W-MON", "2W-WED", "W-SAT", "QS", "2QS", "YS"])
 def test_resample_like_pandas(readings, rule):
     pdf, df = readings
     if rule == "45s":
@@ -56,7 +56,7 @@ def test_resample_series_are_independent(spark, readings):
 
 def test_resample_refuses(spark, readings):
     with pytest.raises(ValueError):
-        parse_rule("2B")
+        parse_rule("2X")
     with pytest.raises(ValueError):
         resample_mean(readings[1], "ts", "D", ["nothing"])
     with pytest.raises(Exception, match="buckets in one series"):
