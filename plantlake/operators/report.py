@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plantlake.functions.calendar import period_start
+from plantlake.functions.calendar import month_label, period_start
 from plantlake.functions.ids import short_id
 
 # fixed values: thresholds and length of the two lists
@@ -74,10 +74,18 @@ def top_work_orders(work_orders: DataFrame, keys: Sequence[str] = ("plant",), n:
 
 def production_report(
     batches: DataFrame, downtime: DataFrame, work_orders: DataFrame, as_of: Column | None = None,
-    keys: Sequence[str] = ("plant",), price: float = 0.1,
+    keys: Sequence[str] = ("plant",), price: float = 0.1, month: str | None = None,
 ) -> dict[str, DataFrame]:
-    """The four tables of the report, each keyed by plant."""
-    b, d, m = in_period(batches, "Date", as_of), in_period(downtime, "StartTime", as_of), in_period(work_orders, "Date", as_of)
+    """The four tables of the report, each keyed by plant, or by plant and month.
+
+    ``month`` is a date pattern such as ``yyyy_MM``: every month of the tables then has its own report, instead of the
+    period up to ``as_of``.
+    """
+    if month is None:
+        b, d, m = in_period(batches, "Date", as_of), in_period(downtime, "StartTime", as_of), in_period(work_orders, "Date", as_of)
+    else:
+        b, d, m = (df.withColumn("month", month_label(F.col(time), month)) for df, time in [(batches, "Date"), (downtime, "StartTime"), (work_orders, "Date")])
+        keys = [*keys, "month"]
     return {
         "kpis": period_kpis(b, d, m, keys, price),
         "alloys": alloy_table(b, keys),

@@ -117,6 +117,13 @@ def ev_report_kpis(spark, folder):
     return out.select("plant", "n_batches", *[rounded(c).alias(c) for c in ["kwh_per_ton", "tons", "downtime_hours", "maintenance_cost", "energy_cost"]])
 
 
+def ev_report_months(spark, folder):
+    """Report of every plant and month of the year; batches, downtime and work orders share both keys."""
+    made = batches(spark, folder).withColumn("plant", F.element_at(F.array(*[F.lit(f"PL{c}") for c in "ABC"]), (F.col("BatchID") % 3 + 1).cast("int")))
+    out = report.production_report(made, downtime(spark, folder), work_orders(spark, folder), month="MM")["kpis"]
+    return out.select("plant", "month", "n_batches", *[rounded(c).alias(c) for c in ["kwh_per_ton", "tons", "downtime_hours", "maintenance_cost", "energy_cost"]])
+
+
 def ev_report_alloys(spark, folder):
     return report.alloy_table(_report(spark, folder)).select("plant", "AlloyType", "n_batches", rounded("tons").alias("tons"), rounded("kwh_per_ton").alias("kwh_per_ton"))
 
@@ -232,7 +239,7 @@ QUERIES = {
 } | {f.__name__: f for f in [
     ev_needs_downtime, ev_triggers_maintenance, ev_of_plant, ev_downtime_with_alarm, ev_work_order_causes, ev_resolution, ev_unlinked,
     ev_dangling, ev_attribute_work_orders, ev_same_day_downtime, ev_event_chain, ev_trigger_lookup,
-    ev_cause_candidates, ev_report_kpis, ev_report_alloys, ev_report_downtime, ev_report_work_orders, ev_distinct_links, ev_lab_batches,
+    ev_cause_candidates, ev_report_kpis, ev_report_months, ev_report_alloys, ev_report_downtime, ev_report_work_orders, ev_distinct_links, ev_lab_batches,
     ev_quality, ev_iron_closure, ev_emissions, ev_incident_rollup, ev_file_edges, ev_degrees, ev_neighbourhood, ev_text_ids, ev_first_ids,
     ev_tag_parts, ev_alarm_records, ev_inventory_roundtrip,
 ]}
@@ -355,3 +362,12 @@ m AS (SELECT plant, sum(Cost) AS c FROM work_orders WHERE {_PERIOD_EVENTS.format
 SELECT plant, coalesce(n_batches, 0) AS n_batches, round(3e-9 + coalesce(k, 0), 4) + 0.0 AS kwh_per_ton, round(3e-9 + coalesce(tons, 0), 4) + 0.0 AS tons,
 round(3e-9 + coalesce(h, 0), 4) + 0.0 AS downtime_hours, round(3e-9 + coalesce(c, 0), 4) + 0.0 AS maintenance_cost, round(3e-9 + coalesce(k, 0) * coalesce(tons, 0) * 0.1, 4) + 0.0 AS energy_cost
 FROM b FULL JOIN d USING (plant) FULL JOIN m USING (plant)"""
+
+ORACLES["ev_report_months"] = V[:-1] + ", " + BATCHES_SQL + """,
+b AS (SELECT 'PL' || chr(CAST(65 + BatchID % 3 AS INTEGER)) AS plant, strftime(Date, '%m') AS month, count(*) AS n_batches,
+  avg(CASE WHEN TapWeight_tons > 0 THEN Energy_kWh / TapWeight_tons END) AS k, sum(TapWeight_tons) AS tons FROM batches GROUP BY 1, 2),
+d AS (SELECT plant, strftime(StartTime, '%m') AS month, sum(DurationHours) AS h FROM downtime GROUP BY 1, 2),
+m AS (SELECT plant, strftime(Date, '%m') AS month, sum(Cost) AS c FROM work_orders GROUP BY 1, 2)
+SELECT plant, month, coalesce(n_batches, 0) AS n_batches, round(3e-9 + coalesce(k, 0), 4) + 0.0 AS kwh_per_ton, round(3e-9 + coalesce(tons, 0), 4) + 0.0 AS tons,
+round(3e-9 + coalesce(h, 0), 4) + 0.0 AS downtime_hours, round(3e-9 + coalesce(c, 0), 4) + 0.0 AS maintenance_cost, round(3e-9 + coalesce(k, 0) * coalesce(tons, 0) * 0.1, 4) + 0.0 AS energy_cost
+FROM b FULL JOIN d USING (plant, month) FULL JOIN m USING (plant, month)"""
