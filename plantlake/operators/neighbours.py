@@ -190,7 +190,10 @@ def _as_vector(df: DataFrame) -> DataFrame:
 def hashed_top_k(
     questions: DataFrame, chunks: DataFrame, k: int = K, *, bucket_length: float = 1.0, tables: int = 4, seed: int = 42
 ) -> DataFrame:
-    """Approximate k nearest by L2: only chunks in one of the question's hash buckets are compared."""
+    """Approximate k nearest by L2: only chunks in one of the question's hash buckets are compared.
+
+    A question whose buckets hold fewer than k chunks is answered exactly, so that every question gets its k rows.
+    """
     stored = settle(_as_vector(chunks.select("chunk_id", "embedding")), "hashed")
     lsh = BucketedRandomProjectionLSH(
         inputCol="_vec", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
@@ -201,7 +204,19 @@ def hashed_top_k(
         return hashed.select(key, "embedding", F.xxhash64("_table", vector_to_array("_h")).alias("cell"))
 
     asked = settle(_as_vector(questions.select("question_id", "embedding")), "hashed")
-    return top_k_in_cells(cells(asked, "question_id"), cells(stored, "chunk_id"), k, "l2")
+    found = top_k_in_cells(cells(asked, "question_id"), cells(stored, "chunk_id"), k, "l2")
+    return completed(found, questions, chunks, k)
+
+
+def completed(found: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``found`` with the questions that are short of k chunks answered by exact search."""
+    found = settle(found, "found")
+    whole = min(k, chunks.where(F.col("embedding").isNotNull()).limit(k).count())
+    enough = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= whole).select("question_id")
+    short = settle(questions.where(F.col("embedding").isNotNull()).join(enough, "question_id", "left_anti").select("question_id", "embedding"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(short.select("question_id"), "question_id", "left_anti").unionByName(exact_top_k(short, chunks, k))
 
 
 def coarse_cells(chunks: DataFrame, cells: int, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, np.ndarray]:
@@ -217,7 +232,7 @@ def cell_top_k(
 ) -> DataFrame:
     """Approximate k nearest by L2: each question looks into its ``probes`` nearest cells.
 
-    With as many probes as cells the result is exact.
+    With as many probes as cells the result is exact. A question whose cells hold fewer than k chunks is answered exactly.
     """
     placed, centres = coarse_cells(chunks, cells, seed)
     shared = chunks.sparkSession.sparkContext.broadcast(centres)
@@ -231,4 +246,4 @@ def cell_top_k(
         return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :visits]))
 
     asked = questions.select("question_id", "embedding", F.explode(near_cells("embedding")).alias("cell"))
-    return top_k_in_cells(asked, placed, k, "l2")
+    return completed(top_k_in_cells(asked, placed, k, "l2"), questions, chunks, k)

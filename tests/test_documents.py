@@ -308,3 +308,16 @@ print("chunks", heading_chunks(docs, "d", "text", 2).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "chunks 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_indexes_always_give_k_rows(spark):
+    """A question far from every chunk, and more rows asked for than the probed cells hold."""
+    from plantlake.operators.neighbours import cell_top_k, exact_top_k, hashed_top_k
+
+    chunks = spark.createDataFrame([(i, [float(i % 5), float(i // 5)]) for i in range(40)], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [500.0, -300.0]), (2, [1.1, 2.2])], "question_id long, embedding array<double>")
+    want = {tuple(r) for r in exact_top_k(asked, chunks, 3).where("question_id = 1").collect()}
+    for got in (hashed_top_k(asked, chunks, 3, bucket_length=1.0).collect(), cell_top_k(asked, chunks, 3, cells=16, probes=1).collect()):
+        assert sorted((r["question_id"], r["rank"]) for r in got) == [(q, k) for q in (1, 2) for k in (1, 2, 3)]
+    assert {tuple(r) for r in hashed_top_k(asked, chunks, 3, bucket_length=1.0).where("question_id = 1").collect()} == want
+    assert hashed_top_k(asked, chunks.limit(2), 3).count() == 4
