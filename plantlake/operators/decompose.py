@@ -177,9 +177,13 @@ def season_strength(
     df: DataFrame, ts: str, value: str, period: int, model: str = "additive", *,
     series_cols: Sequence[str] = (), tie_cols: Sequence[str] = (), window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """One row per series: n, status and the two strengths (null unless the status is ``ok``)."""
+    """One row per series: n, status and the two strengths (null unless the status is ``ok``).
+
+    Rows without a series key belong to no series and are left out, as in ``decompose``.
+    """
     _check(period, model)
     series = list(series_cols)
+    df = df.dropna(subset=series) if series else df
     facts = settle(
         present(df, value).groupBy(*series).agg(F.count(F.lit(1)).alias("n"), F.min(number(value)).alias("_lowest")), "facts"
     )
