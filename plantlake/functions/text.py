@@ -12,6 +12,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"{SPACE}+\z|\A{SPACE}+", "")
 
 
+# the patterns of clean_markup and of the code fences below are fixed values
 def clean_markup(text: Column) -> Column:
     """Tags to spaces, white space runs to one space, empty bold and underline marks dropped, trimmed."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " ")

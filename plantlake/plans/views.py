@@ -43,12 +43,11 @@ def pick_sql(no: str, values: list[str]) -> str:
 
 PLANT_CODES = ["PLA", "PLB", "PLC"]
 PRIORITIES = ["Low", "Medium", "High", "Critical"]
-REASONS = [
-    "Unplanned Maintenance", "Planned Maintenance", "Equipment Failure", "Operator Error", "No Raw Material",
-    "Utility Outage", "Safety Stop",
-]
-MAINTENANCE = ["Preventive", "Corrective", "Predictive", "Breakdown", "Improvement"]
-INCIDENTS = ["Near Miss", "First Aid Injury", "Lost Time Injury", "Property Damage", "Environmental Spill"]
+# fixed values among them: words that operators look for
+REASONS = ["worn part", "Planned Maintenance", "Equipment Failure", "power dip", "Unplanned Maintenance", "crew change", "Safety Stop"]
+MAINTENANCE = ["inspect", "Corrective", "Breakdown", "lubricate", "calibrate"]
+INCIDENTS = ["trip hazard", "hot metal splash", "dropped load", "gas smell", "blocked exit"]
+# fixed values: severities, two of which the cause operators count as serious
 SEVERITIES = ["Minor", "Moderate", "Serious", "Major"]
 AREAS = ["RMH", "SMT", "REF", "CST"]
 
