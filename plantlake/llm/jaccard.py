@@ -20,7 +20,7 @@ OFTEN = 3
 # n-grams that a task counts together
 COUNTED = 4_000_000
 # classes of a shared n-gram that all its others are held against first
-STARS = 3
+STARS = 8
 # documents of one block of the product
 BLOCK_DOCS = 2_048
 
@@ -118,8 +118,9 @@ def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -
     per_class = [F.max("n").alias("n"), F.max("plain").alias("plain"), F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")]
     sizes = once(classes.where("n > 0").groupBy("key").agg(*per_class), "sizes")
     state = columns.join(sizes.drop("text_hash", "sketch"), "key")
-    lead = lambda first, turn: F.max(F.struct(*first, F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n"))
-    found = [lead([F.col("plain")] if not k else [], k) for k in range(stars)]
+    # the classes of a column fall into ``stars`` parts by hash; of each part the one nearest the middle of its copies leads
+    mine = lambda k: F.when(F.pmod(F.xxhash64("key"), F.lit(stars)) == k, F.col("plain")).otherwise(-1.0).alias("middle")
+    found = [F.max(F.struct(mine(k), F.xxhash64("key", F.lit(k)).alias("h"), "key", "n")) for k in range(stars)]
     leads = F.array_distinct(F.array(*[F.struct(x["key"].alias("key"), x["n"].alias("n")) for x in found]))
     shared = state.groupBy("shingle").agg(leads.alias("leads"))
     pairs = state.join(shared, "shingle").select("key", "n", F.explode("leads").alias("lead"))
