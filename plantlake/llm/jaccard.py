@@ -21,6 +21,8 @@ OFTEN = 3
 COUNTED = 4_000_000
 # classes of a shared n-gram that all its others are held against first
 STARS = 8
+# classes of a column from which all leads are used, three below
+LONG = 64
 # documents of one block of the product
 BLOCK_DOCS = 2_048
 
@@ -122,7 +124,9 @@ def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -
     mine = lambda k: F.when(F.pmod(F.xxhash64("key"), F.lit(stars)) == k, F.col("plain")).otherwise(-1.0).alias("middle")
     found = [F.max(F.struct(mine(k), F.xxhash64("key", F.lit(k)).alias("h"), "key", "n")) for k in range(stars)]
     leads = F.array_distinct(F.array(*[F.struct(x["key"].alias("key"), x["n"].alias("n")) for x in found]))
-    shared = state.groupBy("shingle").agg(leads.alias("leads"))
+    # a short column needs few leads
+    shared = state.groupBy("shingle").agg(leads.alias("leads"), F.count(F.lit(1)).alias("size"))
+    shared = shared.select("shingle", F.when(F.col("size") > LONG, F.col("leads")).otherwise(F.slice("leads", 1, 3)).alias("leads"))
     pairs = state.join(shared, "shingle").select("key", "n", F.explode("leads").alias("lead"))
     fit = once(_fitting(pairs.select("key", "n", F.col("lead.key").alias("key_b"), F.col("lead.n").alias("n_b")), percent), "pairs")
     links = once(verified(texts, sizes, fit, percent, n, block_docs), "verified")
@@ -255,7 +259,7 @@ def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataF
 
 def verified(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int, n: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity: first by what their sketches allow, then by the sets themselves."""
-    pairs = once(_product(pairs, sizes.select("key", F.col("sketch").alias("data")), _bound(percent), block_docs), "allowed")
+    pairs = once(_product(pairs, sizes.select("key", F.col("sketch").alias("data")), _bound(percent), 8 * block_docs), "allowed")
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _sets(texts, ends.join(sizes, "key").select("key", "text_hash"), n)
     return _product(pairs, sets.select("key", F.col("shingles").alias("data")), _overlap(percent), block_docs)
