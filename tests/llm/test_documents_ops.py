@@ -20,7 +20,7 @@ from plantlake.llm.repeats import remove_repeats
 from plantlake.llm.secrets import KINDS, base_spans, find_secrets, redact, spans_text, train_secret_model
 from plantlake.llm.token_files import read_token_files, with_crc, write_token_files
 
-from llm_tables import DOCS, ODD
+from llm_tables import DOCS, ODD, docs  # noqa: F401
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 TRICKY = [
@@ -246,7 +246,7 @@ def copies(seed, groups=12):
     return out + out[-6:] + [t.upper() for t in out[-3:]]
 
 
-@pytest.mark.parametrize("seed,stars,block", [(1, 3, 2_048), (2, 1, 7), (3, 2, 16)])
+@pytest.mark.parametrize("seed,stars,block", [(1, 8, 2_048), (2, 1, 7)])
 def test_near_duplicates(docs, seed, stars, block):
     texts = copies(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(texts), stars=stars, block_docs=block).collect()}

@@ -19,7 +19,7 @@ from plantlake.llm.neighbour_graph import nearest
 from plantlake.llm.range_join import range_join
 from plantlake.llm.toxicity import SYMBOLS, CharModel, Reader, score_texts, symbol, train_char_model, train_toxic_model, word_features
 
-from llm_tables import ODD
+from llm_tables import ODD, docs  # noqa: F401
 
 MILD = ["river", "stone", "garden", "window", "letter", "market", "winter", "yellow", "basket", "castle"]
 
