@@ -5,9 +5,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry_point
+from plantlake.plans import ALL_ORACLES, ALL_QUERIES
 from verify import TABLES, rows_of
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = ALL_QUERIES, ALL_ORACLES
 NO_SQL = {"ts_iforest", "ts_iforest_share", "doc_top_k_hashed", "doc_top_k_cells", "doc_answers_text"}
 
 
@@ -21,6 +22,7 @@ def con():
 
 def test_registry():
     assert set(QUERIES) - set(ORACLES) == NO_SQL and set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
