@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 import zlib
 
@@ -220,7 +220,7 @@ def expected_counts(model: HiddenMarkov, sequences: list[np.ndarray]) -> tuple[n
     return starts, moves, emits, total
 
 
-def _sums(rows: DataFrame, fold, size: int) -> np.ndarray:
+def _sums(rows: DataFrame, fold: Callable[[list[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
     """Add up one vector per task: Spark sums (place, value), ``size`` numbers come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -218,14 +218,15 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int =
                 q = np.frombuffer(code.as_py(), np.int8).astype(np.float32)
                 near.append(member.values.to_numpy())
                 dist.append(((x - q) ** 2).sum(axis=1))
+            if not near:
+                continue
             counts = np.array([len(n) for n in near])
             yield pa.RecordBatch.from_arrays(
                 [b.column("qid"), lists(np.concatenate(near), counts, pa.int64()), lists(np.concatenate(dist), counts, pa.float32())], ["qid", "near", "dist"]
-            ) if len(near) else b.select(["qid"])
+            )
 
     def step(walk: pa.Table, found: pa.Table) -> pa.Table:
-        if not walk.num_rows:
-            return walk.select([])
+        # every front belongs to a walk
         row = walk.slice(0, 1).to_pylist()[0]
         best = sorted((d, n) for d, n, o in zip(row["dist"], row["near"], row["opened"], strict=True) if not o)[:opened]
         done = {n for n, o in zip(row["near"], row["opened"], strict=True) if o} | {n for _, n in best}
