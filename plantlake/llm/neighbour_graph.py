@@ -27,25 +27,26 @@ OPENED = 48
 STEPS = 40
 
 
-def _small(vectors: DataFrame) -> DataFrame:
-    """(cid, code): vectors in one byte per component, for work on the graph; results use the vectors themselves."""
-    top = vectors.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("m")).first()["m"] or 1.0
+def _codes_of(vectors: DataFrame) -> DataFrame:
+    """(cid, code): vectors in single precision, for work on the graph; results use the vectors themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = [np.round(np.asarray(v.values.to_numpy(), np.float64) * (127.0 / top)).astype(np.int8).tobytes() for v in b.column("vec")]
+            codes = [v.values.to_numpy(zero_copy_only=False).astype(np.float32).tobytes() for v in b.column("vec")]
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(codes, pa.binary())], ["cid", "code"])
 
     return once(vectors.select("cid", "vec").mapInArrow(run, "cid long, code binary"), "codes")
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    """Byte codes as a float matrix; all codes of a column have one length."""
+    """Codes as a matrix in double precision, so that near copies far from the origin stay apart; all codes of a column have one length."""
     parts = column.to_pylist()
-    return np.frombuffer(b"".join(parts), np.int8).reshape(len(parts), -1).astype(np.float32) if parts else np.zeros((0, 0), np.float32)
+    return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), -1).astype(np.float64) if parts else np.zeros((0, 0))
 
 
 def _pair_distances(x: np.ndarray) -> np.ndarray:
+    # the origin plays no part, and close to one of the vectors the squares of a tight group lose nothing
+    x = x - x[:1]
     square = (x * x).sum(axis=1)
     out = square[:, None] + square[None, :] - 2.0 * (x @ x.T)
     return np.maximum(out, 0.0)
@@ -69,10 +70,10 @@ def _rows(node: np.ndarray, near: np.ndarray, dist: np.ndarray) -> pa.Table:
     """One row per node from sorted flat lists."""
     starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(node)))
-    return pa.table({"node": pa.array(node[starts], pa.int64()), "near": lists(near, counts, pa.int64()), "dist": lists(dist.astype(np.float32), counts, pa.float32())})
+    return pa.table({"node": pa.array(node[starts], pa.int64()), "near": lists(near, counts, pa.int64()), "dist": lists(dist, counts, pa.float64())})
 
 
-LISTS = "node long, near array<long>, dist array<float>"
+LISTS = "node long, near array<long>, dist array<double>"
 
 
 def _merged(found: DataFrame, keep: int) -> DataFrame:
@@ -163,7 +164,7 @@ def _improve(members: DataFrame, near: int) -> DataFrame:
                         held.clear()
         yield from out()
 
-    worst = F.when(F.col("k") < near, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float")
+    worst = F.when(F.col("k") < near, F.lit(float("inf"))).otherwise(F.col("worst"))
     grouped = members.withColumn("worst", worst).groupBy("center").agg(*[F.collect_list(c).alias(c) for c in ("member", "fresh", "worst", "code")])
     return grouped.mapInArrow(run, LISTS)
 
@@ -178,7 +179,7 @@ def neighbour_graph(codes: DataFrame, near: int = NEAR, named: int = NAMED, roun
     total = codes.count()
     first = _first_graph(codes, near, leaf, starts, total).withColumn("fresh", F.transform("near", lambda _: F.lit(True)))
     # a node that met nobody still belongs to the graph
-    empty = codes.select(F.col("cid").alias("node"), F.array().cast("array<long>").alias("near"), F.array().cast("array<float>").alias("dist"), F.array().cast("array<boolean>").alias("fresh"))
+    empty = codes.select(F.col("cid").alias("node"), F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("dist"), F.array().cast("array<boolean>").alias("fresh"))
     graph = once(first.unionByName(empty.join(first.select("node"), "node", "left_anti")), "graph")
     for turn in range(rounds):
         found = _improve(_members(graph.where(F.size("near") > 0), codes, named, turn), near)
@@ -194,11 +195,19 @@ def neighbour_graph(codes: DataFrame, near: int = NEAR, named: int = NAMED, roun
     return graph
 
 
-STATE = "qid long, code binary, seen array<long>, near array<long>, dist array<float>, opened array<boolean>"
+def _leading(ranked: list[tuple[float, int]], kept: int) -> list[tuple[float, int]]:
+    """The first ``kept`` candidates and all that are as near as the last of them."""
+    end = min(kept, len(ranked))
+    while 0 < end < len(ranked) and ranked[end][0] == ranked[end - 1][0]:
+        end += 1
+    return ranked[:end]
+
+
+STATE = "qid long, code binary, seen array<long>, near array<long>, dist array<double>, opened array<boolean>"
 
 
 def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int = NAMED, kept: int = KEPT, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
-    """(qid, near): the ``kept`` best nodes that a greedy walk from each query's own node finds, for (qid) nodes of the graph.
+    """(qid, near): the ``kept`` best nodes, and their ties, that a greedy walk from each query's own node finds, for (qid) nodes of the graph.
 
     A round opens the best nodes not opened yet: they are joined with the lists of the graph, which carry the codes of the
     neighbours, so that only nodes and distances travel back to the query. A walk ends when its best nodes are all opened.
@@ -206,7 +215,7 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int =
     spark = codes.sparkSession
     around = once(_members(graph.where(F.size("near") > 0), codes, named, 0).groupBy("center").agg(F.collect_list("member").alias("member"), F.collect_list("code").alias("codes")), "around")
     start = queries.join(codes, queries["qid"] == codes["cid"]).select(
-        "qid", "code", F.array("qid").alias("seen"), F.array("qid").alias("near"), F.array(F.lit(0.0).cast("float")).alias("dist"), F.array(F.lit(False)).alias("opened"),
+        "qid", "code", F.array("qid").alias("seen"), F.array("qid").alias("near"), F.array(F.lit(0.0)).alias("dist"), F.array(F.lit(False)).alias("opened"),
     )
     state = once(start, "walks")
 
@@ -215,14 +224,14 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int =
             near, dist = [], []
             for code, member, codes_ in zip(b.column("code"), b.column("member"), b.column("codes"), strict=True):
                 x = _codes(codes_.values)
-                q = np.frombuffer(code.as_py(), np.int8).astype(np.float32)
+                q = np.frombuffer(code.as_py(), np.float32).astype(np.float64)
                 near.append(member.values.to_numpy())
                 dist.append(((x - q) ** 2).sum(axis=1))
             if not near:
                 continue
             counts = np.array([len(n) for n in near])
             yield pa.RecordBatch.from_arrays(
-                [b.column("qid"), lists(np.concatenate(near), counts, pa.int64()), lists(np.concatenate(dist), counts, pa.float32())], ["qid", "near", "dist"]
+                [b.column("qid"), lists(np.concatenate(near), counts, pa.int64()), lists(np.concatenate(dist), counts, pa.float64())], ["qid", "near", "dist"]
             )
 
     def step(walk: pa.Table, found: pa.Table) -> pa.Table:
@@ -234,10 +243,10 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int =
         new: dict[int, float] = {}
         for ns, ds in zip(found.column("near").to_pylist(), found.column("dist").to_pylist(), strict=True):
             new.update((n, d) for n, d in zip(ns, ds, strict=True) if n not in seen)
-        ranked = sorted([*zip(row["dist"], row["near"], strict=True), *((d, n) for n, d in new.items())])[:kept]
+        ranked = _leading(sorted([*zip(row["dist"], row["near"], strict=True), *((d, n) for n, d in new.items())]), kept)
         return pa.table({
             "qid": [row["qid"]], "code": pa.array([row["code"]], pa.binary()), "seen": pa.array([sorted(seen | set(new))], pa.list_(pa.int64())),
-            "near": pa.array([[n for _, n in ranked]], pa.list_(pa.int64())), "dist": pa.array([[d for d, _ in ranked]], pa.list_(pa.float32())),
+            "near": pa.array([[n for _, n in ranked]], pa.list_(pa.int64())), "dist": pa.array([[d for d, _ in ranked]], pa.list_(pa.float64())),
             "opened": pa.array([[n in done for _, n in ranked]], pa.list_(pa.bool_())),
         })
 
@@ -247,7 +256,7 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int =
         if front.isEmpty():
             break
         # the front is measured: broadcast while it is small, joined by node beyond
-        met = join_sized(around, front, ["center"], "inner").select("qid", "code", "member", "codes").mapInArrow(look, "qid long, near array<long>, dist array<float>")
+        met = join_sized(around, front, ["center"], "inner").select("qid", "code", "member", "codes").mapInArrow(look, "qid long, near array<long>, dist array<double>")
         left, right = state.alias("l"), met.withColumnRenamed("qid", "walk")
         after = once(left.groupBy("qid").cogroup(right.groupBy("walk")).applyInArrow(lambda w, f: step(w, f), STATE), "walks")
         drop_table(spark, state)
@@ -264,7 +273,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     table gives no rows. All vectors have one length.
     """
     classes = vector_classes(vectors.where("vec_id is not null"), k + 1)
-    codes = _small(classes)
+    codes = _codes_of(classes)
     graph = neighbour_graph(codes)
     asked = once(
         vectors.where(is_query).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec")).distinct()
@@ -280,6 +289,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     scored = pairs.select("query_id", "query", "vec", "ids").mapInArrow(measure, "query_id long, ids array<long>, score double")
     rows = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    # at most KEPT times k + 1 rows a query
+    # at most KEPT and their ties, times k + 1, rows a query
     best = rows.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

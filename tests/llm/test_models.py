@@ -287,6 +287,33 @@ def test_nearest(vectors):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def recall(rows, got, k=10):
+    """Share of the true nearest among the rows found, and rows per query."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    mine, hits = {}, 0
+    for r in got:
+        mine.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q, found in mine.items():
+        d = ((x - x[ids == q][0]) ** 2).sum(axis=1)
+        d[ids == q] = np.inf
+        hits += len(found & set(ids[np.argsort(d, kind="stable")[:k]].tolist()))
+    return hits / (k * max(1, len(mine))), {q: len(f) for q, f in mine.items()}
+
+
+@pytest.mark.parametrize("longest,noise", [(1_000.0, 0.0), (1.0, 0.001)])
+def test_nearest_of_long_vectors_and_near_copies(vectors, longest, noise):
+    """One vector far longer than the rest; a group of thousands of near copies."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if noise:
+        x[:2_500] = x[0] + rng.normal(size=(2_500, 16)) * noise / 4.0
+    x[2_999] *= longest
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    share, sizes = recall(rows, nearest(vectors(rows), F.col("vec_id") % 60 == 0).collect())
+    assert share >= 0.9 and set(sizes.values()) == {10} and len(sizes) == 50
+
+
 def test_nearest_of_odd_tables(vectors):
     assert nearest(vectors([]), F.lit(True)).count() == 0
     assert nearest(vectors([(1, [1.0]), (2, None)]), F.lit(True)).count() == 0
