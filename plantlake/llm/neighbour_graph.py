@@ -25,6 +25,13 @@ SETTLED = 0.02
 KEPT = 200
 OPENED = 48
 STEPS = 40
+# random nodes that a walk may start from beside its own, about, and how many of them it starts from
+ENTRIES = 512
+ENTERED = 16
+# nodes that the middle of a random direction is taken from, about
+MIDDLE = 4_096
+# bytes of the queries that are compared with all vectors in one pass
+EXACT_BYTES = 16 * 1024 * 1024
 
 
 def _codes_of(vectors: DataFrame) -> DataFrame:
@@ -90,16 +97,28 @@ def _merged(found: DataFrame, keep: int) -> DataFrame:
     return grouped.mapInArrow(run, LISTS)
 
 
+def _some(codes: DataFrame, number: int, total: int, seed: int) -> list:
+    """About ``number`` nodes (cid, code), chosen by a hash: all, if there are fewer."""
+    return codes.where(F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(max(1, total))) < number).select("cid", "code").limit(2 * number).collect()
+
+
 def _first_graph(codes: DataFrame, near: int, leaf: int, starts: int, total: int) -> DataFrame:
-    """Neighbours inside small random cells: signs of random directions, cut into groups of bounded size."""
+    """Neighbours inside small cells: sides of random directions around the middle of the vectors, cut into groups of bounded size.
+
+    One more deal into random cells gives every node neighbours from anywhere, however few share its other cells.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, total) / leaf))))
+    middle = _codes(pa.array([r["code"] for r in _some(codes, MIDDLE, total, 1)], pa.binary()))
+    planes = [np.random.default_rng(7 + s).standard_normal((middle.shape[1], bits)) for s in range(starts)]
+    middles = [np.median(middle @ p, axis=0) if len(middle) else np.zeros(bits) for p in planes]
+    anywhere = max(1, int(np.ceil(total / leaf)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _codes(b.column("code"))
             for s in range(starts):
-                plane = np.random.default_rng(7 + s).standard_normal((x.shape[1], bits)) if len(x) else np.zeros((0, bits))
-                cell = ((x @ plane) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x))
+                plane = planes[s] if len(middle) else np.zeros((x.shape[1], bits))
+                cell = ((x @ plane) > middles[s]) @ (1 << np.arange(bits)) if bits else np.zeros(len(x))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), s, np.int32)), pa.array(cell.astype(np.int64)), b.column("cid"), b.column("code")], ["turn", "cell", "cid", "code"])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -114,6 +133,7 @@ def _first_graph(codes: DataFrame, near: int, leaf: int, starts: int, total: int
         return _rows(np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(d, at, 1).ravel())
 
     dealt = codes.mapInArrow(sign, "turn int, cell long, cid long, code binary")
+    dealt = dealt.unionByName(codes.select(F.lit(starts).alias("turn"), F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(anywhere)).alias("cell"), "cid", "code"))
     sizes = dealt.groupBy("turn", "cell").agg(F.ceil(F.count(F.lit(1)) / (4 * leaf)).cast("int").alias("parts"))
     # a crowded cell is cut at random, so that no group is larger than a few leaves
     dealt = join_sized(dealt, sizes, ["turn", "cell"], "inner").withColumn("part", F.pmod(F.xxhash64("cid", "turn"), F.col("parts")))
@@ -207,17 +227,31 @@ STATE = "qid long, code binary, seen array<long>, near array<long>, dist array<d
 
 
 def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int = NAMED, kept: int = KEPT, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
-    """(qid, near): the ``kept`` best nodes, and their ties, that a greedy walk from each query's own node finds, for (qid) nodes of the graph.
+    """(qid, near): the ``kept`` best nodes, and their ties, that a greedy walk finds, for (qid) nodes of the graph.
 
-    A round opens the best nodes not opened yet: they are joined with the lists of the graph, which carry the codes of the
+    A walk starts from the query's own node and from the nearest of some random nodes, so that a closed group does not end it. A round opens the best nodes not opened yet: they are joined with the lists of the graph, which carry the codes of the
     neighbours, so that only nodes and distances travel back to the query. A walk ends when its best nodes are all opened.
     """
     spark = codes.sparkSession
     around = once(_members(graph.where(F.size("near") > 0), codes, named, 0).groupBy("center").agg(F.collect_list("member").alias("member"), F.collect_list("code").alias("codes")), "around")
-    start = queries.join(codes, queries["qid"] == codes["cid"]).select(
-        "qid", "code", F.array("qid").alias("seen"), F.array("qid").alias("near"), F.array(F.lit(0.0)).alias("dist"), F.array(F.lit(False)).alias("opened"),
-    )
-    state = once(start, "walks")
+    pool = _some(codes, ENTRIES, codes.count(), 3)
+    pool_ids, pool_codes = np.array([r["cid"] for r in pool], np.int64), _codes(pa.array([r["code"] for r in pool], pa.binary()))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near, dist = [], []
+            for qid, code in zip(b.column("qid").to_pylist(), b.column("code").to_pylist(), strict=True):
+                d = ((pool_codes - np.frombuffer(code, np.float32).astype(np.float64)) ** 2).sum(axis=1) if len(pool_ids) else np.zeros(0)
+                others = [i for i in np.argsort(d, kind="stable")[: ENTERED + 1] if pool_ids[i] != qid][:ENTERED]
+                near.append([qid, *pool_ids[others].tolist()])
+                dist.append([0.0, *d[others].tolist()])
+            ids = pa.array(near, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("qid"), b.column("code"), ids, ids, pa.array(dist, pa.list_(pa.float64())), pa.array([[False] * len(n) for n in near], pa.list_(pa.bool_()))],
+                ["qid", "code", "seen", "near", "dist", "opened"],
+            )
+
+    state = once(queries.join(codes, queries["qid"] == codes["cid"]).select("qid", "code").mapInArrow(enter, STATE), "walks")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,13 +298,51 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, named: int =
     return state.select("qid", "near")
 
 
+def _exact(classes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, score, vec_id): the ``k`` nearest of all rows for each of (query_id, query), and some more.
+
+    The queries go through all vectors in blocks of bounded size; a task keeps the nearest ``k`` vectors of each that hold another id.
+    """
+    width = F.sum(8 * F.size("query") + 64).alias("bytes")
+    size = asked.agg(width).first()["bytes"] or 0
+    blocks = max(1, -(-size // EXACT_BYTES))
+    out = None
+    for block in range(blocks):
+        questions = [(r["query_id"], np.array(r["query"])) for r in asked.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(blocks)) == block).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], questions: list = questions) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple[float, int, list[int]]]] = [[] for _ in questions]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, ids = matrix(b.column("vec")), b.column("ids").to_pylist()
+                first, second = np.array([i[0] for i in ids]), np.array([i[1] if len(i) > 1 else -1 for i in ids])
+                lone = np.array([len(i) == 1 for i in ids])
+                for at, (own, query) in enumerate(questions):
+                    d = np.sqrt(((query - x) ** 2).sum(axis=1))
+                    usable = np.flatnonzero(~(lone & (first == own)))
+                    smallest = np.where(first == own, second, first)[usable]
+                    top = usable[np.lexsort((smallest, d[usable]))[:k]]
+                    found = [(float(d[i]), ids[i][0] if ids[i][0] != own else ids[i][1], ids[i]) for i in top]
+                    best[at] = sorted(best[at] + found)[:k]
+            for (own, _), found in zip(questions, best, strict=True):
+                rows = [(d, i) for d, _, members in found for i in members if i != own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own] * len(rows), pa.int64()), pa.array([d for d, _ in rows], pa.float64()), pa.array([i for _, i in rows], pa.int64())], ["query_id", "score", "vec_id"]
+                )
+
+        part = classes.select("vec", "ids").mapInArrow(run, "query_id long, score double, vec_id long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): about the ``k`` nearest rows of every query row, nearest first, ties to smaller vec_id.
 
     ``is_query`` is a condition on vec_id; candidates are all rows but the query's own vec_id. Score is the Euclidean distance
     in double precision on the vectors given. Vectors that are null, zero or hold null or non-finite components take
     no part, nor do rows without vec_id. Equal vectors are one node of the graph and come back with their smallest ids. An empty
-    table gives no rows. All vectors have one length.
+    table gives no rows. All vectors have one length. A query that the graph leaves short of ``k`` rows is compared with all rows.
     """
     classes = vector_classes(vectors.where("vec_id is not null"), k + 1)
     codes = _codes_of(classes)
@@ -290,5 +362,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     scored = pairs.select("query_id", "query", "vec", "ids").mapInArrow(measure, "query_id long, ids array<long>, score double")
     rows = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     # at most KEPT and their ties, times k + 1, rows a query
-    best = rows.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    best = once(_top(rows, k), "nearest")
+    full = best.where(F.size("best") >= k).select("query_id")
+    short = once(asked.select("query_id", "query").join(full, "query_id", "left_anti"), "short")
+    if not short.isEmpty():
+        best = best.where(F.size("best") >= k).unionByName(_top(_exact(classes, short, k), k))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+
+
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    return rows.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))

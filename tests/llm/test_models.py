@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F, types as T
 import pytest
 
-from plantlake.llm import hmm
+from plantlake.llm import hmm, neighbour_graph
 from plantlake.llm.common import crc_fold, most_frequent
 from plantlake.llm.graph import components
 from plantlake.llm.neighbour_graph import nearest
@@ -314,6 +314,33 @@ def test_nearest_of_long_vectors_and_near_copies(vectors, longest, noise):
     assert share >= 0.9 and set(sizes.values()) == {10} and len(sizes) == 50
 
 
+def test_nearest_of_vectors_apart(vectors):
+    """A few vectors opposite to all others, which lie around a common mean, have whole answers too."""
+    rng = np.random.default_rng(12)
+    x = np.full(16, 1.0) + rng.normal(size=(2_000, 16)) * 0.2
+    x[:5] = -x[:5]
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    got = nearest(vectors(rows), (F.col("vec_id") < 5) | (F.col("vec_id") % 100 == 0)).collect()
+    share, sizes = recall(rows, got)
+    assert share >= 0.9 and len(sizes) == 24 and set(sizes.values()) == {10}
+
+
+def test_nearest_when_the_graph_leaves_queries_short(vectors, monkeypatch):
+    """Walks that find next to nothing: all rows are compared, in blocks, with ties to smaller ids and copies as rows of their own."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(neighbour_graph, "search", lambda codes, graph, queries: queries.select("qid", F.array("qid").alias("near")))
+    monkeypatch.setattr(neighbour_graph, "EXACT_BYTES", 400)
+    rows = [(i, [float(c) for c in rng.integers(1, 4, size=4)]) for i in range(300)]
+    found = {}
+    for r in nearest(vectors(rows), F.col("vec_id") % 30 == 0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = {i: np.array(v) for i, v in rows}
+    assert sorted(found) == list(range(0, 300, 30))
+    for q, mine in found.items():
+        want = sorted((float(np.sqrt(((x[q] - v) ** 2).sum())), i) for i, v in x.items() if i != q)[:10]
+        assert [(d, i) for _, i, d in sorted(mine)] == want
+
+
 def test_nearest_of_odd_tables(vectors):
     assert nearest(vectors([]), F.lit(True)).count() == 0
     assert nearest(vectors([(1, [1.0]), (2, None)]), F.lit(True)).count() == 0
