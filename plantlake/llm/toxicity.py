@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 import functools
+import itertools
 import math
 import re
 
@@ -36,7 +37,10 @@ LEET = {
 KEEP, CHANGE, REPEAT, SPACE = math.log(0.9), math.log(0.1), math.log(0.3), math.log(0.05)
 _EDGE = ".,;:?\"'`[]{}<>()!#%&*~^|=/\\-_+"
 _NOISY = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£]|.*([^\W\d_])\1\1)")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\s.,!?;:])")
+_SIGNS = "@$!|+(€£"
+_SPACED = re.compile(rf"(?<!\S)(?:(?:[^\W_]|[{_SIGNS}])[ .\-_*]+){{2,}}(?:[^\W_]|[{_SIGNS}])(?![^\s.,!?;:])")
+_BETWEEN = re.compile(r"[ .\-_*]+")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 _RUNS = re.compile(r"(.)\1+")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
@@ -59,6 +63,22 @@ def symbol(char: str) -> int:
     return int(_codes(char)[0])
 
 
+def _letters(char: str) -> list[tuple[str, float]]:
+    """What a character may stand for, and its cost."""
+    return [(x, CHANGE - math.log(len(LEET[char]))) for x in LEET[char]] if char in LEET else [(char, KEEP)]
+
+
+def _edge(char: str) -> list[tuple[str, float]]:
+    """A sign at the edge of a word: nothing, or what it may stand for."""
+    return [("", KEEP), *_letters(char)]
+
+
+@functools.lru_cache(maxsize=65_536)
+def _edge_signs(outside: str) -> str:
+    """The signs beside a word that may stand for letters, each run of one sign as one."""
+    return _RUNS.sub(r"\1", "".join(c for c in outside if c in LEET))
+
+
 @dataclass(frozen=True)
 class CharModel:
     """log P(symbol | three before it), flat over 28^4."""
@@ -86,24 +106,25 @@ class CharModel:
             paths = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
         return max(paths.values(), key=lambda x: x[0])[1].strip()
 
-    def restore(self, token: str) -> str:
-        """A lower-case word without its leet signs and drawn-out letters."""
+    def restore(self, token: str, lead: str = "", trail: str = "") -> str:
+        """A lower-case word without its leet signs and drawn-out letters; the signs around it may be letters of it."""
         options: list[list[tuple[str, float]]] = []
         for i, char in enumerate(token):
-            found = [(x, CHANGE - math.log(len(LEET[char]))) for x in LEET[char]] if char in LEET else [(char, KEEP)]
+            found = _letters(char)
             if i and token[i - 1] == char:
                 found.append(("", REPEAT))
             options.append(found)
-        return self.decode(options)
+        return self.decode([*map(_edge, lead), *options, *map(_edge, trail)])
 
     def join(self, spaced: str) -> str:
         """Single characters with signs between them as the words they spell."""
+        places = _BETWEEN.split(spaced)
         options: list[list[tuple[str, float]]] = []
-        for i, char in enumerate(spaced):
-            if i % 2:
+        for i, char in enumerate(places):
+            if i:
                 options.append([("", KEEP), (" ", SPACE)])
-            else:
-                options.append([(x, CHANGE - math.log(len(LEET[char]))) for x in LEET[char]] if char in LEET else [(char, KEEP)])
+            # a sign at the end may be punctuation
+            options.append(_edge(char) if char in _SIGNS and i in (0, len(places) - 1) else _letters(char))
         return self.decode(options)
 
 
@@ -161,18 +182,40 @@ class Reader:
 
     def word(self, token: str) -> str:
         core = token.strip(_EDGE)
-        if len(core) > LONGEST or core.isdigit():
+        if len(core) > LONGEST:
+            # however far a word is drawn out, three of a run say as much
+            short = _LONG_RUN.sub(r"\1\1\1", core)
+            if len(short) > LONGEST:
+                return core
+            core, token = short, _LONG_RUN.sub(r"\1\1\1", token)
+        if not core or core.isdigit():
             return core
+        lead = trail = ""
+        if len(core) < len(token):
+            at = token.index(core)
+            lead, trail = _edge_signs(token[:at]), _edge_signs(token[at + len(core) :])
         if not core.isalpha():
-            return self.model.restore(core) if _NOISY.match(core) else core
-        if (run := _DOUBLE.search(core)) is None:
-            return core
-        if _DRAWN.search(core, run.start()):
-            return self.model.restore(core)
-        if self.short and _RUNS.sub(r"\1", core) in self.short and f"={core}" not in self.lexicon:
-            return self.model.restore(core)
+            return self.model.restore(core, lead, trail) if _NOISY.match(core) or ((lead or trail) and self.edged(core, lead, trail)) else core
+        if (run := _DOUBLE.search(core)) is not None:
+            if _DRAWN.search(core, run.start()):
+                return self.model.restore(core, lead, trail)
+            if self.short and _RUNS.sub(r"\1", core) in self.short and f"={core}" not in self.lexicon:
+                return self.model.restore(core, lead, trail)
+        if (lead or trail) and self.edged(core, lead, trail):
+            return self.model.restore(core, lead, trail)
         return core
 
+    def edged(self, core: str, lead: str, trail: str) -> bool:
+        """Whether the word with letters for signs at its edges may have a feature that counts; many signs are not tried one by one."""
+        if self.heads is None or len(lead) + len(trail) > 3:
+            return True
+        for signs in itertools.product(*(("", *LEET[c]) for c in lead + trail)):
+            if any(signs):
+                word = "".join(signs[: len(lead)]) + core + "".join(signs[len(lead) :])
+                if (word[:4] in self.heads and any(f in self.lexicon for f in word_features(word))) or _RUNS.sub(r"\1", word) in self.short:
+                    return True
+        return False
+
     def found(self, token: str) -> tuple[str, ...]:
         """The features of the restored token that count."""
         out = self.held.get(token)
@@ -196,7 +239,8 @@ class Reader:
         """Lower-case tokens; spelled-out words are put together first."""
         text = text.lower()
         if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: self.model.join(m[0]), text)
+            # signs alone spell nothing
+            text = _SPACED.sub(lambda m: self.model.join(m[0]) if any(map(str.isalnum, m[0])) else m[0], text)
         return text.split()
 
     def features(self, text: str) -> tuple[float, float, float, float]:

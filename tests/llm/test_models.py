@@ -118,6 +118,22 @@ def test_toxicity(spark, docs):
     assert all(got[at + len(hidden) + i] < 0.5 for i in range(len(clean) + len(ODD)))
 
 
+def test_toxicity_of_signs_at_edges_long_words_and_wide_spacing(spark, docs):
+    texts, labels = toxic_table()
+    drawn = "i" + "d" * 30 + "i" * 12 + "ot"
+    hidden = ["river !diot stone", "garden idio+ window", f"letter {drawn} castle", "market 1 d ! 0 t winter", "$ c u m river", "stone i  d . i  o  t garden", "river (!d1ot!) stone"]
+    clean = ["river! stone (garden) +winter", "| r | i | v |", "r i v e r !", "| | | |", "(a + b)"]
+    table = docs(texts + hidden + clean)
+    model = train_toxic_model(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    reader = Reader(model.chars, model.lexicon)
+    assert [reader.word(t) for t in ("!diot", "idio+", drawn, "(!d1ot!)", "moron!!!", "(river)", "river!", "!!!", "")] == ["idiot"] * 4 + ["moron", "river", "river", "", ""]
+    assert [reader.tokens(t) for t in ("1 d ! 0 t", "$ c u m", "i  d . i  o  t", "m o r o n !")] == [["idiot"], ["scum"], ["idiot"], ["moron"]]
+    got = {r["doc_id"]: r["score"] for r in score_texts(table, model).collect()}
+    at = len(texts)
+    assert all(got[at + i] >= 0.5 for i in range(len(hidden))), [(t, got[at + i]) for i, t in enumerate(hidden)]
+    assert all(got[at + len(hidden) + i] < 0.5 for i in range(len(clean)))
+
+
 def test_toxicity_does_not_learn_from_held_out_labels(spark, docs):
     texts, labels = toxic_table(300)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
