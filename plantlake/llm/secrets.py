@@ -21,10 +21,11 @@ KINDS = ["assign", "access", "hex", "markov"]
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 
-# what the models are asked about: long runs of these characters with a digit among them
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# what the models are asked about: runs of these characters, down to the length at which the ratio still tells them apart
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _DIGIT = re.compile(r"[0-9]")
-_PART = re.compile(r"[A-Za-z0-9]+")
+_SIGN = re.compile(r"[^A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"[A-Za-z0-9_]{4,}")
 ALPHABET = 64
 # natural-log ratio per character, and in all, above which a string is a secret
@@ -124,20 +125,38 @@ _IDENTIFIER_CODE = np.where(_CODE == 63, 0, _CODE)
 _IDENTIFIER_CODE[ord("_")] = 63
 
 
+def _looks_random(model: SecretModel, text: str) -> tuple[bool, bool]:
+    """Whether the ratio of a string, its signs left out, is high per character, and in all as well."""
+    inner = _SIGN.sub("", text)
+    score = model.score(inner) if inner else 0.0
+    dense = bool(inner) and score >= RATE * len(inner)
+    return dense, dense and score >= TOTAL
+
+
 def markov_spans(text: str, model: SecretModel, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
-    """Runs of 20 or more characters with letters and digits that look random, unless a base span overlaps them."""
+    """Runs of 16 or more characters that look random, but for what base spans cover.
+
+    What is left of a run beside a base span is scored on its own; if it is too short to tell, it goes by the whole run.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not _DIGIT.search(run) or any(s < m.end() and e > m.start() for s, _, e, _ in taken):
-            continue
-        parts = [p for p in _PART.findall(run) if len(p) >= 16]
-        if not parts:
+        begin, end = m.span()
+        over = [(s, e) for s, _, e, _ in taken if s < end and e > begin]
+        if not over:
+            if _looks_random(model, m[0])[1]:
+                found.append((begin, 3, end))
             continue
-        longest = max(parts, key=len) if len(parts) > 1 else run
-        score = model.score(longest)
-        if score >= TOTAL and score >= RATE * len(longest):
-            found.append((m.start(), 3, m.end()))
+        whole, at = None, begin
+        # base spans are sorted by start
+        for s, e in [*over, (end, end)]:
+            if s > at:
+                dense, sure = _looks_random(model, text[at:s])
+                if dense and not sure:
+                    whole = _looks_random(model, m[0])[1] if whole is None else whole
+                    sure = whole
+                if sure:
+                    found.append((at, 3, s))
+            at = max(at, e)
     return found
 
 

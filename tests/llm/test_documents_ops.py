@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -203,6 +204,27 @@ def test_secrets_against_plain_patterns(docs):
     assert find_secrets(docs([]), train_secret_model(docs([]))).count() == 0
 
 
+def test_secrets_of_any_shape(docs):
+    """Random strings with signs anywhere, in short groups, without digits, of 16 characters, or beside a base span; names and paths stay."""
+    rng = random.Random(17)
+    b64 = string.ascii_letters + string.digits + "+/"
+    word = lambda: "".join(rng.choice(["ta", "ri", "no", "se", "li", "der", "man"]) for _ in range(rng.randint(1, 4)))
+    prose = [" ".join(word() for _ in range(60)) + f" {word()}_{word()}_{word()} {word()}/{word()}/{word()}/{word()} {word()}-{word()}-{word()}-{word()}" for _ in range(200)]
+    known = [f'secret = "{"".join(rng.choice(b64) for _ in range(40))}"' for _ in range(200)]
+    draw = lambda n, signs=b64: "".join(rng.choice(signs) for _ in range(n))
+    hidden = [draw(n) for n in (40, 32, 24, 20) for _ in range(50)] + ["-".join(draw(n, b64[:62]) for n in shape) for shape in ([8, 4, 4, 4, 12], [8] * 4) for _ in range(50)]
+    hidden += [draw(16, b64[:62]) for _ in range(50)] + [draw(30, string.ascii_letters) for _ in range(50)]
+    beside = [draw(24, "GHJKLMNPQRSTUVWXYZ") + "a1" * 16 for _ in range(20)]
+    table = docs(prose + known + [f"tari {h} nose" for h in hidden + beside])
+    model = train_secret_model(docs(prose + known))
+    clean = {r["doc_id"]: r["text"] for r in redact(table, model).collect()}
+    assert [clean[i] for i in range(len(prose))] == prose
+    at = len(prose) + len(known)
+    seen = [clean[at + i] == "tari [SECRET] nose" for i in range(len(hidden))]
+    assert sum(seen) >= 0.97 * len(hidden), sum(seen) / len(hidden)
+    assert all(not re.search("[A-Z]", clean[at + len(hidden) + i].replace("[SECRET]", "")) for i in range(len(beside)))
+
+
 def test_base_spans_of_long_runs():
     assert [s[:3] for s in base_spans("a" * 100_000)] == [(0, 2, 100_000)]
 
