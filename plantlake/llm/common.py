@@ -27,7 +27,7 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds a bounded number of rows and, but for its last row, of characters."""
     for batch in batches:
         if not batch.num_rows:
@@ -36,16 +36,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start, size = 0, 0
         for i, n in enumerate(lengths):
             size += int(n)
-            if size >= SLICE_CHARS or i + 1 - start >= SLICE_ROWS:
+            if size >= chars or i + 1 - start >= SLICE_ROWS:
                 yield batch.slice(start, i + 1 - start)
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
 
 
-def over_texts(df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def over_texts(
+    df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, text: str = "text", chars: int = SLICE_CHARS
+) -> DataFrame:
     """Run ``fold`` over the slices of every partition."""
-    return df.mapInArrow(lambda batches: fold(slices(batches)), schema)
+    return df.mapInArrow(lambda batches: fold(slices(batches, text, chars)), schema)
 
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
