@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import math
 import re
 
 import numpy as np
@@ -21,8 +22,8 @@ TOP = 2_000
 # floor(2 * SCALE * a / (l + r))
 SCALE = 1_000_000
 UNKNOWN = "und"
-# word pairs are counted in 2^BITS counters of one byte
-BITS = 24
+# windows are thinned by counts of pairs, then of triples
+THINNED = 2
 # counters that travel together, and words whose windows a task adds up together
 BLOCK = 65_536
 TOGETHER = 1_500_000
@@ -65,13 +66,26 @@ class Lead:
         self.data, self.size = {}, 0
 
 
-def _pairs(lang: str, words: list[bytes], ids: np.ndarray, piece: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word but the last: whether the next one is in its piece, and the counter of the two."""
+def _slots(lang: str, words: list[bytes], ids: np.ndarray, piece: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place with ``width`` words from it on: whether they lie in one piece, and the counter of them all."""
     digest = xxhash.xxh3_64_intdigest
     h = np.fromiter(map(digest, words), np.uint64, len(words)) + np.uint64(digest(lang.encode("utf-8", "surrogatepass")))
-    x = (h * _ODD)[ids[:-1]] ^ h[ids[1:]]
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return piece[1:] == piece[:-1], (x >> np.uint64(64 - bits)).astype(np.int64)
+    n = max(0, len(ids) - width + 1)
+    x = h[ids[:n]]
+    for k in range(1, width):
+        x = x * _ODD ^ h[ids[k : k + n]]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return piece[width - 1 :][:n] == piece[:n], (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _held(filters: list[bytes], lang: str, words: list[bytes], ids: np.ndarray, piece: np.ndarray, bits: int) -> list[np.ndarray]:
+    """For each filter of pairs, triples and so on: the places whose words it lets pass, up to the last word."""
+    out = []
+    for width, packed in enumerate(filters, 2):
+        inside, slot = _slots(lang, words, ids, piece, width, bits)
+        bit = np.frombuffer(packed, np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
+        out.append(np.concatenate([inside & (bit > 0), np.zeros(len(ids) - len(slot), bool)]))
+    return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
@@ -94,21 +108,33 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def pair_filter(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> bytes:
-    """One bit per counter of word pairs: whether its pairs together occur ``least`` times or more.
+def counter_bits(texts: DataFrame) -> int:
+    """As many counters as the texts have words, about, between 2^16 and 2^27 of one byte."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(27, max(16, (size // 16).bit_length()))
+
+
+def gram_filter(texts: DataFrame, filters: list[bytes], least: int, bits: int) -> bytes:
+    """One bit per counter of phrases one word longer than those of the last filter: whether they occur ``least`` times or more.
 
     Counters are added up per task and block of counters, saturated at ``least`` (at most 255), so 2^bits bytes a task are held
-    and at most 2^bits / 8 bytes come back, whatever the input. Pairs that share a counter can only set its bit, never clear it.
+    and at most 2^bits / 8 bytes come back, whatever the input. Phrases that share a counter can only set its bit, never clear
+    it; phrases that hold a part which the last filter rules out are not counted.
     """
     if not 1 <= least <= 255:
         raise ValueError("least must be between 1 and 255")
     block = min(BLOCK, 1 << bits)
+    shared = texts.sparkSession.sparkContext.broadcast(filters)
+    width = len(filters) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << bits, np.uint8)
         for lang, words, ids, piece in _rows(batches):
-            inside, slot = _pairs(lang, words, ids, piece, bits)
-            at, n = np.unique(slot[inside], return_counts=True)
+            keep, slot = _slots(lang, words, ids, piece, width, bits)
+            if filters:
+                last = _held(shared.value, lang, words, ids, piece, bits)[-1]
+                keep = keep & last[: len(slot)] & last[1 : len(slot) + 1]
+            at, n = np.unique(slot[keep], return_counts=True)
             held[at] = np.minimum(held[at] + n, least)
         for i, part in enumerate(held.reshape(-1, block)):
             if part.any():
@@ -131,27 +157,27 @@ def pair_filter(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> bytes
     return out.tobytes()
 
 
-def windows(texts: DataFrame, frequent: bytes, bits: int = BITS) -> DataFrame:
+def windows(texts: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
     """(lang, w1 to w4, n): the longest window that leads at each word, padded with empty strings, counted per task.
 
-    A window ends with its piece, or where two words can not occur often enough together.
+    A window ends with its piece, or before two or three words that can not occur often enough together.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast(filters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for lang, words, ids, piece in _rows(batches):
-            inside, slot = _pairs(lang, words, ids, piece, bits)
+            held = _held(shared.value, lang, words, ids, piece, bits)
             # 0 pads; words are numbered from 1
-            go = np.concatenate([inside & good[slot], [False]])
             lead = [ids + 1]
+            go = np.ones(len(ids), bool)
             for k in range(1, LONGEST):
+                # the k-th word after this one ends a pair, from two on a triple as well
+                for width, good in enumerate(held, 2):
+                    if k + 1 >= width:
+                        go = go & np.concatenate([good[k + 1 - width :], np.zeros(min(len(ids), k + 1 - width), bool)])
                 after = np.zeros(len(ids), np.int64)
                 after[:-k] = lead[0][k:]
-                # go[i + k - 1]: from the word before on to this one
-                onward = np.zeros(len(ids), bool)
-                onward[: len(ids) - k + 1] = go[k - 1 :]
-                lead.append(np.where((lead[-1] > 0) & onward, after, 0))
+                lead.append(np.where(go, after, 0))
             wide = len(words) + 1
             single = lead[1] == 0
             n = np.bincount(lead[0][single], minlength=wide)
@@ -173,13 +199,17 @@ def windows(texts: DataFrame, frequent: bytes, bits: int = BITS) -> DataFrame:
     return over_texts(texts, count, ", ".join(["lang string", *(f"{w} string" for w in _WORDS), "n long"]))
 
 
-def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, width, f) of all words and phrases of up to four words that occur ``least`` times, and (lang, n) of all words.
 
     One ROLLUP over the windows gives them all: the sum over all windows with the same first k words is the count of those words
     as a phrase, since wherever a phrase occurs it leads exactly one window. Windows of one word need no roll-up.
     """
-    counted = once(windows(texts, pair_filter(texts, least, bits), bits), "windows")
+    bits = counter_bits(texts) if bits is None else bits
+    filters: list[bytes] = []
+    for _ in range(THINNED):
+        filters.append(gram_filter(texts, filters, least, bits))
+    counted = once(windows(texts, filters, bits), "windows")
     rolled = texts.sparkSession.sql(
         f"""SELECT lang, {", ".join(_WORDS)}, sum(n) AS f, {LONGEST} - bit_count(grouping_id()) AS width
             FROM {{windows}} WHERE w2 <> '' GROUP BY lang, ROLLUP({", ".join(_WORDS)})""",
@@ -193,14 +223,14 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int = BITS) -> tup
     return once(found, "phrases"), counted.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, bits: int | None = None) -> DataFrame:
     """The first ``top`` phrases of two to four words of each language: lang, rank, phrase, a, l, r, n, score.
 
     ``docs`` needs lang (null: und) and text (null: empty); other columns are not read. A phrase occurs ``least`` times at
     least; its score is that of its weakest cut, floor(2,000,000 * a / (l + r)), ties to the first cut; it is left out where a
     longer phrase around it has ``cover`` percent of its occurrences. Order: score, a, then the phrase's bytes. Repeated rows count as
-    often as they occur; an empty table, and one without such phrases, gives no row. ``bits`` says how many counters thin the
-    windows out before they are shuffled; it never changes the result.
+    often as they occur; an empty table, and one without such phrases, gives no row. ``bits`` says how many counters (2^bits; None:
+    by the size of the texts) thin the windows out before they are shuffled; it never changes the result.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     counts, totals = phrase_counts(texts, least, bits)
@@ -219,8 +249,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int
     kept = kept.where(F.col("around").isNull() | (F.col("around").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * cover))
     kept = once(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "scored")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # a language of many phrases is cut in parts first
-    parts = F.pmod(F.xxhash64("phrase"), F.lit(kept.count() // 200_000 + 1))
+    # a language is cut in parts first, so many that a part and what the parts leave are about as long
+    parts = F.pmod(F.xxhash64("phrase"), F.lit(math.isqrt(kept.count() // top) + 1))
     best = kept.withColumn("part", parts)
     best = best.withColumn("place", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= top)
     best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
