@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import functools
 import math
 import re
 
@@ -22,8 +23,6 @@ TOP = 2_000
 # floor(2 * SCALE * a / (l + r))
 SCALE = 1_000_000
 UNKNOWN = "und"
-# windows are thinned by counts of pairs, then of triples
-THINNED = 2
 # counters that travel together, and words whose windows a task adds up together
 BLOCK = 65_536
 TOGETHER = 1_500_000
@@ -79,9 +78,9 @@ def _slots(lang: str, words: list[bytes], ids: np.ndarray, piece: np.ndarray, wi
 
 
 def _held(filters: list[bytes], lang: str, words: list[bytes], ids: np.ndarray, piece: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For each filter of pairs, triples and so on: the places whose words it lets pass, up to the last word."""
+    """For each filter of words, pairs and so on: the places whose words it lets pass, up to the last word."""
     out = []
-    for width, packed in enumerate(filters, 2):
+    for width, packed in enumerate(filters, 1):
         inside, slot = _slots(lang, words, ids, piece, width, bits)
         bit = np.frombuffer(packed, np.uint8)[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1
         out.append(np.concatenate([inside & (bit > 0), np.zeros(len(ids) - len(slot), bool)]))
@@ -114,53 +113,57 @@ def counter_bits(texts: DataFrame) -> int:
     return min(27, max(16, (size // 16).bit_length()))
 
 
-def gram_filter(texts: DataFrame, filters: list[bytes], least: int, bits: int) -> bytes:
-    """One bit per counter of phrases one word longer than those of the last filter: whether they occur ``least`` times or more.
+def gram_filters(texts: DataFrame, filters: list[bytes], more: int, least: int, bits: int) -> list[bytes]:
+    """``filters`` and ``more`` filters of phrases that are longer by a word each, from one pass over the texts.
 
-    Counters are added up per task and block of counters, saturated at ``least`` (at most 255), so 2^bits bytes a task are held
-    and at most 2^bits / 8 bytes come back, whatever the input. Phrases that share a counter can only set its bit, never clear
-    it; phrases that hold a part which the last filter rules out are not counted.
+    A filter has one bit per counter of phrases: whether they occur ``least`` times or more. Counters are added up per task and block
+    of counters, saturated at ``least`` (at most 255), so 2^bits bytes a task and filter are held and at most 2^bits / 8 bytes come back, whatever
+    the input. Phrases that share a counter can only set its bit, never clear it; phrases that hold a part which the last of
+    the given filters rules out are not counted.
     """
     if not 1 <= least <= 255:
         raise ValueError("least must be between 1 and 255")
     block = min(BLOCK, 1 << bits)
     shared = texts.sparkSession.sparkContext.broadcast(filters)
-    width = len(filters) + 2
+    widths = range(len(filters) + 1, len(filters) + 1 + more)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, np.uint8)
+        counters = [np.zeros(1 << bits, np.uint8) for _ in widths]
         for lang, words, ids, piece in _rows(batches):
-            keep, slot = _slots(lang, words, ids, piece, width, bits)
-            if filters:
-                last = _held(shared.value, lang, words, ids, piece, bits)[-1]
-                keep = keep & last[: len(slot)] & last[1 : len(slot) + 1]
-            at, n = np.unique(slot[keep], return_counts=True)
-            held[at] = np.minimum(held[at] + n, least)
-        for i, part in enumerate(held.reshape(-1, block)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "held"])
+            last = _held(shared.value, lang, words, ids, piece, bits)[-1] if filters else None
+            for width, held in zip(widths, counters, strict=True):
+                keep, slot = _slots(lang, words, ids, piece, width, bits)
+                for k in range(width - len(filters) + 1 if filters else 0):
+                    keep = keep & last[k : len(slot) + k]
+                at, n = np.unique(slot[keep], return_counts=True)
+                held[at] = np.minimum(held[at] + n, least)
+        for width, held in zip(widths, counters, strict=True):
+            for i, part in enumerate(held.reshape(-1, block)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for i, part in zip(b.column("block").to_pylist(), b.column("held"), strict=True):
-                more = np.frombuffer(part.as_buffer(), np.uint8).astype(np.uint16)
-                total[i] = np.minimum(total.get(i, 0) + more, least).astype(np.uint8)
-        for i, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(part >= least).tobytes()], pa.binary())], ["block", "held"])
+            for width, i, part in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                held = np.frombuffer(part, np.uint8).astype(np.uint16)
+                total[width, i] = np.minimum(total.get((width, i), 0) + held, least).astype(np.uint8)
+        for (width, i), part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([i], pa.int32()), pa.array([np.packbits(part >= least).tobytes()], pa.binary())], names)
 
-    schema = "block int, held binary"
-    blocks = over_texts(texts, count, schema).repartition("block").mapInArrow(add, schema).collect()
-    out = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, block // 8)
-    for r in blocks:
-        out[r["block"]] = np.frombuffer(r["held"], np.uint8)
-    return out.tobytes()
+    names = ["width", "block", "held"]
+    schema = "width int, block int, held binary"
+    out = np.zeros((more, max(1, (1 << bits) // block), block // 8), np.uint8)
+    for r in over_texts(texts, count, schema).repartition("width", "block").mapInArrow(add, schema).collect():
+        out[r["width"] - widths[0], r["block"]] = np.frombuffer(r["held"], np.uint8)
+    return filters + [f.tobytes() for f in out]
 
 
 def windows(texts: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
     """(lang, w1 to w4, n): the longest window that leads at each word, padded with empty strings, counted per task.
 
-    A window ends with its piece, or before two or three words that can not occur often enough together.
+    A window ends with its piece, or before two or three words that can not occur often enough together. Words that are too
+    rare themselves are counted without a name.
     """
     shared = texts.sparkSession.sparkContext.broadcast(filters)
 
@@ -172,15 +175,16 @@ def windows(texts: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
             go = np.ones(len(ids), bool)
             for k in range(1, LONGEST):
                 # the k-th word after this one ends a pair, from two on a triple as well
-                for width, good in enumerate(held, 2):
-                    if k + 1 >= width:
+                for width, good in enumerate(held, 1):
+                    if k + 1 >= width > 1:
                         go = go & np.concatenate([good[k + 1 - width :], np.zeros(min(len(ids), k + 1 - width), bool)])
                 after = np.zeros(len(ids), np.int64)
                 after[:-k] = lead[0][k:]
                 lead.append(np.where(go, after, 0))
             wide = len(words) + 1
             single = lead[1] == 0
-            n = np.bincount(lead[0][single], minlength=wide)
+            # rare words only count as words, whichever they are
+            n = np.bincount(np.where(held[0], lead[0], 0)[single], minlength=wide)
             alone = np.flatnonzero(n)
             columns, counts = [alone, *[np.zeros(len(alone), np.int64)] * (LONGEST - 1)], n[alone]
             if not single.all():
@@ -202,24 +206,23 @@ def windows(texts: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
 def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, width, f) of all words and phrases of up to four words that occur ``least`` times, and (lang, n) of all words.
 
-    One ROLLUP over the windows gives them all: the sum over all windows with the same first k words is the count of those words
+    ROLLUP over the windows gives them all: the sum over all windows with the same first k words is the count of those words
     as a phrase, since wherever a phrase occurs it leads exactly one window. Windows of one word need no roll-up.
     """
     bits = counter_bits(texts) if bits is None else bits
-    filters: list[bytes] = []
-    for _ in range(THINNED):
-        filters.append(gram_filter(texts, filters, least, bits))
+    # words and pairs, then the triples of pairs that pass
+    filters = gram_filters(texts, gram_filters(texts, [], 2, least, bits), 1, least, bits)
     counted = once(windows(texts, filters, bits), "windows")
-    rolled = texts.sparkSession.sql(
-        f"""SELECT lang, {", ".join(_WORDS)}, sum(n) AS f, {LONGEST} - bit_count(grouping_id()) AS width
-            FROM {{windows}} WHERE w2 <> '' GROUP BY lang, ROLLUP({", ".join(_WORDS)})""",
-        windows=counted,
-    )
-    # a prefix that reaches into the padding was counted with the shorter one; phrases of several words are complete here
-    rolled = rolled.where("width > 0 AND element_at(array(w1, w2, w3, w4), greatest(1, width)) <> ''").where((F.col("width") == 1) | (F.col("f") >= least))
-    rolled = rolled.select("lang", F.array_join(F.slice(F.array(*_WORDS), F.lit(1), F.col("width")), " ").alias("phrase"), "width", "f")
-    alone = counted.where("w2 = ''").select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("width"), F.col("n").alias("f"))
-    found = rolled.unionByName(alone).groupBy("lang", "phrase", "width").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    parts = [counted.where("w1 <> '' AND w2 = ''").select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("width"), F.col("n").alias("f"))]
+    for k in range(2, LONGEST + 1):
+        # padding is not rolled up: windows of k words give phrases of k words and less
+        rolled = texts.sparkSession.sql(
+            f"""SELECT lang, array_join(array({", ".join(_WORDS[:k])}), ' ') AS phrase, {k} - bit_count(grouping_id()) AS width, sum(n) AS f
+                FROM {{windows}} GROUP BY lang, ROLLUP({", ".join(_WORDS[:k])}) HAVING width > 0""",
+            windows=counted.where(f"w{k} <> ''" + (f" AND w{k + 1} = ''" if k < LONGEST else "")),
+        )
+        parts.append(rolled)
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy("lang", "phrase", "width").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return once(found, "phrases"), counted.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
