@@ -8,8 +8,8 @@ import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-# words kept per worker process, and the longest word that is kept
-CACHE_WORDS = 500_000
+# words of each of two generations kept per worker process, some 45 MB each, and the longest word that is kept
+CACHE_WORDS = 150_000
 CACHE_CHARS = 64
 # texts encoded together
 BATCH_CHARS = 3_000_000
@@ -63,6 +63,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _BYTES = _byte_alphabet()
+_SPACE = _BYTES[32]
 
 
 def _unsafe(piece: str) -> bool:
@@ -70,6 +71,29 @@ def _unsafe(piece: str) -> bool:
     return piece in ("", "\x00") or (piece != "\n" and piece[piece[0] == "\x00"].isspace())
 
 
+class _Unsafe(KeyError):
+    """A piece whose cut may be wrong."""
+
+
+class _Known(dict):
+    """Ids of pieces, learned when first asked for. A full generation makes place for a new one and is asked once more."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, exactly those of the tokenizer over the whole text."""
 
@@ -80,56 +104,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.pieces, self.text_of, self.lower, self.known, self.again = pieces, text_of, lower, {}, set()
+        self.pieces, self.text_of, self.lower = pieces, text_of, lower
+        self.known, self.tokenize = _Known(self._learn), self.model.tokenize
+        self.ends = {sign: self._part(sign) for sign in ".,"}
 
     def _part(self, part: str) -> bytes:
         """Ids of one piece as the tokenizer's split leaves it."""
         shown = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(_BYTES)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces. A plain word goes to the model at once, others through the whole tokenizer."""
-        new, odd, known, text_of, plain, part = {}, [], self.known, self.text_of, _PLAIN.fullmatch, self._part
-        tokenize, lower = self.model.tokenize, self.lower
-        for w in words:
-            if lower and w.isascii() and w.isalpha():
-                new[w] = array("I", [t.id for t in tokenize(w.lower())]).tobytes()
-                continue
-            text = text_of(w)
-            cut = plain(text, 1 if text[:1] == " " else 0)
-            if cut is None:
-                odd.append(w)
-            elif cut[2]:
-                core = w[:-1]
-                ids = known.get(core) or new.get(core)
-                if ids is None:
-                    ids = new[core] = part(text[:-1].lower() if self.lower else text[:-1])
-                new[w] = ids + part(cut[2])
-            elif w not in new:
-                new[w] = part(text.lower() if self.lower else text)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([text_of(w) for w in odd], add_special_tokens=False), strict=True):
-            new[w] = array("I", e.ids).tobytes()
-        return new
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a new piece. A plain word goes to the model at once, others through the whole tokenizer."""
+        if self.lower:
+            begin, shown = "", piece
+        elif _unsafe(piece):
+            raise _Unsafe(piece)
+        else:
+            # a piece without the mark has a space before it
+            begin, shown = ("", piece[1:]) if piece[0] == "\x00" else (_SPACE, piece)
+        if shown.isascii():
+            if shown.isalpha():
+                return array("I", [t.id for t in self.tokenize(begin + (shown.lower() if self.lower else shown))]).tobytes()
+            if shown[-1:] in self.ends and shown[:-1].isalpha():
+                return self.known[piece[:-1]] + self.ends[shown[-1]]
+        text = self.text_of(piece)
+        cut = _PLAIN.fullmatch(text, 1 if text[:1] == " " else 0)
+        if cut is None:
+            return self._whole(text)
+        if cut[2]:
+            return self.known[piece[:-1]] + self.ends[cut[2]]
+        return self._part(text.lower() if self.lower else text)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """One string of id bytes per text; a null text counts as empty."""
-        cut = [self.pieces(t or "") for t in texts]
-        used = set().union(*cut)
-        if not self.lower and (blank := {w for w in used.difference(self.known) if _unsafe(w)}):
-            cut = [safe_pieces(t or "") if blank.intersection(c) else c for t, c in zip(texts, cut, strict=True)]
-            used = set().union(*cut)
-        # a word of a second batch stays when the cache is full; one seen in a single batch makes room
-        self.again.update(used.intersection(self.known))
-        if len(self.known) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in self.again}
-            self.again = self.again if len(self.again) < CACHE_WORDS // 2 else set()
-        new = self._learn(used.difference(self.known))
-        self.known.update(new)
-        find = self.known.__getitem__
-        out = [b"".join(map(find, c)) for c in cut]
-        for w in new:
-            if len(w) > CACHE_CHARS or (not self.lower and _unsafe(w)):
-                self.known.pop(w, None)
+        out = []
+        for text in texts:
+            text = text or ""
+            try:
+                out.append(b"".join(map(self.known.__getitem__, self.pieces(text))))
+            except _Unsafe:
+                out.append(b"".join(self._whole(self.text_of(p)) if _unsafe(p) else self.known[p] for p in safe_pieces(text)))
         return out
 
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force: token files, packing, mixing, secrets, near-duplicates, repeats."""
 
 from collections import Counter, defaultdict
+import functools
 import hashlib
 import random
 import re
@@ -30,9 +31,15 @@ TRICKY = [
 ]
 
 
-def whole(name, text, end):
+@functools.cache
+def tokenizer(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
+    return t
+
+
+def whole(name, text, end):
+    t = tokenizer(name)
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
