@@ -14,6 +14,8 @@ from plantlake.session import settle
 # rows of one slice that Python code holds at a time, and characters of text in it
 SLICE_ROWS = 2_000
 SLICE_CHARS = 4_000_000
+# the same for work that needs many bytes per character
+SMALL_SLICE = 500_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,8 +48,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = S
 def over_texts(
     df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, text: str = "text", chars: int = SLICE_CHARS
 ) -> DataFrame:
-    """Run ``fold`` over the slices of every partition."""
-    return df.mapInArrow(lambda batches: fold(slices(batches, text, chars)), schema)
+    """Run ``fold`` over the slices of every partition; a task gives back the buffers it held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fold(slices(batches, text, chars))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantlake.llm.common import crc_fold, most_frequent, once, over_texts, texts_of
+from plantlake.llm.common import SMALL_SLICE, crc_fold, most_frequent, once, over_texts, texts_of
 
 # labelled rows that the classifier is fitted on, at most about: a documented bound
 TRAIN_ROWS = 200_000
@@ -27,7 +27,7 @@ SYMBOLS = 28
 BEAM = 48
 LONGEST = 40
 # tokens whose weight a worker remembers
-CACHE = 400_000
+CACHE = 150_000
 
 # fixed values: what a sign may stand for
 LEET = {
@@ -50,7 +50,7 @@ FEATURES = ("log_sum", "best", "log_count", "share")
 def _codes(text: str) -> np.ndarray:
     """Symbol of every code point of a lower-case text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.zeros(len(points), np.int64)
+    out = np.zeros(len(points), np.int32)
     letters = (points >= 97) & (points <= 122)
     out[letters] = points[letters] - 96
     # letters beyond ASCII: from Latin-1 on, but for its two arithmetic signs
@@ -139,14 +139,14 @@ def train_char_model(docs: DataFrame) -> CharModel:
             border = codes == 0
             keep = ~border | np.concatenate([[True], ~border[:-1]])
             words = codes[keep]
-            spread = np.zeros(len(words) + 2 * int((words == 0).sum()), np.int64)
-            spread[np.arange(len(words)) + 2 * np.cumsum(words == 0)] = words
+            spread = np.zeros(len(words) + 2 * int((words == 0).sum()), np.int32)
+            spread[np.arange(len(words), dtype=np.int32) + 2 * np.cumsum(words == 0, dtype=np.int32)] = words
             gram = ((spread[:-3] * SYMBOLS + spread[1:-2]) * SYMBOLS + spread[2:-1]) * SYMBOLS + spread[3:]
             counts += np.bincount(gram, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
 
-    rows = over_texts(docs.select(F.col("text").cast("string").alias("text")), count, "gram long, n long")
+    rows = over_texts(docs.select(F.col("text").cast("string").alias("text")), count, "gram long, n long", chars=SMALL_SLICE)
     total = rows.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SYMBOLS**4)
     counts[total["gram"].to_numpy(np.int64)] = total["n"].to_numpy(np.float64)
