@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from plantlake.joins import join_sized
-from plantlake.llm.common import once, over_texts
+from plantlake.llm.common import SMALL_SLICE, once, over_texts
 
 LENGTH = 200
 # leading bytes of a suffix; every stretch of LENGTH bytes holds a sampled suffix with all of them
@@ -120,7 +120,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                 "after": after.astype(np.int16), "first": is_first, "twice": count[place] > 1,
             })
 
-    return over_texts(texts.select("key", "text"), run, "lead long, key long, pos int, before short, after short, first boolean, twice boolean")
+    return over_texts(texts.select("key", "text"), run, "lead long, key long, pos int, before short, after short, first boolean, twice boolean", chars=SMALL_SLICE)
 
 
 def repeated_suffixes(texts: DataFrame) -> DataFrame:
