@@ -40,12 +40,15 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 @dataclass(frozen=True)
 class SecretModel:
-    """Log-likelihood ratio (random against ordinary) of each pair of neighbouring characters; code 0 is the border."""
+    """Log-likelihood ratio (random against ordinary) of each pair of neighbouring characters; code 0 is the border.
+
+    As in training, whatever no identifier holds is a border; two borders in a row say nothing.
+    """
 
     ratio: np.ndarray
 
     def score(self, text: str) -> float:
-        codes = _codes(text)
+        codes = np.concatenate([[0], _IDENTIFIER_CODE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)], [0]])
         return float(self.ratio[codes[:-1], codes[1:]].sum())
 
 
@@ -66,8 +69,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def train_secret_model(docs: DataFrame, smooth: float = 0.5) -> SecretModel:
     """Character-pair models from samples that the base patterns label, over all documents.
 
-    Random strings: the values that base patterns find, if a digit is in them. Ordinary identifiers: all other runs of letters, digits and
-    underscores. Each task adds up its pairs in a table of 64 x 64 counts per class; Spark sums the tables, so the
+    Random strings: the values that base patterns find, if a digit is in them. Ordinary identifiers: the other runs of letters, digits and
+    underscores, but for those that the models are asked about: a secret of unknown kind teaches neither class. Each task adds up its pairs in a table of 64 x 64 counts per class; Spark sums the tables, so the
     driver gets 8,192 numbers whatever the input. An empty table gives models that never tell anything apart.
     """
 
@@ -84,7 +87,7 @@ def train_secret_model(docs: DataFrame, smooth: float = 0.5) -> SecretModel:
                     ordinary.append(text[cut:start])
                     cut = max(cut, end)
                 ordinary.append(text[cut:])
-            _add_text(pairs[0], "\n".join(ordinary))
+            _add_text(pairs[0], CANDIDATE.sub(" ", "\n".join(ordinary)))
         kind, pair = np.nonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(pair), pa.array(pairs[kind, pair])], ["kind", "pair", "n"])
 
@@ -96,7 +99,9 @@ def train_secret_model(docs: DataFrame, smooth: float = 0.5) -> SecretModel:
         table[r["kind"], r["pair"]] += r["n"]
     ordinary, random = (_pair_model(t.reshape(ALPHABET, ALPHABET), smooth) for t in table)
     # secrets of kinds that no sample shows are drawn from all characters alike
-    return SecretModel(np.log(0.5 * random + 0.5 / ALPHABET) - np.log(ordinary))
+    ratio = np.log(0.5 * random + 0.5 / ALPHABET) - np.log(ordinary)
+    ratio[0, 0] = 0.0
+    return SecretModel(ratio)
 
 
 def _pair_model(counts: np.ndarray, smooth: float) -> np.ndarray:
