@@ -137,8 +137,9 @@ def test_graph(spark):
     assert {r.node: r.degree for r in graph.degrees(edges).collect()} == {"f1": 3, "f2": 1, "A": 1, "B": 2, "M": 1}
     seeds = spark.createDataFrame([("A",)], "node string")
     assert {r.node: r.distance for r in graph.neighbourhood(edges, seeds, 3).collect()} == {"A": 0, "f1": 1, "B": 2, "M": 2, "f2": 3}
+    assert {r.node: r.distance for r in graph.neighbourhood(edges, seeds, 4).collect()} == {"A": 0, "f1": 1, "B": 2, "M": 2, "f2": 3}
     with pytest.raises(ValueError):
-        graph.neighbourhood(edges, seeds, 4)
+        graph.neighbourhood(edges, seeds, -1)
     m = spark.createDataFrame([order(1, alarm_id="ALM-1", downtime_id=None)], WORK_ORDERS)
     assert [tuple(r) for r in graph.entity_edges(m, "MWO_ID", {"TriggeringAlarmID": "AlarmID", "RelatedDowntimeID": "DowntimeID"}).collect()] == [("MWO-PLA-00000001", "ALM-1", "alarm")]
 
