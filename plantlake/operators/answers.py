@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plantlake.functions.embedding import Embedder, embed_column
 from plantlake.functions.text import PREVIEW, basename, preview
 from plantlake.joins import fits_broadcast, join_hot
-from plantlake.operators.neighbours import K, cell_top_k, exact_top_k, hashed_top_k
+from plantlake.operators.neighbours import K, exact_top_k
+from plantlake.operators.vector_index import cell_top_k, hashed_top_k
 from plantlake.session import settle
 
 INDEXES = ("exact", "lsh", "ivf")
@@ -20,9 +21,7 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = K, index: s
         return exact_top_k(questions, chunks, k, metric, **options)
     if index not in INDEXES:
         raise ValueError(f"index must be one of {INDEXES}")
-    if metric != "l2":
-        raise ValueError("the approximate indexes measure l2")
-    return (hashed_top_k if index == "lsh" else cell_top_k)(questions, chunks, k, **options)
+    return (hashed_top_k if index == "lsh" else cell_top_k)(questions, chunks, k, metric, **options)
 
 
 def source_label(kind: Column) -> Column:

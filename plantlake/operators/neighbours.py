@@ -1,4 +1,4 @@
-"""Nearest chunks for a whole table of question vectors: exact, hashed buckets, or coarse cells.
+"""Nearest chunks for a whole table of question vectors: exact, or within cells that were chosen before.
 
 No (question, chunk) pair ever becomes a row. Vectors meet in blocks of bounded size, each block keeps
 only its best k per question, and a window over those few rows gives the final rank.
@@ -10,9 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from plantlake.joins import BROADCAST_BYTES, join_sized
@@ -26,6 +23,8 @@ CHUNK_BLOCK = 20_000
 STEP = 1024
 # relative width within which block scores are taken as possibly equal and compared again directly
 NEAR = 1e-9
+# pairs of a block that are compared directly at a time
+PAIRS = 100_000
 
 
 def _check(metric: str, k: int) -> None:
@@ -36,13 +35,13 @@ def _check(metric: str, k: int) -> None:
 
 
 def _direct(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Distance of one question to some vectors; smaller is nearer. Twelve digits, so equal is equal."""
+    """Distances of questions and vectors, row by row; smaller is nearer. Twelve digits, so equal is equal."""
     if metric == "l2":
         d = ((x - q) ** 2).sum(axis=1)
     elif metric == "dot":
         d = -(x * q).sum(axis=1)
     else:
-        scale = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1))
+        scale = np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1))
         d = 1.0 - np.divide((x * q).sum(axis=1), scale, out=np.zeros(len(x)), where=scale > 0)
     return np.round(d, 12)
 
@@ -75,18 +74,17 @@ def _best(
     kk = min(k, len(cid))
     kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
     margin = NEAR * (1.0 + np.abs(kth) + (np.abs(rough).max(axis=1) if rough.size else 0.0))
-    out_q, out_c, out_d = [], [], []
-    for i in range(len(qid)):
-        near = np.flatnonzero(rough[i] <= kth[i] + margin[i])
-        d = _direct(q[i], x[near], metric)
-        pick = np.lexsort((cid[near], d))[:kk]
-        out_q.extend([qid[i]] * len(pick))
-        out_c.extend(cid[near][pick])
-        out_d.extend(d[pick])
-    return pd.DataFrame({"question_id": out_q, "chunk_id": out_c, "distance": out_d})
-
-
-def _vectors(column: pd.Series) -> np.ndarray:
+    at, near = np.nonzero(rough <= (kth + margin)[:, None])
+    d = np.concatenate([np.zeros(0), *[_direct(q[at[i : i + PAIRS]], x[near[i : i + PAIRS]], metric) for i in range(0, len(at), PAIRS)]])
+    order = np.lexsort((cid[near], d, at))
+    at, near, d = at[order], near[order], d[order]
+    # place of each pair among those of its question
+    first = np.searchsorted(at, np.arange(len(qid)))
+    best = np.arange(len(at)) - first[at] < kk
+    return pd.DataFrame({"question_id": qid[at[best]], "chunk_id": cid[near[best]], "distance": d[best]})
+
+
+def vectors_of(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(float)
 
 
@@ -122,7 +120,7 @@ def exact_top_k(
     table = asked.toPandas()
     if not len(table):
         return questions.sparkSession.createDataFrame([], _ranked_schema(questions, chunks))
-    shared = asked.sparkSession.sparkContext.broadcast((table["question_id"].to_numpy(), _vectors(table["embedding"])))
+    shared = asked.sparkSession.sparkContext.broadcast((table["question_id"].to_numpy(), vectors_of(table["embedding"])))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = shared.value
@@ -130,7 +128,7 @@ def exact_top_k(
         for pdf in batches:
             if not len(pdf):
                 continue
-            cid, x = pdf["chunk_id"].to_numpy(), _vectors(pdf["embedding"])
+            cid, x = pdf["chunk_id"].to_numpy(), vectors_of(pdf["embedding"])
             found = best_of_block(qid, q, cid, x, k, metric)
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["question_id", "distance", "chunk_id"]).groupby("question_id", sort=False).head(k)
@@ -174,7 +172,7 @@ def top_k_in_cells(
         if not len(q) or not len(c):
             return pd.DataFrame({"question_id": [], "chunk_id": [], "distance": []})
         return best_of_block(
-            q["question_id"].to_numpy(), _vectors(q["embedding"]), c["chunk_id"].to_numpy(), _vectors(c["embedding"]), k, metric
+            q["question_id"].to_numpy(), vectors_of(q["embedding"]), c["chunk_id"].to_numpy(), vectors_of(c["embedding"]), k, metric
         )
 
     keys = ["cell", "_qb", "_cb"]
@@ -183,32 +181,7 @@ def top_k_in_cells(
     return rank_candidates(found.groupBy("question_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
 
 
-def _as_vector(df: DataFrame) -> DataFrame:
-    return df.withColumn("_vec", array_to_vector(F.col("embedding").cast("array<double>")))
-
-
-def hashed_top_k(
-    questions: DataFrame, chunks: DataFrame, k: int = K, *, bucket_length: float = 1.0, tables: int = 4, seed: int = 42
-) -> DataFrame:
-    """Approximate k nearest by L2: only chunks in one of the question's hash buckets are compared.
-
-    A question whose buckets hold fewer than k chunks is answered exactly, so that every question gets its k rows.
-    """
-    stored = settle(_as_vector(chunks.select("chunk_id", "embedding")), "hashed")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(stored)
-
-    def cells(df: DataFrame, key: str) -> DataFrame:
-        hashed = lsh.transform(df).select(key, "embedding", F.posexplode("_hashes").alias("_table", "_h"))
-        return hashed.select(key, "embedding", F.xxhash64("_table", vector_to_array("_h")).alias("cell"))
-
-    asked = settle(_as_vector(questions.select("question_id", "embedding")), "hashed")
-    found = top_k_in_cells(cells(asked, "question_id"), cells(stored, "chunk_id"), k, "l2")
-    return completed(found, questions, chunks, k)
-
-
-def completed(found: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def completed(found: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """``found`` with the questions that are short of k chunks answered by exact search."""
     found = settle(found, "found")
     whole = min(k, chunks.where(F.col("embedding").isNotNull()).limit(k).count())
@@ -216,34 +189,4 @@ def completed(found: DataFrame, questions: DataFrame, chunks: DataFrame, k: int)
     short = settle(questions.where(F.col("embedding").isNotNull()).join(enough, "question_id", "left_anti").select("question_id", "embedding"), "short")
     if short.isEmpty():
         return found
-    return found.join(short.select("question_id"), "question_id", "left_anti").unionByName(exact_top_k(short, chunks, k))
-
-
-def coarse_cells(chunks: DataFrame, cells: int, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """Chunks with the number of their nearest of ``cells`` centres, and the centres."""
-    data = settle(_as_vector(chunks.select("chunk_id", "embedding")), "cells")
-    model = KMeans(featuresCol="_vec", predictionCol="_cell", k=cells, seed=seed, maxIter=max_iter).fit(data)
-    placed = model.transform(data).select("chunk_id", "embedding", F.col("_cell").cast("long").alias("cell"))
-    return placed, np.vstack(model.clusterCenters())
-
-
-def cell_top_k(
-    questions: DataFrame, chunks: DataFrame, k: int = K, *, cells: int = 16, probes: int = 4, seed: int = 42
-) -> DataFrame:
-    """Approximate k nearest by L2: each question looks into its ``probes`` nearest cells.
-
-    With as many probes as cells the result is exact. A question whose cells hold fewer than k chunks is answered exactly.
-    """
-    placed, centres = coarse_cells(chunks, cells, seed)
-    shared = chunks.sparkSession.sparkContext.broadcast(centres)
-    visits = max(1, min(probes, len(centres)))
-
-    @F.pandas_udf("array<bigint>")
-    def near_cells(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        far = _bulk(_vectors(vectors), shared.value, "l2")
-        return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :visits]))
-
-    asked = questions.select("question_id", "embedding", F.explode(near_cells("embedding")).alias("cell"))
-    return completed(top_k_in_cells(asked, placed, k, "l2"), questions, chunks, k)
+    return found.join(short.select("question_id"), "question_id", "left_anti").unionByName(exact_top_k(short, chunks, k, metric))

@@ -11,11 +11,12 @@ from plantlake.functions.text import (
 )
 from plantlake.functions.units import KeywordRule, convert, general_information, phrase_parts, phrase_results
 from plantlake.operators.answers import answer_questions
-from plantlake.operators.neighbours import cell_top_k, exact_top_k, hashed_top_k
+from plantlake.operators.neighbours import exact_top_k
 from plantlake.operators.trace import classify_steps, merge_pieces
+from plantlake.operators.vector_index import VectorIndex, cell_top_k, hashed_top_k
 from plantlake.ordered import WINDOW_ROWS
 from plantlake.plans.views import PLANT_EVENTS_SQL, busy_table, plant_events, rounded, stamp, table, with_sql
-from plantlake.session import scratch_path
+from plantlake.session import scratch_path, settle
 from plantlake.sources.collection import Collection, flatten_metadata
 from plantlake.sources.corpus import document_chunks, image_chunks, processing_log, route, scan_files, skipped_log, unseen
 from plantlake.streaming.ingest import ingest_stream
@@ -234,13 +235,28 @@ def doc_top_k_hashed(spark, folder):
 
 
 def doc_top_k_cells(spark, folder):
-    return _shown(cell_top_k(_questions(spark, folder), _vectors(spark, folder), 3, cells=16, probes=4))
+    return _shown(cell_top_k(_questions(spark, folder), _vectors(spark, folder), 3))
 
 
 def doc_top_k_all_cells(spark, folder):
     return _shown(cell_top_k(_questions(spark, folder), _vectors(spark, folder), 3, cells=16, probes=16))
 
 
+def _recalled(kind: str, metric: str):
+    """Every vector asks a stored index: what it finds, and whether the share of true neighbours among it all is 0.9 or more."""
+
+    def run(spark, folder):
+        questions, chunks = _questions(spark, folder), _vectors(spark, folder)
+        index = VectorIndex.build(chunks, scratch_path(spark, "index"), kind, metric)
+        found = settle(index.search(questions, 3), "found")
+        true = exact_top_k(questions, chunks, 3, metric).select("question_id", "chunk_id", F.lit(1).alias("hit"))
+        recall = found.join(true, ["question_id", "chunk_id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)) >= 0.9).alias("recall_ok"))
+        per = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_found"), F.min_by("chunk_id", "rank").alias("nearest"), F.round(F.min("distance"), 6).alias("distance"))
+        return per.join(F.broadcast(recall)).select("question_id", "n_found", "nearest", (F.col("distance") + 0.0).alias("distance"), "recall_ok")
+
+    return run
+
+
 def doc_embed(spark, folder):
     """Hashed vectors of whole documents: their length and how many words they stand for."""
     out = embed_column(busy_table(spark, folder, "documents", "doc_id", "text"), "text", hashing_embedder(64))
@@ -272,6 +288,7 @@ def doc_answers_text(spark, folder):
 
 
 QUERIES = {
+    "doc_index_cells": _recalled("cells", "l2"), "doc_index_cells_cosine": _recalled("cells", "cosine"), "doc_index_hashes": _recalled("hashes", "l2"),
     "doc_merge_pieces": _merged(WINDOW_ROWS),
     "doc_merge_pieces_chunked": _merged(0),
     **{f"doc_top_k_{m}": _exact(m) for m in ["l2", "cosine", "dot"]},
@@ -326,6 +343,12 @@ def _ranked_sql(distance: str) -> str:
     return with_sql(_top_sql(distance)) + "SELECT question_id, CAST(r AS INTEGER) AS rank, chunk_id, round(3e-9 + d, 6) + 0.0 AS distance FROM k"
 
 
+def _recalled_sql(distance: str) -> str:
+    """The nearest of each vector and how many rows it gets; the index has to find enough of the others."""
+    return with_sql(_top_sql(distance)) + """SELECT question_id, count(*) AS n_found, min_by(chunk_id, r) AS nearest, round(min(d), 6) + 0.0 AS distance, true AS recall_ok
+FROM k GROUP BY question_id"""
+
+
 _EXT = "(['.txt', '.MD', '.pdf', '.png', '.docx'])[doc_id % 5 + 1]"
 _ENDS = rf"'^{_SPACE}+|{_SPACE}+$'"
 _PATHED = "d AS (SELECT source || '/' || doc_id || '.txt' AS path, text FROM documents)"
@@ -336,6 +359,7 @@ ORACLES = {
     "doc_top_k_dot": _ranked_sql(_DOT),
     "doc_top_k_blocks": _ranked_sql(_L2),
     "doc_top_k_all_cells": _ranked_sql(_L2),
+    "doc_index_cells": _recalled_sql(_L2), "doc_index_cells_cosine": _recalled_sql(_COS), "doc_index_hashes": _recalled_sql(_L2),
     "doc_clean_markup": f"SELECT page_id, {_CLEAN} AS text FROM pages",
     "doc_windows": with_sql(_windows_sql(800, 100)) + "SELECT doc_id, chunk_no, text, n_tokens FROM c",
     "doc_windows_plain": with_sql(_windows_sql(800, 0)) + "SELECT doc_id, chunk_no, md5(text) AS digest, n_tokens FROM c",
