@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from plantlake.functions.columns import number, present
 from plantlake.joins import BROADCAST_BYTES, join_sized
 from plantlake.operators.quantiles import weighted_quantile
 from plantlake.session import settle, settle_sized
 
+# rows of a tree
 SAMPLE = 256
+# times as many hashes are let through at first
+SPARE = 4.0
 GROUP_ROWS = 250_000
 EULER = 0.5772156649015329
 
@@ -90,36 +94,67 @@ def grow_forest(samples: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarr
     return point[by_point], jump[by_point]
 
 
+def forest_samples(
+    rows: DataFrame, row_id: Sequence[str], trees: int = 100, seed: int = 42, *, series_cols: Sequence[str] = (), sample: int = SAMPLE, spare: float = SPARE,
+) -> DataFrame:
+    """(series, _tree, _h, _v): for every series and tree the ``sample`` rows with the smallest hash of tree and row id.
+
+    ``rows`` has the series, ``row_id`` and ``_v``. Every row takes part for every tree. Only hashes below a limit that lets
+    about ``spare`` times the sample through are sent on, each task keeping its smallest; where a tree is short of rows the series is
+    drawn again with a limit that is eight times higher, so the limit never decides which rows are drawn.
+    """
+    series = list(series_cols)
+    counts = settle(rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    full = 2**31
+    parts, share = [], float(spare * sample)
+    while True:
+        keyed = join_sized(rows, counts, series, "inner")
+        limit = F.least(F.lit(1.0), F.lit(share) / F.col("_n")) * full
+        marks = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, *row_id).alias("h")))
+        drawn = keyed.select(*series, "_n", "_v", F.explode(F.filter(marks, lambda m: F.pmod(m["h"], F.lit(full)) < limit)).alias("_m"))
+        drawn = drawn.select(*series, "_n", F.col("_m.tree").alias("_tree"), F.pmod("_m.h", F.lit(full)).alias("_low"), F.col("_m.h").alias("_h"), "_v")
+        smallest = W.partitionBy(*series, "_tree").orderBy("_low", "_h", "_v")
+        kept = settle(drawn.withColumn("_place", F.row_number().over(smallest)).where(F.col("_place") <= sample), "drawn")
+        parts.append(kept)
+        # a series is done when all of its trees have as many rows as there are, up to the sample
+        done = kept.groupBy(*series, "_n").agg(F.count(F.lit(1)).alias("_got")).where(F.col("_got") >= trees * F.least(F.col("_n"), F.lit(sample)))
+        if not series:
+            left = counts.limit(0 if not done.isEmpty() else 1)
+        else:
+            left = counts.join(done.select(*series), series, "left_anti")
+        counts = settle(left.where("_n > 0"), "sizes")
+        if counts.isEmpty():
+            break
+        # the next round draws these series anew
+        parts[-1] = kept.join(counts.select(*series), series, "left_anti") if series else kept.limit(0)
+        share *= 8
+    return functools.reduce(DataFrame.unionByName, parts).select(*series, "_tree", "_h", "_v")
+
+
 def iforest_steps(
     df: DataFrame, value: str, row_id: Sequence[str], trees: int = 100, seed: int = 42, *, series_cols: Sequence[str] = ()
 ) -> DataFrame:
     """The forest of each series as one row: (series, points, totals, sample).
 
-    ``totals`` is the path length summed over all trees to the right of each point. A series sends at most
-    about four times what all its samples need, chosen by hash; the samples depend on those rows alone and
-    not on how they are partitioned.
+    ``totals`` is the path length summed over all trees to the right of each point. Every tree draws from all rows of its
+    series; a series' trees, ``trees`` times 256 values, meet in one task.
     """
     series = list(series_cols)
-    rows = present(df, value)
-    counts = rows.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
-    pool, thin = 4 * SAMPLE * trees, 2**31
-    keyed = join_sized(rows.select(*series, *row_id, number(value).alias("_v")), counts, series, "inner")
-    mark = F.xxhash64(F.lit(seed), *row_id)
-    share = F.least(F.lit(1.0), F.lit(float(pool)) / F.col("_n"))
-    pooled = keyed.where(F.pmod(mark, F.lit(thin)) < F.lit(thin) * share).select(*series, mark.alias("_h"), "_v")
+    rows = present(df, value).select(*series, *row_id, number(value).alias("_v"))
+    if series:
+        rows = rows.dropna(subset=series)
+    drawn = forest_samples(rows, row_id, trees, seed, series_cols=series)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(["_h", "_v"])["_v"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        size = min(SAMPLE, len(x))
-        samples = np.stack([np.sort(rng.choice(x, size, replace=False)) for _ in range(trees)])
-        points, jumps = grow_forest(samples, rng)
+        pdf = pdf.sort_values(["_tree", "_v"])
+        size = len(pdf) // trees
+        points, jumps = grow_forest(pdf["_v"].to_numpy(float).reshape(trees, size), np.random.default_rng(seed))
         out = {s: [pdf[s].iloc[0]] for s in series}
         return pd.DataFrame(out | {"points": [points], "totals": [np.cumsum(jumps)], "sample": [float(size)]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = "".join(f"`{s}` {kinds[s]}, " for s in series) + "points array<double>, totals array<double>, sample double"
-    return pooled.groupBy(*series).applyInPandas(build, schema)
+    return drawn.groupBy(*series).applyInPandas(build, schema)
 
 
 def _score(points: np.ndarray, totals: np.ndarray, sample: float, trees: int, x: np.ndarray) -> np.ndarray:

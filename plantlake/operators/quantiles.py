@@ -1,13 +1,15 @@
 """Exact quantiles without sorting a whole series in one task.
 
-First pass: a mergeable sketch per series gives for every probability a narrow value band that must
+First pass: a mergeable sketch per series gives for every probability a narrow value band that should
 hold the wanted ranks. Second pass: rows below a band are only counted, rows inside it are counted per
-distinct value. Both collapse on the map side, so the shuffle carries the bands, not the series.
+distinct value. Both collapse on the map side, so the shuffle carries the bands, not the series. Where a band does not
+hold its rank, the series goes through further rounds with bands that are wider each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+import functools
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -22,19 +24,22 @@ ALL = -1
 
 def exact_quantiles(
     df: DataFrame, series: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
-    accuracy: int = 10_000, window_rows: int = WINDOW_ROWS,
+    accuracy: int = 10_000, window_rows: int = WINDOW_ROWS, slack: float | None = None,
 ) -> DataFrame:
     """One row per series with the linearly interpolated quantiles; nulls are skipped.
 
+    ``slack`` is how far, in probability, a band reaches to both sides of its rank in the first round. A later round is sixteen
+    times wider and takes the series that are left; from 1 on a band is the whole series, so the rounds end.
+
     A band of more than ``window_rows`` distinct values is summed up in chunks instead of one window. A null key is a
     series of its own: keys travel inside a struct, whose nulls are equal.
     """
     outer, series = list(series), ["_key"] if series else []
     key = [F.struct(*outer).alias("_key")] if outer else []
     rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
-    slack = 5.0 / accuracy
+    slack = 5.0 / accuracy if slack is None else slack
     m = len(probs)
-    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    edges = [min(1.0, max(0.0, e)) for e in [*(p - slack for p in probs), *(p + slack for p in probs)]]
     sketch = rows.groupBy(*series).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_edges"),
@@ -61,8 +66,16 @@ def exact_quantiles(
     )
     counted = settle(counted, "bands")
     longest = counted.groupBy(*series, "_q").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    found = _pick(counted, series, probs, names, chunked=longest > window_rows)
-    return found.select(*[F.col("_key")[c].alias(c) for c in outer], *names)
+    found = settle(_pick(counted, series, probs, names, chunked=longest > window_rows), "quantiles")
+    shown = found.select(*[F.col("_key")[c].alias(c) for c in outer], *names, "_missed")
+    if not found.where("_missed").limit(1).count():
+        return shown.drop("_missed")
+    wider = max(16.0 * slack, 16.0 * 5.0 / accuracy)
+    if not outer:
+        return exact_quantiles(df, outer, value, probs, names, accuracy, window_rows, wider)
+    again = shown.where("_missed").select(F.struct(*outer).alias("_again"))
+    left = join_sized(df.withColumn("_again", F.struct(*outer)), again, ["_again"], "left_semi").drop("_again")
+    return shown.where("NOT _missed").drop("_missed").unionByName(exact_quantiles(left, outer, value, probs, names, accuracy, window_rows, wider))
 
 
 def weighted_quantile(counted: DataFrame, series: Sequence[str], value: str, weight: str, prob: float, name: str) -> DataFrame:
@@ -72,13 +85,13 @@ def weighted_quantile(counted: DataFrame, series: Sequence[str], value: str, wei
         *series, F.sum(weight).over(W.partitionBy(*series)).alias("_n"), F.lit(ALL).alias("_q"),
         F.col(value).cast("double").alias("_x"), F.col(weight).alias("_m"),
     )
-    return _pick(rows, series, [prob], [name])
+    return _pick(rows, series, [prob], [name]).drop("_missed")
 
 
 def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], names: Sequence[str], chunked: bool = False) -> DataFrame:
     """Interpolate between the values at the two ranks around prob * (n - 1).
 
-    ``_x`` null stands for all rows below the band.
+    ``_x`` null stands for all rows below the band. ``_missed`` says that a band does not hold its ranks.
     """
     if chunked:
         ranked = running_total(counted, [*series, "_q"], ["_x"], F.col("_m"), "_cum", window_rows=0)
@@ -96,13 +109,12 @@ def _pick(counted: DataFrame, series: list[str], probs: Sequence[float], names:
         ]
 
     found = ranked.groupBy(*series).agg(F.first("_n").alias("_n"), *[c for i, p in enumerate(probs) for c in at(i, p)])
-    missed: Column = F.raise_error(F.lit("quantile band missed its rank, raise the accuracy")).cast("double")
 
     def quantile(i: int, p: float) -> Column:
         rank = F.lit(float(p)) * (F.col("_n") - 1)
-        sound = ~F.coalesce(F.col(f"_below{i}"), F.lit(False)) & F.col(f"_b{i}").isNotNull()
-        value = F.col(f"_a{i}") + (rank - F.floor(rank)) * (F.col(f"_b{i}") - F.col(f"_a{i}"))
-        # a series without any value has no quantile
-        return F.when(sound, value).when(F.col("_n").isNotNull(), missed)
+        return F.col(f"_a{i}") + (rank - F.floor(rank)) * (F.col(f"_b{i}") - F.col(f"_a{i}"))
 
-    return found.select(*series, *[quantile(i, p).alias(n) for i, (p, n) in enumerate(zip(probs, names))])
+    # a series without any value has no quantile, and none that could be missed
+    out = [F.coalesce(F.col(f"_below{i}"), F.lit(False)) | F.col(f"_b{i}").isNull() for i in range(len(probs))]
+    missed = functools.reduce(Column.__or__, out, F.lit(False)) & F.col("_n").isNotNull()
+    return found.select(*series, *[quantile(i, p).alias(n) for i, (p, n) in enumerate(zip(probs, names))], missed.alias("_missed"))

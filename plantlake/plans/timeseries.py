@@ -258,6 +258,18 @@ def ts_iforest_share(spark, folder):
     return outlier_share(out, series_cols=TYPE)
 
 
+def ts_iforest_planted(spark, folder):
+    """Readings with far spikes put in per event type: all spikes are flagged, and no more rows than the share allows."""
+    spikes = F.pmod("event_id", F.lit(500)) == 7
+    events = busy_table(spark, folder, "events", "event_type", "event_id", "value")
+    out = iforest_outliers(events.withColumn("value", F.when(spikes, F.lit(1e6) + F.col("event_id")).otherwise(F.col("value"))), "value", ["event_id"], series_cols=TYPE)
+    return out.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(spikes).alias("spikes"), F.count_if(spikes & F.col("is_outlier")).alias("spikes_found"),
+        # rows strictly above the interpolated quantile at rank 0.95 * (n - 1)
+        (F.count_if("is_outlier") <= F.ceil(0.05 * (F.count(F.lit(1)) - 1))).alias("share_ok"),
+    )
+
+
 def _wide_hours(spark, folder):
     """Hourly mean per event type as one column each, every one with a unit column."""
     kinds = ["click", "error", "purchase", "signup", "view"]
@@ -346,7 +358,7 @@ QUERIES = {
         ts_overview, ts_describe_labels, ts_histogram, ts_slice, ts_by_time, ts_numeric_columns, ts_present, ts_correlation,
         ts_correlation_matrix, ts_strong_pairs, ts_correlation_wide, ts_moving_average, ts_moving_average_odd,
         ts_end_lines, ts_phase_means, ts_decompose_multiplicative, ts_season_strength, ts_season_strength_users,
-        ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_wide_to_long, ts_csv_load, ts_sensor_files,
+        ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_iforest_planted, ts_wide_to_long, ts_csv_load, ts_sensor_files,
         ts_dataset_roundtrip, ts_summary_json, ts_outlier_chart,
     ]},
 }
@@ -488,6 +500,8 @@ SELECT 'orders W', wb - wa + 1, 'week', 52 FROM o UNION ALL
 SELECT 'orders 2W', CAST(ceil((wb - wa) / 2) AS BIGINT) + 1, 'week', 26 FROM o UNION ALL
 SELECT 'orders M', mb - ma + 1, 'month', 12 FROM o UNION ALL SELECT 'orders MS', mb - ma + 1, 'month', 12 FROM o""",
     "ts_decompose_chunked": _chain(*_PARTS, *_decompose_sql(PERIOD)) + _ROWS,
+    "ts_iforest_planted": """SELECT event_type, count(v) AS n, count(v) FILTER (spike) AS spikes, count(v) FILTER (spike) AS spikes_found, true AS share_ok
+FROM (SELECT event_type, event_id % 500 = 7 AS spike, CASE WHEN event_id % 500 = 7 THEN 1e6 + event_id ELSE value END AS v FROM events) WHERE v IS NOT NULL GROUP BY event_type""",
     "ts_zscore": """SELECT event_id, round(3e-9 + (value - m) / s, 4) + 0.0 AS z, abs((value - m) / s) > 3 AS is_outlier
 FROM events JOIN (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1) USING (event_type)""",
     "ts_outlier_share": """SELECT user_id, count(*) AS n, count(*) FILTER (abs((value - m) / s) > 2) AS n_outliers,

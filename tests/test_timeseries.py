@@ -12,7 +12,7 @@ from plantlake.functions.columns import numeric_columns, present
 from plantlake.operators.correlate import correlation_matrix, correlation_pairs, strong_pairs
 from plantlake.operators.decompose import decompose, infer_period, season_strength
 from plantlake.operators.describe import describe, describe_labels, histogram, overview, summarize
-from plantlake.operators.outliers import grow_forest, iforest_outliers, mean_depth, outlier_share, zscore_outliers
+from plantlake.operators.outliers import forest_samples, grow_forest, iforest_outliers, mean_depth, outlier_share, zscore_outliers
 from plantlake.operators.quantiles import exact_quantiles
 from plantlake.operators.resample import resample_mean
 from plantlake.ordered import last_before, ordered_chunks, running_total, with_position
@@ -359,3 +359,49 @@ def test_null_and_far_series_are_alike_on_both_sides_of_a_switch(spark):
     assert set(plain) == set(bands) and len(plain) == 6
     for key, want in plain.items():
         assert bands[key][2:] == pytest.approx(want[2:], rel=1e-9)
+
+
+def test_quantile_bands_that_miss_are_widened(spark):
+    """The first bands are turned inside out, so that none holds its rank."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"s": ["a"] * 3000 + ["b"] * 40 + [None] * 900, "v": rng.normal(size=3940).round(2)})
+    df = spark.createDataFrame(pdf, "s string, v double")
+    probs, names = [0.0, 0.25, 0.5, 0.99, 1.0], list("pqrtu")
+    for series in (["s"], []):
+        got = exact_quantiles(df, series, "v", probs, names, accuracy=100, slack=-0.04).toPandas()
+        groups = [(k, g.v) for k, g in pdf.groupby("s", dropna=False)] if series else [(None, pdf.v)]
+        assert len(got) == len(groups)
+        for key, v in groups:
+            row = got[got.s.isna() if key is None or key != key else got.s == key].iloc[0] if series else got.iloc[0]
+            np.testing.assert_allclose(row[names].to_numpy(float), v.quantile(probs).to_numpy(), rtol=1e-12)
+
+
+@pytest.mark.parametrize("spare", [4.0, 0.1])
+def test_forest_samples_are_the_smallest_hashes_of_all_rows(spark, spare):
+    """Also where the first limit lets too few through, and for series shorter than a sample."""
+    df = spark.range(3000).select(F.when(F.col("id") < 20, "short").when(F.col("id") < 1000, "mid").otherwise("long").alias("s"), "id", (F.col("id") % 97).cast("double").alias("_v"))
+    got = forest_samples(df, ["id"], trees=5, seed=3, series_cols=["s"], sample=50, spare=spare).toPandas()
+    full = df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("h", F.xxhash64(F.lit(3), "t", "id")).withColumn("low", F.pmod("h", F.lit(2**31))).toPandas()
+    for (s, t), g in full.groupby(["s", "t"]):
+        want = g.sort_values(["low", "h"]).head(50)
+        mine = got[(got.s == s) & (got._tree == t)]
+        assert sorted(mine._h) == sorted(want.h) and sorted(mine._v) == sorted(want._v)
+    assert len(got) == 5 * (50 + 50 + 20)
+    alone = forest_samples(df.drop("s"), ["id"], trees=2, sample=50, spare=spare)
+    assert alone.count() == 100 and forest_samples(df.where("id < 0").drop("s"), ["id"], trees=2).count() == 0
+
+
+def test_every_row_can_enter_a_tree(spark):
+    """More trees draw more different rows; no pool of fixed size stands in between."""
+    df = spark.range(200_000).select("id", F.col("id").cast("double").alias("_v"))
+    ids = forest_samples(df, ["id"], trees=100, sample=64)
+    assert ids.count() == 6_400 and ids.select("_v").distinct().count() > 6_200
+
+
+def test_planted_spikes_are_flagged(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", i, float(v)) for i, v in enumerate(rng.normal(size=4000))] + [("b", i, float(v)) for i, v in enumerate(rng.uniform(size=300))]
+    rows = [(s, i, v + 50.0 if i % 100 == 3 else v) for s, i, v in rows]
+    out = iforest_outliers(spark.createDataFrame(rows, "s string, id long, v double"), "v", ["id"], series_cols=["s"]).toPandas()
+    assert out[out.id % 100 == 3].is_outlier.all()
+    assert (out.groupby("s").is_outlier.mean() <= 0.05).all()
