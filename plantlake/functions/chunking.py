@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlake.functions.text import basename
@@ -12,7 +11,8 @@ from plantlake.functions.text import basename
 # fixed values: token budget and declared overlap of a chunk; the overlap in use is 0
 BUDGET, DECLARED_OVERLAP = 800, 100
 BLANK = r"[ \t\n\r\f\x0B]+"
-HEADING = r"^(#{1,6})[ \t]+(.*)$"
+LEVELS = 6
+HEADING = rf"^(#{{1,{LEVELS}}})[ \t]+(.*)$"
 
 
 def tokens(text: Column) -> Column:
@@ -43,38 +43,39 @@ def window_chunks(
     return out.select(doc_id, *keep, "chunk_no", F.array_join("_p", " ").alias("text"), F.size("_p").alias("n_tokens"))
 
 
-def pack(counts: Sequence[int], levels: Sequence[int], budget: int) -> list[dict]:
-    """Greedy chunks over the pieces of one document.
+def packed(pieces: Column, budget: int) -> Column:
+    """Greedy chunks over the pieces (text, n, level) of one document: array of (first, path, alone), in order.
 
-    ``levels`` is 0 for body pieces and 1..6 for headings. Body pieces under the same heading are put
-    together while they fit. A heading that nothing stands under is a chunk of its own.
+    Level is 0 for body pieces and 1..6 for headings. Body pieces under the same heading are put together while they fit; a
+    heading that nothing stands under is a chunk of its own (``alone``). ``path`` has the place of the heading above per level, -1
+    for none. One fold that adds to its result only where a chunk begins.
     """
-    chunks: list[dict] = []
-    path: list[int] = []
-    first, filled = -1, 0
-
-    def close(end: int) -> None:
-        nonlocal first, filled
-        if first >= 0:
-            chunks.append({"first": first, "last": end, "path": list(path)})
-        first, filled = -1, 0
-
-    for i, (n, level) in enumerate(zip(counts, levels)):
-        if level:
-            close(i - 1)
-            path = [p for p in path if levels[p] < level]
-            following = levels[i + 1] if i + 1 < len(levels) else 1
-            if 0 < following <= level:
-                chunks.append({"first": i, "last": i, "path": list(path)})
-            path.append(i)
-            continue
-        if first >= 0 and filled + n > budget:
-            close(i - 1)
-        if first < 0:
-            first = i
-        filled += n
-    close(len(counts) - 1)
-    return chunks
+    # the level behind each piece; the end of the document counts as a heading of the highest level
+    end = F.transform(F.slice(pieces, 1, 1), lambda p: F.struct(p["text"], p["n"], F.lit(1).alias("level")))
+    behind = F.concat(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), end)
+    rows = F.transform(
+        F.zip_with(pieces, behind, lambda p, q: F.struct(p["n"].alias("n"), p["level"].alias("level"), q["level"].alias("next"))),
+        lambda r, i: F.struct(i.alias("i"), r["n"].alias("n"), r["level"].alias("level"), r["next"].alias("next")),
+    )
+    none = F.array(*[F.lit(-1)] * LEVELS)
+    start = F.struct(
+        F.array().cast("array<struct<first:int,path:array<int>,alone:boolean>>").alias("chunks"), none.alias("path"), F.lit(-1).alias("filled"),
+    )
+
+    def step(state: Column, r: Column) -> Column:
+        heading = r["level"] > 0
+        above = F.transform(state["path"], lambda p, k: F.when(k + 1 < r["level"], p).otherwise(-1))
+        path = F.transform(above, lambda p, k: F.when(k + 1 == r["level"], r["i"]).otherwise(p))
+        alone = heading & (r["next"] > 0) & (r["next"] <= r["level"])
+        fits = ~heading & (state["filled"] >= 0) & (state["filled"] + r["n"] <= budget)
+        begin = F.struct(r["i"].alias("first"), F.when(heading, above).otherwise(state["path"]).alias("path"), alone.alias("alone"))
+        return F.struct(
+            F.when(alone | (~heading & ~fits), F.concat(state["chunks"], F.array(begin))).otherwise(state["chunks"]).alias("chunks"),
+            F.when(heading, path).otherwise(state["path"]).alias("path"),
+            F.when(heading, F.lit(-1)).when(fits, state["filled"] + r["n"]).otherwise(r["n"]).alias("filled"),
+        )
+
+    return F.aggregate(rows, start, step, lambda state: state["chunks"])
 
 
 def heading_chunks(
@@ -82,9 +83,9 @@ def heading_chunks(
 ) -> DataFrame:
     """(doc_id, keep, chunk_no, text, n_tokens, headings): lines packed up to the budget under one heading.
 
-    A line above the budget is cut into windows first. Text stays in the JVM, only the token counts and
-    heading levels of a document go to Python. ``counter`` may replace the word count by another
-    function from an array of lines to an array of counts.
+    A line above the budget is cut into windows first; a heading that long is no heading but a line like others, so no chunk has
+    more words than the budget. Everything stays in the JVM. ``counter`` may replace the word count by another function
+    from an array of lines to an array of counts.
     """
     lines = F.filter(F.split(text, "\n"), lambda s: F.regexp_replace(s, BLANK, "") != "")
 
@@ -97,20 +98,18 @@ def heading_chunks(
         ))
         parts = F.transform(windows(words, budget), lambda w: F.struct(
             F.array_join(w, " ").alias("text"), F.size(w).alias("n"), F.lit(0).alias("level")))
-        return F.when((F.size(words) > budget) & (level == 0), parts).otherwise(whole)
+        return F.when(F.size(words) > budget, parts).otherwise(whole)
 
     cut = docs.select(doc_id, *keep, F.flatten(F.transform(lines, pieces)).alias("_p"))
-    counts = F.transform("_p", lambda p: p["n"]) if counter is None else counter(F.transform("_p", lambda p: p["text"]))
-
-    @F.pandas_udf("array<struct<first:int,last:int,path:array<int>>>")
-    def packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ns, levels in batches:
-            yield pd.Series([pack(list(n), list(lv), budget) for n, lv in zip(ns, levels)], dtype=object)
-
-    ranges = cut.withColumn("_c", packed(counts, F.transform("_p", lambda p: p["level"])))
-    taken = F.transform("_c", lambda c: F.struct(
-        F.slice(F.col("_p"), c["first"] + 1, c["last"] - c["first"] + 1).alias("body"),
-        F.transform(c["path"], lambda i: F.element_at(F.col("_p"), i + 1)["text"]).alias("headings"),
+    if counter is not None:
+        counted = F.zip_with("_p", counter(F.transform("_p", lambda p: p["text"])), lambda p, n: F.struct(p["text"].alias("text"), n.cast("int").alias("n"), p["level"].alias("level")))
+        cut = cut.withColumn("_p", counted)
+    ranges = cut.withColumn("_c", packed(F.col("_p"), budget))
+    # where the next chunk begins; a document without a chunk has none
+    after = F.slice(F.concat(F.transform(F.slice("_c", F.lit(2), F.greatest(F.size("_c") - 1, F.lit(0))), lambda c: c["first"]), F.array(F.size("_p"))), F.lit(1), F.size("_c"))
+    taken = F.zip_with("_c", after, lambda c, e: F.struct(
+        F.filter(F.slice(F.col("_p"), c["first"] + 1, F.when(c["alone"], 1).otherwise(e - c["first"])), lambda p: c["alone"] | (p["level"] == 0)).alias("body"),
+        F.transform(F.filter(c["path"], lambda i: i >= 0), lambda i: F.element_at(F.col("_p"), i + 1)["text"]).alias("headings"),
     ))
     out = ranges.select(doc_id, *keep, F.posexplode(taken).alias("chunk_no", "_t"))
     return out.select(
@@ -140,6 +139,6 @@ def non_empty(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ingest_counts(chunks: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """(source, n_chunks, n_skipped): kept and empty chunks per file."""
+    """(source, n_chunks, n_skipped): kept and empty chunks per file; give ``path`` where names repeat over folders."""
     full = F.coalesce(F.length(text) > 0, F.lit(False))
     return chunks.groupBy(source).agg(F.count_if(full).alias("n_chunks"), F.count_if(~full).alias("n_skipped"))

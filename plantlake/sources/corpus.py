@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import functools
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantlake.functions.chunking import BUDGET, heading_chunks, stamp_chunks
 from plantlake.functions.text import basename, clean_markup, error_details, extension, file_kind
@@ -16,24 +19,72 @@ ALREADY = "Already processed in this session"
 TEXT_EXTENSIONS = [".csv", ".txt", ".md"]
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(path, file, kind, ext, modified, text) of every file; text is null for kinds that are not plain text.
+# paths that one reader is given
+PATHS = 10_000
+
+
+def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, file, kind, ext, modified, length) of every file; no file is opened.
 
     Spark's file sources pass over files of zero bytes, so those give no row.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return route(reader.load(path).select("path", F.col("modificationTime").alias("modified"), "content"))
+    return _named(reader.load(path), F.col("modificationTime").alias("modified"), "length")
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """``files`` with a text column, null for kinds that are not plain text: only the bytes of text files are read.
+
+    The paths of the files to read are given to the reader, as Spark's own list of files has them.
+    """
+    spark = files.sparkSession
+    wanted = files.where(F.col("ext").isin(TEXT_EXTENSIONS)).select("path")
+    parts, paths = [], []
+    for row in wanted.toLocalIterator():
+        paths.append(row["path"])
+        if len(paths) == PATHS:
+            parts.append(paths)
+            paths = []
+    contents = [
+        spark.read.format("binaryFile").load([_escaped(p) for p in part]).select("path", F.decode("content", "UTF-8").alias("text"))
+        for part in [*parts, paths] if part
+    ]
+    if not contents:
+        return files.withColumn("text", F.lit(None).cast("string"))
+    others = files.where(~F.coalesce(F.col("ext").isin(TEXT_EXTENSIONS), F.lit(False))).withColumn("text", F.lit(None).cast("string"))
+    # what is known of the files is small beside their texts
+    facts = F.broadcast(files) if fits_broadcast(files) else files
+    return functools.reduce(DataFrame.unionByName, contents).join(facts, "path").select(*files.columns, "text").unionByName(others)
+
+
+def _escaped(path: str) -> str:
+    """A path whose signs are not taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def scan_files(spark: SparkSession, path: str, glob: str | None = None, log: DataFrame | None = None) -> DataFrame:
+    """(path, file, kind, ext, modified, text) of every file, or of those that ``log`` does not have as done.
+
+    Files are listed first; text is null for kinds that are not plain text, whose bytes are not read, and the contents of files that
+    were done before are not read either.
+    """
+    files = list_files(spark, path, glob)
+    if log is not None:
+        files = unseen(files, log)
+    return read_texts(settle(files.drop("length"), "files"))
 
 
 def route(files: DataFrame) -> DataFrame:
     """Kind by lower-cased extension; ``files(path, modified, content)``."""
-    ext = extension(F.col("path"))
-    text = F.when(ext.isin(TEXT_EXTENSIONS), F.decode("content", "UTF-8"))
-    return files.select(
-        "path", basename(F.col("path")).alias("file"), file_kind(F.col("path")).alias("kind"), ext.alias("ext"), "modified", text.alias("text")
-    )
+    text = F.when(extension(F.col("path")).isin(TEXT_EXTENSIONS), F.decode("content", "UTF-8"))
+    return _named(files, "modified", text.alias("text"))
+
+
+def _named(files: DataFrame, *more: str | Column) -> DataFrame:
+    path = F.col("path")
+    return files.select("path", basename(path).alias("file"), file_kind(path).alias("kind"), extension(path).alias("ext"), *more)
 
 
 def unseen(files: DataFrame, log: DataFrame) -> DataFrame:

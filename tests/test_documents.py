@@ -1,13 +1,15 @@
 import datetime as dt
 import os
+import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from plantlake.functions.chunking import BUDGET, heading_chunks, ingest_counts, pack, stamp_chunks, window_chunks
+from conftest import SMALL
+from plantlake.functions.chunking import BUDGET, heading_chunks, ingest_counts, stamp_chunks, window_chunks
 from plantlake.functions.embedding import embed_column, hashing_embedder
 from plantlake.functions.text import (
     basename, clean_code_argument, clean_markup, clean_model_output, error_details, extension, file_kind, preview, strip_think,
@@ -18,7 +20,7 @@ from plantlake.operators.neighbours import exact_top_k, top_k_in_cells
 from plantlake.operators.vector_index import VectorIndex, cell_top_k, hashed_top_k
 from plantlake.operators.trace import classify_steps, media_type, merge_pieces
 from plantlake.sources.collection import Collection, flatten_metadata
-from plantlake.sources.corpus import document_chunks, image_chunks, processing_log, scan_files, skipped_log, unseen
+from plantlake.sources.corpus import document_chunks, image_chunks, list_files, processing_log, scan_files, skipped_log, unseen
 from plantlake.streaming.ingest import ingest_stream
 
 
@@ -87,17 +89,63 @@ def test_heading_chunks(spark):
     ]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 6), st.integers(0, 3)), max_size=25), st.integers(6, 12))
-def test_pack_keeps_all_body_pieces(pieces, budget):
-    counts, levels = [n for n, _ in pieces], [lv for _, lv in pieces]
-    chunks = pack(counts, levels, budget)
-    held = [i for c in chunks for i in range(c["first"], c["last"] + 1)]
-    assert len(held) == len(set(held)) and held == sorted(held)
-    assert {i for i, lv in enumerate(levels) if lv == 0} <= set(held)
-    for c in chunks:
-        assert sum(counts[c["first"]:c["last"] + 1]) <= budget
-        assert all(levels[p] for p in c["path"])
+def brute_chunks(text, budget):
+    """(text, n, headings) by the rules, line by line."""
+    pieces = []
+    for line in text.split("\n"):
+        words = line.split()
+        if not words:
+            continue
+        mark = re.match(r"(#{1,6})[ \t]+(.*)$", line)
+        if len(words) > budget:
+            pieces += [(" ".join(words[i : i + budget]), len(words[i : i + budget]), 0) for i in range(0, len(words), budget)]
+        else:
+            pieces.append((mark[2], len(words), len(mark[1])) if mark else (line, len(words), 0))
+    out, path, body = [], [], []
+
+    def close():
+        if body:
+            out.append(("\n".join(t for t, _, _ in body), sum(n for _, n, _ in body), [t for t, _ in path]))
+            body.clear()
+
+    for i, (t, n, level) in enumerate(pieces):
+        if level:
+            close()
+            path = [h for h in path if h[1] < level]
+            if i + 1 == len(pieces) or 0 < pieces[i + 1][2] <= level:
+                out.append((t, n, [h for h, _ in path]))
+            path.append((t, level))
+            continue
+        if body and sum(x[1] for x in body) + n > budget:
+            close()
+        body.append((t, n, level))
+    close()
+    return out
+
+
+def test_heading_chunks_like_brute_force(spark):
+    """Headings of all levels, long headings and lines, headings without a body; no chunk is above the budget."""
+    rng = random.Random(6)
+    line = lambda: ("#" * rng.randint(1, 7) + " " if rng.random() < 0.4 else "") + " ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 2, 3, 5, 17])))
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 30))) for _ in range(150)] + ["", "# " + "long " * 40, "# a\n" + "\n".join(f"line {i}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    for budget in (4, 9):
+        got = {}
+        for r in heading_chunks(df, "d", "text", budget).orderBy("d", "chunk_no").collect():
+            got.setdefault(r.d, []).append((r.text, r.n_tokens, r.headings))
+        for i, text in enumerate(texts):
+            want = brute_chunks(text, budget)
+            assert got.get(i, []) == want
+            assert all(n <= budget for _, n, _ in want)
+    plan = heading_chunks(df, "d", "text", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_heading_chunks_by_another_counter(spark):
+    df = spark.createDataFrame([(1, "# t\naa bb\ncc\ndddd")], "d int, text string")
+    chars = lambda lines: F.transform(lines, lambda t: F.length(t))
+    got = [(r.text, r.n_tokens) for r in heading_chunks(df, "d", "text", 7, counter=chars).orderBy("chunk_no").collect()]
+    assert got == [("aa bb\ncc", 7), ("dddd", 4)]
 
 
 def test_stamps_are_stable(spark):
@@ -296,6 +344,13 @@ def test_corpus_log_and_retry(spark, tmp_path):
     assert got["empty.txt"][1] == got["c.pdf"][1] == got["e.png"][1] == "failed" and got["c.pdf"][2].startswith("Error: ")
     assert {r.file for r in unseen(files, log).collect()} == {"empty.txt", "c.pdf", "d.xyz", "e.png"}
     assert {r.file for r in skipped_log(files, log).collect()} == {"a.txt", "B.MD"}
+    # files that are done are not read again, nor is any file that is not text
+    again = scan_files(spark, str(tmp_path), log=log)
+    assert {r.file for r in again.collect()} == {"empty.txt", "c.pdf", "d.xyz", "e.png"}
+    read = lambda df: {f.rsplit("/", 1)[1] for f in df.inputFiles() if str(tmp_path) in f}
+    assert read(again) == {"empty.txt"} and read(files) == {"a.txt", "B.MD", "empty.txt"}
+    assert {r.file: r.length for r in list_files(spark, str(tmp_path)).collect()}["c.pdf"] == 4
+    assert "content" not in list_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     pictures = image_chunks(spark.createDataFrame([("/x/e.png", "<b>furnace</b>"), ("/x/f.png", " ")], "path string, text string"), "2024-01-01")
     rows = {r.source: r for r in pictures.collect()}
     # an image that nobody described has no chunk and is logged as failed
@@ -364,8 +419,8 @@ def test_classify_steps(spark):
     assert column(spark, ["a.wav", "b"], media_type) == ["audio/wav", "image/png"]
 
 
-def test_python_stages_run_from_another_folder(tmp_path):
-    """The package reaches the workers when only the driver's sys.path knows it."""
+def test_python_stages_run_from_another_folder(spark, tmp_path):
+    """The package reaches the workers of any session when only the driver's sys.path knows it."""
     import os
     import subprocess
     import sys
@@ -374,15 +429,14 @@ def test_python_stages_run_from_another_folder(tmp_path):
     code = f"""
 import sys
 sys.path.insert(0, {root!r})
-from plantlake.session import get_session
-from plantlake.functions.chunking import heading_chunks
-spark = get_session("elsewhere", "local[2]", {{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
-docs = spark.createDataFrame([(1, "# a" + chr(10) + "one two three")], "d int, text string")
-print("chunks", heading_chunks(docs, "d", "text", 2).count())
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", __spark_entry__.queries()["doc_top_k_l2"](spark, {SMALL!r}).count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
-    assert "chunks 2" in done.stdout, done.stderr[-2000:]
+    assert f"rows {3 * spark.read.parquet(SMALL + '/embeddings.parquet').count()}" in done.stdout, done.stderr[-2000:]
 
 
 def test_indexes_always_give_k_rows(spark):
