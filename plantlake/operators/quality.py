@@ -49,11 +49,11 @@ def target_deviation(joined: DataFrame, elements: Sequence[str] = ELEMENTS) -> D
 
 
 def quality_by_alloy(deviations: DataFrame, keys: Sequence[str] = ("AlloyType",), elements: Sequence[str] = ELEMENTS) -> DataFrame:
-    """Per group and element: n, mean, spread and mean size of the deviation."""
+    """Per group and element: n, mean, spread and mean size of the deviation, and all lab results of the group (n_results)."""
     cells = F.array(*[F.struct(F.lit(e).alias("element"), F.col(f"{e}_deviation").alias("d")) for e in elements])
     return deviations.select(*keys, F.inline(cells)).groupBy(*keys, "element").agg(
         F.count("d").alias("n"), F.avg("d").alias("mean_deviation"), F.stddev_samp("d").alias("std_deviation"),
-        F.avg(F.abs("d")).alias("mean_abs_deviation"),
+        F.avg(F.abs("d")).alias("mean_abs_deviation"), F.count(F.lit(1)).alias("n_results"),
     )
 
 

@@ -153,6 +153,13 @@ def ev_quality(spark, folder):
     return out.select("plant", "AlloyType", "element", "n", *[rounded(c).alias(c) for c in ["mean_deviation", "std_deviation", "mean_abs_deviation"]])
 
 
+def ev_quality_all(spark, folder):
+    """Every lab result; those without a batch are a group of their own, without a target to deviate from."""
+    joined = quality.lab_with_batch(lab(spark, folder), batches(spark, folder)).withColumn("plant", F.coalesce("plant", F.lit("unknown")))
+    out = quality.quality_by_alloy(quality.target_deviation(joined), ["plant", "AlloyType"])
+    return out.select("plant", "AlloyType", "element", "n", "n_results", *[rounded(c).alias(c) for c in ["mean_deviation", "std_deviation", "mean_abs_deviation"]])
+
+
 def ev_iron_closure(spark, folder):
     out = lab(spark, folder).withColumn("Fe_pct", quality.iron_closure(F.col("Mn_pct"), F.col("Si_pct"), F.col("C_pct")))
     return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("Fe_pct")).alias("iron"), rounded(F.min("Fe_pct")).alias("least"))
@@ -240,7 +247,7 @@ QUERIES = {
     ev_needs_downtime, ev_triggers_maintenance, ev_of_plant, ev_downtime_with_alarm, ev_work_order_causes, ev_resolution, ev_unlinked,
     ev_dangling, ev_attribute_work_orders, ev_same_day_downtime, ev_event_chain, ev_trigger_lookup,
     ev_cause_candidates, ev_report_kpis, ev_report_months, ev_report_alloys, ev_report_downtime, ev_report_work_orders, ev_distinct_links, ev_lab_batches,
-    ev_quality, ev_iron_closure, ev_emissions, ev_incident_rollup, ev_file_edges, ev_degrees, ev_neighbourhood, ev_text_ids, ev_first_ids,
+    ev_quality, ev_quality_all, ev_iron_closure, ev_emissions, ev_incident_rollup, ev_file_edges, ev_degrees, ev_neighbourhood, ev_text_ids, ev_first_ids,
     ev_tag_parts, ev_alarm_records, ev_inventory_roundtrip,
 ]}
 
@@ -327,6 +334,11 @@ FROM lab LEFT JOIN batches ON ProductionBatchID = BatchID GROUP BY 1""",
         f"""SELECT plant, AlloyType, '{e}' AS element, count(*) AS n, round(3e-9 + avg({x}_pct - {x}), 4) + 0.0 AS mean_deviation,
 round(3e-9 + stddev_samp({x}_pct - {x}), 4) + 0.0 AS std_deviation, round(3e-9 + avg(abs({x}_pct - {x})), 4) + 0.0 AS mean_abs_deviation
 FROM lab JOIN batches ON ProductionBatchID = BatchID GROUP BY 1, 2""" for e, x in [("Mn", "mn"), ("Si", "si"), ("C", "c")]),
+    "ev_quality_all": with_sql(BATCHES_SQL, LAB_SQL) + " UNION ALL ".join(
+        f"""SELECT coalesce(plant, 'unknown') AS plant, coalesce(AlloyType, '{quality.UNKNOWN_ALLOY}') AS AlloyType, '{e}' AS element, count({x}_pct - {x}) AS n, count(*) AS n_results,
+round(3e-9 + avg({x}_pct - {x}), 4) + 0.0 AS mean_deviation, round(3e-9 + stddev_samp({x}_pct - {x}), 4) + 0.0 AS std_deviation,
+round(3e-9 + avg(abs({x}_pct - {x})), 4) + 0.0 AS mean_abs_deviation
+FROM lab LEFT JOIN batches ON ProductionBatchID = BatchID GROUP BY 1, 2""" for e, x in [("Mn", "mn"), ("Si", "si"), ("C", "c")]),
     "ev_iron_closure": with_sql(LAB_SQL, "f AS (SELECT part, greatest(0, round(100.0 - mn_pct - si_pct - c_pct, 2)) AS fe FROM lab)")
     + "SELECT part, count(*) AS n, round(3e-9 + sum(fe), 4) + 0.0 AS iron, round(3e-9 + min(fe), 4) + 0.0 AS least FROM f GROUP BY 1",
     "ev_emissions": with_sql(PLANT_EVENTS_SQL, """m AS (SELECT plant, strftime(ts, '%Y_%m') AS month, CASE event_type WHEN 'click' THEN 'CO2 eq.' WHEN 'error' THEN 'SOx'

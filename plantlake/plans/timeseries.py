@@ -293,11 +293,11 @@ def ts_csv_load(spark, folder):
     return long.select(stamp("timestamp").alias("hour"), "tag", rounded("value").alias("value"), "unit")
 
 
-def ts_sensor_files(spark, folder):
+def _sensor_files(spark, folder, plants: dict[str, list[str]]):
     """One CSV folder per plant with other columns in each, read together into readings and a tag dimension."""
     path = scratch_path(spark, "sensors")
     e = table(spark, folder, "events").withColumn("plant", pick(F.col("user_id"), ["PLA", "PLB", "PLC"]))
-    for plant, kinds in {"PLA": ["click", "error"], "PLB": ["view", "error", "signup"], "PLC": ["purchase"]}.items():
+    for plant, kinds in plants.items():
         long = e.where((F.col("plant") == plant) & F.col("event_type").isin(kinds)).select(
             F.date_trunc("hour", "ts").alias("timestamp"), "value",
             F.concat(F.lit(f"{plant}-SMT-EAF1-"), F.upper(F.col("event_type")), F.lit("-001")).alias("tag"),
@@ -310,6 +310,16 @@ def ts_sensor_files(spark, folder):
     return tag_dimension(long).select("plant", "area", "equipment", "tag", "measure", "instance", "unit", "n", stamp("first").alias("first"), stamp("last").alias("last"))
 
 
+def ts_sensor_files(spark, folder):
+    """Some kinds of readings of each plant."""
+    return _sensor_files(spark, folder, {"PLA": ["click", "error"], "PLB": ["view", "error", "signup"], "PLC": ["purchase"]})
+
+
+def ts_sensor_files_all(spark, folder):
+    """All readings of all plants; every plant has tags of its own."""
+    return _sensor_files(spark, folder, {plant: ["click", "error", "purchase", "signup", "view"] for plant in ["PLA", "PLB", "PLC"]})
+
+
 def ts_dataset_roundtrip(spark, folder):
     """Prepared events kept as a table by day, read back and summed up by day."""
     path = scratch_path(spark, "dataset")
@@ -358,7 +368,7 @@ QUERIES = {
         ts_overview, ts_describe_labels, ts_histogram, ts_slice, ts_by_time, ts_numeric_columns, ts_present, ts_correlation,
         ts_correlation_matrix, ts_strong_pairs, ts_correlation_wide, ts_moving_average, ts_moving_average_odd,
         ts_end_lines, ts_phase_means, ts_decompose_multiplicative, ts_season_strength, ts_season_strength_users,
-        ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_iforest_planted, ts_wide_to_long, ts_csv_load, ts_sensor_files,
+        ts_infer_period, ts_zscore, ts_outlier_share, ts_iforest, ts_iforest_share, ts_iforest_planted, ts_wide_to_long, ts_csv_load, ts_sensor_files, ts_sensor_files_all,
         ts_dataset_roundtrip, ts_summary_json, ts_outlier_chart,
     ]},
 }
@@ -515,6 +525,11 @@ w AS (SELECT e.plant, min(ts) AS first, max(ts) AS last FROM e JOIN k ON e.plant
 SELECT e.plant, 'SMT' AS area, e.plant || '-SMT-EAF1' AS equipment, e.plant || '-SMT-EAF1-' || e.measure || '-001' AS tag, e.measure, 1 AS instance, 'u' AS unit,
 count(DISTINCT ts) AS n, strftime(any_value(first), '%Y-%m-%d %H:%M:%S') AS first, strftime(any_value(last), '%Y-%m-%d %H:%M:%S') AS last
 FROM e JOIN k ON e.plant = k.plant AND e.measure = k.measure JOIN w ON e.plant = w.plant GROUP BY e.plant, e.measure""",
+    "ts_sensor_files_all": f"""WITH e AS (SELECT {pick_sql('user_id', ['PLA', 'PLB', 'PLC'])} AS plant, upper(event_type) AS measure, date_trunc('hour', ts) AS ts FROM events),
+w AS (SELECT plant, min(ts) AS first, max(ts) AS last FROM e GROUP BY 1)
+SELECT e.plant, 'SMT' AS area, e.plant || '-SMT-EAF1' AS equipment, e.plant || '-SMT-EAF1-' || e.measure || '-001' AS tag, e.measure, 1 AS instance, 'u' AS unit,
+count(DISTINCT ts) AS n, strftime(any_value(first), '%Y-%m-%d %H:%M:%S') AS first, strftime(any_value(last), '%Y-%m-%d %H:%M:%S') AS last
+FROM e JOIN w ON e.plant = w.plant GROUP BY e.plant, e.measure""",
     "ts_dataset_roundtrip": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(3e-9 + sum(value), 4) + 0.0 AS total FROM events GROUP BY 1",
     "ts_summary_json": " UNION ALL ".join(
         f"""SELECT count(*) AS n_rows, '{c}' AS "column", '{s}' AS statistic, round(3e-9 + {e.format(c=c)}, 4) + 0.0 AS value FROM events"""
