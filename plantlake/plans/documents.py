@@ -264,9 +264,7 @@ def doc_embed(spark, folder):
     return out.select("doc_id", F.size("embedding").alias("width"), F.round(square, 4).alias("square"))
 
 
-def doc_answers(spark, folder):
-    """Every vector asks for its nearest documents."""
-    docs = table(spark, folder, "documents").join(_vectors(spark, folder).withColumnRenamed("chunk_id", "doc_id"), "doc_id")
+def _answered(spark, folder, docs: DataFrame) -> DataFrame:
     chunks = docs.select(
         F.col("doc_id").alias("chunk_id"), "embedding", "text", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"),
         F.when(F.col("doc_id") % 7 == 0, "image_description").otherwise("document").alias("type"),
@@ -278,6 +276,26 @@ def doc_answers(spark, folder):
     return out.select("question_id", "query", F.md5("prompt").alias("prompt"), F.size("sources").alias("n_sources"), "cited", "error")
 
 
+def doc_answers(spark, folder):
+    """Every vector asks for its nearest documents among those that have a vector."""
+    return _answered(spark, folder, table(spark, folder, "documents").join(_vectors(spark, folder).withColumnRenamed("chunk_id", "doc_id"), "doc_id"))
+
+
+def _letter_vector(text):
+    """A vector of the caller's own making: how often each small letter occurs, of length one."""
+    counts = F.transform(F.sequence(F.lit(97), F.lit(160)), lambda i: F.when(i < 123, F.length(text) - F.length(F.replace(text, F.char(i)))).otherwise(0).cast("double"))
+    # an array of one holds the counts and their length, so that both are worked out once
+    sized = F.transform(F.array(counts), lambda c: F.struct(c.alias("counts"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x)).alias("size")))
+    return F.element_at(F.transform(sized, lambda s: F.transform(s["counts"], lambda x: F.when(s["size"] > 0, x / s["size"]).otherwise(0.0))), 1)
+
+
+def doc_answers_all(spark, folder):
+    """Every vector asks all documents; those without a stored vector are embedded by the caller's own function."""
+    vectors = _vectors(spark, folder).select(F.col("chunk_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("stored"))
+    docs = table(spark, folder, "documents").join(vectors, "doc_id", "left")
+    return _answered(spark, folder, embed_column(docs, "text", _letter_vector).withColumn("embedding", F.coalesce("stored", "embedding")))
+
+
 def doc_answers_text(spark, folder):
     """Benchmark passages ask the chunks of all documents, both embedded by the default function."""
     docs = busy_table(spark, folder, "documents", "doc_id", "source", "text").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
@@ -296,7 +314,7 @@ QUERIES = {
         doc_clean_markup, doc_windows, doc_windows_plain, doc_heading_chunks, doc_ingest_log, doc_stamps, doc_ingest_counts, doc_non_empty,
         doc_scan_files, doc_collection, doc_stream, doc_metadata, doc_images, doc_unit_phrases, doc_context_labels, doc_general_information,
         doc_converted_readings, doc_previews, doc_think_markers, doc_trace_clean, doc_steps, doc_paths, doc_top_k_blocks,
-        doc_top_k_hashed, doc_top_k_cells, doc_top_k_all_cells, doc_embed, doc_answers, doc_answers_text,
+        doc_top_k_hashed, doc_top_k_cells, doc_top_k_all_cells, doc_embed, doc_answers, doc_answers_all, doc_answers_text,
     ]},
 }
 
@@ -353,6 +371,19 @@ _EXT = "(['.txt', '.MD', '.pdf', '.png', '.docx'])[doc_id % 5 + 1]"
 _ENDS = rf"'^{_SPACE}+|{_SPACE}+$'"
 _PATHED = "d AS (SELECT source || '/' || doc_id || '.txt' AS path, text FROM documents)"
 
+_ANSWERED_SQL = """, s AS (SELECT k.*, text,
+  CASE WHEN chunk_id % 7 = 0 THEN 'Img' ELSE 'Doc' END AS l, CASE WHEN chunk_id % 7 = 0 THEN 'picture' || chunk_id || '.png' ELSE chunk_id || '.txt' END AS f
+  FROM k JOIN documents ON chunk_id = doc_id)
+SELECT question_id, any_value('What belongs to label ' || label || '?') AS query,
+md5(string_agg(text, chr(10) || chr(10) ORDER BY r) || chr(10) || chr(10) || 'Question: What belongs to label ' || any_value(label) || '?') AS prompt,
+CAST(count(*) AS INTEGER) AS n_sources,
+string_agg('- ' || l || ' *' || f || '* (match ' || r || '): _' || substr(text, 1, 70) || '..._', chr(10) ORDER BY r) FILTER (r <= 2) AS cited, NULL AS error
+FROM s JOIN embeddings ON question_id = vec_id GROUP BY question_id"""
+_ALL_DOCS_SQL = """l AS (SELECT doc_id, list_transform(range(97, 161), lambda i: CASE WHEN i < 123 THEN length(text) - length(replace(text, chr(i::INTEGER), '')) ELSE 0 END::DOUBLE) AS v FROM documents),
+u AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM l),
+docs AS (SELECT doc_id AS vec_id, coalesce(CAST(e.embedding AS DOUBLE[]), list_transform(v, lambda x: CASE WHEN size > 0 THEN x / size ELSE 0 END)) AS embedding
+  FROM u LEFT JOIN embeddings e ON doc_id = e.vec_id)"""
+
 ORACLES = {
     "doc_top_k_l2": _ranked_sql(_L2),
     "doc_top_k_cosine": _ranked_sql(_COS),
@@ -411,12 +442,6 @@ SELECT conv_id, min(turn) AS turn, count(*) AS n_pieces, p AS is_piece, md5(stri
     "doc_merge_pieces_chunked": """WITH b AS (SELECT *, role <> 'system' AS p, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
 SELECT conv_id, min(turn) AS turn, count(*) AS n_pieces, p AS is_piece, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM b GROUP BY conv_id, run, p""",
     "doc_embed": """SELECT doc_id, 64 AS width, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square FROM documents""",
-    "doc_answers": with_sql("docs AS (SELECT vec_id, embedding FROM embeddings SEMI JOIN documents ON vec_id = doc_id)", _top_sql(_L2, "docs")) + """, s AS (SELECT k.*, text,
-  CASE WHEN chunk_id % 7 = 0 THEN 'Img' ELSE 'Doc' END AS l, CASE WHEN chunk_id % 7 = 0 THEN 'picture' || chunk_id || '.png' ELSE chunk_id || '.txt' END AS f
-  FROM k JOIN documents ON chunk_id = doc_id)
-SELECT question_id, any_value('What belongs to label ' || label || '?') AS query,
-md5(string_agg(text, chr(10) || chr(10) ORDER BY r) || chr(10) || chr(10) || 'Question: What belongs to label ' || any_value(label) || '?') AS prompt,
-CAST(count(*) AS INTEGER) AS n_sources,
-string_agg('- ' || l || ' *' || f || '* (match ' || r || '): _' || substr(text, 1, 70) || '..._', chr(10) ORDER BY r) FILTER (r <= 2) AS cited, NULL AS error
-FROM s JOIN embeddings ON question_id = vec_id GROUP BY question_id""",
+    "doc_answers": with_sql("docs AS (SELECT vec_id, embedding FROM embeddings SEMI JOIN documents ON vec_id = doc_id)", _top_sql(_L2, "docs")) + _ANSWERED_SQL,
+    "doc_answers_all": with_sql(_ALL_DOCS_SQL, _top_sql(_L2, "docs")) + _ANSWERED_SQL,
 }
