@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+import functools
 import hashlib
+import operator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from plantlake.joins import fits_broadcast, join_sized
+from plantlake.joins import fits_broadcast, join_hot, join_sized
 from plantlake.llm.common import drop_table, most_frequent, once, over_texts
 from plantlake.llm.graph import components
 
@@ -23,6 +25,10 @@ COUNTED = 4_000_000
 STARS = 8
 # classes of a column from which all leads are used, three below
 LONG = 64
+# classes of a column, its largest component aside, that one task holds against the column
+HOT_COLUMN = 50_000
+# 64-bit words of the parity of a set
+PARITY = 4
 # documents of one block of the product
 BLOCK_DOCS = 2_048
 
@@ -63,6 +69,12 @@ class Shingler:
         return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Four 64-bit words; every hash turns one of the 256 bits. Two sets differ in at least as many hashes as their words in bits."""
+    turned = np.bincount((shingles.view(np.uint64) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(turned.astype(bool)).view(np.int64)
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=8).digest()
 
@@ -98,14 +110,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = N, stars: int =
     Documents are sets of distinct n-word hashes (a shorter text is one n-gram of all its words); two link when
     100 * shared >= percent * united. Equal sets are one class from the start, whatever their number. Two sets that link
     share an n-gram among the first of each (its prefix) in any common order; n-grams that are frequent come last in
-    it. The columns of the incidence matrix that are kept are those of prefixes. They are multiplied block by block:
+    it, the most frequent at the very end. The columns of the incidence matrix that are kept are those of prefixes.
+    They are multiplied block by block:
 
     * first the classes of a column are held against ``stars`` of them only, and what links joins components;
     * columns whose classes are one component by then have nothing left to say; from the others all pairs of
-      different components follow, so nothing is missed.
+      different components follow, so nothing is missed. The largest component of a column is held against the others,
+      never against itself, and a column of many classes is spread over several tasks.
 
-    Pairs whose sizes alone rule the link out go at once, then those whose sketches (counts of hashes by range) leave too
-    little room; the sets of the others meet in blocks of ``block_docs`` by ``block_docs`` classes. Nulls and empty texts have no n-gram and stay alone (component is their own doc_id);
+    The first n-gram that two sets share stands at a place in each; what follows it bounds the overlap, and pairs that
+    this rules out in a column go at once (a pair that links stays in the column of its first shared n-gram). Then go those whose
+    parities differ in too many bits, and those whose sketches (counts of hashes by range) leave too little room; the sets of the others meet in blocks of ``block_docs`` by ``block_docs`` classes. Nulls and empty texts have no n-gram and stay alone (component is their own doc_id);
     equal rows are equal classes; rows with a null doc_id take part and never name a component; an empty table gives no rows.
     """
     return _named(docs, percent, n, stars, block_docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -118,26 +133,34 @@ def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -
     classes, common = _classes(texts, n)
     columns = _columns(texts, common, percent, n)
     per_class = [F.max("n").alias("n"), F.max("plain").alias("plain"), F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")]
+    per_class += [F.max(w).alias(w) for w in _WORDS]
     sizes = once(classes.where("n > 0").groupBy("key").agg(*per_class), "sizes")
-    state = columns.join(sizes.drop("text_hash", "sketch"), "key")
+    state = columns.join(sizes.select("key", "n", "plain"), "key")
     # the classes of a column fall into ``stars`` parts by hash; of each part the one nearest the middle of its copies leads
     mine = lambda k: F.when(F.pmod(F.xxhash64("key"), F.lit(stars)) == k, F.col("plain")).otherwise(-1.0).alias("middle")
-    found = [F.max(F.struct(mine(k), F.xxhash64("key", F.lit(k)).alias("h"), "key", "n")) for k in range(stars)]
-    leads = F.array_distinct(F.array(*[F.struct(x["key"].alias("key"), x["n"].alias("n")) for x in found]))
+    found = [F.max(F.struct(mine(k), F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "at")) for k in range(stars)]
+    leads = F.array_distinct(F.array(*[F.struct(*[x[c].alias(c) for c in ("key", "n", "at")]) for x in found]))
     # a short column needs few leads
     shared = state.groupBy("shingle").agg(leads.alias("leads"), F.count(F.lit(1)).alias("size"))
     shared = shared.select("shingle", F.when(F.col("size") > LONG, F.col("leads")).otherwise(F.slice("leads", 1, 3)).alias("leads"))
-    pairs = state.join(shared, "shingle").select("key", "n", F.explode("leads").alias("lead"))
-    fit = once(_fitting(pairs.select("key", "n", F.col("lead.key").alias("key_b"), F.col("lead.n").alias("n_b")), percent), "pairs")
+    pairs = state.join(shared, "shingle").select("key", "n", "at", F.explode("leads").alias("lead"))
+    pairs = pairs.select("key", "n", "at", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("key", "n", "at")])
+    fit = once(_fitting(pairs.where(_room(percent)), percent), "pairs")
     links = once(verified(texts, sizes, fit, percent, n, block_docs), "verified")
     member = components(links)
     now = once(state.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "state")
-    mixed = now.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = once(now.join(mixed, "shingle").select("shingle", "key", "n", "component"), "mixed")
-    right = left.select("shingle", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    rest = _fitting(left.join(right, "shingle").where("component < component_b"), percent).join(fit, ["a", "b"], "left_anti")
+    # two components of a column: one of them at least is not its largest
+    parts = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    parts = parts.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = now.join(parts.where("parts > 1").drop("parts"), "shingle").select("shingle", "main", "key", "n", "at", "component")
+    mixed = once(mixed.join(sizes.select("key", *_WORDS), "key"), "mixed")
+    left = mixed.where("component <> main").drop("main")
+    right = mixed.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "shingle"])
+    once_each = (F.col("component_b") == F.col("main")) | (F.col("component") < F.col("component_b"))
+    near = join_hot(left, right, ["shingle"], "inner", HOT_COLUMN).where(once_each & _room(percent) & _alike(percent))
+    rest = _fitting(near, percent).join(fit, ["a", "b"], "left_anti")
     rest = once(rest, "pairs")
-    for scratch in (columns, now, left):
+    for scratch in (columns, now, mixed):
         drop_table(texts.sparkSession, scratch)
     if not rest.isEmpty():
         member = components(links.unionByName(once(verified(texts, sizes, rest, percent, n, block_docs), "verified")))
@@ -166,13 +189,25 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = N) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-CLASS_ROWS = "doc_id long, key long, n long, plain double, text_hash long, sketch binary, is_doc boolean"
+_WORDS = [f"p{k}" for k in range(PARITY)]
+CLASS_ROWS = "doc_id long, key long, n long, plain double, text_hash long, sketch binary, is_doc boolean, " + ", ".join(f"{w} long" for w in _WORDS)
+
+
+def _class_rows(doc_id, key, n, plain, text_hash, sketches: list[bytes], parities: np.ndarray, is_doc: bool) -> pa.RecordBatch:
+    rows = {"doc_id": doc_id, "key": key, "n": n, "plain": plain, "text_hash": text_hash, "sketch": pa.array(sketches, pa.binary()), "is_doc": np.full(len(key), is_doc)}
+    return pa.RecordBatch.from_pydict(rows | {w: parities[:, k] for k, w in enumerate(_WORDS)})
+
+
+def _room(percent: int) -> Column:
+    """Whether two sets can have the similarity whose first shared n-gram is at place ``at`` of one and ``at_b`` of the other."""
+    most = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
 
 
-def _class_rows(doc_id, key, n, plain, text_hash, sketches: list[bytes], is_doc: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "doc_id": doc_id, "key": key, "n": n, "plain": plain, "text_hash": text_hash, "sketch": pa.array(sketches, pa.binary()), "is_doc": np.full(len(key), is_doc),
-    })
+def _alike(percent: int) -> Column:
+    """Whether two sets can have the similarity by the bits in which their parities differ."""
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS])
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b"))
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +217,7 @@ def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """One row (doc_id, key, n, plain, text_hash) per document, and the frequent n-grams; both from one pass over the texts.
+    """One row (doc_id, key, n, plain, text_hash, sketch, parity) per document, and the frequent n-grams with their counts; both from one pass over the texts.
 
     ``key`` is a 64-bit hash of the set; ``plain`` the share of frequent n-grams, higher for texts near the middle of
     a group of copies.
@@ -196,7 +231,7 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             often, many = values[counts >= OFTEN], counts[counts >= OFTEN]
             held.clear()
             seen.clear()
-            return _class_rows(pa.nulls(len(often), pa.int64()), often, many, np.zeros(len(often)), pa.nulls(len(often), pa.int64()), [b""] * len(often), False)
+            return _class_rows(pa.nulls(len(often), pa.int64()), often, many, np.zeros(len(often)), pa.nulls(len(often), pa.int64()), [b""] * len(often), np.zeros((len(often), PARITY), np.int64), False)
 
         for b in batches:
             sets = shingler.sets(b.column("text").to_pylist())
@@ -211,27 +246,29 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *{k: s for k, s in zip(keys.tolist(), sets, strict=True)}.values()]), return_counts=True)
             shared = values[counts >= OFTEN]
             plain = np.array([float(np.isin(s, shared).mean()) if len(s) and len(shared) else 0.0 for s in sets])
-            yield _class_rows(b.column("doc_id"), keys, np.array([len(s) for s in sets], np.int64), plain, b.column("text_hash"), [sketch(s) for s in sets], True)
+            parities = np.array([parity(s) for s in sets]).reshape(len(sets), PARITY)
+            yield _class_rows(b.column("doc_id"), keys, np.array([len(s) for s in sets], np.int64), plain, b.column("text_hash"), [sketch(s) for s in sets], parities, True)
         yield frequent()
 
     both = once(over_texts(texts, run, CLASS_ROWS), "classes")
     frequent = most_frequent(both.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")), COMMON)
-    return both.where("is_doc").drop("is_doc"), frequent.select(F.col("key").alias("shingle"))
+    return both.where("is_doc").drop("is_doc"), frequent.select(F.col("key").alias("shingle"), F.col("n").alias("seen"))
 
 
 def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataFrame:
-    """(shingle, key): the prefix of every class, but for n-grams that one class alone has there.
+    """(shingle, key, at): the prefix of every class, but for n-grams that one class alone has there, and their places in it.
 
-    The frequent n-grams, at most COMMON of them, are sent to the tasks. Their rows are dealt over many groups, so that a
+    Rare n-grams come first, by hash; then the frequent ones, by how often they were seen, then by hash. The frequent n-grams, at most COMMON of them, are sent to the tasks. Their rows are dealt over many groups, so that a
     column of any length is never one task's work.
     """
-    last = np.sort(common.toPandas()["shingle"].to_numpy(np.int64))
-    sent = texts.sparkSession.sparkContext.broadcast(last)
+    last = common.toPandas().sort_values("shingle")
+    rank = np.unique(last["seen"].to_numpy(np.int64), return_inverse=True)[1].astype(np.int32) + 1
+    sent = texts.sparkSession.sparkContext.broadcast((last["shingle"].to_numpy(np.int64), rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, late, seen = Shingler(n), sent.value, set()
+        shingler, (late, rank), seen = Shingler(n), sent.value, set()
         for b in batches:
-            parts, keys, hot = [], [], []
+            parts, places, keys, hot = [], [], [], []
             for s in shingler.sets(b.column("text").to_pylist()):
                 if not len(s):
                     continue
@@ -241,20 +278,21 @@ def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataF
                 if len(seen) < 200_000:
                     seen.add(key)
                 at = np.minimum(np.searchsorted(late, s), max(0, len(late) - 1))
-                is_late = late[at] == s if len(late) else np.zeros(len(s), bool)
-                order = np.argsort(is_late, kind="stable")[: prefix_length(len(s), percent)]
+                turn = np.where(late[at] == s, rank[at], 0) if len(late) else np.zeros(len(s), np.int32)
+                order = np.argsort(turn, kind="stable")[: prefix_length(len(s), percent)]
                 parts.append(s[order])
-                hot.append(is_late[order])
+                places.append(np.arange(len(order), dtype=np.int32))
+                hot.append(turn[order] > 0)
                 keys.append(np.full(len(order), key, np.int64))
             if parts:
-                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(parts), "key": np.concatenate(keys), "hot": np.concatenate(hot)})
+                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(parts), "key": np.concatenate(keys), "at": np.concatenate(places), "hot": np.concatenate(hot)})
 
-    rows = over_texts(texts.select("text"), run, "shingle long, key long, hot boolean")
+    rows = over_texts(texts.select("text"), run, "shingle long, key long, at int, hot boolean")
     # 0 for the others
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(1024)) + 1).otherwise(F.lit(0)).cast("short"))
     column = W.partitionBy("shingle", "salt")
     shared = rows.drop("hot").withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column))
-    return once(shared.where("salt > 0 or lo <> hi").select("shingle", "key").distinct(), "columns")
+    return once(shared.where("salt > 0 or lo <> hi").select("shingle", "key", "at").distinct(), "columns")
 
 
 def verified(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int, n: int, block_docs: int = BLOCK_DOCS) -> DataFrame:

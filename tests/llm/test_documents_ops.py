@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import pytest
 from tokenizers import Tokenizer
 
-from plantlake.llm import encoding
+from plantlake.llm import encoding, jaccard
 from plantlake.llm.jaccard import near_duplicates, one_of_each, prefix_length
 from plantlake.llm.mixing import mix, source_targets, take_words
 from plantlake.llm.packing import FreeSpace, first_fit_decreasing, pack, place_pieces
@@ -275,8 +275,9 @@ def copies(seed, groups=12):
     return out + out[-6:] + [t.upper() for t in out[-3:]]
 
 
-@pytest.mark.parametrize("seed,stars,block", [(1, 8, 2_048), (2, 1, 7)])
-def test_near_duplicates(docs, seed, stars, block):
+@pytest.mark.parametrize("seed,stars,block,hot", [(1, 8, 2_048, 50_000), (2, 1, 7, 50_000), (3, 1, 64, 5)])
+def test_near_duplicates(docs, monkeypatch, seed, stars, block, hot):
+    monkeypatch.setattr(jaccard, "HOT_COLUMN", hot)
     texts = copies(seed)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(texts), stars=stars, block_docs=block).collect()}
     assert got == components_of(texts)
@@ -299,6 +300,21 @@ def test_one_of_each_component_stays(docs):
     assert kept == sorted(i for i, (n, c) in want.items() if not n or c == i)
 
 
+def test_parity_and_place_keep_every_link():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        base = np.unique(rng.integers(-(2**63), 2**63 - 1, rng.integers(1, 400)))
+        other = np.unique(np.concatenate([rng.permutation(base)[rng.integers(0, len(base) // 3 + 1) :], rng.integers(-(2**63), 2**63 - 1, rng.integers(0, 60))]))
+        shared = len(np.intersect1d(base, other))
+        bits = sum(int(x).bit_count() for x in (jaccard.parity(base) ^ jaccard.parity(other)).view(np.uint64))
+        assert bits <= len(base) + len(other) - 2 * shared
+        if 100 * shared >= 80 * (len(base) + len(other) - shared):
+            assert 180 * bits <= 20 * (len(base) + len(other))
+            first = np.intersect1d(base, other)[0]
+            most = min(len(base) - np.searchsorted(base, first), len(other) - np.searchsorted(other, first))
+            assert 180 * most >= 80 * (len(base) + len(other))
+
+
 def test_prefixes_share_an_ngram():
     for size in range(1, 60):
         for other in range(size, 60):
