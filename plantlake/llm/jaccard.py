@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 import functools
 import hashlib
+import itertools
 import operator
 
 import numpy as np
@@ -21,6 +22,8 @@ COMMON = 262_144
 OFTEN = 3
 # n-grams that a task counts together
 COUNTED = 4_000_000
+# counters of n-grams of a slice, a power of two
+COUNTERS = 1 << 21
 # classes of a shared n-gram that all its others are held against first
 STARS = 8
 # classes of a column from which all leads are used, three below
@@ -49,26 +52,47 @@ class Shingler:
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        hashed = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in number), "<u8")
-        codes = hashed[np.array([number[w] for w in flat], np.int64)] if flat else np.zeros(0, np.uint64)
-        out, at = [], 0
-        for ws in words:
-            mine = codes[at : at + len(ws)]
-            at += len(ws)
-            width = min(self.n, len(mine))
-            if not width:
-                out.append(np.zeros(0, np.int64))
-                continue
-            count = len(mine) - width + 1
-            h = np.full(count, width, np.uint64)
-            for k in range(width):
-                h = _mix(h * _MULTIPLIER + mine[k : k + count])
-            out.append(np.unique(h.view(np.int64)))
+        lengths = [len(ws) for ws in words]
+        number = _Numbers()
+        flat = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(lengths))
+        codes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in number), "<u8")[flat]
+        del words, number
+        # windows of the whole slice at once; those that cross a border between texts are never looked at
+        windows, out, at = _windows(codes, self.n), [], 0
+        for length in lengths:
+            h = windows[at : at + length - self.n + 1] if length >= self.n else _windows(codes[at : at + length], length)
+            at += length
+            h = np.sort(h.view(np.int64))
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h)
         return out
 
 
+class _Numbers(dict):
+    """Numbers of words in the order they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each ``width`` consecutive codes."""
+    count = max(0, len(codes) - width + 1) if width else 0
+    h = np.full(count, width, np.uint64)
+    for k in range(width):
+        h = _mix(h * _MULTIPLIER + codes[k : k + count])
+    return h
+
+
+def _plain(sets: list[np.ndarray]) -> np.ndarray:
+    """Share of each set's hashes that several sets of the slice have, by counters that a few hashes may share."""
+    lengths = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *sets]) & (COUNTERS - 1)
+    often = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=1)[flat] >= OFTEN)])
+    ends = np.cumsum(lengths)
+    return (often[ends] - often[ends - lengths]) / np.maximum(1, lengths)
+
+
 def parity(shingles: np.ndarray) -> np.ndarray:
     """Four 64-bit words; every hash turns one of the 256 bits. Two sets differ in at least as many hashes as their words in bits."""
     turned = np.bincount((shingles.view(np.uint64) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
@@ -243,9 +267,10 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                     held.append(s)
             if sum(map(len, held)) > COUNTED:
                 yield frequent()
-            values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *{k: s for k, s in zip(keys.tolist(), sets, strict=True)}.values()]), return_counts=True)
-            shared = values[counts >= OFTEN]
-            plain = np.array([float(np.isin(s, shared).mean()) if len(s) and len(shared) else 0.0 for s in sets])
+            # copies count once here too
+            first = dict(zip(keys.tolist(), range(len(sets))))
+            share = dict(zip(first, _plain([sets[i] for i in first.values()])))
+            plain = np.array([share[k] for k in keys.tolist()])
             parities = np.array([parity(s) for s in sets]).reshape(len(sets), PARITY)
             yield _class_rows(b.column("doc_id"), keys, np.array([len(s) for s in sets], np.int64), plain, b.column("text_hash"), [sketch(s) for s in sets], parities, True)
         yield frequent()
