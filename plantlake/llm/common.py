@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def aside(docs: DataFrame, keep: Collection[str]) -> DataFrame:
+    """The same columns in the same order; all but ``keep`` carry names of ours, so that none clashes with a working column."""
+    return docs.toDF(*[c if c in keep else f"own{i}" for i, c in enumerate(docs.columns)])
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as empty text."""
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % folds

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from plantlake.joins import fits_broadcast, join_hot, join_sized
-from plantlake.llm.common import drop_table, most_frequent, once, over_texts
+from plantlake.llm.common import aside, drop_table, most_frequent, once, over_texts
 from plantlake.llm.graph import components
 
 N = 5
@@ -198,8 +198,9 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = N) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Rows without an n-gram all stay. A row without doc_id stays only where no other of its component has one; of equal
-    rows one stays. Columns are those of ``docs``.
+    rows one stays. Columns are those of ``docs``, whatever their names.
     """
+    names, docs = docs.columns, aside(docs, ("doc_id", "text"))
     found = _named(docs, percent, n, STARS, BLOCK_DOCS)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = found.where("n > 0").groupBy("component").agg(F.min(order).alias("first"))
@@ -210,7 +211,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = N) -> DataFrame:
     again = once(found.where("n > 0").groupBy(row("").alias("_row")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_row"), "again")
     if not again.isEmpty():
         kept = kept.join(again, "_row", "left_anti").unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).toDF(*names)
 
 
 _WORDS = [f"p{k}" for k in range(PARITY)]

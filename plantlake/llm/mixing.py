@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plantlake.llm.common import WORD, once
+from plantlake.llm.common import WORD, aside, once
 
 # documents of one bucket of hash keys: what a window sorts at a time
 BUCKET_ROWS = 1_024
@@ -85,10 +85,10 @@ def take_words(docs: DataFrame, weights: Sequence[float], share: float = 1.5, mo
     """The documents of the mix: as many whole copies of each as the mix takes, and the first words of the one at the cut
     (single spaces between them).
 
-    The columns are those of ``docs``; n_chars, if there, follows the text. Documents that the mix leaves out, or that
+    The columns are those of ``docs``, whatever their names; n_chars, if there, follows the text. Documents that the mix leaves out, or that
     have no words, go. Equal rows share what is taken of them in the order of the cut.
     """
-    names, spare = docs.columns, "_taken"
+    names, docs, spare = docs.columns, aside(docs, ("doc_id", "text", "source", "n_chars")), "_taken"
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(6)))
     # equal rows are numbered, so that each meets its own share
     same = W.partitionBy("_row", "source")
@@ -107,4 +107,4 @@ def take_words(docs: DataFrame, weights: Sequence[float], share: float = 1.5, mo
     out = out.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out.select(*docs.columns).toDF(*names)

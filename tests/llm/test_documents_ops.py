@@ -300,6 +300,18 @@ def test_one_of_each_component_stays(docs):
     assert kept == sorted(i for i, (n, c) in want.items() if not n or c == i)
 
 
+def test_columns_with_working_names_keep_their_values(docs):
+    rows = [(1, "a b c d e f", "en", "s", 11, "", "", ""), (2, "a b c d e f", "en", "s", 11, "", "", ""), (3, "x y", "de", "t", 3, "", "", "")]
+    table = docs([], rows).withColumn("_row", F.col("doc_id") * 10).withColumn("_size", F.lit("z")).withColumn("_N", F.lit(None)).withColumn("own2", F.lit(5)).withColumn("key", F.lit(1))
+    kept = one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted((r["doc_id"], r["_row"], r["_size"], r["_N"], r["own2"], r["key"]) for r in kept.collect()) == [(1, 10, "z", None, 5, 1), (3, 30, "z", None, 5, 1)]
+    mixed = take_words(table.withColumn("_part", F.lit(7)).withColumn("_s", F.lit("q")), [1, 1], share=1)
+    assert mixed.columns == [*table.columns, "_part", "_s"]
+    got = mixed.collect()
+    assert got and all((r["_row"], r["_size"], r["_part"], r["_s"]) == (10 * r["doc_id"], "z", 7, "q") for r in got)
+
+
 def test_parity_and_place_keep_every_link():
     rng = np.random.default_rng(3)
     for _ in range(300):
