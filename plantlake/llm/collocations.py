@@ -212,7 +212,8 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int | None = None)
     bits = counter_bits(texts) if bits is None else bits
     # words and pairs, then the triples of pairs that pass
     filters = gram_filters(texts, gram_filters(texts, [], 2, least, bits), 1, least, bits)
-    counted = once(windows(texts, filters, bits), "windows")
+    # each window meets itself once; the roll-ups then only move different windows
+    counted = once(windows(texts, filters, bits).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n")), "windows")
     parts = [counted.where("w1 <> '' AND w2 = ''").select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("width"), F.col("n").alias("f"))]
     for k in range(2, LONGEST + 1):
         # padding is not rolled up: windows of k words give phrases of k words and less
