@@ -116,7 +116,7 @@ def counter_bits(texts: DataFrame) -> int:
 def gram_filters(texts: DataFrame, filters: list[bytes], more: int, least: int, bits: int) -> list[bytes]:
     """``filters`` and ``more`` filters of phrases that are longer by a word each, from one pass over the texts.
 
-    A filter has one bit per counter of phrases: whether they occur ``least`` times or more. Counters are added up per task and block
+    A filter has one bit per counter of phrases: whether they occur ``least`` times or more. Those of a task that are not zero travel compressed. Counters are added up per task and block
     of counters, saturated at ``least`` (at most 255), so 2^bits bytes a task and filter are held and at most 2^bits / 8 bytes come back, whatever
     the input. Phrases that share a counter can only set its bit, never clear it; phrases that hold a part which the last of
     the given filters rules out are not counted.
@@ -140,19 +140,24 @@ def gram_filters(texts: DataFrame, filters: list[bytes], more: int, least: int,
         for width, held in zip(widths, counters, strict=True):
             for i, part in enumerate(held.reshape(-1, block)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                    data = np.packbits(part > 0).tobytes() + part[part > 0].tobytes()
+                    held = pa.compress(data, codec="zstd", asbytes=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (width, i, len(data))), pa.array([held], pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for width, i, part in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                held = np.frombuffer(part, np.uint8).astype(np.uint16)
+            for width, i, size, part in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                data = np.frombuffer(pa.decompress(part, size, codec="zstd"), np.uint8)
+                held = np.zeros(block, np.uint16)
+                held[np.unpackbits(data[: block // 8]) > 0] = data[block // 8 :]
                 total[width, i] = np.minimum(total.get((width, i), 0) + held, least).astype(np.uint8)
         for (width, i), part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([i], pa.int32()), pa.array([np.packbits(part >= least).tobytes()], pa.binary())], names)
+            bits_of = np.packbits(part >= least).tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (width, i, len(bits_of))), pa.array([bits_of], pa.binary())], names)
 
-    names = ["width", "block", "held"]
-    schema = "width int, block int, held binary"
+    names = ["width", "block", "size", "held"]
+    schema = "width int, block int, size int, held binary"
     out = np.zeros((more, max(1, (1 << bits) // block), block // 8), np.uint8)
     for r in over_texts(texts, count, schema).repartition("width", "block").mapInArrow(add, schema).collect():
         out[r["width"] - widths[0], r["block"]] = np.frombuffer(r["held"], np.uint8)
@@ -160,7 +165,7 @@ def gram_filters(texts: DataFrame, filters: list[bytes], more: int, least: int,
 
 
 def windows(texts: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
-    """(lang, w1 to w4, n): the longest window that leads at each word, padded with empty strings, counted per task.
+    """(lang, w1 to w4, n): the longest window that leads at each word, padded with empty strings, counted over all texts.
 
     A window ends with its piece, or before two or three words that can not occur often enough together. Words that are too
     rare themselves are counted without a name.
@@ -195,12 +200,54 @@ def windows(texts: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (front[1:] != front[:-1]) | (back[1:] != back[:-1])]))
                 columns = [np.concatenate([c, m[order][new]]) for c, m in zip(columns, more, strict=True)]
                 counts = np.concatenate([counts, np.diff(new, append=len(front))])
-            text = pa.array([b"", *words], pa.binary()).cast(pa.string())
-            for at in range(0, len(counts), 100_000):
-                part = [text.take(pa.array(c[at : at + 100_000])) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part, pa.array(counts[at : at + 100_000])], ["lang", *_WORDS, "n"])
+            yield from _crates(lang, words, columns, counts, crates)
 
-    return over_texts(texts, count, ", ".join(["lang string", *(f"{w} string" for w in _WORDS), "n long"]))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, rows, size, held in zip(*(b.column(c).to_pylist() for c in ("lang", "n", "size", "held")), strict=True):
+                data = pa.decompress(held, size, codec="zstd", asbytes=True)
+                counts = np.frombuffer(data, np.uint8, 4 * rows).reshape(4, rows).T.copy().view("<u4").ravel().astype(np.int64)
+                phrases = pa.array(data[4 * rows :].split(b"\n"), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), phrases, pa.array(counts)], ["lang", "phrase", "n"])
+
+    # as many crates as a task's windows fill well; they grow with the texts
+    crates = max(4, bits - 17)
+    packed = over_texts(texts, count, "crate int, lang string, n int, size int, held binary")
+    # a crate holds all rows of its windows, so each window leaves it as one row
+    rows = packed.repartition("crate").mapInArrow(unpack, "lang string, phrase string, n long")
+    rows = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    parts = F.split("phrase", " ")
+    return rows.select("lang", *[F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(w) for k, w in enumerate(_WORDS)], "n")
+
+
+def _crates(lang: str, words: list[bytes], columns: list[np.ndarray], counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Windows dealt over 2^bits crates by a hash of their words, each crate in the order of the words and compressed.
+
+    A crate holds its counts, the lowest bytes first, then its windows, one a line. What crosses the network is some bytes a
+    window instead of a row with all its words.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    h = np.concatenate([np.zeros(1, np.uint64), np.fromiter(map(digest, words), np.uint64, len(words))])
+    x = h[columns[0]]
+    for c in columns[1:]:
+        x = x * _ODD ^ h[c]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    crate = (x >> np.uint64(64 - bits)).astype(np.int64)
+    place = np.zeros(len(words) + 1, np.int64)
+    place[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64) + 1] = np.arange(1, len(words) + 1)
+    order = np.lexsort((*(place[c] for c in reversed(columns)), crate))
+    crate, counts = crate[order], counts[order]
+    columns = [c[order] for c in columns]
+    named = [b"", *words]
+    edges = np.flatnonzero(np.concatenate([[True], crate[1:] != crate[:-1]])).tolist() + [len(crate)]
+    for at, end in zip(edges[:-1], edges[1:], strict=True):
+        lines = [b" ".join([named[i] for i in row if i]) for row in zip(*(c[at:end].tolist() for c in columns), strict=True)]
+        data = counts[at:end].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + b"\n".join(lines)
+        held = pa.compress(data, codec="zstd", asbytes=True)
+        yield pa.RecordBatch.from_pydict({
+            "crate": pa.array([int(crate[at])], pa.int32()), "lang": [lang], "n": pa.array([end - at], pa.int32()), "size": pa.array([len(data)], pa.int32()),
+            "held": pa.array([held], pa.binary()),
+        })
 
 
 def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -212,8 +259,8 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, bits: int | None = None)
     bits = counter_bits(texts) if bits is None else bits
     # words and pairs, then the triples of pairs that pass
     filters = gram_filters(texts, gram_filters(texts, [], 2, least, bits), 1, least, bits)
-    # each window meets itself once; the roll-ups then only move different windows
-    counted = once(windows(texts, filters, bits).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n")), "windows")
+    # each window is there once; the roll-ups only move different windows
+    counted = once(windows(texts, filters, bits), "windows")
     parts = [counted.where("w1 <> '' AND w2 = ''").select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("width"), F.col("n").alias("f"))]
     for k in range(2, LONGEST + 1):
         # padding is not rolled up: windows of k words give phrases of k words and less
