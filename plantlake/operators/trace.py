@@ -16,21 +16,41 @@ MEDIA_TYPES = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png",
 DEFAULT_MEDIA_TYPE = "image/png"
 
 
-def merge_pieces(df: DataFrame, conversation: Sequence[str], order: Sequence[str], text: str, is_piece: Column, window_rows: int = WINDOW_ROWS) -> DataFrame:
+# bytes of text of one merged row
+SEGMENT_BYTES = 64 << 20
+
+
+def merge_pieces(
+    df: DataFrame, conversation: Sequence[str], order: Sequence[str], text: str, is_piece: Column, window_rows: int = WINDOW_ROWS,
+    segment_bytes: int = SEGMENT_BYTES,
+) -> DataFrame:
     """Runs of consecutive text pieces become one message; every other row ends a run and stays itself.
 
-    Returns (conversation, first position, n_pieces, is_piece, text) with the pieces put together in order.
+    Returns (conversation, first position, n_pieces, is_piece, text, segment) with the pieces put together in order. A run of more than
+    ``segment_bytes`` becomes several rows, numbered by ``segment`` from 0: a piece goes to the segment its first byte lies in, so a
+    row holds that many bytes and the rest of its last piece at most.
     """
+    if segment_bytes < 1:
+        raise ValueError("segment_bytes must be positive")
     conversation, order = list(conversation), list(order)
     rows = df.select(*conversation, *order, F.col(text).alias("text"), F.coalesce(is_piece, F.lit(False)).alias("is_piece"))
     breaks = F.when(F.col("is_piece"), 0).otherwise(1)
     numbered = running_total(rows, conversation, order, breaks, "_run", window_rows)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    # no run is longer than its conversation: without a long one all is one segment
+    longest = rows.groupBy(*conversation).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > segment_bytes:
+        numbered = running_total(numbered, [*conversation, "_run", "is_piece"], order, size, "_upto", window_rows)
+        segment = F.floor((F.col("_upto") - size) / segment_bytes)
+    else:
+        segment = F.lit(0)
+    numbered = numbered.withColumn("segment", segment.cast("int"))
     place = F.struct(*order)
-    merged = numbered.groupBy(*conversation, "_run", "is_piece").agg(
+    merged = numbered.groupBy(*conversation, "_run", "is_piece", "segment").agg(
         F.min(place).alias("_first"), F.count(F.lit(1)).alias("n_pieces"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "text"))), lambda s: s["text"]), "").alias("text"),
     )
-    return merged.select(*conversation, *[F.col(f"_first.{o}").alias(o) for o in order], "n_pieces", "is_piece", "text")
+    return merged.select(*conversation, *[F.col(f"_first.{o}").alias(o) for o in order], "n_pieces", "is_piece", "text", "segment")
 
 
 def plot_path(text: Column) -> Column:

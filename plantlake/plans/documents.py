@@ -192,6 +192,21 @@ def doc_steps(spark, folder):
     return out.groupBy("message_type", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PARTS = ["model_output", "tool_call", "observation", "error", "plan", "final_answer", "final_image", "final_audio"]
+
+
+def doc_step_kinds(spark, folder):
+    """Turns dealt over all parts that a trace can have, one row per step that is kept."""
+    c = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    part = F.element_at(F.array(*map(F.lit, _PARTS)), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(8)) + 1).cast("int"))
+    name, code = F.col("conv_id").cast("string"), F.concat(F.lit("```python\n"), "text", F.lit("\n```"))
+    text = (F.when(F.col("part") == "tool_call", code).when(F.col("part") == "final_image", F.concat(F.lit("/out/"), name, F.lit(".JPEG")))
+            .when(F.col("part") == "final_audio", F.concat(F.lit("say"), name, F.lit(".wav"))).otherwise(F.col("text")))
+    rows = c.withColumn("part", part).withColumn("text", text).withColumn("tool_name", F.lit("python_interpreter"))
+    plain = ~F.col("message_type").isin("thought", "tool_result")
+    return classify_steps(rows).select("conv_id", "turn", "message_type", "path", "mime_type", F.when(plain, F.md5("content")).alias("digest"))
+
+
 def doc_paths(spark, folder):
     p = table(spark, folder, "pages").select("page_id", F.concat(F.regexp_replace("url", r"\?.*$", ""), F.lit("/Report.v2.PNG")).alias("path"))
     return p.select("page_id", basename(F.col("path")).alias("file"), extension(F.col("path")).alias("ext"), file_kind(F.col("path")).alias("kind"))
@@ -313,7 +328,7 @@ QUERIES = {
     **{f.__name__: f for f in [
         doc_clean_markup, doc_windows, doc_windows_plain, doc_heading_chunks, doc_ingest_log, doc_stamps, doc_ingest_counts, doc_non_empty,
         doc_scan_files, doc_collection, doc_stream, doc_metadata, doc_images, doc_unit_phrases, doc_context_labels, doc_general_information,
-        doc_converted_readings, doc_previews, doc_think_markers, doc_trace_clean, doc_steps, doc_paths, doc_top_k_blocks,
+        doc_converted_readings, doc_previews, doc_think_markers, doc_trace_clean, doc_steps, doc_step_kinds, doc_paths, doc_top_k_blocks,
         doc_top_k_hashed, doc_top_k_cells, doc_top_k_all_cells, doc_embed, doc_answers, doc_answers_all, doc_answers_text,
     ]},
 }
@@ -436,6 +451,11 @@ WHEN 'signup' THEN value END, 4) + 0.0 AS kpa, round(3e-9 + CASE event_type WHEN
     "doc_steps": """SELECT message_type, path, count(*) AS n FROM (SELECT CASE WHEN role = 'assistant' THEN 'thought' WHEN role = 'system' THEN 'plan'
 WHEN turn > 0 THEN 'tool_result_plot' ELSE 'tool_result' END AS message_type, CASE WHEN role = 'user' AND turn > 0 THEN 'results/plots/p' || conv_id || '.html' END AS path FROM conversations
 WHERE trim(text) <> '' OR (role = 'user' AND turn > 0)) GROUP BY 1, 2""",
+    "doc_step_kinds": """WITH t AS (SELECT conv_id, turn, ((conv_id * 7 + turn) % 8 + 8) % 8 AS k, text FROM conversations),
+s AS (SELECT conv_id, turn, k, (['thought', 'tool_call', 'tool_result', 'error', 'plan', 'final_answer', 'final_answer_file', 'final_answer_file'])[k + 1] AS message_type,
+CASE k WHEN 1 THEN '```python' || chr(10) || text || chr(10) || '```' WHEN 6 THEN '/out/' || conv_id || '.JPEG' WHEN 7 THEN 'say' || conv_id || '.wav' ELSE text END AS content FROM t)
+SELECT conv_id, turn, message_type, CASE WHEN k >= 6 THEN content END AS path, CASE k WHEN 6 THEN 'image/jpeg' WHEN 7 THEN 'audio/wav' END AS mime_type,
+CASE WHEN k NOT IN (0, 2) THEN md5(content) END AS digest FROM s WHERE trim(content) <> '' OR k IN (1, 3)""",
     "doc_paths": "SELECT page_id, 'Report.v2.PNG' AS file, '.png' AS ext, 'Img' AS kind FROM pages",
     "doc_merge_pieces": """WITH b AS (SELECT *, role <> 'system' AS p, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations)
 SELECT conv_id, min(turn) AS turn, count(*) AS n_pieces, p AS is_piece, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM b GROUP BY conv_id, run, p""",

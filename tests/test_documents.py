@@ -403,7 +403,25 @@ def test_merge_pieces(spark):
     rows = [(1, 0, "q", False), (1, 1, "a", True), (1, 2, "b", True), (1, 3, "tool", False), (1, 4, "c", True), (2, 0, "d", True), (2, 1, "e", True)]
     df = spark.createDataFrame(rows, "conv int, turn int, text string, piece boolean")
     got = sorted(tuple(r) for r in merge_pieces(df, ["conv"], ["turn"], "text", F.col("piece")).collect())
-    assert got == [(1, 0, 1, False, "q"), (1, 1, 2, True, "ab"), (1, 3, 1, False, "tool"), (1, 4, 1, True, "c"), (2, 0, 2, True, "de")]
+    assert got == [(1, 0, 1, False, "q", 0), (1, 1, 2, True, "ab", 0), (1, 3, 1, False, "tool", 0), (1, 4, 1, True, "c", 0), (2, 0, 2, True, "de", 0)]
+
+
+@pytest.mark.parametrize("window_rows", [2_000_000, 0])
+def test_merge_pieces_cuts_long_runs_into_segments(spark, window_rows):
+    rows = [(1, i, "xy" * (i % 3) + str(i), True) for i in range(200)] + [(1, 200, "end", False), (2, 0, "\u00e9" * 9, True), (2, 1, None, True), (2, 2, "", True), (2, 3, "z", True)]
+    df = spark.createDataFrame(rows, "conv int, turn int, text string, piece boolean")
+    got = sorted(tuple(r) for r in merge_pieces(df, ["conv"], ["turn"], "text", F.col("piece"), window_rows, segment_bytes=16).collect())
+    want = {}
+    for conv, kind in ((1, True), (1, False), (2, True)):
+        upto = 0
+        for c, turn, text, piece in rows:
+            if (c, piece) == (conv, kind):
+                held = want.setdefault((c, piece, upto // 16), [turn, 0, ""])
+                held[1], held[2] = held[1] + 1, held[2] + (text or "")
+                upto += len((text or "").encode())
+    assert got == sorted((c, turn, n, piece, text, segment) for (c, piece, segment), (turn, n, text) in want.items())
+    with pytest.raises(ValueError):
+        merge_pieces(df, ["conv"], ["turn"], "text", F.col("piece"), segment_bytes=0)
 
 
 def test_classify_steps(spark):
