@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from plantlake.functions.calendar import parse_rule
 from plantlake.functions.columns import number, numeric_columns
 from plantlake.joins import join_sized
+from plantlake.session import settle
 
 # buckets made per generated block; a block is the unit of work when a grid is laid out
 BLOCK = 4096
@@ -20,7 +21,8 @@ def resample_mean(
 ) -> DataFrame:
     """Mean of each numeric column per calendar bucket and series.
 
-    Every bucket between the first and the last of a series is returned; without a value it is null.
+    Every bucket between the first and the last of a series is returned; without a value it is null. The input is read once,
+    by rules whose buckets start at the first row of a series twice.
     ``max_buckets`` lets a caller refuse series longer than that; by default there is no limit.
     """
     r = parse_rule(rule)
@@ -32,23 +34,15 @@ def resample_mean(
     if series:
         rows = rows.dropna(subset=series)
     unit = r.unit_no(F.col(ts))
-    edges = rows.groupBy(*series).agg(F.min(unit).alias("_lo"), F.max(unit).alias("_hi"))
+    first = rows.groupBy(*series).agg(r.origin(F.min(unit)).alias("_o")) if r.anchored else None
     rows = rows.select(*series, unit.alias("_u"), *[number(c).alias(c) for c in columns])
-    if r.anchored:
-        first = edges.select(*series, r.origin(F.col("_lo")).alias("_o"))
-        rows = join_sized(rows, first, series, "inner")
-        edges = edges.withColumn("_o", r.origin(F.col("_lo")))
-    else:
-        rows = rows.withColumn("_o", F.lit(0).cast("long"))
-        edges = edges.withColumn("_o", F.lit(0).cast("long"))
+    rows = rows.withColumn("_o", F.lit(0).cast("long")) if first is None else join_sized(rows, first, series, "inner")
     bucket = r.bucket(F.col("_u"), F.col("_o"))
     means = rows.groupBy(*series, "_o", bucket.alias("_b")).agg(*[F.avg(c).alias(c) for c in columns])
     if fill:
-        span = edges.where(F.col("_lo").isNotNull()).select(
-            *series, "_o",
-            r.bucket(F.col("_lo"), F.col("_o")).alias("_from"),
-            r.bucket(F.col("_hi"), F.col("_o")).alias("_to"),
-        )
+        # the first and last bucket come from the means, written once: the input is not read again for them
+        means = settle(means, "means")
+        span = means.groupBy(*series, "_o").agg(F.min("_b").alias("_from"), F.max("_b").alias("_to"))
         means = bucket_grid(span, [*series, "_o"], max_buckets).join(means, [*series, "_o", "_b"], "left")
     return means.select(*series, r.label(F.col("_b"), F.col("_o")).alias(ts), *columns)
 

@@ -42,6 +42,14 @@ def test_resample_like_pandas(readings, rule):
     np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(), rtol=1e-12)
 
 
+def test_resample_reads_its_input_once(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id * id) AS ts, id AS v, id % 2 AS s FROM range(9)").write.parquet(str(tmp_path / "in"))
+    out = resample_mean(spark.read.parquet(str(tmp_path / "in")), "ts", "h", ["v"], series_cols=["s"])
+    assert out.inputFiles() and not any(str(tmp_path) in f for f in out.inputFiles())
+    # hours 0 to 64 and 1 to 49
+    assert out.count() == 65 + 49 and out.where("v is not null").count() == 9
+
+
 def test_resample_series_are_independent(spark, readings):
     pdf, df = readings
     late = df.withColumn("s", F.lit("b")).withColumn("ts", F.col("ts") + F.expr("interval 50 hours"))
