@@ -94,14 +94,18 @@ def read_sensor_files(spark: SparkSession, path: str, datetime_column: str = "ti
         raise ValueError(f"no lines under {path}")
     names = [f"c{i}" for i in range(width + 1)]
     row = F.from_csv("value", ", ".join(f"{n} string" for n in names))
-    cells = lines.select("file", F.array(*[row[n] for n in names]).alias("cells"))
+    # a line is parsed once, whatever the number of columns: the fields are taken from the parsed row
+    cells = lines.select("file", F.transform(F.array(row), lambda r: F.array(*[r[n] for n in names]))[0].alias("cells"), "value")
     is_header = F.coalesce(F.array_contains("cells", datetime_column), F.lit(False))
+    if not set(datetime_column) & set('"\\'):
+        # lines without the name are told apart before they are parsed
+        is_header = F.col("value").contains(datetime_column) & is_header
     headers = settle(
         cells.where(is_header).groupBy("file").agg(F.min("cells").alias("names")), "headers"
     )
     if headers.isEmpty():
         raise ValueError(f"datetime column {datetime_column!r} not found in any header under {path}")
-    rows = join_sized(cells.where(~is_header), headers, ["file"], "inner")
+    rows = join_sized(cells.where(~is_header).drop("value"), headers, ["file"], "inner")
     place = F.array_position("names", datetime_column)
     long = rows.select(
         "file", F.to_timestamp(F.element_at("cells", place.cast("int"))).alias("ts"), "names", "cells",
