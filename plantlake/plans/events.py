@@ -97,6 +97,16 @@ def ev_trigger_lookup(spark, folder):
     return out.select("rca_id", "trigger_id", "prefix", "tag", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "alarm_id", "linked_id")
 
 
+def ev_trigger_lookup_all(spark, folder):
+    """Reports of all three kinds of events, and one per batch order that no event table knows."""
+    m = work_orders(spark, folder).select(F.regexp_replace("MWO_ID", "^MWO", "RCA").alias("rca_id"), F.col("MWO_ID").alias("trigger_id"))
+    unknown = m.select("rca_id", F.regexp_replace("trigger_id", "^MWO", "ORD").alias("trigger_id"))
+    reports = _reports(spark, folder).select("rca_id", "trigger_id").unionByName(m).unionByName(unknown)
+    out = causes.look_up_triggers(reports, downtime(spark, folder), work_orders(spark, folder), inventory(spark, folder))
+    generic = F.when(F.col("kind").isNull(), F.col("description")).alias("description")
+    return out.select("rca_id", "trigger_id", "prefix", "kind", "tag", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "alarm_id", "linked_id", generic)
+
+
 def ev_cause_candidates(spark, folder):
     out = causes.candidates(incidents(spark, folder), downtime(spark, folder), work_orders(spark, folder))
     return out.select("trigger_id", "kind", "tag", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), rounded("magnitude").alias("magnitude"),
@@ -245,7 +255,7 @@ QUERIES = {
     "ev_attribute_downtime_chunked": _attributed(0),
 } | {f.__name__: f for f in [
     ev_needs_downtime, ev_triggers_maintenance, ev_of_plant, ev_downtime_with_alarm, ev_work_order_causes, ev_resolution, ev_unlinked,
-    ev_dangling, ev_attribute_work_orders, ev_same_day_downtime, ev_event_chain, ev_trigger_lookup,
+    ev_dangling, ev_attribute_work_orders, ev_same_day_downtime, ev_event_chain, ev_trigger_lookup, ev_trigger_lookup_all,
     ev_cause_candidates, ev_report_kpis, ev_report_months, ev_report_alloys, ev_report_downtime, ev_report_work_orders, ev_distinct_links, ev_lab_batches,
     ev_quality, ev_quality_all, ev_iron_closure, ev_emissions, ev_incident_rollup, ev_file_edges, ev_degrees, ev_neighbourhood, ev_text_ids, ev_first_ids,
     ev_tag_parts, ev_alarm_records, ev_inventory_roundtrip,
@@ -314,6 +324,14 @@ LEFT JOIN f ON f.d = w.DowntimeID LEFT JOIN reports r ON r.trigger_id = w.Downti
     "ev_trigger_lookup": V + ", " + _REPORTS + """ SELECT rca_id, trigger_id, string_split(trigger_id, '-')[1] AS prefix, coalesce(d.EquipmentTag, i.equipment) AS tag,
 strftime(coalesce(CAST(d.StartTime AS DATE), CAST(i.ts AS DATE)), '%Y-%m-%d') AS event_date, d.TriggeringAlarmID AS alarm_id, d.RelatedMWO_ID AS linked_id
 FROM reports LEFT JOIN downtime d ON trigger_id = d.DowntimeID LEFT JOIN incidents i ON trigger_id = i.incident_id""",
+    "ev_trigger_lookup_all": V + ", " + _REPORTS + """, asked AS (SELECT rca_id, trigger_id FROM reports
+UNION ALL SELECT replace(MWO_ID, 'MWO', 'RCA'), MWO_ID FROM work_orders UNION ALL SELECT replace(MWO_ID, 'MWO', 'RCA'), replace(MWO_ID, 'MWO', 'ORD') FROM work_orders)
+SELECT rca_id, trigger_id, string_split(trigger_id, '-')[1] AS prefix,
+CASE WHEN d.DowntimeID IS NOT NULL THEN 'downtime' WHEN m.MWO_ID IS NOT NULL THEN 'work order' WHEN i.incident_id IS NOT NULL THEN 'incident' END AS kind,
+coalesce(d.EquipmentTag, m.EquipmentTag, i.equipment) AS tag, strftime(coalesce(CAST(d.StartTime AS DATE), m.Date, CAST(i.ts AS DATE)), '%Y-%m-%d') AS event_date,
+coalesce(d.TriggeringAlarmID, m.TriggeringAlarmID) AS alarm_id, coalesce(d.RelatedMWO_ID, m.RelatedDowntimeID) AS linked_id,
+CASE WHEN d.DowntimeID IS NULL AND m.MWO_ID IS NULL AND i.incident_id IS NULL THEN 'Analysis of Event ' || trigger_id END AS description
+FROM asked LEFT JOIN downtime d ON trigger_id = d.DowntimeID LEFT JOIN work_orders m ON trigger_id = m.MWO_ID LEFT JOIN incidents i ON trigger_id = i.incident_id""",
     "ev_cause_candidates": V + """SELECT incident_id AS trigger_id, 'incident' AS kind, equipment AS tag, strftime(ts, '%Y-%m-%d') AS event_date, NULL::DOUBLE AS magnitude,
 NULL AS alarm_id, NULL AS linked_id, 'Safety Incident Report for ' || type || ' (' || severity || ').' AS description FROM incidents WHERE severity IN ('Serious', 'Major')
 UNION ALL SELECT DowntimeID, 'downtime', EquipmentTag, strftime(StartTime, '%Y-%m-%d'), round(3e-9 + DurationHours, 4) + 0.0, TriggeringAlarmID, RelatedMWO_ID, NULL FROM downtime WHERE DurationHours > 24
