@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from plantlake.joins import BROADCAST_BYTES, join_sized
@@ -17,14 +18,26 @@ from plantlake.session import settle
 
 METRICS = ("l2", "cosine", "dot")
 K = 3
-QUESTION_BLOCK = 32_768
-CHUNK_BLOCK = 20_000
-# questions compared at once inside a block, which bounds the matrix of distances
-STEP = 1024
-# relative width within which block scores are taken as possibly equal and compared again directly
+# questions that a task holds, and chunks of a group, which a task reads one batch after the other
+QUESTION_BLOCK = 65_536
+CHUNK_BLOCK = 262_144
+# a crowded cell is cut until there are about so many groups for each core, but not below so many chunks
+GROUPS_A_CORE = 6
+LEAST_CHUNKS = 4_096
+# pairs that are worth a task
+PAIRS = 5_000_000
+# questions and chunks compared at once inside a block, which bounds the matrix of distances
+STEP = 1_024
+PIECE = 2_048
+# relative width within which block scores in double precision are taken as possibly equal and compared again directly
 NEAR = 1e-9
-# pairs of a block that are compared directly at a time
-PAIRS = 100_000
+# values of a vector that are compared directly at a time, and pairs found before they are ranked
+VALUES = 1 << 20
+HELD = 1 << 18
+# share of the pairs of a piece that single precision may leave to compare directly
+LOOSE = 0.02
+# larger values are not squared in single precision
+LARGE = 1e15
 
 
 def _check(metric: str, k: int) -> None:
@@ -46,42 +59,142 @@ def _direct(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.round(d, 12)
 
 
-def _bulk(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """All distances of a block by one matrix product, a little less exact than ``_direct``."""
+def _sides(q: np.ndarray, metric: str, single: bool, chunks: bool) -> np.ndarray:
+    """Vectors with one more column, so that the product of both sides gives distances without the part of the question alone.
+
+    The column of the chunks is lowered by their share of the rounding of the product; ``_cut`` allows for that of the questions.
+    """
+    eps = _rounding(q.shape[1], single)
     if metric == "cosine":
-        qn, xn = np.linalg.norm(q, axis=1, keepdims=True), np.linalg.norm(x, axis=1, keepdims=True)
-        q = np.divide(q, qn, out=np.zeros_like(q), where=qn > 0)
-        x = np.divide(x, xn, out=np.zeros_like(x), where=xn > 0)
-        return 1.0 - q @ x.T
-    if metric == "dot":
-        return -(q @ x.T)
-    return (q * q).sum(axis=1)[:, None] - 2.0 * (q @ x.T) + (x * x).sum(axis=1)[None, :]
-
-
-def best_of_block(
-    qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, metric: str
-) -> pd.DataFrame:
-    """The k nearest chunks of the block for every question; equal distances go to the smaller id."""
-    return pd.concat([
-        _best(qid[i:i + STEP], q[i:i + STEP], cid, x, k, metric) for i in range(0, max(len(qid), 1), STEP)
-    ])
+        size = np.linalg.norm(q, axis=1, keepdims=True)
+        q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
+    square = np.einsum("nd,nd->n", q, q)
+    if not chunks:
+        left, right = (-2.0 if metric == "l2" else -1.0) * q, np.ones(len(q))
+    else:
+        left, right = q, square * (1.0 - eps) if metric == "l2" else -eps * square
+    return np.hstack([left, right[:, None]]).astype(np.float32 if single else np.float64)
+
+
+def _rounding(width: int, single: bool) -> float:
+    """Bound of the rounding of a product of two vectors, relative to half the sum of their squares, with those of its parts."""
+    return 2.0 * (width + 8) * (2.0**-24 if single else 2.0**-53)
+
 
+class Leaders:
+    """The ``k`` nearest chunks of every question of a block; chunks come in batches, and a batch is not kept.
 
-def _best(
-    qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, k: int, metric: str
-) -> pd.DataFrame:
-    rough = _bulk(q, x, metric)
-    kk = min(k, len(cid))
-    kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
-    margin = NEAR * (1.0 + np.abs(kth) + (np.abs(rough).max(axis=1) if rough.size else 0.0))
-    at, near = np.nonzero(rough <= (kth + margin)[:, None])
-    d = np.concatenate([np.zeros(0), *[_direct(q[at[i : i + PAIRS]], x[near[i : i + PAIRS]], metric) for i in range(0, len(at), PAIRS)]])
-    order = np.lexsort((cid[near], d, at))
-    at, near, d = at[order], near[order], d[order]
-    # place of each pair among those of its question
-    first = np.searchsorted(at, np.arange(len(qid)))
-    best = np.arange(len(at)) - first[at] < kk
-    return pd.DataFrame({"question_id": qid[at[best]], "chunk_id": cid[near[best]], "distance": d[best]})
+    Most pairs are ruled out by one matrix product in single precision and the distance of the k-th nearest chunk so far. What
+    is within its rounding is compared directly in double precision, so results do not depend on it.
+    """
+
+    def __init__(self, q: np.ndarray, k: int, metric: str) -> None:
+        self.q, self.k, self.metric = q, k, metric
+        self.square = np.einsum("nd,nd->n", q, q)
+        # distance of the k-th nearest so far
+        self.limit = np.full(len(q), np.inf)
+        self.found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.small = bool((np.abs(q) <= LARGE).all())
+        self.left = _sides(q, metric, True, False) if self.small else None
+
+    def add(self, cid: np.ndarray, x: np.ndarray) -> None:
+        cid, x = _of_copies(cid, x, self.k)
+        if not len(cid):
+            return
+        single = self.small and bool((np.abs(x) <= LARGE).all())
+        right = _sides(x, self.metric, single, True)
+        for s in range(0, len(self.q), STEP):
+            self._step(s, cid, x, right, single)
+
+    def _cut(self, rows: slice, single: bool) -> np.ndarray:
+        """Products above this belong to chunks that are farther away than the k-th nearest so far."""
+        limit, eps = self.limit[rows], _rounding(self.q.shape[1], single)
+        own = 1.0 - eps if self.metric == "cosine" else self.square[rows] * ((1.0 - eps) if self.metric == "l2" else -eps)
+        cut = limit - own + NEAR * np.abs(limit) + 1e-11
+        return np.nextafter(cut.astype(np.float32), np.float32(np.inf)) if single else cut
+
+    def _step(self, s: int, cid: np.ndarray, x: np.ndarray, right: np.ndarray, single: bool) -> None:
+        rows = slice(s, s + STEP)
+        q = self.q[rows]
+        left = self.left[rows] if single else _sides(q, self.metric, False, False)
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        for p in range(0, len(x), PIECE):
+            piece = x[p : p + PIECE]
+            rough = left @ right[p : p + PIECE].T
+            if len(piece) >= self.k and np.isinf(self.limit[rows]).any():
+                self._first_limit(rows, piece, rough)
+            flat = np.flatnonzero(rough <= self._cut(rows, single)[:, None])
+            if single and len(flat) > LOOSE * rough.size + self.k * len(q):
+                rough = _sides(q, self.metric, False, False) @ _sides(piece, self.metric, False, True).T
+                flat = np.flatnonzero(rough <= self._cut(rows, False)[:, None])
+            for at, near, d in self._measured(flat, q, piece):
+                good = d <= self.limit[rows][at]
+                new.append((at[good], cid[p + near[good]], d[good]))
+                held += len(new[-1][0])
+                if held > HELD:
+                    self._rank(s, new)
+                    new, held = [], 0
+        if held:
+            self._rank(s, new)
+
+    def _measured(self, flat: np.ndarray, q: np.ndarray, piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        pairs = max(1, VALUES // max(1, q.shape[1]))
+        for i in range(0, len(flat), pairs):
+            at, near = np.divmod(flat[i : i + pairs], len(piece))
+            yield at, near, _direct(q[at], piece[near], self.metric)
+
+    def _first_limit(self, rows: slice, piece: np.ndarray, rough: np.ndarray) -> None:
+        """Any k chunks bound the distance of the k-th nearest; those with the smallest products bound it well."""
+        q = self.q[rows]
+        some = np.argpartition(rough, self.k - 1, axis=1)[:, : self.k]
+        flat = (np.arange(len(q))[:, None] * len(piece) + some).ravel()
+        far = np.concatenate([d for _, _, d in self._measured(flat, q, piece)]).reshape(some.shape).max(axis=1)
+        self.limit[rows] = np.minimum(self.limit[rows], np.where(np.isnan(far), np.inf, far))
+
+    def _rank(self, s: int, new: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Keep the k nearest of each question; equal distances go to the smaller id."""
+        before = [self.found[s]] if s in self.found else []
+        at, cid, d = (np.concatenate(c) for c in zip(*before, *new, strict=True))
+        order = np.lexsort((cid, d, at))
+        at, cid, d = at[order], cid[order], d[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        best = rank < self.k
+        self.found[s] = at[best], cid[best], d[best]
+        last = rank == self.k - 1
+        self.limit[s + at[last]] = np.minimum(self.limit[s + at[last]], d[last])
+
+    def rows(self, qid: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(question_id, chunk_id, distance), one batch for each step of the questions."""
+        for s, (at, cid, d) in sorted(self.found.items()):
+            columns = [qid.take(pa.array(s + at)), pa.array(cid, kind, from_pandas=True), pa.array(d, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["question_id", "chunk_id", "distance"])
+
+
+def _of_copies(cid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors those with the ``k`` smallest ids: no other can be among the k nearest."""
+    if len(x) <= k or not x.shape[1]:
+        return cid, x
+    _, group, counts = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True, return_counts=True)
+    if counts.max() <= k:
+        return cid, x
+    order = np.lexsort((cid, group))
+    kept = np.sort(order[np.arange(len(order)) - np.searchsorted(group[order], group[order]) < k])
+    return cid[kept], x[kept]
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows in double precision, without an object for each."""
+    if not len(column):
+        return np.zeros((0, 0))
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (widths != widths[0]).any():
+        raise ValueError("vectors must have one length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(widths[0]))
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def vectors_of(column: pd.Series) -> np.ndarray:
@@ -112,30 +225,32 @@ def exact_top_k(
     """
     _check(metric, k)
     asked = settle(questions.select("question_id", "embedding").where(F.col("embedding").isNotNull()), "questions")
-    stored = chunks.select("chunk_id", "embedding").where(F.col("embedding").isNotNull())
+    stored = chunks.select("chunk_id", "embedding")
     size = asked.agg(F.sum(8 * F.size("embedding") + 16)).first()[0] or 0
     if size > max_bytes:
         everything = F.lit(0).cast("long").alias("cell")
-        return top_k_in_cells(asked.select("*", everything), stored.select("*", everything), k, metric)
-    table = asked.toPandas()
-    if not len(table):
+        # a vector may be an expensive column, so it is worked out once and only then looked at
+        kept = settle(stored, "chunks").where(F.col("embedding").isNotNull())
+        return top_k_in_cells(asked.select("*", everything), kept.select("*", everything), k, metric)
+    table = asked.where(F.col("question_id").isNotNull()).toArrow().combine_chunks()
+    if not table.num_rows:
         return questions.sparkSession.createDataFrame([], _ranked_schema(questions, chunks))
-    shared = asked.sparkSession.sparkContext.broadcast((table["question_id"].to_numpy(), vectors_of(table["embedding"])))
+    ids, vectors = (pa.concat_arrays(table.column(c).chunks) for c in ("question_id", "embedding"))
+    shared = asked.sparkSession.sparkContext.broadcast((ids, matrix_of(vectors)))
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cid, x = pdf["chunk_id"].to_numpy(), vectors_of(pdf["embedding"])
-            found = best_of_block(qid, q, cid, x, k, metric)
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["question_id", "distance", "chunk_id"]).groupby("question_id", sort=False).head(k)
+        best, kind = None, None
+        for b in batches:
+            # a filter in front of the scan would work out a computed vector a second time
+            b = b.filter(b.column("embedding").is_valid())
+            if b.num_rows:
+                best, kind = best or Leaders(q, k, metric), b.column("chunk_id").type
+                best.add(ids_of(b.column("chunk_id")), matrix_of(b.column("embedding")))
         if best is not None:
-            yield best
+            yield from best.rows(qid, kind)
 
-    return rank_candidates(stored.mapInPandas(nearest, _schema(questions, chunks)), k)
+    return rank_candidates(stored.mapInArrow(nearest, _schema(questions, chunks)), k)
 
 
 def _ranked_schema(questions: DataFrame, chunks: DataFrame) -> T.StructType:
@@ -149,34 +264,63 @@ def top_k_in_cells(
 ) -> DataFrame:
     """k nearest among the chunks that share a ``cell`` with the question.
 
-    A crowded cell is cut into question blocks and chunk blocks; each pair of blocks is one task group
-    of bounded size, whatever the size of the cell.
+    A crowded cell is cut into question blocks and chunk blocks. Each pair of blocks is one group: a task holds its
+    questions, whose number is bounded, and reads its chunks batch by batch behind them, so no group is held whole.
     """
     _check(metric, k)
-    q_parts = questions.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / question_block) + 1).alias("_qp"))
-    c_parts = chunks.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / chunk_block) + 1).alias("_cp"))
+    q_parts = questions.groupBy("cell").agg(F.count(F.lit(1)).alias("_m"), (F.floor(F.count(F.lit(1)) / question_block) + 1).alias("_qp"))
+    c_parts = chunks.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), (F.floor(F.count(F.lit(1)) / chunk_block) + 1).alias("_cp"))
     parts = settle(q_parts.join(c_parts, "cell"), "cells")
+    wanted = GROUPS_A_CORE * questions.sparkSession.sparkContext.defaultParallelism
+    groups = F.sum(F.col("_qp") * F.col("_cp"))
+    before = parts.agg(groups.alias("groups"), F.sum(F.col("_m").cast("double") * F.col("_n")).alias("pairs")).first()
+    more = -(-wanted // max(1, before["groups"] or 0))
+    finer = F.least(F.col("_cp") * more, F.floor(F.col("_n") / LEAST_CHUNKS) + 1)
+    parts = parts.select("cell", "_qp", F.greatest("_cp", finer).alias("_cp"))
+    tasks = min(parts.agg(groups).first()[0] or 1, 4 * wanted, 1 + int((before["pairs"] or 0) // PAIRS))
 
     def numbers(count: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
 
+    schema = _schema(questions, chunks)
+    same = questions.schema["embedding"].dataType == chunks.schema["embedding"].dataType
+    vector = F.col("embedding") if same else F.col("embedding").cast("array<double>")
     left = join_sized(questions, parts, ["cell"], "inner").select(
-        "question_id", "embedding", "cell", F.pmod(F.xxhash64("question_id"), F.col("_qp")).alias("_qb"), numbers("_cp").alias("_cb")
+        "cell", F.pmod(F.xxhash64("question_id"), F.col("_qp")).alias("_qb"), numbers("_cp").alias("_cb"), F.lit(0).alias("_side"),
+        "question_id", F.lit(None).cast(schema["chunk_id"].dataType).alias("chunk_id"), vector.alias("embedding"),
     )
     right = join_sized(chunks, parts, ["cell"], "inner").select(
-        "chunk_id", "embedding", "cell", F.pmod(F.xxhash64("chunk_id"), F.col("_cp")).alias("_cb"), numbers("_qp").alias("_qb")
+        "cell", numbers("_qp").alias("_qb"), F.pmod(F.xxhash64("chunk_id"), F.col("_cp")).alias("_cb"), F.lit(1).alias("_side"),
+        F.lit(None).cast(schema["question_id"].dataType).alias("question_id"), "chunk_id", vector.alias("embedding"),
     )
-    schema = _schema(questions, chunks)
+    order = ["_cb", "_qb", "cell"]
 
-    def nearest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"question_id": [], "chunk_id": [], "distance": []})
-        return best_of_block(
-            q["question_id"].to_numpy(), vectors_of(q["embedding"]), c["chunk_id"].to_numpy(), vectors_of(c["embedding"]), k, metric
-        )
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, best, kind = None, [], None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [ids_of(b.column(c)) for c in (*order, "_side")]
+            kind = b.column("chunk_id").type
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
+                *group, side = (c[i] for c in keys)
+                if group != now:
+                    if best is not None:
+                        yield from best[1].rows(best[0], kind)
+                    now, asked, best = group, [], None
+                part = b.slice(i, j - i)
+                if side == 0:
+                    asked.append((part.column("question_id"), matrix_of(part.column("embedding"))))
+                elif asked:
+                    if best is None:
+                        best = pa.concat_arrays([a for a, _ in asked]), Leaders(np.vstack([v for _, v in asked]), k, metric)
+                    best[1].add(ids_of(part.column("chunk_id")), matrix_of(part.column("embedding")))
+        if best is not None:
+            yield from best[1].rows(best[0], kind)
 
-    keys = ["cell", "_qb", "_cb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, schema)
+    met = left.unionByName(right).repartition(tasks, *order).sortWithinPartitions(*order, "_side")
+    found = met.mapInArrow(nearest, schema)
     # a chunk can be met in several cells of the same question
     return rank_candidates(found.groupBy("question_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
 

@@ -2,8 +2,11 @@ import datetime as dt
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,9 +19,10 @@ from plantlake.functions.text import (
 )
 from plantlake.functions.units import KeywordRule, convert, general_information, phrase_parts, phrase_results
 from plantlake.operators.answers import answer_questions, nearest_chunks
-from plantlake.operators.neighbours import exact_top_k, top_k_in_cells
+from plantlake.operators.neighbours import Leaders, exact_top_k, top_k_in_cells
 from plantlake.operators.vector_index import VectorIndex, cell_top_k, hashed_top_k
 from plantlake.operators.trace import classify_steps, media_type, merge_pieces
+from plantlake.plans.documents import _letter_vector
 from plantlake.sources.collection import Collection, flatten_metadata
 from plantlake.sources.corpus import document_chunks, image_chunks, list_files, processing_log, scan_files, skipped_log, unseen
 from plantlake.streaming.ingest import ingest_stream
@@ -469,3 +473,57 @@ def test_indexes_always_give_k_rows(spark):
     many = {tuple(r) for r in exact_top_k(asked, chunks, 30).collect()}
     assert {tuple(r) for r in cell_top_k(asked, chunks, 30, cells=16, probes=1).collect()} == many
     assert hashed_top_k(asked, chunks.limit(2), 3).count() == 4
+
+
+@pytest.mark.parametrize("max_bytes", [10**6, 0])
+def test_one_odd_chunk_does_not_hide_the_others(spark, max_bytes):
+    """A vector that is not a number is never near, and very long vectors, far groups and copies change no rank."""
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(60, 8)), 1e6 + 0.1 * rng.normal(size=(60, 8)), np.full((40, 8), 0.5), 1e20 * rng.normal(size=(3, 8)), np.full((1, 8), np.nan)])
+    q = np.vstack([x[:5], x[60:65], x[120:122]])
+    chunks, asked = stored(spark, x), stored(spark, q).withColumnRenamed("chunk_id", "question_id")
+    got = exact_top_k(asked, chunks, 3, max_bytes=max_bytes).orderBy("question_id", "rank").collect()
+    want = brute(q, x[:163], 3, "l2")
+    assert [(r.question_id, r.chunk_id) for r in got] == [(i, c) for i in sorted(want) for _, c in want[i]]
+
+
+def test_comparing_a_block_takes_bounded_memory():
+    """Many questions, and a batch of chunks that are all equally far from them: neither all distances nor all ties are held."""
+    rng = np.random.default_rng(2)
+    q = rng.normal(size=(6_000, 16))
+    x = np.vstack([np.eye(16)[rng.integers(16, size=5_000)] * np.sign(rng.normal(size=(5_000, 1))), rng.normal(size=(5_000, 16))])
+    tracemalloc.start()
+    best = Leaders(q, 3, "cosine")
+    for turn in range(3):
+        best.add(np.arange(10_000) + 10_000 * turn, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 2**20
+    found = pa.Table.from_batches(best.rows(pa.array(np.arange(6_000)), pa.int64())).to_pandas()
+    want = brute(q[:40], np.vstack([x, x, x]), 3, "cosine")
+    assert {i: g["chunk_id"].tolist() for i, g in found[found["question_id"] < 40].groupby("question_id")} == {i: [c for _, c in v] for i, v in want.items()}
+
+
+def test_vectors_of_chunks_are_worked_out_once(spark):
+    """An embedder may be expensive: neither the count of a cell nor a null filter asks for it again."""
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "question_id long, embedding array<double>")
+    for max_bytes in (10**6, 0):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.pandas_udf("array<double>")
+        def vector(ids: pd.Series) -> pd.Series:
+            seen.add(len(ids))
+            return pd.Series([[float(i), 1.0] for i in ids], dtype=object)
+
+        chunks = spark.range(50).select(F.col("id").alias("chunk_id"), vector("id").alias("embedding"))
+        assert exact_top_k(asked, chunks, 1, max_bytes=max_bytes).where("question_id = chunk_id").count() == 5
+        assert seen.value == 50
+
+
+def test_letter_vectors(spark):
+    texts = ["abba", "", None, "ÄZ 9", "zéa\n" * 1000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", _letter_vector(F.col("text")).alias("v")).orderBy("i").collect()
+    for (_, v), t in zip(rows, texts, strict=True):
+        counts = [float((t or "").count(chr(97 + i))) if i < 26 else 0.0 for i in range(64)]
+        size = sum(c * c for c in counts) ** 0.5
+        assert v == [c / size if size else 0.0 for c in counts]
