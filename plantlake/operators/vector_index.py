@@ -29,6 +29,8 @@ QUESTIONS = 256
 # share of the true neighbours that the visited cells should hold
 TARGET = 0.95
 CELLS_AT_MOST = 65_536
+# distances of vectors to cells that a task holds at a time
+DISTANCES = 1 << 18
 KINDS = ("cells", "hashes")
 
 
@@ -148,7 +150,7 @@ class VectorIndex:
         if metric not in ("l2", "cosine"):
             raise ValueError("the approximate indexes measure l2 or cosine")
         spark = chunks.sparkSession
-        stored = settle(chunks.select("chunk_id", "embedding").where(F.col("embedding").isNotNull()), "index-input")
+        stored = settle(chunks.select("chunk_id", "embedding"), "index-input").where(F.col("embedding").isNotNull())
         n = stored.count()
         cells = min(_cells_for(n) if cells is None else cells, max(1, n))
         mark = F.pmod(F.xxhash64(F.lit(seed), "chunk_id"), F.lit(1 << 31)).alias("_h")
@@ -167,11 +169,14 @@ class VectorIndex:
             if not len(vectors):
                 return pd.Series([], dtype=object)
             fitted, by = shared.value
-            x = vectors_of(vectors)
-            x = _unit(x) if by == "cosine" else x
-            at = fitted.place(x)
-            far = np.linalg.norm(x - fitted.centres[at[:, 0]], axis=1)[:, None] if isinstance(fitted, Centres) else np.zeros(at.shape)
-            return pd.Series([[{"cell": int(c), "far": float(f)} for c, f in zip(a, b)] for a, b in zip(at, far)])
+            step, out = max(1, DISTANCES // max(1, fitted.cells)), []
+            for i in range(0, len(vectors), step):
+                x = vectors_of(vectors[i : i + step])
+                x = _unit(x) if by == "cosine" else x
+                at = fitted.place(x)
+                far = np.linalg.norm(x - fitted.centres[at[:, 0]], axis=1)[:, None] if isinstance(fitted, Centres) else np.zeros(at.shape)
+                out += [[{"cell": int(c), "far": float(f)} for c, f in zip(a, b)] for a, b in zip(at, far)]
+            return pd.Series(out)
 
         placed = stored.withColumn("_p", F.explode(place("embedding"))).select("chunk_id", "embedding", F.col("_p.cell").alias("cell"), F.col("_p.far").alias("far"))
         placed.repartition("cell").write.partitionBy("cell").parquet(f"{path}/chunks")
@@ -248,9 +253,8 @@ class VectorIndex:
                 return pd.Series([], dtype=object)
             *fitted, visits, wanted = shared.value
             # blocks bound the matrix of questions and cells
-            step = max(1, 4_000_000 // max(1, fitted[0].cells))
-            x = vectors_of(vectors)
-            rows = [r[r >= 0] for i in range(0, len(x), step) for r in _order(*fitted, x[i : i + step], visits, wanted)]
+            step = max(1, DISTANCES // max(1, fitted[0].cells))
+            rows = [r[r >= 0] for i in range(0, len(vectors), step) for r in _order(*fitted, vectors_of(vectors[i : i + step]), visits, wanted)]
             return pd.Series(rows)
 
         asked = questions.select("question_id", "embedding").where(F.col("embedding").isNotNull())
