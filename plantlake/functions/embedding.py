@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed value: default width
 DIMENSIONS = 384
+# texts whose hashed words are added up at a time
+SLICE = 512
 WORD = r"([\p{L}\p{N}]+)"
 
 Embedder = Callable[[Column], Column]
@@ -25,6 +27,10 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     def buckets(hashes: pd.Series) -> pd.Series:
         if not len(hashes):
             return pd.Series([], dtype=object)
+        # slices bound the sums, which are many times wider than the vectors that are kept
+        return pd.Series([v for i in range(0, len(hashes), SLICE) for v in summed(hashes[i : i + SLICE])])
+
+    def summed(hashes: pd.Series) -> np.ndarray:
         lengths = hashes.map(len).to_numpy()
         flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes])
         row = np.repeat(np.arange(len(hashes)), lengths)
@@ -32,8 +38,7 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
         sums = np.bincount(row * dimensions + flat % dimensions, weights=sign, minlength=len(hashes) * dimensions)
         sums = sums.astype(float).reshape(len(hashes), dimensions)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
-        out = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0).astype(np.float32)
-        return pd.Series(list(out))
+        return np.divide(sums, length, out=np.zeros_like(sums), where=length > 0).astype(np.float32)
 
     def embed(text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 1)
