@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plantlake.functions.chunking import heading_chunks, ingest_counts, non_empty, stamp_chunks, window_chunks
 from plantlake.functions.embedding import embed_column, hashing_embedder
@@ -296,11 +298,23 @@ def doc_answers(spark, folder):
     return _answered(spark, folder, table(spark, folder, "documents").join(_vectors(spark, folder).withColumnRenamed("chunk_id", "doc_id"), "doc_id"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _letter_counts(texts: pd.Series) -> pd.Series:
+    """How often each of the letters a to z occurs, and zeros up to 64; one pass over the bytes of a text."""
+    out = []
+    for i in range(0, len(texts), 512):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts[i : i + 512]]
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        byte = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        small = (byte >= 97) & (byte < 123)
+        out += list(np.bincount(row[small] * 64 + byte[small] - 97, minlength=64 * len(parts)).reshape(-1, 64).astype(float))
+    return pd.Series(out, dtype=object)
+
+
 def _letter_vector(text):
     """A vector of the caller's own making: how often each small letter occurs, of length one."""
-    counts = F.transform(F.sequence(F.lit(97), F.lit(160)), lambda i: F.when(i < 123, F.length(text) - F.length(F.replace(text, F.char(i)))).otherwise(0).cast("double"))
     # an array of one holds the counts and their length, so that both are worked out once
-    sized = F.transform(F.array(counts), lambda c: F.struct(c.alias("counts"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x)).alias("size")))
+    sized = F.transform(F.array(_letter_counts(text)), lambda c: F.struct(c.alias("counts"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x)).alias("size")))
     return F.element_at(F.transform(sized, lambda s: F.transform(s["counts"], lambda x: F.when(s["size"] > 0, x / s["size"]).otherwise(0.0))), 1)
 
 
