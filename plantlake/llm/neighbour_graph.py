@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import contextlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantlake.joins import join_sized
 from plantlake.llm.common import drop_table, lists, once
@@ -32,6 +33,24 @@ ENTERED = 16
 MIDDLE = 4_096
 # bytes of the queries that are compared with all vectors in one pass
 EXACT_BYTES = 16 * 1024 * 1024
+# rows that travel to a Python worker at once: each may carry the codes of all neighbours of a node
+BATCH_ROWS = 500
+# found pairs that a task holds before it keeps the best of each node, and pairs kept that it hands on
+FOUND_PAIRS = 500_000
+KEPT_PAIRS = 375_000
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside travel in batches of ``BATCH_ROWS`` rows, which bounds the buffers of both ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    # a caller's smaller or unbounded (not positive) number of rows
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _codes_of(vectors: DataFrame) -> DataFrame:
@@ -176,10 +195,10 @@ def _improve(members: DataFrame, near: int) -> DataFrame:
                 i, j = np.nonzero(useful)
                 held.append((ids[i], ids[j], d[i, j]))
                 size += len(i)
-                if size > 2_000_000:
+                if size > FOUND_PAIRS:
                     kept = _best(*(np.concatenate(c) for c in zip(*held, strict=True)), near)
                     held[:], size = [kept], 0
-                    if len(kept[0]) > 1_500_000:
+                    if len(kept[0]) > KEPT_PAIRS:
                         yield from out()
                         held.clear()
         yield from out()
@@ -344,6 +363,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     no part, nor do rows without vec_id. Equal vectors are one node of the graph and come back with their smallest ids. An empty
     table gives no rows. All vectors have one length. A query that the graph leaves short of ``k`` rows is compared with all rows.
     """
+    with _small_batches(vectors.sparkSession):
+        best = _nearest(vectors, is_query, k)
+    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+
+
+def _nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
+    """(query_id, best): the ``k`` nearest found of every query."""
     classes = vector_classes(vectors.where("vec_id is not null"), k + 1)
     codes = _codes_of(classes)
     graph = neighbour_graph(codes)
@@ -366,8 +392,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     full = best.where(F.size("best") >= k).select("query_id")
     short = once(asked.select("query_id", "query").join(full, "query_id", "left_anti"), "short")
     if not short.isEmpty():
-        best = best.where(F.size("best") >= k).unionByName(_top(_exact(classes, short, k), k))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+        best = best.where(F.size("best") >= k).unionByName(once(_top(_exact(classes, short, k), k), "exact"))
+    return best
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:

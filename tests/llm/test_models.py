@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 import pytest
 
@@ -425,3 +426,21 @@ print(len(e.queries()), any(q.startswith("op") or q == "pipeline" for q in e.que
     assert without.returncode == 0 and without.stdout.split()[-1] == "False", without.stderr
     assert run(["tokenizers_missing"]).stdout.split()[-1] == "True"
     assert run(["pyarrow"]).returncode != 0
+
+
+def test_batches_of_the_graph_are_small(spark):
+    """Rows that carry codes of all neighbours travel a few at a time, and the caller's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    x = np.random.default_rng(5).normal(size=(700, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    with neighbour_graph._small_batches(spark):
+        sizes = vectors.select("vec_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"vec_id": [b.num_rows]}) for b in batches), "vec_id long").collect()
+    assert sorted(r.vec_id for r in sizes) == [200, 500]
+    spark.conf.set(name, "300")
+    try:
+        got = nearest(vectors, F.col("vec_id") == 7, 2).orderBy("rank").collect()
+        assert spark.conf.get(name) == "300"
+    finally:
+        spark.conf.set(name, before)
+    assert [r.vec_id for r in got] == np.argsort(((x - x[7]) ** 2).sum(axis=1), kind="stable")[1:3].tolist()
