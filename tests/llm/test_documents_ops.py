@@ -60,6 +60,19 @@ def test_encoder_gives_the_ids_of_whole_texts(name, make, monkeypatch):
                 assert ids == whole(name, text, 0)[:-4], repr(text)
 
 
+def test_plain_words_go_to_the_model_together(monkeypatch):
+    alone = []
+    learn = encoding.Encoder._learn
+    monkeypatch.setattr(encoding.Encoder, "_learn", lambda self, piece: alone.append(piece) or learn(self, piece))
+    monkeypatch.setattr(encoding, "TOGETHER", 70, raising=False)
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdeéüß") for _ in range(6)) + rng.choice(["", ",", "***", "7", "42!"]) for _ in range(500))
+    e = encoding.word_encoder.__wrapped__(public_tokenizers.path(WORD_BPE))
+    texts = [text, "", None, "it's " + text.upper(), "\t", text]
+    assert e.encode(texts) == [whole(WORD_BPE, t, 0)[:-4] for t in texts]
+    assert alone == ["it's", "\t"]
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     table = docs(ODD + TRICKY).union(docs([], [(None, "no id", "en", "s", 1, "", "", "")]))
     path = str(tmp_path / "t")
