@@ -161,9 +161,10 @@ def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -
     sizes = once(classes.where("n > 0").groupBy("key").agg(*per_class), "sizes")
     state = columns.join(sizes.select("key", "n", "plain"), "key")
     # the classes of a column fall into ``stars`` parts by hash; of each part the one nearest the middle of its copies leads
-    mine = lambda k: F.when(F.pmod(F.xxhash64("key"), F.lit(stars)) == k, F.col("plain")).otherwise(-1.0).alias("middle")
-    found = [F.max(F.struct(mine(k), F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "at")) for k in range(stars)]
-    leads = F.array_distinct(F.array(*[F.struct(*[x[c].alias(c) for c in ("key", "n", "at")]) for x in found]))
+    # (a row of a partial sum holds one lead, not one for each part)
+    mine = lambda k: F.pmod(F.xxhash64("key"), F.lit(stars)) == k
+    found = [F.max(F.when(mine(k), F.struct("plain", F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "at"))) for k in range(stars)]
+    leads = F.transform(F.array_compact(F.array(*found)), lambda x: F.struct(*[x[c].alias(c) for c in ("key", "n", "at")]))
     # a short column needs few leads
     shared = state.groupBy("shingle").agg(leads.alias("leads"), F.count(F.lit(1)).alias("size"))
     shared = shared.select("shingle", F.when(F.col("size") > LONG, F.col("leads")).otherwise(F.slice("leads", 1, 3)).alias("leads"))
@@ -187,7 +188,9 @@ def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -
     for scratch in (columns, now, mixed):
         drop_table(texts.sparkSession, scratch)
     if not rest.isEmpty():
-        member = components(links.unionByName(once(verified(texts, sizes, rest, percent, n, block_docs), "verified")))
+        # the components found so far stand for the links that made them
+        stars_found = member.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        member = components(stars_found.unionByName(once(verified(texts, sizes, rest, percent, n, block_docs), "verified")))
     joined = classes.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     # many rows of one class or component meet as one partial minimum per task
     first = joined.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 import pytest
 
-from plantlake.llm import hmm, neighbour_graph
+from plantlake.llm import graph, hmm, neighbour_graph
 from plantlake.llm.common import crc_fold, most_frequent
 from plantlake.llm.graph import components
 from plantlake.llm.neighbour_graph import nearest
@@ -45,6 +45,36 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_LINKS", few, raising=False)
+    rng = random.Random(7)
+    # a long chain, a ring, a node with many neighbours, chance links, and nodes that several roots share
+    links = [(i, i + 1) for i in range(100, 160)] + [(i, 200 + (i + 1) % 20) for i in range(200, 220)] + [(300, i) for i in range(301, 340)]
+    links += [(rng.randint(400, 480), rng.randint(400, 480)) for _ in range(60)] + [(599, 500), (599, 501), (598, 501), (598, 502), (5, 5)]
+    want = {}
+    for a, b in links:
+        for x in (a, b):
+            want.setdefault(x, x)
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    own = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.createDataFrame(links, "a long, b long"))
+        got = {r["node"]: r["component"] for r in found.collect()}
+        files = len(found.inputFiles())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: want[x] for x in linked}
+    assert not few or files <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_most_frequent_keeps_ties_together(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([9, 5, 5, 3, 3, 3, 1])], "k int, n long")
     assert sorted(r["n"] for r in most_frequent(df, 5).collect()) == [5, 5, 9]
