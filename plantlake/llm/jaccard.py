@@ -22,8 +22,6 @@ COMMON = 262_144
 OFTEN = 3
 # n-grams that a task counts together
 COUNTED = 4_000_000
-# counters of n-grams of a slice, a power of two
-COUNTERS = 1 << 21
 # classes of a shared n-gram that all its others are held against first
 STARS = 8
 # classes of a column from which all leads are used, three below
@@ -84,15 +82,6 @@ def _windows(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _plain(sets: list[np.ndarray]) -> np.ndarray:
-    """Share of each set's hashes that several sets of the slice have, by counters that a few hashes may share."""
-    lengths = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *sets]) & (COUNTERS - 1)
-    often = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=1)[flat] >= OFTEN)])
-    ends = np.cumsum(lengths)
-    return (often[ends] - often[ends - lengths]) / np.maximum(1, lengths)
-
-
 def parity(shingles: np.ndarray) -> np.ndarray:
     """Four 64-bit words; every hash turns one of the 256 bits. Two sets differ in at least as many hashes as their words in bits."""
     turned = np.bincount((shingles.view(np.uint64) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
@@ -151,46 +140,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = N, stars: int =
 
 
 def _named(docs: DataFrame, percent: int, n: int, stars: int, block_docs: int) -> DataFrame:
-    """(doc_id, text_hash, key, n, plain, component, component_id) of every row."""
+    """(doc_id, text_hash, key, n, component, component_id) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     classes, common = _classes(texts, n)
     columns = _columns(texts, common, percent, n)
-    per_class = [F.max("n").alias("n"), F.max("plain").alias("plain"), F.min("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")]
-    per_class += [F.max(w).alias(w) for w in _WORDS]
-    sizes = once(classes.where("n > 0").groupBy("key").agg(*per_class), "sizes")
-    state = columns.join(sizes.select("key", "n", "plain"), "key")
-    # the classes of a column fall into ``stars`` parts by hash; of each part the one nearest the middle of its copies leads
-    # (a row of a partial sum holds one lead, not one for each part)
-    mine = lambda k: F.pmod(F.xxhash64("key"), F.lit(stars)) == k
-    found = [F.max(F.when(mine(k), F.struct("plain", F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "at"))) for k in range(stars)]
-    leads = F.transform(F.array_compact(F.array(*found)), lambda x: F.struct(*[x[c].alias(c) for c in ("key", "n", "at")]))
-    # a short column needs few leads
-    shared = state.groupBy("shingle").agg(leads.alias("leads"), F.count(F.lit(1)).alias("size"))
-    shared = shared.select("shingle", F.when(F.col("size") > LONG, F.col("leads")).otherwise(F.slice("leads", 1, 3)).alias("leads"))
-    pairs = state.join(shared, "shingle").select("key", "n", "at", F.explode("leads").alias("lead"))
-    pairs = pairs.select("key", "n", "at", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("key", "n", "at")])
+    sizes = once(classes.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("text_hash").alias("text_hash"), *[F.max(w).alias(w) for w in _WORDS]), "sizes")
+    sketches = classes.where("n > 0 and sketch is not null").select("key", "sketch")
+    pairs = _held_against(columns, stars)
     fit = once(_fitting(pairs.where(_room(percent)), percent), "pairs")
-    links = once(verified(texts, sizes, fit, percent, n, block_docs), "verified")
+    links = once(verified(texts, sizes, sketches, fit, percent, n, block_docs), "verified")
     member = components(links)
-    now = once(state.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "state")
-    # two components of a column: one of them at least is not its largest
-    parts = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
-    parts = parts.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = now.join(parts.where("parts > 1").drop("parts"), "shingle").select("shingle", "main", "key", "n", "at", "component")
-    mixed = once(mixed.join(sizes.select("key", *_WORDS), "key"), "mixed")
-    left = mixed.where("component <> main").drop("main")
-    right = mixed.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "shingle"])
-    once_each = (F.col("component_b") == F.col("main")) | (F.col("component") < F.col("component_b"))
-    near = join_hot(left, right, ["shingle"], "inner", HOT_COLUMN).where(once_each & _room(percent) & _alike(percent))
-    rest = _fitting(near, percent).join(fit, ["a", "b"], "left_anti")
-    rest = once(rest, "pairs")
+    known = member.withColumnRenamed("node", "key")
+    now = columns.join(F.broadcast(known) if fits_broadcast(known) else known, "key", "left")
+    now = once(now.withColumn("component", F.coalesce("component", "key")), "state")
+    mixed = once(_mixed(now.where("hot")).join(sizes.select("key", *_WORDS), "key"), "mixed")
+    near = _across(mixed, percent, functools.partial(join_hot, rows=HOT_COLUMN)).where(_alike(percent))
+    # a column of a rare n-gram is one task's work: its classes meet where they were brought together, their parities later
+    rare = _fitting(_across(_mixed_rare(now.where("not hot")), percent, DataFrame.join), percent)
+    for end, tail in (("a", ""), ("b", "_b")):
+        rare = rare.join(sizes.select(F.col("key").alias(end), F.col("n").alias(f"n{tail}"), *[F.col(w).alias(f"{w}{tail}") for w in _WORDS]), end)
+    rest = rare.where(_alike(percent)).select("a", "b").unionByName(_fitting(near, percent)).distinct()
+    rest = once(rest.join(fit, ["a", "b"], "left_anti"), "pairs")
     for scratch in (columns, now, mixed):
         drop_table(texts.sparkSession, scratch)
     if not rest.isEmpty():
         # the components found so far stand for the links that made them
         stars_found = member.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        member = components(stars_found.unionByName(once(verified(texts, sizes, rest, percent, n, block_docs), "verified")))
+        member = components(stars_found.unionByName(once(verified(texts, sizes, sketches, rest, percent, n, block_docs), "verified")))
     joined = classes.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     # many rows of one class or component meet as one partial minimum per task
     first = joined.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -218,11 +195,11 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = N) -> DataFrame:
 
 
 _WORDS = [f"p{k}" for k in range(PARITY)]
-CLASS_ROWS = "doc_id long, key long, n long, plain double, text_hash long, sketch binary, is_doc boolean, " + ", ".join(f"{w} long" for w in _WORDS)
+CLASS_ROWS = "doc_id long, key long, n long, text_hash long, sketch binary, is_doc boolean, " + ", ".join(f"{w} long" for w in _WORDS)
 
 
-def _class_rows(doc_id, key, n, plain, text_hash, sketches: list[bytes], parities: np.ndarray, is_doc: bool) -> pa.RecordBatch:
-    rows = {"doc_id": doc_id, "key": key, "n": n, "plain": plain, "text_hash": text_hash, "sketch": pa.array(sketches, pa.binary()), "is_doc": np.full(len(key), is_doc)}
+def _class_rows(doc_id, key, n, text_hash, sketches: list[bytes | None], parities: np.ndarray, is_doc: bool) -> pa.RecordBatch:
+    rows = {"doc_id": doc_id, "key": key, "n": n, "text_hash": text_hash, "sketch": pa.array(sketches, pa.binary()), "is_doc": np.full(len(key), is_doc)}
     return pa.RecordBatch.from_pydict(rows | {w: parities[:, k] for k, w in enumerate(_WORDS)})
 
 
@@ -244,11 +221,55 @@ def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
+def _held_against(columns: DataFrame, stars: int) -> DataFrame:
+    """Pairs of a class of a column and a class that leads in it.
+
+    The classes of a column fall into ``stars`` parts by hash; of each part the one nearest the middle of its copies leads.
+    The columns of rare n-grams are brought together once; those of frequent ones, of any length, are summed up first, and a
+    row of a partial sum holds one lead, not one for each part.
+    """
+    mine = lambda k: F.pmod(F.xxhash64("key"), F.lit(stars)) == k
+    found = [F.max(F.when(mine(k), F.struct("plain", "key", "n", "at"))) for k in range(stars)]
+    leads = lambda best: F.transform(F.array_compact(F.array(*best)), lambda x: F.struct(*[x[c].alias(c) for c in ("key", "n", "at")]))
+    column, frequent = W.partitionBy("shingle"), columns.where("hot")
+    several = frequent.groupBy("shingle").agg(leads(found).alias("leads"), F.count(F.lit(1)).alias("size"))
+    # dealt out before the leads are formed: else each row would travel with a lead of its own
+    rare = columns.where("not hot").repartition("shingle")
+    rare = rare.withColumn("leads", leads([f.over(column) for f in found])).withColumn("size", F.count(F.lit(1)).over(column))
+    rows = [d.select("key", "n", "at", "leads", "size") for d in (frequent.join(several, "shingle"), rare)]
+    # a short column needs few leads
+    few = F.when(F.col("size") > LONG, F.col("leads")).otherwise(F.slice("leads", 1, 3))
+    pairs = rows[0].unionByName(rows[1]).select("key", "n", "at", F.explode(few).alias("lead"))
+    return pairs.select("key", "n", "at", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("key", "n", "at")])
+
+
+def _mixed(state: DataFrame) -> DataFrame:
+    """The rows of columns with several components, and the largest of them as ``main``."""
+    parts = state.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    parts = parts.groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    return state.join(parts.where("parts > 1").drop("parts"), "shingle").select("shingle", "main", "key", "n", "at", "component")
+
+
+def _mixed_rare(state: DataFrame) -> DataFrame:
+    """The same for columns that one task can hold: their rows are brought together once."""
+    column, part = W.partitionBy("shingle"), W.partitionBy("shingle", "component")
+    rows = state.withColumn("lo", F.min("component").over(column)).withColumn("hi", F.max("component").over(column)).where("lo <> hi")
+    rows = rows.withColumn("c", F.count(F.lit(1)).over(part)).withColumn("main", F.max(F.struct("c", "component")).over(column)["component"])
+    return rows.select("shingle", "main", "key", "n", "at", "component")
+
+
+def _across(mixed: DataFrame, percent: int, join: Callable) -> DataFrame:
+    """Pairs of different components of a column; one of them at least is not its largest."""
+    left = mixed.where("component <> main").drop("main")
+    right = mixed.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "shingle"])
+    once_each = (F.col("component_b") == F.col("main")) | (F.col("component") < F.col("component_b"))
+    return join(left, right, ["shingle"], how="inner").where(once_each & _room(percent))
+
+
 def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """One row (doc_id, key, n, plain, text_hash, sketch, parity) per document, and the frequent n-grams with their counts; both from one pass over the texts.
+    """One row (doc_id, key, n, text_hash, sketch, parity) per document, and the frequent n-grams with their counts; both from one pass over the texts.
 
-    ``key`` is a 64-bit hash of the set; ``plain`` the share of frequent n-grams, higher for texts near the middle of
-    a group of copies.
+    ``key`` is a 64-bit hash of the set. Only the first of the copies that a task meets has a sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,24 +280,23 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             often, many = values[counts >= OFTEN], counts[counts >= OFTEN]
             held.clear()
             seen.clear()
-            return _class_rows(pa.nulls(len(often), pa.int64()), often, many, np.zeros(len(often)), pa.nulls(len(often), pa.int64()), [b""] * len(often), np.zeros((len(often), PARITY), np.int64), False)
+            return _class_rows(pa.nulls(len(often), pa.int64()), often, many, pa.nulls(len(often), pa.int64()), [None] * len(often), np.zeros((len(often), PARITY), np.int64), False)
 
         for b in batches:
             sets = shingler.sets(b.column("text").to_pylist())
             keys = np.array([_key(s) for s in sets], np.int64)
             # copies count once, or every n-gram of a copied text were frequent
+            sketches = []
             for k, s in zip(keys.tolist(), sets, strict=True):
-                if len(s) and k not in seen:
+                fresh = len(s) and k not in seen
+                sketches.append(sketch(s) if fresh else None)
+                if fresh:
                     seen.add(k)
                     held.append(s)
             if sum(map(len, held)) > COUNTED:
                 yield frequent()
-            # copies count once here too
-            first = dict(zip(keys.tolist(), range(len(sets))))
-            share = dict(zip(first, _plain([sets[i] for i in first.values()])))
-            plain = np.array([share[k] for k in keys.tolist()])
             parities = np.array([parity(s) for s in sets]).reshape(len(sets), PARITY)
-            yield _class_rows(b.column("doc_id"), keys, np.array([len(s) for s in sets], np.int64), plain, b.column("text_hash"), [sketch(s) for s in sets], parities, True)
+            yield _class_rows(b.column("doc_id"), keys, np.array([len(s) for s in sets], np.int64), b.column("text_hash"), sketches, parities, True)
         yield frequent()
 
     both = once(over_texts(texts, run, CLASS_ROWS), "classes")
@@ -285,7 +305,10 @@ def _classes(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataFrame:
-    """(shingle, key, at): the prefix of every class, but for n-grams that one class alone has there, and their places in it.
+    """(shingle, key, at, n, plain, hot): the prefix of every class, but for n-grams that one class alone has there, and their places in it.
+
+    ``n`` is the size of the set, ``plain`` how many 255ths of it are frequent n-grams: more for texts near the middle of a
+    group of copies. Both travel with the prefix, so that no later step has to fetch them by class.
 
     Rare n-grams come first, by hash; then the frequent ones, by how often they were seen, then by hash. The frequent n-grams, at most COMMON of them, are sent to the tasks. Their rows are dealt over many groups, so that a
     column of any length is never one task's work.
@@ -297,7 +320,7 @@ def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (late, rank), seen = Shingler(n), sent.value, set()
         for b in batches:
-            parts, places, keys, hot = [], [], [], []
+            parts, places, keys, about, hot = [], [], [], [], []
             for s in shingler.sets(b.column("text").to_pylist()):
                 if not len(s):
                     continue
@@ -313,22 +336,29 @@ def _columns(texts: DataFrame, common: DataFrame, percent: int, n: int) -> DataF
                 places.append(np.arange(len(order), dtype=np.int32))
                 hot.append(turn[order] > 0)
                 keys.append(np.full(len(order), key, np.int64))
+                about.append(np.full(len(order), 256 * len(s) + 255 * np.count_nonzero(turn) // len(s), np.int64))
             if parts:
-                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(parts), "key": np.concatenate(keys), "at": np.concatenate(places), "hot": np.concatenate(hot)})
+                yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(parts), "key": np.concatenate(keys), "about": np.concatenate(about), "at": np.concatenate(places), "hot": np.concatenate(hot)})
 
-    rows = over_texts(texts.select("text"), run, "shingle long, key long, at int, hot boolean")
+    rows = over_texts(texts.select("text"), run, "shingle long, key long, about long, at int, hot boolean")
     # 0 for the others
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(1024)) + 1).otherwise(F.lit(0)).cast("short"))
     column = W.partitionBy("shingle", "salt")
     shared = rows.drop("hot").withColumn("lo", F.min("key").over(column)).withColumn("hi", F.max("key").over(column))
-    return once(shared.where("salt > 0 or lo <> hi").select("shingle", "key", "at").distinct(), "columns")
+    # with the salt kept, equal rows already are in one task
+    shared = shared.where("salt > 0 or lo <> hi").select("shingle", "salt", "key", "about", "at").distinct()
+    size = [F.shiftright("about", 8).alias("n"), F.col("about").bitwiseAND(255).cast("short").alias("plain"), (F.col("salt") > 0).alias("hot")]
+    return once(shared.select("shingle", "key", "at", *size), "columns")
 
 
-def verified(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int, n: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def verified(texts: DataFrame, sizes: DataFrame, sketches: DataFrame, pairs: DataFrame, percent: int, n: int, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity: first by what their sketches allow, then by the sets themselves."""
-    pairs = once(_product(pairs, sizes.select("key", F.col("sketch").alias("data")), _bound(percent), 8 * block_docs), "allowed")
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = _sets(texts, ends.join(sizes, "key").select("key", "text_hash"), n)
+    both = lambda p: p.select(F.col("a").alias("key")).unionByName(p.select(F.col("b").alias("key"))).distinct()
+    ends = once(both(pairs), "ends")
+    # of every class in a pair one sketch; those of all others stay where they are
+    drawn = sketches.join(F.broadcast(ends) if fits_broadcast(ends) else ends, "key").groupBy("key").agg(F.first("sketch").alias("data"))
+    pairs = once(_product(pairs, drawn, _bound(percent), 8 * block_docs), "allowed")
+    sets = _sets(texts, both(pairs).join(sizes, "key").select("key", "text_hash"), n)
     return _product(pairs, sets.select("key", F.col("shingles").alias("data")), _overlap(percent), block_docs)
 
 

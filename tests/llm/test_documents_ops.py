@@ -296,6 +296,36 @@ def test_near_duplicates(docs, monkeypatch, seed, stars, block, hot):
     assert got == components_of(texts)
 
 
+def test_a_prefix_brings_what_later_steps_need(docs):
+    texts = copies(6) * 2
+    table = docs(texts).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).coalesce(1)
+    classes, common = jaccard._classes(table, 5)
+    rows = classes.where("n > 0").collect()
+    assert sum(r["sketch"] is not None for r in rows) == len({r["key"] for r in rows}) < len(rows)
+    late = {r["shingle"] for r in common.collect()}
+    sets = {jaccard._key(s): s.tolist() for s in jaccard.Shingler().sets(texts) if len(s)}
+    columns = jaccard._columns(table, common, 80, 5)
+    found = columns.collect()
+    assert {r["hot"] for r in found} == {True, False} and len(found) == len({(r["shingle"], r["key"]) for r in found})
+    for r in found:
+        s = sets[r["key"]]
+        assert (r["n"], r["plain"]) == (len(s), 255 * sum(x in late for x in s) // len(s)) and r["hot"] == (r["shingle"] in late)
+    # the rows of a column of a rare n-gram are dealt out once, without leads
+    plan = jaccard._held_against(columns.withColumn("hot", F.lit(False)), 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(shingle") == 1 and "_w0" not in plan.partition("Exchange")[2]
+
+
+@pytest.mark.parametrize("mixed", [jaccard._mixed, jaccard._mixed_rare])
+def test_all_pairs_of_components_of_a_column(spark, mixed):
+    rng = random.Random(8)
+    size = {k: rng.randint(15, 17) for k in range(40)}
+    rows = [(s, k, size[k], rng.randint(0, 1), k % rng.choice([2, 5])) for s in range(30) for k in rng.sample(range(40), rng.randint(1, 12))]
+    rows += [(99, k, 5, 0, 7) for k in range(9)]
+    got = jaccard._across(mixed(spark.createDataFrame(rows, "shingle long, key long, n int, at int, component long")), 80, jaccard.join_hot).collect()
+    want = [(s, *sorted([a, b])) for s, a, n, i, c in rows for t, b, m, j, d in rows if s == t and a < b and c != d and 180 * min(n - i, m - j) >= 80 * (n + m)]
+    assert len(want) > 100 and sorted((r["shingle"], *sorted([r["key"], r["key_b"]])) for r in got) == sorted(want)
+
+
 def test_near_duplicates_of_odd_tables(docs):
     assert near_duplicates(docs([])).count() == 0
     assert {r["component_id"] for r in near_duplicates(docs([None, ""])).collect()} == {0, 1}
