@@ -38,6 +38,8 @@ HELD = 1 << 18
 LOOSE = 0.02
 # larger values are not squared in single precision
 LARGE = 1e15
+# rows of a cell that are compared at once
+CELL_ROWS = 4_096
 
 
 def _check(metric: str, k: int) -> None:
@@ -106,9 +108,9 @@ class Leaders:
         for s in range(0, len(self.q), STEP):
             self._step(s, cid, x, right, single)
 
-    def _cut(self, rows: slice, single: bool) -> np.ndarray:
-        """Products above this belong to chunks that are farther away than the k-th nearest so far."""
-        limit, eps = self.limit[rows], _rounding(self.q.shape[1], single)
+    def _cut(self, rows: slice | np.ndarray, single: bool, limit: np.ndarray | None = None) -> np.ndarray:
+        """Products above this belong to chunks that are farther away than the limit, or else the k-th nearest so far."""
+        limit, eps = self.limit[rows] if limit is None else limit, _rounding(self.q.shape[1], single)
         own = 1.0 - eps if self.metric == "cosine" else self.square[rows] * ((1.0 - eps) if self.metric == "l2" else -eps)
         cut = limit - own + NEAR * np.abs(limit) + 1e-11
         return np.nextafter(cut.astype(np.float32), np.float32(np.inf)) if single else cut
@@ -123,7 +125,7 @@ class Leaders:
             piece = x[p : p + PIECE]
             rough = left @ right[p : p + PIECE].T
             if len(piece) >= self.k and np.isinf(self.limit[rows]).any():
-                self._first_limit(rows, piece, rough)
+                self.limit[rows] = np.minimum(self.limit[rows], self._first_limit(q, piece, rough))
             flat = np.flatnonzero(rough <= self._cut(rows, single)[:, None])
             if single and len(flat) > LOOSE * rough.size + self.k * len(q):
                 rough = _sides(q, self.metric, False, False) @ _sides(piece, self.metric, False, True).T
@@ -144,13 +146,12 @@ class Leaders:
             at, near = np.divmod(flat[i : i + pairs], len(piece))
             yield at, near, _direct(q[at], piece[near], self.metric)
 
-    def _first_limit(self, rows: slice, piece: np.ndarray, rough: np.ndarray) -> None:
+    def _first_limit(self, q: np.ndarray, piece: np.ndarray, rough: np.ndarray) -> np.ndarray:
         """Any k chunks bound the distance of the k-th nearest; those with the smallest products bound it well."""
-        q = self.q[rows]
         some = np.argpartition(rough, self.k - 1, axis=1)[:, : self.k]
         flat = (np.arange(len(q))[:, None] * len(piece) + some).ravel()
         far = np.concatenate([d for _, _, d in self._measured(flat, q, piece)]).reshape(some.shape).max(axis=1)
-        self.limit[rows] = np.minimum(self.limit[rows], np.where(np.isnan(far), np.inf, far))
+        return np.where(np.isnan(far), np.inf, far)
 
     def _rank(self, s: int, new: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Keep the k nearest of each question; equal distances go to the smaller id."""
@@ -171,6 +172,92 @@ class Leaders:
             yield pa.RecordBatch.from_arrays(columns, ["question_id", "chunk_id", "distance"])
 
 
+class CellLeaders(Leaders):
+    """The ``k`` nearest chunks of every question of a block among the cells that it visits; cells come one after the other.
+
+    ``visits`` has one bit per cell for each question. The k-th distance so far holds for all later cells. Of each cell a
+    question takes its k nearest rows at most, and keeps a chunk that it meets again once.
+    """
+
+    def __init__(self, q: np.ndarray, k: int, metric: str, visits: np.ndarray) -> None:
+        super().__init__(q, k, metric)
+        # one row per eight cells
+        self.visits = np.ascontiguousarray(visits.T)
+        self.near, self.ids, self.held = np.full((len(q), k), np.inf), None, np.zeros(len(q), np.int64)
+
+    def add_cell(self, cell: int, cid: np.ndarray, x: np.ndarray) -> None:
+        asking = np.flatnonzero(self.visits[cell >> 3] >> (cell & 7) & 1)
+        cid, x = _of_copies(cid, x, self.k)
+        if not len(asking) or not len(cid):
+            return
+        single = self.small and bool((np.abs(x) <= LARGE).all())
+        right = _sides(x, self.metric, single, True)
+        for s in range(0, len(asking), STEP):
+            self._meet(asking[s : s + STEP], cid, x, right, single)
+
+    def _meet(self, rows: np.ndarray, cid: np.ndarray, x: np.ndarray, right: np.ndarray, single: bool) -> None:
+        q = self.q[rows]
+        rough = (self.left[rows] if single else _sides(q, self.metric, False, False)) @ right.T
+        limit = self.limit[rows]
+        if len(x) >= self.k and np.isinf(limit).any():
+            # rows of one cell bound what is taken of it, but a chunk may be among them twice
+            limit = np.minimum(limit, self._first_limit(q, x, rough))
+        flat = np.flatnonzero(rough <= self._cut(rows, single, limit)[:, None])
+        if single and len(flat) > LOOSE * rough.size + self.k * len(q):
+            rough = _sides(q, self.metric, False, False) @ _sides(x, self.metric, False, True).T
+            flat = np.flatnonzero(rough <= self._cut(rows, False, limit)[:, None])
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at, near, d in self._measured(flat, q, x):
+            good = d <= limit[at]
+            new.append((at[good], near[good], d[good]))
+            if sum(len(a) for a, _, _ in new) > HELD:
+                new = [self._of_cell(new, cid)]
+        if any(len(a) for a, _, _ in new):
+            at, near, d = self._of_cell(new, cid)
+            self._keep(rows[at], cid[near], d)
+
+    def _of_cell(self, new: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest rows of one cell for each question."""
+        at, near, d = (np.concatenate(c) for c in zip(*new, strict=True))
+        order = np.lexsort((cid[near], d, at))
+        order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < self.k]
+        return at[order], near[order], d[order]
+
+    def _keep(self, rows: np.ndarray, cid: np.ndarray, d: np.ndarray) -> None:
+        """Put what a cell gave among the k nearest different chunks so far; equal distances go to the smaller id."""
+        if self.ids is None:
+            self.ids = np.zeros(self.near.shape, cid.dtype)
+        elif self.ids.dtype != cid.dtype:
+            self.ids = self.ids.astype(np.result_type(self.ids, cid))
+        asking, at = np.unique(rows, return_inverse=True)
+        before, place = np.nonzero(np.arange(self.k) < self.held[asking][:, None])
+        at = np.concatenate([before, at])
+        cid = np.concatenate([self.ids[asking[before], place], cid])
+        d = np.concatenate([self.near[asking[before], place], d])
+        order = np.lexsort((d, cid, at))
+        at, cid, d = at[order], cid[order], d[order]
+        # an id that is null has become NaN
+        again = (at[1:] == at[:-1]) & ((cid[1:] == cid[:-1]) | ((cid[1:] != cid[1:]) & (cid[:-1] != cid[:-1])))
+        first = np.concatenate([[True], ~again])
+        at, cid, d = at[first], cid[first], d[first]
+        order = np.lexsort((cid, d, at))
+        at, cid, d = at[order], cid[order], d[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        best = rank < self.k
+        at, cid, d, rank = at[best], cid[best], d[best], rank[best]
+        self.ids[asking[at], rank], self.near[asking[at], rank] = cid, d
+        self.held[asking] = np.bincount(at, minlength=len(asking))
+        full = asking[at[rank == self.k - 1]]
+        self.limit[full] = self.near[full, self.k - 1]
+
+    def rows(self, qid: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(self.q), STEP):
+            at, place = np.nonzero(np.arange(self.k) < self.held[s : s + STEP, None])
+            if len(at):
+                columns = [qid.take(pa.array(s + at)), pa.array(self.ids[s + at, place], kind, from_pandas=True), pa.array(self.near[s + at, place], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["question_id", "chunk_id", "distance"])
+
+
 def _of_copies(cid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of equal vectors those with the ``k`` smallest ids: no other can be among the k nearest."""
     if len(x) <= k or not x.shape[1]:
@@ -325,10 +412,84 @@ def top_k_in_cells(
     return rank_candidates(found.groupBy("question_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
 
 
-def completed(found: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """``found`` with the questions that are short of k chunks answered by exact search."""
+def bits_of(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def top_k_in_runs(asked: DataFrame, chunks: DataFrame, k: int, metric: str, tasks: int) -> DataFrame:
+    """k nearest among the chunks of the cells that a question visits, where a task compares a block of questions and a run of cells.
+
+    ``asked(question_id, embedding, run, block, visits)`` has one row per question and run with a visited cell, and a bit in
+    ``visits`` for each cell of the run. ``chunks(chunk_id, embedding, run, block, at)`` says which of these cells a chunk is in.
+    A vector travels once per run or block, however many cells are visited.
+    """
+    _check(metric, k)
+    schema = _schema(asked, chunks)
+    same = asked.schema["embedding"].dataType == chunks.schema["embedding"].dataType
+    vector = F.col("embedding") if same else F.col("embedding").cast("array<double>")
+    left = asked.select(
+        "run", "block", F.lit(-1).alias("at"), "question_id", F.lit(None).cast(schema["chunk_id"].dataType).alias("chunk_id"), vector.alias("embedding"), "visits")
+    right = chunks.select(
+        "run", "block", "at", F.lit(None).cast(schema["question_id"].dataType).alias("question_id"), "chunk_id", vector.alias("embedding"), F.lit(None).cast("binary").alias("visits"))
+    order = ["run", "block", "at"]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, best, kind = None, [], None, None
+        # rows of the cell that is being read
+        cell, ids, vectors = -1, [], []
+
+        def meet(whole: bool) -> None:
+            nonlocal ids, vectors
+            while sum(map(len, ids)) >= (1 if whole else CELL_ROWS):
+                cid, x = np.concatenate(ids), np.vstack(vectors)
+                best[1].add_cell(cell, cid[:CELL_ROWS], x[:CELL_ROWS])
+                ids, vectors = [cid[CELL_ROWS:]], [x[CELL_ROWS:]]
+            if whole:
+                ids, vectors = [], []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [ids_of(b.column(c)) for c in order]
+            kind = b.column("chunk_id").type
+            x = matrix_of(b.column("embedding"))
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
+                *group, at = (c[i] for c in keys)
+                if group != now or at != cell:
+                    meet(True)
+                    cell = at
+                if group != now:
+                    if best is not None:
+                        yield from best[1].rows(best[0], kind)
+                    now, asked, best = group, [], None
+                part = b.slice(i, j - i)
+                if at < 0:
+                    asked.append((part.column("question_id"), x[i:j], bits_of(part.column("visits"))))
+                elif asked:
+                    if best is None:
+                        best = pa.concat_arrays([a for a, _, _ in asked]), CellLeaders(np.vstack([v for _, v, _ in asked]), k, metric, np.vstack([v for _, _, v in asked]))
+                        # the leaders hold them now
+                        asked = [None]
+                    ids.append(ids_of(part.column("chunk_id")))
+                    vectors.append(x[i:j])
+                    meet(False)
+        meet(True)
+        if best is not None:
+            yield from best[1].rows(best[0], kind)
+
+    # rows of a cell by id, so that its pieces are the same whenever they are read
+    met = left.unionByName(right).repartition(tasks, "run", "block").sortWithinPartitions(*order, "chunk_id")
+    found = met.mapInArrow(nearest, schema)
+    # a chunk can be met in several runs of the same question; what is dealt by question is not dealt again to be ranked
+    return rank_candidates(found.repartition("question_id").groupBy("question_id", "chunk_id").agg(F.min("distance").alias("distance")), k)
+
+
+def completed(found: DataFrame, questions: DataFrame, chunks: DataFrame, k: int, metric: str = "l2", whole: int | None = None) -> DataFrame:
+    """``found`` with the questions that are short of k chunks answered by exact search; ``whole`` chunks, up to k, are there at all."""
     found = settle(found, "found")
-    whole = min(k, chunks.where(F.col("embedding").isNotNull()).limit(k).count())
+    whole = min(k, chunks.where(F.col("embedding").isNotNull()).limit(k).count()) if whole is None else whole
     enough = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= whole).select("question_id")
     short = settle(questions.where(F.col("embedding").isNotNull()).join(enough, "question_id", "left_anti").select("question_id", "embedding"), "short")
     if short.isEmpty():

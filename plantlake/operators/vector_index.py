@@ -8,6 +8,7 @@ wanted share of those neighbours needs. Cells that a distance bound rules out ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 import json
 import math
@@ -15,11 +16,14 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plantlake.operators.neighbours import K, completed, exact_top_k, top_k_in_cells, vectors_of
+from plantlake.operators.neighbours import (
+    CHUNK_BLOCK, GROUPS_A_CORE, K, LEAST_CHUNKS, PAIRS, bits_of, completed, exact_top_k, matrix_of, top_k_in_runs, vectors_of,
+)
 from plantlake.session import scratch_path, settle
 
 # rows per cell that the centres, or the borders of the buckets, are fitted on
@@ -31,6 +35,11 @@ TARGET = 0.95
 CELLS_AT_MOST = 65_536
 # distances of vectors to cells that a task holds at a time
 DISTANCES = 1 << 18
+# questions that a task holds, by their number and by the values of their vectors
+QUESTION_BLOCK = 1 << 17
+QUESTION_VALUES = 1 << 23
+# cells of a run
+RUN_CELLS = 4_096
 KINDS = ("cells", "hashes")
 
 
@@ -45,6 +54,10 @@ class Centres:
     def cells(self) -> int:
         return len(self.centres)
 
+    @property
+    def width(self) -> int:
+        return self.centres.shape[1]
+
     def far(self, x: np.ndarray) -> np.ndarray:
         square = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ self.centres.T) + (self.centres * self.centres).sum(axis=1)[None, :]
         return np.sqrt(np.maximum(square, 0.0))
@@ -74,6 +87,10 @@ class Hashes:
     def cells(self) -> int:
         return len(self.cuts) << self.cuts.shape[1]
 
+    @property
+    def width(self) -> int:
+        return self.directions.shape[2]
+
     def along(self, x: np.ndarray) -> np.ndarray:
         """(vectors, tables, directions): signed distance to each cut."""
         return np.einsum("nd,tmd->ntm", x, self.directions) - self.cuts[None]
@@ -95,6 +112,52 @@ class Hashes:
         return (far if self.used is None else np.where(self.used[None, :], far, np.inf)), far
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Cells in runs of neighbouring numbers with about as many chunks; a cell with more is dealt over ``parts`` runs of its own.
+
+    By cell: its first run (-1 when it is empty), how many it has, its place there. ``cells`` is the number of cells by run.
+    """
+
+    first: np.ndarray
+    parts: np.ndarray
+    at: np.ndarray
+    cells: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, rows: int) -> Runs:
+        first, parts, at = np.full(len(sizes), -1), np.ones(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        cells: list[int] = []
+        held = rows
+        for c in np.flatnonzero(sizes).tolist():
+            n = int(sizes[c])
+            if held + n > rows or cells[-1] >= RUN_CELLS:
+                held = 0
+                first[c], parts[c] = len(cells), max(1, -(-n // rows))
+                cells += [1] * int(parts[c])
+            else:
+                first[c], at[c] = len(cells) - 1, cells[-1]
+                cells[-1] += 1
+            held = rows if parts[c] > 1 else held + n
+        return cls(first, parts, at, np.array(cells, np.int64))
+
+    def visits(self, order: np.ndarray) -> pa.Array:
+        """(run, cells) of each question: the runs that it visits, and a bit for each of their cells; -1 is no visit."""
+        asking, place = np.nonzero((order >= 0) & (self.first[order] >= 0))
+        cell = order[asking, place]
+        often = self.parts[cell]
+        asking, cell = np.repeat(asking, often), np.repeat(cell, often)
+        part = np.arange(len(cell)) - np.repeat(np.cumsum(often) - often, often)
+        met, at = np.unique(asking * len(self.cells) + self.first[cell] + part, return_inverse=True)
+        asking, run = np.divmod(met, max(1, len(self.cells)))
+        start = np.concatenate([[0], np.cumsum(-(-self.cells[run] // 8))])
+        data = np.zeros(start[-1], np.uint8)
+        np.bitwise_or.at(data, start[at] + (self.at[cell] >> 3), np.left_shift(1, self.at[cell] & 7).astype(np.uint8))
+        bits = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(data)])
+        values = pa.StructArray.from_arrays([pa.array(run, pa.int32()), bits], ["run", "cells"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(asking, np.arange(len(order) + 1)), pa.int32()), values)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
@@ -235,12 +298,72 @@ class VectorIndex:
         if not self.n:
             return exact_top_k(questions, self.chunks().select("chunk_id", "embedding"), k, self.metric)
         visits = max(1, min(self.probes if probes is None else probes, self.model.cells))
-        asked = self.visits(questions, k, visits)
-        # at most one row per cell
-        cells = [r["cell"] for r in asked.select("cell").distinct().collect()]
-        stored = self.read(cells)
-        found = top_k_in_cells(asked, stored, k, self.metric)
-        return completed(found, questions, self.chunks().select("chunk_id", "embedding").dropDuplicates(["chunk_id"]), k, self.metric)
+        # vectors may be expensive columns
+        questions = settle(questions.select("question_id", "embedding").where(F.col("embedding").isNotNull()), "questions")
+        many, stored = questions.count(), int(self.sizes.sum())
+        wanted = min(GROUPS_A_CORE * self.spark.sparkContext.defaultParallelism, 1 + many * stored // PAIRS)
+        # a vector is copied least when questions and chunks are cut into pieces of like size
+        cuts = max(1, round(math.sqrt(wanted * many / stored)))
+        block = max(1, min(QUESTION_BLOCK, QUESTION_VALUES // max(1, self.model.width), -(-many // cuts)))
+        rows = -(-stored * -(-many // block) // wanted)
+        runs = Runs.of(self.sizes, max(LEAST_CHUNKS, min(CHUNK_BLOCK, rows)))
+        asked = self._routed(questions, runs, k, visits)
+        asking, cells = self._visited(asked, runs)
+        blocks = F.broadcast(self.spark.createDataFrame([(r, -(-n // block)) for r, n in asking.items()], "run int, blocks int"))
+        # one row per cell
+        places = F.broadcast(self.spark.createDataFrame([(c, int(runs.first[c]), int(runs.parts[c]), int(runs.at[c])) for c in cells], "cell long, first int, parts int, at int"))
+        left = asked.withColumn("visit", F.explode("visits")).select("question_id", "embedding", "visit.run", F.col("visit.cells").alias("visits"))
+        left = left.join(blocks, "run").withColumn("block", F.pmod(F.xxhash64("question_id"), F.col("blocks")).cast("int"))
+        right = self.read(cells).join(places, "cell").withColumn("run", F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
+        right = right.join(blocks, "run").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = sum(asking.values()) * stored // len(runs.cells)
+        tasks = min(sum(-(-n // block) for n in asking.values()) or 1, 4 * wanted, 1 + pairs // PAIRS)
+        found = top_k_in_runs(left, right, k, self.metric, tasks)
+        whole = self.chunks().select("chunk_id").distinct().limit(k).count()
+        return completed(found, questions, self.chunks().select("chunk_id", "embedding").dropDuplicates(["chunk_id"]), k, self.metric, whole)
+
+    def _routed(self, questions: DataFrame, runs: Runs, k: int, probes: int) -> DataFrame:
+        """(question_id, embedding, visits), one row per question with the runs and cells that it visits."""
+        shared = self.spark.sparkContext.broadcast((self.model, self.sizes, self.metric, probes, k, runs))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            *fitted, most, wanted, layout = shared.value
+            # blocks bound the matrix of questions and cells
+            step = max(1, DISTANCES // max(1, fitted[0].cells))
+            for b in batches:
+                x = matrix_of(b.column("embedding"))
+                for i in range(0, len(x), step):
+                    part = b.slice(i, step)
+                    columns = [part.column("question_id"), part.column("embedding"), layout.visits(_order(*fitted, x[i : i + step], most, wanted))]
+                    yield pa.RecordBatch.from_arrays(columns, ["question_id", "embedding", "visits"])
+
+        visits = T.ArrayType(T.StructType([T.StructField("run", T.IntegerType()), T.StructField("cells", T.BinaryType())]))
+        schema = T.StructType([questions.schema["question_id"], questions.schema["embedding"], T.StructField("visits", visits)])
+        return settle(questions.mapInArrow(route, schema), "visits")
+
+    def _visited(self, asked: DataFrame, runs: Runs) -> tuple[dict[int, int], list[int]]:
+        """How many questions visit each run, and the cells that any of them visits."""
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count: dict[int, int] = {}
+            seen: dict[int, np.ndarray] = {}
+            for b in batches:
+                run, n = b.column("run").to_numpy(), b.column("n").to_numpy()
+                for r in np.unique(run).tolist():
+                    count[r] = count.get(r, 0) + int(n[run == r].sum())
+                    bits = np.bitwise_or.reduce(bits_of(b.column("cells").filter(pa.array(run == r))), axis=0)
+                    seen[r] = seen[r] | bits if r in seen else bits
+            if count:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(count), pa.int32()), pa.array(count.values(), pa.int64()), pa.array([s.tobytes() for s in seen.values()], pa.binary())], ["run", "n", "cells"])
+
+        each = asked.select(F.explode("visits").alias("visit")).select("visit.run", F.lit(1).cast("long").alias("n"), "visit.cells")
+        kinds = "run int, n long, cells binary"
+        # one row per run
+        rows = each.mapInArrow(tally, kinds).repartition("run").mapInArrow(tally, kinds).collect()
+        bits = {r["run"]: int.from_bytes(r["cells"], "little") for r in rows}
+        cells = [c for c in np.flatnonzero(runs.first >= 0).tolist() if bits.get(int(runs.first[c]), 0) >> int(runs.at[c]) & 1]
+        return {r["run"]: r["n"] for r in rows}, cells
 
     def visits(self, questions: DataFrame, k: int = K, probes: int | None = None) -> DataFrame:
         """(question_id, embedding, cell), one row per visit."""
