@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from plantlake import session
 from plantlake.operators import neighbours, vector_index
 from plantlake.operators.neighbours import CellLeaders, completed, top_k_in_cells
 from plantlake.operators.vector_index import Runs, VectorIndex, hashed_top_k
@@ -91,3 +92,13 @@ def test_hashed_top_k_of_nothing(spark):
     chunks = vectors(spark, np.eye(4), "chunk_id")
     assert hashed_top_k(vectors(spark, [None], "question_id"), chunks, 3).count() == 0
     assert hashed_top_k(vectors(spark, np.eye(4), "question_id"), chunks, 3).count() == 12
+
+
+def test_hashed_top_k_of_many_visits_stays_small(spark, tmp_path, monkeypatch):
+    """What a search by hashed buckets leaves in the scratch folder grows with the questions, not with their visits."""
+    x = np.random.default_rng(2).normal(size=(1200, 48))
+    chunks, questions = vectors(spark, x, "chunk_id", width="float"), vectors(spark, x[:400], "question_id", width="float")
+    for probes in (1, 30):
+        monkeypatch.setattr(session, "shared_dir", lambda spark, probes=probes: str(tmp_path / str(probes)))
+        assert hashed_top_k(questions, chunks, 3, probes=probes).count() == 1200
+        assert [spark.read.parquet(str(p)).count() for p in (tmp_path / str(probes)).glob("visits-*")] == [400]
